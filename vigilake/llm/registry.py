@@ -6,17 +6,23 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vigilake.llm import mixing
+from vigilake.llm import mixing, url_filter
 from vigilake.session import table
 
 
+def op2_host_trust(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge_urls(table(spark, sf_dir, "pages"))
+
+
 def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_host_trust": op2_host_trust,
     "op9_source_mixing": op9_source_mixing,
 }
 ORACLES: dict[str, str] = {
+    "op2_host_trust": url_filter.sql(),
     "op9_source_mixing": mixing.SQL,
 }
