@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vigilake.llm import mixing, url_filter
+from vigilake.llm import mixing, quality, url_filter
 from vigilake.session import table
 
 
@@ -14,12 +14,17 @@ def op2_host_trust(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(table(spark, sf_dir, "pages"))
 
 
+def op5_weak_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(table(spark, sf_dir, "documents"))
+
+
 def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_host_trust": op2_host_trust,
+    "op5_weak_quality": op5_weak_quality,
     "op9_source_mixing": op9_source_mixing,
 }
 ORACLES: dict[str, str] = {
