@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vigilake.llm import mixing, quality, url_filter
+from vigilake.llm import license_scan, mixing, quality, url_filter
 from vigilake.session import table
 
 
@@ -22,10 +22,15 @@ def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents"))
 
 
+def op10_license_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_host_trust": op2_host_trust,
     "op5_weak_quality": op5_weak_quality,
     "op9_source_mixing": op9_source_mixing,
+    "op10_license_index": op10_license_index,
 }
 ORACLES: dict[str, str] = {
     "op2_host_trust": url_filter.sql(),
