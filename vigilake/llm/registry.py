@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vigilake.llm import license_scan, mixing, quality, url_filter
+from vigilake.llm import language_id, license_scan, mixing, quality, url_filter
 from vigilake.session import table
 
 
+def op1_language_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify(table(spark, sf_dir, "documents"))
+
+
 def op2_host_trust(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(table(spark, sf_dir, "pages"))
 
@@ -27,6 +31,7 @@ def op10_license_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_language_centroids": op1_language_centroids,
     "op2_host_trust": op2_host_trust,
     "op5_weak_quality": op5_weak_quality,
     "op9_source_mixing": op9_source_mixing,
