@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vigilake.llm import language_id, license_scan, mixing, quality, toxicity, url_filter
+from vigilake.llm import bpe, language_id, license_scan, mixing, quality, toxicity, url_filter
 from vigilake.session import table
 
 
@@ -22,6 +22,10 @@ def op5_weak_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents"))
 
 
+def op6_forced_boundary_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.encode(table(spark, sf_dir, "documents"))
+
+
 def op8_toxic_grammar(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -38,6 +42,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_centroids": op1_language_centroids,
     "op2_host_trust": op2_host_trust,
     "op5_weak_quality": op5_weak_quality,
+    "op6_forced_boundary_bpe": op6_forced_boundary_bpe,
     "op8_toxic_grammar": op8_toxic_grammar,
     "op9_source_mixing": op9_source_mixing,
     "op10_license_index": op10_license_index,
