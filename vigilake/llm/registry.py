@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vigilake.llm import bpe, language_id, license_scan, mixing, quality, toxicity, url_filter
+from vigilake.llm import bpe, language_id, license_scan, mixing, quality, token_store, toxicity, url_filter
 from vigilake.session import table
 
 
@@ -26,6 +26,10 @@ def op6_forced_boundary_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(table(spark, sf_dir, "documents"))
 
 
+def op7_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_store.round_trip(table(spark, sf_dir, "documents"))
+
+
 def op8_toxic_grammar(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -43,6 +47,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_host_trust": op2_host_trust,
     "op5_weak_quality": op5_weak_quality,
     "op6_forced_boundary_bpe": op6_forced_boundary_bpe,
+    "op7_token_store": op7_token_store,
     "op8_toxic_grammar": op8_toxic_grammar,
     "op9_source_mixing": op9_source_mixing,
     "op10_license_index": op10_license_index,
