@@ -162,13 +162,14 @@ def learn_insults(rows: DataFrame, max_lexicon: int = MAX_LEXICON) -> frozenset[
 
     def neighbours(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            out = []
-            for text in batch["text"]:
-                w = ["", *LETTERS.findall(text.lower()), ""]
-                for i in range(1, len(w) - 1):
-                    forms = (w[i], *(w[i][:n] + "*" for n in STEMS if n < len(w[i])))
-                    out += [(f, w[i - 1], w[i + 1]) for f in forms if f in top]
-            yield pd.DataFrame(out, columns=["w", "before", "after"])
+            for at in range(0, len(batch), 100):  # texts that are much alike share most of their places
+                out = set()
+                for text in batch["text"].iloc[at : at + 100]:
+                    w = ["", *LETTERS.findall(text.lower()), ""]
+                    for i in range(1, len(w) - 1):
+                        forms = (w[i], *(w[i][:n] + "*" for n in STEMS if n < len(w[i])))
+                        out.update((f, w[i - 1], w[i + 1]) for f in forms if f in top)
+                yield pd.DataFrame(sorted(out), columns=["w", "before", "after"])
 
     seen = rows.where("toxic = 1").select("text").mapInPandas(neighbours, "w string, before string, after string").distinct()
     places = {r["w"]: r["n"] for r in seen.groupBy("w").agg(F.count("*").alias("n")).collect()}  # a row per candidate
