@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vigilake.llm import bpe, embedding_dup, language_id, license_scan, mixing, quality, token_store, toxicity, url_filter
+from vigilake.llm import bpe, embedding_dup, language_id, license_scan, mixing, near_dup, quality, token_store, toxicity, url_filter
 from vigilake.session import table
 
 
@@ -18,6 +18,10 @@ def op2_host_trust(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(table(spark, sf_dir, "pages"))
 
 
+def op3_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.dedup(table(spark, sf_dir, "documents"))
+
+
 def op4_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dup.dedup(table(spark, sf_dir, "embeddings"))
 
@@ -49,6 +53,7 @@ def op10_license_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_centroids": op1_language_centroids,
     "op2_host_trust": op2_host_trust,
+    "op3_order_minhash": op3_order_minhash,
     "op4_multi_index": op4_multi_index,
     "op5_weak_quality": op5_weak_quality,
     "op6_forced_boundary_bpe": op6_forced_boundary_bpe,
