@@ -59,7 +59,9 @@ class ForcedBoundaryCodec:
         chars = byte_characters()
         added = {t["id"]: t["content"].encode() for t in parsed["added_tokens"]}
         pieces = {i: bytes(chars[c] for c in token) for token, i in parsed["model"]["vocab"].items() if i not in added} | added
-        self.pieces = [pieces.get(i, b"") for i in range(max(pieces) + 1)]
+        listed = [pieces.get(i, b"") for i in range(max(pieces) + 1)]
+        self.bytes, self.lengths = np.frombuffer(b"".join(listed), np.uint8), np.array([len(p) for p in listed])
+        self.offsets = np.cumsum(self.lengths) - self.lengths
         self.forced = self._forced(pieces.values())
         self.cache, self.older, self.most = {}, {}, cache
 
@@ -76,90 +78,121 @@ class ForcedBoundaryCodec:
         cut[[*range(0x09, 0x0E), *range(0x1C, 0x21), *range(0x80, 0x8B), 0x9F, 0xA0, 0xA8, 0xA9, 0xAF], :] = False
         return cut.reshape(-1)
 
-    def fragments(self, raw: bytes) -> list[bytes]:
-        b = np.frombuffer(raw, np.uint8).astype(np.uint16)
-        ends = (np.flatnonzero(self.forced[(b[:-1] << 8) | b[1:]]) + 1).tolist() if len(b) > 1 else []
-        out, start = [], 0
-        for end in ends:
-            out.append(raw[start:end])
-            start = end
-        out.append(raw[start:])
-        return out
-
-    def windows(self, text: str | None) -> Iterator[bytes]:
-        """The text's bytes in pieces of about WINDOW that end at certain cuts."""
-        raw = (text or "").encode("utf-8", "replace")
-        start = 0
+    def _ends(self, b: np.ndarray, edges: np.ndarray) -> np.ndarray:
+        """Ends of the fragments of joined texts; `edges` are the texts' ends."""
+        mark = np.zeros(len(b), bool)
+        if len(b) > 1:
+            mark[1:] = self.forced[(b[:-1].astype(np.uint16) << 8) | b[1:]]
+        mark[edges[edges < len(b)]] = True
+        return np.append(np.flatnonzero(mark[1:]) + 1, len(b))
+
+    def _windows(self, raw: bytes) -> Iterator[bytes]:
+        """A long text's bytes in pieces of about WINDOW that end at certain cuts."""
+        start, none = 0, np.empty(0, np.int64)
         while len(raw) - start > WINDOW:
             size = WINDOW
-            while True:
-                b = np.frombuffer(raw[start : start + size], np.uint8).astype(np.uint16)
-                ends = np.flatnonzero(self.forced[(b[:-1] << 8) | b[1:]])
-                if len(ends) or start + size >= len(raw):
-                    break
+            ends = self._ends(np.frombuffer(raw[start : start + size], np.uint8), none)[:-1]
+            while not len(ends) and start + size < len(raw):
                 size *= 2
-            end = start + int(ends[-1]) + 1 if len(ends) else len(raw)
+                ends = self._ends(np.frombuffer(raw[start : start + size], np.uint8), none)[:-1]
+            end = start + int(ends[-1]) if len(ends) else len(raw)
             yield raw[start:end]
             start = end
         if start < len(raw):
             yield raw[start:]
 
-    def _learn(self, unknown: set[bytes]) -> None:
-        keys = sorted(unknown)
-        for key, got in zip(keys, self.tokenizer.encode_batch_fast([k.decode("utf-8") for k in keys], add_special_tokens=False), strict=True):
-            self.cache[key] = np.array(got.ids, "<u4").tobytes()
-
-    def _join(self, cut: list[bytes]) -> bytes:
-        return b"".join(map(self.cache.__getitem__, cut))
-
-    def encode(self, texts: list[str | None]) -> Iterator[list[bytes]]:
-        """For each text its ids as pieces of little-endian unsigned 32-bit
-        integers. Fragments are looked up for about WINDOW bytes at a time."""
-        held: list[list[list[bytes]]] = []
-        size = 0
-        for text in texts:
-            if size > WINDOW:
-                yield from self._flush(held)
-                held, size = [], 0
-            if text and len(text) > WINDOW:
-                yield from self._flush(held)
-                held, size = [], 0
-                pieces = []
-                for window in self.windows(text):
-                    cut = self.fragments(window)
-                    self._know([cut])
-                    pieces.append(self._join(cut))
-                yield pieces
-            else:
-                raw = (text or "").encode("utf-8", "replace")
-                held.append([self.fragments(raw)] if raw else [])
-                size += len(raw)
-        yield from self._flush(held)
-
-    def _know(self, cuts: list[list[bytes]]) -> None:
-        """Makes the cache hold every fragment of `cuts`. A full cache becomes the
+    def _know(self, keys: list[bytes]) -> None:
+        """Makes the cache hold every fragment of `keys`. A full cache becomes the
         older generation, from which fragments still in use come back."""
-        wanted = set().union(*cuts)
         if len(self.cache) > self.most:
             self.older, self.cache = self.cache, {}
-        unknown = wanted.difference(self.cache)
+        unknown = set(keys).difference(self.cache)
         back = unknown.intersection(self.older)
         for key in back:
             self.cache[key] = self.older[key]
-        self._learn(unknown - back)
+        learn = sorted(unknown - back)
+        for key, got in zip(learn, self.tokenizer.encode_batch_fast([k.decode("utf-8") for k in learn], add_special_tokens=False), strict=True):
+            self.cache[key] = np.array(got.ids, "<u4").tobytes()
+
+    def _ids(self, raw: bytes, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of joined texts, and where each text's ids end.
+
+        Equal fragments are found by a hash of their bytes (differences of one
+        running sum) and compared byte by byte, so the library and the cache see
+        each distinct fragment of the window once.
+        """
+        b = np.frombuffer(raw, np.uint8)
+        ends = self._ends(b, edges)
+        starts = np.append(0, ends[:-1])
+        with np.errstate(over="ignore"):
+            power, inverse = _powers(len(b) + 1)
+            sums = np.zeros(len(b) + 1, np.uint64)
+            np.cumsum(_SALT[b] * power[:-1], out=sums[1:])
+            hashes = (sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(np.uint64)
+        codes, distinct = pd.factorize(hashes.view(np.int64))
+        first = np.empty(len(distinct), np.int64)
+        first[codes[::-1]] = np.arange(len(codes))[::-1]
+        model = _spread(starts[first][codes], ends - starts)
+        if not ((ends - starts) == (ends - starts)[first][codes]).all() or not (b[model] == b).all():  # two fragments of one hash
+            codes, first = np.arange(len(codes)), np.arange(len(codes))
+        keys = [raw[s:e] for s, e in zip(starts[first].tolist(), ends[first].tolist(), strict=True)]
+        self._know(keys)
+        values = [self.cache[k] for k in keys]
+        sizes = np.fromiter(map(len, values), np.int64, len(values)) // 4
+        counts = sizes[codes]
+        ids = np.frombuffer(b"".join(values), "<u4")[_spread((np.cumsum(sizes) - sizes)[codes], counts)]
+        upto = np.append(0, np.cumsum(counts))
+        return ids, upto[np.searchsorted(ends, edges, "right")]
+
+    def encode(self, texts: list[str | None]) -> Iterator[list[np.ndarray]]:
+        """For each text its ids, as a list of arrays (more than one for long texts)."""
+        held: list[bytes] = []
+        for text in texts:
+            raw = (text or "").encode("utf-8", "replace")
+            if held and sum(map(len, held)) + len(raw) > WINDOW:
+                yield from self._flush(held)
+                held = []
+            if len(raw) > WINDOW:
+                yield [self._ids(w, np.array([len(w)]))[0] for w in self._windows(raw)]
+            else:
+                held.append(raw)
+        yield from self._flush(held)
 
-    def _flush(self, held: list[list[list[bytes]]]) -> Iterator[list[bytes]]:
-        if held:
-            self._know([cut for text in held for cut in text])
-            for text in held:
-                yield [self._join(cut) for cut in text]
+    def _flush(self, held: list[bytes]) -> Iterator[list[np.ndarray]]:
+        edges = np.cumsum([len(h) for h in held], dtype=np.int64)
+        if not len(edges) or not edges[-1]:
+            yield from ([] for _ in held)
+            return
+        ids, upto = self._ids(b"".join(held), edges)
+        start = 0
+        for end in upto.tolist():
+            yield [ids[start:end]] if end > start else []
+            start = end
 
-    def decode(self, ids: bytes) -> bytes:
+    def decode(self, ids: np.ndarray) -> bytes:
         """UTF-8 of the decoded ids; bytes that are no UTF-8 become U+FFFD."""
-        raw = b"".join(map(self.pieces.__getitem__, np.frombuffer(ids, "<u4").tolist()))
+        raw = self.bytes[_spread(self.offsets[ids], self.lengths[ids])].tobytes()
         return raw.decode("utf-8", "replace").encode("utf-8")
 
 
+_SALT = np.random.default_rng(11).integers(1, 2**63, 256, np.uint64)
+_POWERS: list[np.ndarray] = []
+
+
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of an odd number and of its inverse modulo 2**64."""
+    if not _POWERS or len(_POWERS[0]) < n:
+        base = 0x9E3779B97F4A7C15
+        _POWERS[:] = [np.cumprod(np.append(np.uint64(1), np.full(max(n, WINDOW + 1) - 1, x, np.uint64))) for x in (base, pow(base, -1, 2**64))]
+    return _POWERS[0][:n], _POWERS[1][:n]
+
+
+def _spread(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """starts[0], starts[0] + 1, ... counts[0] of them, then the same for the next."""
+    before = np.cumsum(counts) - counts
+    return np.arange(int(counts.sum())) + np.repeat(starts - before, counts)
+
+
 _CODECS: dict[str, ForcedBoundaryCodec] = {}
 
 
@@ -178,6 +211,13 @@ def shared_spec(docs: DataFrame, path: str):
         return docs.sparkSession.sparkContext.broadcast(f.read())
 
 
+def id_width(spec: str, *more: int) -> int:
+    """Bytes that hold every id of a tokenizer file, 2 or 4."""
+    parsed = json.loads(spec)
+    ids = [*parsed["model"]["vocab"].values(), *(t["id"] for t in parsed["added_tokens"]), *more]
+    return 2 if max(ids) < 1 << 16 else 4
+
+
 def encode(docs: DataFrame, path: str | None = None, with_ids: bool = False) -> DataFrame:
     """Per document: doc_id, n_tokens, ids_sha256, decoded_sha256 (and ids).
 
@@ -194,13 +234,13 @@ def encode(docs: DataFrame, path: str | None = None, with_ids: bool = False) ->
             for pieces in c.encode(batch["text"].tolist()):
                 of_ids, of_text = hashlib.sha256(), hashlib.sha256()
                 for piece in pieces:
-                    of_ids.update(piece)
+                    of_ids.update(piece.tobytes())
                     of_text.update(c.decode(piece))
-                counts.append(sum(map(len, pieces)) // 4)
+                counts.append(sum(map(len, pieces)))
                 hashes.append(of_ids.hexdigest())
                 decoded.append(of_text.hexdigest())
                 if with_ids:
-                    ids.append(np.frombuffer(b"".join(pieces), "<i4"))
+                    ids.append(np.concatenate([np.empty(0, "<u4"), *pieces]).astype(np.int32))
             out = pd.DataFrame({"doc_id": batch["doc_id"], "n_tokens": counts, "ids_sha256": hashes, "decoded_sha256": decoded})
             yield out.assign(ids=ids) if with_ids else out
 
@@ -216,7 +256,7 @@ def decode(tokens: DataFrame, path: str | None = None) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         c = codec(spec.value)
         for batch in batches:
-            texts = [None if ids is None else c.decode(np.asarray(ids, "<u4").tobytes()).decode("utf-8") for ids in batch["ids"]]
+            texts = [None if ids is None else c.decode(np.asarray(ids, np.int64)).decode("utf-8") for ids in batch["ids"]]
             yield pd.DataFrame({"doc_id": batch["doc_id"], "text": texts})
 
     kind = tokens.schema["doc_id"].dataType.simpleString()

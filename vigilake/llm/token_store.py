@@ -2,12 +2,14 @@
 
 A store is a folder:
 
-    data/shard-NNNNN.bin   ids as little-endian unsigned 32-bit integers, documents
-                           one after another in ascending id order
+    data/shard-NNNNN.bin   ids as little-endian unsigned integers, documents one after
+                           another in ascending id order; 16 bits an id where the
+                           vocabulary has at most 65,536 ids, else 32
     index/part-NNNNN.npz   for the keys of one hash part: the levels of a minimal
                            perfect hash, and for its slots the fingerprint, shard,
                            offset and number of ids of each document
-    manifest/              Parquet, a row per shard: shard, n_docs, n_ids, start
+    manifest/              Parquet, a row per shard: shard, n_docs, n_ids, start,
+                           width (bytes an id)
 
 A document key is looked up in constant time: hash -> part -> slot -> fingerprint
 check -> (shard, offset, length). Files are written under a task's own name and
@@ -116,7 +118,8 @@ def write_store(docs: DataFrame, root: str, path: str | None = None, end_id: int
     (ordered by a hash of the text) and are all found under that id.
     """
     spec = bpe.shared_spec(docs, path or bpe.default_path())
-    tail = np.array([end_id], "<u4").tobytes()
+    width = bpe.id_width(spec.value, end_id)
+    tail = np.array([end_id], f"<u{width}")
 
     def shards(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         first = next(batches, None)
@@ -127,7 +130,10 @@ def write_store(docs: DataFrame, root: str, path: str | None = None, end_id: int
             for batch in chain([first], batches):
                 lengths = []
                 for pieces in c.encode(batch["text"].tolist()):
-                    lengths.append(sum(f.write(p) for p in (*pieces, tail)) // 4)
+                    ids = [*pieces, tail]
+                    lengths.append(sum(map(len, ids)))
+                    for part in ids:
+                        f.write(part.astype(tail.dtype).tobytes())
                 ends = offset + np.cumsum(lengths, dtype=np.int64)
                 yield pd.DataFrame({"key": batch["key"], "fingerprint": batch["fingerprint"], "shard": np.int32(shard), "offset": ends - lengths, "length": np.array(lengths, np.int64)})
                 offset = int(ends[-1]) if len(ends) else offset
@@ -138,7 +144,7 @@ def write_store(docs: DataFrame, root: str, path: str | None = None, end_id: int
     entries = cut(ordered.mapInPandas(shards, "key long, fingerprint long, shard int, offset long, length long"), "entries")
     totals = entries.groupBy("shard").agg(F.count("*").alias("n_docs"), F.sum("length").alias("n_ids"))
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)  # a row per shard
-    totals.withColumn("start", F.coalesce(F.sum("n_ids").over(before), F.lit(0))).write.parquet(f"{root}/manifest")
+    totals.withColumn("start", F.coalesce(F.sum("n_ids").over(before), F.lit(0))).withColumn("width", F.lit(width)).write.parquet(f"{root}/manifest")
     manifest = docs.sparkSession.read.parquet(f"{root}/manifest")
     n_docs = manifest.agg(F.sum("n_docs")).first()[0] or 0
     parts = max(1, -(-n_docs // KEYS_PER_PART))
@@ -202,7 +208,9 @@ def lookup(ids: DataFrame, root: str) -> DataFrame:
 
 def read_ids(found: DataFrame, root: str, digest: bool = False) -> DataFrame:
     """(doc_id, shard, offset, length) -> with the ids read from the shards, or with
-    their crc32 only. Rows meet by shard, so that a shard is read forwards."""
+    their crc32 only (as unsigned 32-bit integers). Rows meet by shard, so that a
+    shard is read forwards."""
+    width = (found.sparkSession.read.parquet(f"{root}/manifest").select("width").first() or [4])[0]
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         store, base = file_system(f"{root}/data")
@@ -214,8 +222,8 @@ def read_ids(found: DataFrame, root: str, digest: bool = False) -> DataFrame:
                     if f is not None:
                         f.close()
                     name, f = shard, store.open_input_file(f"{base}/shard-{shard:05d}.bin")
-                raw = f.read_at(4 * int(length), 4 * int(offset))
-                out.append(zlib.crc32(raw) if digest else np.frombuffer(raw, "<i4"))
+                ids = np.frombuffer(f.read_at(width * int(length), width * int(offset)), f"<u{width}").astype("<u4")
+                out.append(zlib.crc32(ids.tobytes()) if digest else ids.astype(np.int32))
             batch["ids_crc32" if digest else "ids"] = out
             yield batch
         if f is not None:
