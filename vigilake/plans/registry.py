@@ -2,34 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from vigilake.plans import read_models  # noqa: F401  (modules add their queries when imported)
+from vigilake.plans.base import ORACLES, QUERIES
 
-from pyspark.sql import DataFrame, SparkSession
+FLAGSHIP = "dash_top_machines"
 
-from vigilake.session import table
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-FLAGSHIP = "set_status_histogram"
-
-
-def query(name: str, sql: str | None = None):
-    """Register a query, and its SQL where SQL can express it."""
-
-    def add(f):
-        QUERIES[name] = f
-        if sql:
-            ORACLES[name] = sql
-        return f
-
-    return add
-
-
-@query(
-    "set_status_histogram",
-    "SELECT o_orderstatus AS status, count(*) AS n FROM orders GROUP BY o_orderstatus",
-)
-def status_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows by status (AGG-07)."""
-    orders = table(spark, sf_dir, "orders")
-    return orders.groupBy(orders.o_orderstatus.alias("status")).count().withColumnRenamed("count", "n")
+__all__ = ["FLAGSHIP", "ORACLES", "QUERIES"]
