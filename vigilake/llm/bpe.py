@@ -16,6 +16,7 @@ from __future__ import annotations
 import hashlib
 import json
 import os
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Fragments that one worker remembers, and bytes of text that it cuts at a time.
-CACHE = 400_000
+CACHE = 200_000
 WINDOW = 1 << 20
 
 
@@ -62,6 +63,7 @@ class ForcedBoundaryCodec:
         listed = [pieces.get(i, b"") for i in range(max(pieces) + 1)]
         self.bytes, self.lengths = np.frombuffer(b"".join(listed), np.uint8), np.array([len(p) for p in listed])
         self.offsets = np.cumsum(self.lengths) - self.lengths
+        self.merges, self.shown = self.tokenizer.model.tokenize, {b: c for c, b in chars.items()}
         self.forced = self._forced(pieces.values())
         self.cache, self.older, self.most = {}, {}, cache
 
@@ -110,9 +112,15 @@ class ForcedBoundaryCodec:
         back = unknown.intersection(self.older)
         for key in back:
             self.cache[key] = self.older[key]
-        learn = sorted(unknown - back)
-        for key, got in zip(learn, self.tokenizer.encode_batch_fast([k.decode("utf-8") for k in learn], add_special_tokens=False), strict=True):
-            self.cache[key] = np.array(got.ids, "<u4").tobytes()
+        rest = []
+        for key in unknown - back:
+            word = key.decode("utf-8")
+            if word.isalpha() or (word[0] == " " and word[1:].isalpha()):  # one pre-token: straight to the merges
+                self.cache[key] = array("I", [t.id for t in self.merges(key.decode("latin-1").translate(self.shown))]).tobytes()
+            else:
+                rest.append((key, word))
+        for (key, _), got in zip(rest, self.tokenizer.encode_batch_fast([w for _, w in rest], add_special_tokens=False), strict=True):
+            self.cache[key] = array("I", got.ids).tobytes()
 
     def _ids(self, raw: bytes, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of joined texts, and where each text's ids end.
@@ -218,6 +226,13 @@ def id_width(spec: str, *more: int) -> int:
     return 2 if max(ids) < 1 << 16 else 4
 
 
+def pieces_of(batches: Iterator[pd.DataFrame], rows: int = 256) -> Iterator[pd.DataFrame]:
+    """Batches in pieces of a few rows, so that what is made of them stays small."""
+    for batch in batches:
+        for at in range(0, len(batch), rows):
+            yield batch.iloc[at : at + rows]
+
+
 def encode(docs: DataFrame, path: str | None = None, with_ids: bool = False) -> DataFrame:
     """Per document: doc_id, n_tokens, ids_sha256, decoded_sha256 (and ids).
 
@@ -229,7 +244,7 @@ def encode(docs: DataFrame, path: str | None = None, with_ids: bool = False) ->
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         c = codec(spec.value)
-        for batch in batches:
+        for batch in pieces_of(batches):
             counts, hashes, decoded, ids = [], [], [], []
             for pieces in c.encode(batch["text"].tolist()):
                 of_ids, of_text = hashlib.sha256(), hashlib.sha256()
@@ -241,7 +256,7 @@ def encode(docs: DataFrame, path: str | None = None, with_ids: bool = False) ->
                 decoded.append(of_text.hexdigest())
                 if with_ids:
                     ids.append(np.concatenate([np.empty(0, "<u4"), *pieces]).astype(np.int32))
-            out = pd.DataFrame({"doc_id": batch["doc_id"], "n_tokens": counts, "ids_sha256": hashes, "decoded_sha256": decoded})
+            out = pd.DataFrame({"doc_id": batch["doc_id"].to_numpy(), "n_tokens": counts, "ids_sha256": hashes, "decoded_sha256": decoded})
             yield out.assign(ids=ids) if with_ids else out
 
     kind = docs.schema["doc_id"].dataType.simpleString()
