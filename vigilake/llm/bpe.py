@@ -25,8 +25,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Fragments that one worker remembers, and bytes of text that it cuts at a time.
-CACHE = 200_000
-WINDOW = 1 << 20
+CACHE = 100_000
+WINDOW = 1 << 19
 
 
 def default_path() -> str:
