@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from vigilake.plans import exposure_rules, pipelines, read_models, statistics, url_dataset  # noqa: F401  (modules add their queries when imported)
+from vigilake.plans import correlation, exposure_rules, pipelines, read_models, statistics, url_dataset  # noqa: F401  (modules add their queries when imported)
 from vigilake.plans.base import ORACLES, QUERIES
 
 FLAGSHIP = "dash_top_machines"
