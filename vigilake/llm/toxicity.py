@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vigilake.llm.common import fold
+from vigilake.llm.common import fold, sized_broadcast
 from vigilake.session import cut
 
 MAX_FIT = 20_000
@@ -139,7 +139,7 @@ def labelled(docs: DataFrame, labels: DataFrame, max_fit: int) -> DataFrame:
     rows = max(marks.count(), 1)
     order = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / float(1 << 30)
     picked = marks.where(order < max_fit / rows)
-    joined = docs.where(F.col("text").isNotNull()).select("doc_id", "text").join(picked, "doc_id")
+    joined = docs.where(F.col("text").isNotNull()).select("doc_id", "text").join(sized_broadcast(picked, 2 * max_fit), "doc_id")
     return cut(joined.groupBy("text").agg(F.max("toxic").alias("toxic")), "labelled")
 
 
