@@ -47,13 +47,11 @@ def scratch_root(spark: SparkSession) -> str:
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path in the shared folder, removed when the driver's JVM ends."""
-    path = f"{scratch_root(spark)}/vigilake-{uuid.uuid4().hex}/{name}"
-    jvm = spark._jvm
-    hpath = jvm.org.apache.hadoop.fs.Path(path)
-    fs = hpath.getFileSystem(spark._jsc.hadoopConfiguration())
-    fs.mkdirs(hpath.getParent())
-    fs.deleteOnExit(hpath.getParent())
-    return path
+    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{scratch_root(spark)}/vigilake-{uuid.uuid4().hex}")
+    fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.mkdirs(folder)
+    fs.deleteOnExit(folder)
+    return f"{fs.makeQualified(folder).toString()}/{name}"
 
 
 def cut(df: DataFrame, name: str = "part") -> DataFrame:
