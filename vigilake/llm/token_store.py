@@ -44,7 +44,9 @@ def file_system(uri: str):
     """The file system and path of a URI, for tasks (local, HDFS, S3, GCS)."""
     from pyarrow import fs
 
-    return fs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("file:") else f"file://{uri}")
+    if "://" not in uri:  # a local path, or Hadoop's short form file:/path
+        uri = f"file://{uri.removeprefix('file:')}"
+    return fs.FileSystem.from_uri(uri)
 
 
 @contextmanager
