@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import os
+import pathlib
+import site
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -23,8 +27,26 @@ def build_session(app: str = "vigilake", cpus: int | str = "*", shuffle: int = 8
     )
 
 
+def ship(spark: SparkSession) -> None:
+    """Give this package to the Python workers, once a session, where they would not
+    find it by themselves (neither installed, nor on PYTHONPATH, nor in the working
+    folder)."""
+    root = pathlib.Path(__file__).resolve().parent.parent
+    found = [os.getcwd(), *os.environ.get("PYTHONPATH", "").split(os.pathsep), *site.getsitepackages()]
+    context = spark.sparkContext
+    if str(root) in {os.path.realpath(p) for p in found if p} or getattr(context, "_vigilake_shipped", False):
+        return
+    archive = os.path.join(tempfile.mkdtemp(prefix="vigilake-"), "vigilake.zip")
+    with zipfile.ZipFile(archive, "w") as z:
+        for file in sorted(root.glob("vigilake/**/*.py")):
+            z.write(file, file.relative_to(root))
+    context.addPyFile(archive)
+    context._vigilake_shipped = True
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the input tables; the path may be on any file system Spark reads."""
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
