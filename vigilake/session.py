@@ -80,6 +80,7 @@ def cut(df: DataFrame, name: str = "part") -> DataFrame:
     """Write `df` to the shared folder and read it back: the lineage ends here
     and a lost executor costs nothing that was already computed."""
     spark = df.sparkSession
+    ship(spark)
     path = scratch_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
