@@ -24,6 +24,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from vigilake.session import ship
+
 #: Fragments that one worker remembers, and bytes of text that it cuts at a time.
 CACHE = 100_000
 WINDOW = 1 << 19
@@ -215,6 +217,7 @@ def codec(spec: str) -> ForcedBoundaryCodec:
 
 def shared_spec(docs: DataFrame, path: str):
     """The tokenizer file, read once by the driver and broadcast (a few MB)."""
+    ship(docs.sparkSession)
     with open(path, encoding="utf-8") as f:
         return docs.sparkSession.sparkContext.broadcast(f.read())
 
