@@ -157,3 +157,35 @@ def scan(docs: DataFrame, templates: tuple[Template, ...] = TEMPLATES) -> DataFr
         text(base).alias("base_labels"), text(F.concat(base, more)).alias("labels"),
         F.when(F.size(spots) > 0, 1.0).otherwise(F.coalesce(F.array_max("f.scores"), F.lit(0.0))).alias("score"),
     )
+
+
+def sql(templates: tuple[Template, ...] = TEMPLATES) -> str:
+    """The same in SQL: postings and places as joined rows."""
+    rows = []
+    for t, template in enumerate(templates):
+        listed, keys = template.words, set()
+        for phrase in template.key_phrases:
+            parts = phrase.split()
+            at = next(k for k in range(len(listed)) if listed[k : k + len(parts)] == parts)
+            keys |= set(range(at, at + len(parts)))
+        rows += [f"({t}, '{template.label}', {k}, '{w}', {k in keys})" for k, w in enumerate(listed)]
+    base = ", ".join(f"('{label}', {k}, '{w}', {len(p.split())})" for p, label in BASE for k, w in enumerate(p.split()))
+    return rf"""
+WITH template(t, label, k, w, is_key) AS (VALUES {", ".join(rows)}),
+base(label, k, w, size) AS (VALUES {base}),
+docs AS (SELECT doc_id, row_number() OVER () AS r, list_filter(regexp_split_to_array(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS words FROM documents),
+vocabulary AS (SELECT DISTINCT w FROM template UNION SELECT w FROM base),
+places AS (SELECT r, u.w, u.i FROM (SELECT r, unnest(list_transform(words, lambda x, i: {{'w': x, 'i': i - 1}})) AS u FROM docs) WHERE u.w IN (SELECT w FROM vocabulary)),
+rarity AS (SELECT w, count(DISTINCT r) AS n FROM places GROUP BY w),
+ranked AS (SELECT t, w, row_number() OVER (PARTITION BY t ORDER BY n, w) AS n FROM (SELECT DISTINCT t, template.w, coalesce(rarity.n, 0) AS n FROM template LEFT JOIN rarity USING (w))),
+starts AS (SELECT DISTINCT p.r, m.t, p.i - m.k AS start FROM places p JOIN template m USING (w) JOIN ranked a ON a.t = m.t AND a.w = m.w AND a.n <= {ANCHORS}),
+scored AS (
+  SELECT s.r, s.t, m.label, s.start, count(*) FILTER (p.i IS NOT NULL) / CAST(count(*) AS DOUBLE) AS share, bool_and(NOT m.is_key OR p.i IS NOT NULL) AS key
+  FROM starts s JOIN template m USING (t) LEFT JOIN places p ON p.r = s.r AND p.i = s.start + m.k AND p.w = m.w GROUP BY ALL),
+found AS (SELECT r, label, max(share) AS share FROM scored WHERE key AND share >= {MATCH} GROUP BY r, label),
+spots AS (SELECT p.r, b.label, p.i - b.k AS start FROM places p JOIN base b USING (w) GROUP BY ALL HAVING count(*) = any_value(b.size)),
+more AS (SELECT r, string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(share) AS share FROM (SELECT r, label, share FROM found UNION ALL SELECT r, label, 1.0 FROM spots) GROUP BY r),
+own AS (SELECT r, count(*) AS n, min(start) AS first_word, max(start) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM spots GROUP BY r)
+SELECT d.doc_id, CAST(len(d.words) AS BIGINT) AS n_words, coalesce(o.n, 0) AS n_base, o.first_word, o.last_word, coalesce(o.labels, '') AS base_labels, coalesce(m.labels, '') AS labels, CAST(coalesce(m.share, 0) AS DOUBLE) AS score
+FROM docs d LEFT JOIN own o USING (r) LEFT JOIN more m USING (r)
+"""

@@ -65,5 +65,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLES: dict[str, str] = {
     "op2_host_trust": url_filter.sql(),
     "op4_multi_index": embedding_dup.SQL,
+    "op10_license_index": license_scan.sql(),
     "op9_source_mixing": mixing.SQL,
 }
