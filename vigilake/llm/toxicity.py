@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import math
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -162,16 +163,18 @@ def learn_insults(rows: DataFrame, max_lexicon: int = MAX_LEXICON) -> frozenset[
 
     def neighbours(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for at in range(0, len(batch), 100):  # texts that are much alike share most of their places
+            for at in range(0, len(batch), 20):  # texts that are much alike share most of their places
                 out = set()
-                for text in batch["text"].iloc[at : at + 100]:
+                for text in batch["text"].iloc[at : at + 20]:
                     w = ["", *LETTERS.findall(text.lower()), ""]
                     for i in range(1, len(w) - 1):
-                        forms = (w[i], *(w[i][:n] + "*" for n in STEMS if n < len(w[i])))
-                        out.update((f, w[i - 1], w[i + 1]) for f in forms if f in top)
-                yield pd.DataFrame(sorted(out), columns=["w", "before", "after"])
+                        forms = [f for f in (w[i], *(w[i][:n] + "*" for n in STEMS if n < len(w[i]))) if f in top]
+                        if forms:
+                            place = zlib.crc32(w[i - 1].encode()) << 31 ^ zlib.crc32(w[i + 1].encode())
+                            out.update((f, place) for f in forms)
+                yield pd.DataFrame(sorted(out), columns=["w", "place"])
 
-    seen = rows.where("toxic = 1").select("text").mapInPandas(neighbours, "w string, before string, after string").distinct()
+    seen = rows.where("toxic = 1").select("text").mapInPandas(neighbours, "w string, place long").distinct()
     places = {r["w"]: r["n"] for r in seen.groupBy("w").agg(F.count("*").alias("n")).collect()}  # a row per candidate
     return INSULTS | {w for w, n in places.items() if evidence(n, top[w], all_toxic, all_clean) >= EVIDENCE}
 
