@@ -131,9 +131,9 @@ def host_concentration(spark: SparkSession, sf_dir: str) -> DataFrame:
     """URLs per host and the share of the ten largest (AGG-18). The ten come from a
     top-k, not from a ranking of every host in one task."""
     h = canonical_pages(spark, sf_dir).groupBy("host").agg(F.count("*").alias("n"))
-    top = h.orderBy(F.desc("n"), "host").limit(10).agg(F.sum("n").alias("top"))
+    top = h.orderBy(F.desc("n"), "host").limit(10).agg(F.sum("n")).first()[0] or 0
     sums = h.agg(F.count("*").alias("n_hosts"), F.round(F.avg("n"), 6).alias("mean_urls"), F.percentile("n", 0.5).alias("median_urls"), F.round(F.percentile("n", 0.95), 6).alias("p95_urls"), F.max("n").alias("max_urls"), F.sum("n").alias("all"))
-    return sums.crossJoin(F.broadcast(top)).select("n_hosts", "mean_urls", "median_urls", "p95_urls", "max_urls", F.round(F.col("top") / F.col("all"), 6).alias("top10_share"))
+    return sums.select("n_hosts", "mean_urls", "median_urls", "p95_urls", "max_urls", F.round(F.lit(top) / F.col("all"), 6).alias("top10_share"))
 
 
 @query("dup_summary", f"""WITH {CANON} SELECT count(*) AS n_rows, count(DISTINCT canonical_url) AS n_urls, count(*) - count(DISTINCT canonical_url) AS n_duplicates, count(DISTINCT host) AS n_hosts, count(DISTINCT host || path) AS n_places FROM c""")
@@ -170,14 +170,15 @@ b AS (SELECT fold, lang, count(*) * 1.0 / sum(count(*)) OVER (PARTITION BY fold)
 d AS (SELECT x.fold, max(abs(coalesce(b.q, 0) - a.p)) AS worst, avg(abs(coalesce(b.q, 0) - a.p)) AS mean FROM (SELECT DISTINCT fold FROM f) x CROSS JOIN a LEFT JOIN b ON b.fold = x.fold AND b.lang = a.lang GROUP BY x.fold)
 SELECT fold, round(worst, 6) AS worst, round(mean, 6) AS mean FROM d""")
 def split_best_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Class deviation of each fold: worst and mean (DS-04). Counts are pivoted per
-    fold before anything is compared."""
-    f = split_folds(spark, sf_dir).where("lang IS NOT NULL").groupBy("fold", "lang").agg(F.count("*").alias("n"))
-    p = f.groupBy("lang").agg(F.sum("n").alias("n_lang")).withColumn("p", F.col("n_lang") / F.sum("n_lang").over(Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
-    every = f.select("fold").distinct().crossJoin(F.broadcast(p.select("lang", "p")))  # folds x classes
-    q = f.withColumn("q", F.col("n") / F.sum("n").over(Window.partitionBy("fold"))).select("fold", "lang", "q")
-    gap = F.abs(F.coalesce("q", F.lit(0.0)) - F.col("p"))
-    return every.join(q, ["fold", "lang"], "left").groupBy("fold").agg(F.round(F.max(gap), 6).alias("worst"), F.round(F.avg(gap), 6).alias("mean"))
+    """Class deviation of each fold: worst and mean (DS-04). One pass: the classes
+    are few and known from a count, so every fold compares all of them."""
+    f = split_folds(spark, sf_dir).where("lang IS NOT NULL")
+    sizes = {r["lang"]: r["count"] for r in f.groupBy("lang").count().collect()}  # a row per class
+    every = sum(sizes.values())
+    gap = lambda c, n: F.abs(F.count_if(F.col("lang") == c) / F.count("*") - F.lit(n / every))
+    gaps = f.groupBy("fold").agg(F.array(*[gap(c, n) for c, n in sorted(sizes.items())]).alias("g"))
+    mean = F.aggregate("g", F.lit(0.0), lambda a, x: a + x) / F.size("g")
+    return gaps.select("fold", F.round(F.array_max("g"), 6).alias("worst"), F.round(mean, 6).alias("mean"))
 
 
 @query("class_weights", """WITH c AS (SELECT lang, count(*) AS n FROM documents WHERE lang IS NOT NULL GROUP BY lang)
