@@ -77,14 +77,9 @@ def propagate(seeds: DataFrame, edges: DataFrame, damping: float = DAMPING, roun
     link to them. Both start from the seeds' shares and restart there. Returns
     (host, trust, distrust). One join and one pre-aggregated sum a round.
     """
-    shares = seeds.agg(F.sum("trust").alias("all_trust"), F.sum("distrust").alias("all_distrust"))
-    both = seeds.crossJoin(F.broadcast(shares))  # one row
-    restart = both.select(
-        F.col("host"), F.explode(F.array(
-            F.struct(F.lit(1).alias("kind"), F.coalesce(F.try_divide(F.col("trust").cast("double"), F.col("all_trust")), F.lit(0.0)).alias("seed")),
-            F.struct(F.lit(-1).alias("kind"), F.coalesce(F.try_divide(F.col("distrust").cast("double"), F.col("all_distrust")), F.lit(0.0)).alias("seed")),
-        )).alias("x"),
-    ).select("host", "x.kind", "x.seed").where("seed > 0")
+    sums = seeds.agg(F.sum("trust").alias("trust"), F.sum("distrust").alias("distrust")).first()
+    share = lambda kind, c: F.struct(F.lit(kind).alias("kind"), (F.col(c) / float(sums[c] or 1)).alias("seed"))
+    restart = seeds.select("host", F.explode(F.array(share(1, "trust"), share(-1, "distrust"))).alias("x")).select("host", "x.kind", "x.seed").where("seed > 0")
     restart = cut(restart, "restart")
     out = edges.groupBy("src").agg(F.sum("n").alias("all_n"))
     into = edges.groupBy("dst").agg(F.sum("n").alias("all_n"))
