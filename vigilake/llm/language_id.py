@@ -2,7 +2,8 @@
 
 Texts become TF-IDF vectors of hashed byte n-grams. Document frequencies cover
 every training document; k-means within each language sees at most `per_language`
-training documents (the documented bound of the fit).
+training documents (the documented bound of the fit). The model holds CENTROIDS
+vectors a language (128 KB); languages are a closed set of at most a few hundred.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from vigilake.llm.common import fold
+from vigilake.llm.common import fold, sized_broadcast
 
 BUCKETS = 4096
 PER_LANGUAGE = 500
@@ -65,7 +66,7 @@ def sample(train: DataFrame, per_language: int) -> DataFrame:
     each time: a hash threshold thins the large languages before ranking."""
     order = F.xxhash64("doc_id", "text")
     unit = F.pmod(order, F.lit(1 << 30)) / float(1 << 30)
-    sizes = F.broadcast(train.groupBy("lang").agg(F.count("*").alias("n_lang")))  # a row per language
+    sizes = sized_broadcast(train.groupBy("lang").agg(F.count("*").alias("n_lang")))  # a row per language
     thin = train.join(sizes, "lang").where(unit < 2.0 * per_language / F.col("n_lang"))
     ranked = thin.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(order, "doc_id")))
     return ranked.where(F.col("rank") <= per_language).select("lang", "doc_id", "text")
