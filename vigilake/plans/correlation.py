@@ -188,7 +188,7 @@ def whole_group_subset(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("sample_preparation", f"""WITH {CANON} SELECT sha256(canonical_url) AS sample_id, group_key, CASE WHEN ends_with(host, '.com') THEN 'phishing' WHEN ends_with(host, '.net') THEN 'malware' ELSE 'benign' END AS label,
-  CASE WHEN ends_with(host, '.com') OR ends_with(host, '.net') THEN 1.0 ELSE 0.9 END AS confidence, length(canonical_url) AS url_length FROM c""")
+  CAST(CASE WHEN ends_with(host, '.com') OR ends_with(host, '.net') THEN 1.0 ELSE 0.9 END AS DOUBLE) AS confidence, length(canonical_url) AS url_length FROM c""")
 def sample_preparation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Identity, group, label, confidence and a feature of each sample (DS-02)."""
     h, u = F.col("host"), F.col("canonical_url")
