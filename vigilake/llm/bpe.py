@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from vigilake.session import ship
 
 #: Fragments that one worker remembers, and bytes of text that it cuts at a time.
-CACHE = 150_000
+CACHE = 100_000
 WINDOW = 1 << 19
 
 
