@@ -131,6 +131,17 @@ def test_near_duplicates_equal_brute_force(spark):
     assert got == want
 
 
+def test_near_duplicates_around_one_passage(spark):
+    """Pairs that are similar only by a few words beside a long passage of all texts."""
+    rng, rows = random.Random(5), []
+    passage = [f"shared{i}" for i in range(170)]
+    for family in range(80):
+        rows += [passage + [f"f{family}x{i}" for i in range(9)] + [f"u{rng.randrange(10**9)}" for _ in range(21)] for _ in range(2)]
+    data = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(rows)], "doc_id long, text string")
+    got = {r["doc_id"]: r["class_id"] for r in near_dup.dedup(data).collect()}
+    assert got == {i: i - i % 2 for i in range(len(rows))}
+
+
 def test_common_subsequence_equals_table():
     rng = random.Random(4)
     for _ in range(200):

@@ -10,10 +10,11 @@ similarity of the shingles that also agree in order), by alignment within the ba
 that this similarity allows.
 
 Equal texts are one class before anything is compared. Within a bucket no pairs
-are listed: each text is compared with the bucket's most central one. Buckets that
-then still hold several components are split by a second common sketch, and texts
-are compared with leaders of other components there, round by round. So a bucket
-of g texts costs about g comparisons a round.
+are listed: each text is compared with the bucket's most central one. The texts of
+buckets that then still hold several components are compared with each other by a
+prefix filter, which is exact: a similarity of 0.8 needs so many shingles in common
+that two texts share one among the rarest of each, early enough in both. So every
+pair that meets in a bucket is in one class, aligned, or proven less similar.
 """
 
 from __future__ import annotations
@@ -35,11 +36,8 @@ SHINGLE = 5
 SIMILARITY = 0.8
 SKETCHES = 20
 SAMPLED = 3
-ROUNDS = 3
 #: Ids that may be broadcast (a few MB).
 FEW_IDS = 200_000
-#: Different orders by which the leaders of split buckets are taken in a round.
-LEADERS = 2
 
 _WORD = re.compile(WORD)
 _PRIME = 0x9E3779B97F4A7C15
@@ -219,21 +217,46 @@ def central_pairs(shared: DataFrame) -> DataFrame:
     return members.join(leaders, "key").where("rep <> leader").select(*pair("rep", "leader")).distinct()
 
 
-def split_pairs(shared: DataFrame, found: DataFrame, seed: int) -> DataFrame:
-    """Pairs for buckets that still hold several components, split by a second
-    sketch in common: similar texts share many such pairs of sketches, texts that
-    only met by chance hardly any. Each text meets leaders of other components."""
+def unsettled(shared: DataFrame, found: DataFrame) -> DataFrame:
+    """(rep, c): the texts of buckets that hold several components, with their own."""
     owned = shared.select("key", "rep").join(found.withColumnRenamed("id", "rep"), "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("c"))
+    owned = cut(owned, "owned")
     several = cut(owned.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("key"), "several")
-    other = shared.select("rep", F.col("key").alias("other"))
-    fine = cut(owned.join(several, "key").join(other, "rep").where("other > key").select(F.xxhash64("key", "other").alias("key"), "rep", "c"), "fine")
-    first = F.max(F.struct(F.xxhash64("rep", F.pmod("key", F.lit(LEADERS)), F.lit(seed)), "rep", "c")).alias("top")
-    heads = fine.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), first).where("lo < hi")
-    heads = cut(heads.select("key", F.col("top.rep").alias("leader"), F.col("top.c").alias("c_leader")), "heads")
-    return fine.join(heads, "key").where("c <> c_leader").select(*pair("rep", "leader")).distinct()
+    return cut(owned.join(several, "key").select("rep", "c").distinct(), "unsettled")
 
 
-def classes(docs: DataFrame, least: float = SIMILARITY, rounds: int = ROUNDS) -> Classes:
+def prefix_pairs(reps: DataFrame, texts: DataFrame, least: float) -> DataFrame:
+    """(rep, c) -> every pair of texts of different components whose sets of shingles
+    can be `least` similar (the ordered similarity is at most that of the sets).
+
+    Each text's shingles are put in one order for all, the rarest first. At the
+    first one that two texts share, no more are in common than follow in either, so
+    a pair is listed only where enough follow in both."""
+    def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        with np.errstate(over="ignore"):
+            for batch in batches:
+                found = [np.unique(shingles(text)).view(np.int64) for text in batch["text"]]
+                yield pd.DataFrame({"rep": batch["doc_id"], "size": [len(s) for s in found], "s": found})
+
+    own = texts.join(sized_broadcast(reps.select(F.col("rep").alias("doc_id")), FEW_IDS), "doc_id", "left_semi")
+    sized = cut(own.mapInPandas(sets, "rep long, size int, s array<long>"), "sets")
+    each = sized.select("rep", "size", F.explode("s").alias("shingle"))
+    # A shingle of one text only comes before all others and pairs with nothing.
+    often = cut(each.groupBy("shingle").agg(F.count("*").alias("n")).where("n > 1"), "often")
+    ranked = each.join(often, "shingle").groupBy("rep", "size").agg(F.sort_array(F.collect_list(F.struct("n", "shingle"))).alias("s"))
+    placed = ranked.select("rep", "size", F.size("s").alias("known"), F.posexplode("s").alias("at", "x"))
+    placed = placed.select("rep", "size", F.col("x.shingle").alias("shingle"), (F.col("known") - F.col("at")).alias("rest"))
+    prefix = cut(placed.where(F.col("rest") >= F.ceil(F.lit(least) * F.col("size") - 1e-6)).join(reps, "rep"), "prefix")
+    several = cut(prefix.groupBy("shingle").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("shingle"), "several")
+    prefix = cut(prefix.join(several, "shingle"), "prefix")
+    a = prefix.select("shingle", *[F.col(x).alias(f"{x}_a") for x in ("rep", "c", "size", "rest")])
+    b = prefix.select("shingle", *[F.col(x).alias(f"{x}_b") for x in ("rep", "c", "size", "rest")])
+    needed = F.lit(least / (1 + least)) * (F.col("size_a") + F.col("size_b")) - 1e-6
+    meet = a.hint("merge").join(b, "shingle").where("rep_a < rep_b and c_a <> c_b").where(F.least("rest_a", "rest_b") >= needed)
+    return meet.select(*pair("rep_a", "rep_b")).distinct()
+
+
+def classes(docs: DataFrame, least: float = SIMILARITY) -> Classes:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     marked = cut(sketched(docs), "sketches")
     groups = cut(marked.groupBy("print").agg(F.min("doc_id").alias("rep"), F.count_distinct("doc_id").alias("copies")), "groups")
@@ -242,20 +265,16 @@ def classes(docs: DataFrame, least: float = SIMILARITY, rounds: int = ROUNDS) ->
     tried = cut(central_pairs(shared), "pairs")
     links = cut(verified(tried, texts, least), "links")
     found = connected(links)
-    for n in range(1, rounds):
-        pairs = cut(split_pairs(shared, found, n).join(tried, ["a", "b"], "left_anti"), "pairs")
-        if pairs.isEmpty():
-            break
-        tried = tried.unionByName(pairs)
-        new = cut(verified(pairs, texts, least), "links")
-        if not new.isEmpty():
-            links = links.unionByName(new)
-            found = connected(links)
+    left = unsettled(shared, found)
+    pairs = cut(prefix_pairs(left, texts, least).join(tried, ["a", "b"], "left_anti"), "pairs")
+    new = cut(verified(pairs, texts, least), "links")
+    if not new.isEmpty():
+        found = connected(links.unionByName(new))
     classed = groups.join(found.withColumnRenamed("id", "rep"), "rep", "left")
     return Classes(marked.select("doc_id", "print"), cut(classed.select("print", F.coalesce("component", "rep").alias("class_id"), "copies"), "classes"))
 
 
-def dedup(docs: DataFrame, least: float = SIMILARITY, rounds: int = ROUNDS) -> DataFrame:
+def dedup(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     """Per document: doc_id, class_id, copies, kept.
 
     `class_id` is the smallest doc_id of the class and `kept` marks that document;
@@ -264,7 +283,7 @@ def dedup(docs: DataFrame, least: float = SIMILARITY, rounds: int = ROUNDS) -> D
     as a class of its own. Rows of the same id are one document (of the smallest
     class, should their texts differ). An empty table gives an empty result.
     """
-    found = classes(docs, least, rounds)
+    found = classes(docs, least)
     labelled = found.members.join(found.groups, "print").groupBy("doc_id").agg(F.min("class_id").alias("class_id"), F.max("copies").alias("copies"))
     all_ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"))
     joined = all_ids.join(cut(labelled, "labelled"), "doc_id", "left")
@@ -272,11 +291,11 @@ def dedup(docs: DataFrame, least: float = SIMILARITY, rounds: int = ROUNDS) -> D
     return joined.select("doc_id", class_id.alias("class_id"), F.coalesce("copies", F.lit(1)).alias("copies"), F.coalesce(F.col("doc_id") == class_id, F.lit(True)).alias("kept"))
 
 
-def deduplicated(docs: DataFrame, least: float = SIMILARITY, rounds: int = ROUNDS) -> DataFrame:
+def deduplicated(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     """`docs` without the documents of each class but one. Of rows repeated with
     the same id and text one stays; texts are only shuffled for that if an id does
     repeat."""
-    found = dedup(docs, least, rounds)
+    found = dedup(docs, least)
     gone = cut(found.where(~F.col("kept")).select(F.col("doc_id").alias("_near_dup_id")).distinct(), "gone")
     kept = docs.join(gone, docs["doc_id"].cast("long") == gone["_near_dup_id"], "left_anti")
     repeated = docs.where(F.col("doc_id").isNotNull()).groupBy("doc_id").count().where("count > 1")
