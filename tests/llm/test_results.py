@@ -142,6 +142,23 @@ def test_near_duplicates_around_one_passage(spark):
     assert got == {i: i - i % 2 for i in range(len(rows))}
 
 
+def test_near_duplicates_of_repeated_passages(spark):
+    """A passage repeated 1 to 10 times, with an edit: one class by brute force."""
+    rng, rows = random.Random(6), []
+    for _ in range(6):
+        base = [f"w{rng.randrange(10**6)}" for _ in range(124)]
+        for times in range(1, 11):
+            words = base * times
+            words[rng.randrange(20)] = f"e{rng.randrange(10**6)}"
+            rows.append(words)
+    data = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(rows)], "doc_id long, text string")
+    with np.errstate(over="ignore"):
+        shingled = {i: near_dup.shingles(" ".join(w)) for i, w in enumerate(rows)}
+        want = classes_of(shingled, links_of(shingled, near_dup.SIMILARITY))
+    got = {r["doc_id"]: r["class_id"] for r in near_dup.dedup(data).collect()}
+    assert len(set(want.values())) == 6 and got == want
+
+
 def test_common_subsequence_equals_table():
     rng = random.Random(4)
     for _ in range(200):

@@ -3,7 +3,9 @@
 A text is its sequence of five-word shingles. Each of SKETCHES sketches takes the
 SAMPLED minimum occurrence-labelled shingles under its own hash order and keeps
 them in text order, so two texts agree on it only if they share those shingles
-and their order. Texts that agree on a sketch are candidates. A link is a
+and their order. A text that repeats shingles has as many sketches again of each
+shingle at its first place only, so how often a passage is repeated does not part
+texts. Texts that agree on a sketch are candidates. A link is a
 similarity of 0.8 or more: with each shingle at its first place, the longest common
 subsequence of the two sequences over the shingles of both less that (the Jaccard
 similarity of the shingles that also agree in order), by alignment within the band
@@ -93,6 +95,13 @@ def sketch(s: np.ndarray, count: int = SKETCHES, sampled: int = SAMPLED) -> np.n
     return out.view(np.int64)
 
 
+def sketches(s: np.ndarray) -> np.ndarray:
+    """Sketches of all occurrences and, where some repeat, of the first places; both
+    under the same orders, so that a text without repeats has its own just once."""
+    firsts = first_places(s)
+    return sketch(s) if len(firsts) == len(s) else np.r_[sketch(s), sketch(firsts)]
+
+
 def common(a: np.ndarray, b: np.ndarray, band: int) -> int:
     """Longest common subsequence over matches at most `band` apart, by bit-parallel
     dynamic programming (a row of the table is one integer)."""
@@ -147,14 +156,14 @@ def sketched(docs: DataFrame) -> DataFrame:
 
         with np.errstate(over="ignore"):
             for batch in batches:
-                ids, prints, sketches = [], [], []
+                ids, prints, found = [], [], []
                 for i, text in zip(batch["doc_id"], batch["text"], strict=True):
                     s = shingles(text)
                     if len(s):
                         ids.append(i)
                         prints.append(xxhash.xxh3_128_hexdigest(" ".join(_WORD.findall(text)).encode("utf-8", "replace")))
-                        sketches.append(sketch(s))
-                yield pd.DataFrame({"doc_id": np.array(ids, np.int64), "print": prints, "sketch": sketches})
+                        found.append(sketches(s))
+                yield pd.DataFrame({"doc_id": np.array(ids, np.int64), "print": prints, "sketch": found})
 
     return docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).mapInPandas(run, "doc_id long, print string, sketch array<long>")
 
