@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from vigilake.session import cut
 
 
-def connected(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
+def connected(edges: DataFrame) -> DataFrame:
     """(a, b) -> (id, component): the smallest id that each linked id can reach.
 
     Labels move over edges and then jump to the label's own label, so a chain of
@@ -19,13 +19,13 @@ def connected(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     edges = edges.where("a <> b and a is not null and b is not null")
     both = cut(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
     labels = cut(both.groupBy(F.col("a").alias("id")).agg(F.least(F.col("id"), F.min("b")).alias("label")), "labels")
-    for _ in range(most_rounds):
+    while True:  # labels only fall, so this ends
         near = both.join(labels.withColumnRenamed("id", "b"), "b").groupBy(F.col("a").alias("id")).agg(F.min("label").alias("near"))
         moved = labels.join(near, "id", "left").select("id", "label", F.least("label", F.coalesce("near", "label")).alias("new"))
         jump = labels.select(F.col("id").alias("new"), F.col("label").alias("far"))
-        stepped = moved.join(jump, "new", "left").select("id", F.least("new", F.coalesce("far", "new")).alias("label"), (F.least("new", F.coalesce("far", "new")) < F.col("label")).alias("changed"))
+        least = F.least("new", F.coalesce("far", "new"))
+        stepped = moved.join(jump, "new", "left").select("id", least.alias("label"), (least < F.col("label")).alias("changed"))
         stepped = cut(stepped, "labels")
         labels = stepped.select("id", "label")
         if stepped.where("changed").isEmpty():
             return labels.select("id", F.col("label").alias("component"))
-    raise RuntimeError(f"labels still move after {most_rounds} rounds")
