@@ -1,6 +1,14 @@
 """License scans: a positional index of rare licence words.
 
-Columns and SQL functions only; the one pass over texts is narrow.
+The index has a row per posting (word, template, position). A file is looked up by
+the licence words it holds: a template's mandatory phrases must stand whole, so the
+rarest word of theirs opens the template. For each template opened, the file's own
+highest-IDF words of it are taken, their postings intersected by relative position
+(with a tolerance, so inserted or lost words do not hide a notice), and the places
+found are verified: every mandatory phrase, and enough words near their places.
+
+Columns and SQL functions only. The one shuffle is of ids; texts never move. The
+plan does not grow with the templates.
 """
 
 from __future__ import annotations
@@ -8,17 +16,22 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vigilake.llm.common import let
+from vigilake.llm.common import let, sized_broadcast
+from vigilake.llm.license_texts import BASE, NOTICES, SPDX
+from vigilake.session import cut
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Between words: ASCII other than digits and letters (texts are lower-cased first).
 GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-
-#: Base phrases and their labels.
-BASE = (("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl"))
+#: Highest-IDF words of a file that are intersected for a template, how many of them
+#: must agree, and the share of a template's words that must stand near their places.
+LOOKUPS, AGREE = 3, 2
+MATCH = 0.6
+#: Places may differ by a quarter of the template's length, within these bounds.
+TOLERANCE = (2, 12)
 
 
 @dataclass(frozen=True)
@@ -33,28 +46,21 @@ class Template:
     def words(self) -> list[str]:
         return [w for w in re.split(GAP, self.text.lower()) if w]
 
+    @property
+    def key_words(self) -> set[str]:
+        return {w for p in self.key_phrases for w in p.split()}
 
-#: Short notices by which licences are declared.
-TEMPLATES = (
-    Template("apache-2.0", "Licensed under the Apache License, Version 2.0", ("apache license", "2 0")),
-    Template("mit", "Released under the MIT License", ("mit license",)),
-    Template("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software", ("free of charge", "obtaining a copy")),
-    Template("gpl-3.0", "licensed under the GNU General Public License, version 3", ("general public license", "version 3")),
-    Template("gpl-2.0", "licensed under the GNU General Public License, version 2", ("general public license", "version 2")),
-    Template("lgpl", "licensed under the GNU Lesser General Public License", ("lesser general public license",)),
-    Template("agpl", "licensed under the GNU Affero General Public License", ("affero general public license",)),
-    Template("mpl-2.0", "subject to the terms of the Mozilla Public License, v. 2.0", ("mozilla public license",)),
-    Template("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted", ("redistribution and use", "source and binary forms")),
-    Template("isc", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee", ("with or without fee",)),
-    Template("cc-by", "Licensed under CC BY 4.0", ("cc by 4 0",)),
-    Template("cc-by-sa", "Licensed under CC BY-SA 4.0", ("cc by sa",)),
-    Template("cc-by-nc", "Licensed under CC BY-NC 4.0", ("cc by nc",)),
-    Template("unlicense", "This is free and unencumbered software released into the public domain", ("unencumbered software", "public domain")),
-)
-#: Rarest words of a template by which places are looked up, and the share of its
-#: words that must stand at their relative positions.
-ANCHORS = 3
-MATCH = 0.6
+    @property
+    def tolerance(self) -> int:
+        return min(max(len(self.words) // 4, TOLERANCE[0]), TOLERANCE[1])
+
+
+def identifier(name: str, label: str) -> Template:
+    text = f"SPDX-License-Identifier: {name}"
+    return Template(label, text, (" ".join(w for w in re.split(GAP, text.lower()) if w),))
+
+
+TEMPLATES = tuple(Template(*n) for n in NOTICES) + tuple(identifier(k, v) for k, v in SPDX.items())
 
 
 def words_of(text: Column) -> Column:
@@ -62,127 +68,187 @@ def words_of(text: Column) -> Column:
     return F.filter(F.split(lowered, GAP), lambda w: w != "")
 
 
-def _at(words: Column, start: Column, phrase: list[str]) -> Column:
-    """Whether the phrase's words stand from `start` on."""
-    hit = F.lit(True)
-    for k, w in enumerate(phrase):
-        hit = hit & (F.get(words, start + k) == w)
-    return F.coalesce(hit, F.lit(False))
+def listed(words: list[str]) -> Column:
+    """An array as one literal, however long."""
+    return F.split(F.lit(" ".join(words)), " ")
 
 
-def _places(words: Column, word: str) -> Column:
+def _places(words: Column, word: Column) -> Column:
     """Positions of a word."""
     return F.filter(F.transform(words, lambda w, i: F.when(w == word, i)), lambda i: i.isNotNull())
 
 
-def _shifted(places: Column, by: int) -> Column:
-    return F.transform(places, lambda i: i - by)
-
-
 def _phrase_places(words: Column, phrase: list[str]) -> Column:
     """Positions at which the phrase's words stand one after another."""
-    here = lambda w, i: F.when((w == phrase[0]) & _at(words, i, phrase), i)
+
+    def here(w: Column, i: Column) -> Column:
+        hit = w == phrase[0]
+        for k, p in enumerate(phrase[1:], 1):
+            hit = hit & F.coalesce(F.get(words, i + k) == p, F.lit(False))
+        return F.when(hit, i)
+
     return F.filter(F.transform(words, here), lambda i: i.isNotNull())
 
 
-def word_rarity(docs: DataFrame, templates: tuple[Template, ...] = TEMPLATES) -> dict[str, int]:
-    """Documents that hold each licence word, over all documents (a row per word
-    of the templates at most)."""
-    vocabulary = sorted({w for t in templates for w in t.words})
-    held = docs.select(F.explode(F.array_intersect(words_of(F.col("text")), F.array(*map(F.lit, vocabulary)))).alias("w"))
-    found = {r["w"]: r["n"] for r in held.groupBy("w").agg(F.count("*").alias("n")).collect()}
+def vocabulary_of(templates: tuple[Template, ...]) -> list[str]:
+    return sorted({w for t in templates for w in t.words})
+
+
+def row_key() -> Column:
+    """128 bits of a text; with the id, rows alike in it are scanned alike."""
+    return F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary"))
+
+
+def base_columns(docs: DataFrame, vocabulary: list[str]) -> DataFrame:
+    """(doc_id, key, n, places, held): the words, the places of each base phrase and
+    the licence words of every text."""
+    ends = sorted({p.split()[-1] for p, _ in BASE})
+
+    def read(words: Column) -> Column:
+        phrases = F.array(*[_phrase_places(words, p.split()) for p, _ in BASE])
+        nowhere = F.array(*[F.array().cast("array<int>")] * len(BASE))
+        places = F.when(F.arrays_overlap(words, listed(ends)), phrases).otherwise(nowhere)
+        return F.struct(F.size(words).alias("n"), places.alias("places"), F.array_intersect(words, listed(vocabulary)).alias("held"))
+
+    return docs.select("doc_id", row_key().alias("key"), let(words_of(F.col("text")), read).alias("f")).select("doc_id", "key", "f.*")
+
+
+def rarity_of(held: DataFrame, vocabulary: list[str]) -> dict[str, int]:
+    """Documents that hold each licence word, over all documents (a row per word of
+    the templates at most)."""
+    each = held.select(F.explode("held").alias("w")).groupBy("w").agg(F.count("*").alias("n"))
+    found = {r["w"]: r["n"] for r in each.collect()}
     return {w: found.get(w, 0) for w in vocabulary}
 
 
-def anchors_of(template: Template, rarity: dict[str, int]) -> list[str]:
-    """The template's words of highest IDF; ties by the word."""
-    return sorted(set(template.words), key=lambda w: (rarity[w], w))[:ANCHORS]
+def index(spark: SparkSession, templates: tuple[Template, ...], rarity: dict[str, int]) -> DataFrame:
+    """A row per template under the word that opens it: (opener, label, listed, rare,
+    phrases, tolerance), with its words in order and by IDF."""
+    by_idf = lambda words: sorted(words, key=lambda w: (rarity[w], w))
+    rows = [(by_idf(t.key_words)[0], t.label, t.words, by_idf(set(t.words)), list(t.key_phrases), t.tolerance) for t in templates]
+    kinds = "opener string, label string, listed array<string>, rare array<string>, phrases array<string>, tolerance int"
+    return spark.createDataFrame(rows, kinds)
 
 
-def _template_score(words: Column, held: Column, template: Template, rarity: dict[str, int]) -> Column:
-    """The best share of the template's words found at their relative positions,
-    over all places that its anchors propose; 0 below MATCH or without the key
-    phrases at theirs."""
-    listed, anchors = template.words, anchors_of(template, rarity)
-    postings = [(a, k) for a in anchors for k, w in enumerate(listed) if w == a]
-    starts = F.array_distinct(F.concat(*[_shifted(_places(words, a), k) for a, k in postings]))
+def intersected(words: Column, template: Column, rare: Column, tolerance: Column) -> Column:
+    """Windows, numbered by their first position over the tolerance, in which the
+    template may start: those where AGREE of the file's LOOKUPS rarest words (all,
+    if it holds fewer) have postings. Each start falls in two windows, so that any
+    two that differ by the tolerance share one. Sorted, not compared pair by pair."""
 
-    def score(start: Column) -> Column:
-        hits = F.lit(0)
-        for k, w in enumerate(listed):
-            hits = hits + F.when(F.coalesce(F.when(start + k >= 0, F.get(words, start + k)) == w, F.lit(False)), 1).otherwise(0)
-        share, key = hits / float(len(listed)), F.lit(True)
-        for phrase in template.key_phrases:
-            parts = phrase.split()
-            at = next(k for k in range(len(listed)) if listed[k : k + len(parts)] == parts)
-            key = key & (start + at >= 0) & _at(words, start + at, parts)
-        return F.when(key & (share >= MATCH), share).otherwise(0.0)
+    def windows(found: Column) -> Column:
+        def starts(word: Column, n: Column) -> Column:
+            def of_place(i: Column) -> Column:
+                at = lambda k: F.floor((i - k) / tolerance).cast("int")
+                both = lambda k: F.array(F.struct(at(k).alias("w"), n.alias("n")), F.struct((at(k) - 1).alias("w"), n.alias("n")))
+                return F.flatten(F.transform(_places(template, word), both))
 
-    best = F.array_max(F.transform(starts, score))
-    anchored = F.arrays_overlap(held, F.array(*map(F.lit, anchors)))
-    return F.when(anchored, F.coalesce(best, F.lit(0.0))).otherwise(0.0)
+            return F.flatten(F.transform(_places(words, word), of_place))
 
+        def agreeing(s: Column) -> Column:
+            several = F.filter(s, lambda x, k: F.coalesce(F.get(s, k + AGREE - 1)["w"] == x["w"], F.lit(False)))
+            return F.array_distinct(F.transform(F.when(F.size(found) >= AGREE, several).otherwise(s), lambda x: x["w"]))
 
-def scan(docs: DataFrame, templates: tuple[Template, ...] = TEMPLATES) -> DataFrame:
-    """Per document: doc_id, n_words, n_base, first_word, last_word, base_labels,
-    labels, score.
+        return let(F.array_sort(F.array_distinct(F.flatten(F.transform(found, starts)))), agreeing)
+
+    return let(F.slice(F.array_intersect(rare, words), 1, LOOKUPS), windows)
 
-    `labels` holds the base labels and those of templates found; score is the
-    best share of a template's words in place, 1 where a base phrase stands.
-    Null and empty texts have no words, no places, empty labels and score 0.
-    """
-    rarity = word_rarity(docs, templates)
-    vocabulary = F.array(*map(F.lit, sorted(rarity)))
 
-    def found(words: Column) -> Column:
-        ends = sorted({p.split()[-1] for p, _ in BASE})
-        by_phrase = [_phrase_places(words, p.split()) for p, _ in BASE]
-        places = F.when(F.arrays_overlap(words, F.array(*map(F.lit, ends))), F.array(*by_phrase)).otherwise(F.array(*[F.array().cast("array<int>")] * len(BASE)))
+def verified(words: Column, window: Column, template: Column, phrases: Column, tolerance: Column) -> Column:
+    """Share of the template's words that stand near their places, 0 below MATCH or
+    where a mandatory phrase does not stand near by."""
+    first = window * tolerance - tolerance
+    span = 4 * tolerance + 1
 
-        def template_scores(held: Column) -> Column:
-            some = F.array(*[_template_score(words, held, t, rarity) for t in templates])
-            anchors = sorted({a for t in templates for a in anchors_of(t, rarity)})
-            return F.when(F.arrays_overlap(held, F.array(*map(F.lit, anchors))), some)
+    def part(at: Column, n: Column) -> Column:
+        lo = F.greatest(at, F.lit(0))
+        return F.slice(words, lo + 1, F.greatest(n - (lo - at), F.lit(0)))
 
-        return F.struct(F.size(words).alias("n"), places.alias("places"), let(F.array_intersect(words, vocabulary), template_scores).alias("scores"))
+    near = F.concat(F.lit(" "), F.array_join(part(first, F.size(template) + span), " "), F.lit(" "))
+    whole = F.forall(phrases, lambda p: F.contains(near, F.concat(F.lit(" "), p, F.lit(" "))))
+    hits = F.filter(template, lambda w, k: F.array_contains(part(first + k, span), w))
+    share = F.size(hits) / F.size(template).cast("double")
+    return F.when(whole, let(share, lambda s: F.when(s >= MATCH, s).otherwise(0.0))).otherwise(0.0)
 
-    row = docs.select("doc_id", let(words_of(F.col("text")), found).alias("f"))
-    base = F.filter(F.array(*[F.when(F.size(F.get("f.places", F.lit(k))) > 0, label) for k, (_, label) in enumerate(BASE)]), lambda x: x.isNotNull())
-    more = F.filter(F.array(*[F.when(F.get("f.scores", F.lit(k)) > 0, t.label) for k, t in enumerate(templates)]), lambda x: x.isNotNull())
+
+def matches(docs: DataFrame, templates: tuple[Template, ...], rarity: dict[str, int]) -> DataFrame:
+    """(doc_id, key, found, best): the labels of the templates that texts hold and
+    the best share."""
+    postings = index(docs.sparkSession, templates, rarity)
+    openers = sorted({r["opener"] for r in postings.select("opener").collect()})  # from the templates
+    rows = docs.select("doc_id", row_key().alias("key"), words_of(F.col("text")).alias("words"))
+    opened = rows.withColumn("opener", F.explode(F.array_intersect("words", listed(openers))))
+    each = opened.join(sized_broadcast(postings), "opener")
+    windows = intersected(F.col("words"), F.col("listed"), F.col("rare"), F.col("tolerance"))
+    check = lambda w: verified(F.col("words"), w, F.col("listed"), F.col("phrases"), F.col("tolerance"))
+    scored = each.select("doc_id", "key", "label", F.array_max(F.transform(windows, check)).alias("share")).where("share > 0")
+    return scored.groupBy("doc_id", "key").agg(F.collect_set("label").alias("found"), F.max("share").alias("best"))
+
+
+def scan(docs: DataFrame, templates: tuple[Template, ...] = TEMPLATES) -> DataFrame:
+    """Per document: doc_id, n_words, n_base, first_word, last_word, base_labels,
+    labels, score.
+
+    `labels` holds the base labels and those of templates found; score is the best
+    share of a template's words near their places, 1 where a base phrase stands.
+    Null and empty texts have no words, no places, empty labels and score 0. Words of
+    equal IDF rank by the word, so ties are decided alike in every run; repeated rows
+    are scanned alike; an empty table gives an empty result.
+    """
+    vocabulary = vocabulary_of(templates)
+    base = cut(base_columns(docs, vocabulary), "base")
+    found = cut(matches(docs, templates, rarity_of(base, vocabulary)), "matches").withColumnRenamed("doc_id", "id").withColumnRenamed("key", "text_key")
+    same = F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("key") == F.col("text_key"))
+    row = base.join(sized_broadcast(found), same, "left")
+    own = F.filter(F.array(*[F.when(F.size(F.get("places", F.lit(k))) > 0, label) for k, (_, label) in enumerate(BASE)]), lambda x: x.isNotNull())
     text = lambda labels: F.array_join(F.array_sort(F.array_distinct(labels)), ",")
-    spots = F.flatten("f.places")
+    more = F.coalesce("found", F.array().cast("array<string>"))
+    spots = F.flatten("places")
     return row.select(
-        "doc_id", F.col("f.n").cast("long").alias("n_words"), F.size(spots).cast("long").alias("n_base"),
+        "doc_id", F.col("n").cast("long").alias("n_words"), F.size(spots).cast("long").alias("n_base"),
         F.array_min(spots).cast("long").alias("first_word"), F.array_max(spots).cast("long").alias("last_word"),
-        text(base).alias("base_labels"), text(F.concat(base, more)).alias("labels"),
-        F.when(F.size(spots) > 0, 1.0).otherwise(F.coalesce(F.array_max("f.scores"), F.lit(0.0))).alias("score"),
+        text(own).alias("base_labels"), text(F.concat(own, more)).alias("labels"),
+        F.when(F.size(spots) > 0, 1.0).otherwise(F.coalesce("best", F.lit(0.0))).alias("score"),
     )
 
 
 def sql(templates: tuple[Template, ...] = TEMPLATES) -> str:
     """The same in SQL: postings and places as joined rows."""
-    rows = []
-    for t, template in enumerate(templates):
-        listed, keys = template.words, set()
-        for phrase in template.key_phrases:
-            parts = phrase.split()
-            at = next(k for k in range(len(listed)) if listed[k : k + len(parts)] == parts)
-            keys |= set(range(at, at + len(parts)))
-        rows += [f"({t}, '{template.label}', {k}, '{w}', {k in keys})" for k, w in enumerate(listed)]
+    rows = [f"({t}, {k}, '{w}', {w in x.key_words})" for t, x in enumerate(templates) for k, w in enumerate(x.words)]
+    heads = [f"({t}, '{x.label}', {len(x.words)}, {x.tolerance})" for t, x in enumerate(templates)]
+    phrases = [f"({t}, ' {p} ')" for t, x in enumerate(templates) for p in x.key_phrases]
     base = ", ".join(f"('{label}', {k}, '{w}', {len(p.split())})" for p, label in BASE for k, w in enumerate(p.split()))
     return rf"""
-WITH template(t, label, k, w, is_key) AS (VALUES {", ".join(rows)}),
+WITH template(t, k, w, is_key) AS (VALUES {", ".join(rows)}),
+head(t, label, size, tol) AS (VALUES {", ".join(heads)}),
+phrase(t, p) AS (VALUES {", ".join(phrases)}),
 base(label, k, w, size) AS (VALUES {base}),
 docs AS (SELECT doc_id, row_number() OVER () AS r, list_filter(regexp_split_to_array(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS words FROM documents),
 vocabulary AS (SELECT DISTINCT w FROM template UNION SELECT w FROM base),
 places AS (SELECT r, u.w, u.i FROM (SELECT r, unnest(list_transform(words, lambda x, i: {{'w': x, 'i': i - 1}})) AS u FROM docs) WHERE u.w IN (SELECT w FROM vocabulary)),
-rarity AS (SELECT w, count(DISTINCT r) AS n FROM places GROUP BY w),
-ranked AS (SELECT t, w, row_number() OVER (PARTITION BY t ORDER BY n, w) AS n FROM (SELECT DISTINCT t, template.w, coalesce(rarity.n, 0) AS n FROM template LEFT JOIN rarity USING (w))),
-starts AS (SELECT DISTINCT p.r, m.t, p.i - m.k AS start FROM places p JOIN template m USING (w) JOIN ranked a ON a.t = m.t AND a.w = m.w AND a.n <= {ANCHORS}),
+held AS (SELECT DISTINCT r, w FROM places),
+rarity AS (SELECT w, count(*) AS n FROM held GROUP BY w),
+ranked AS (SELECT DISTINCT t, template.w, is_key, coalesce(n, 0) AS n FROM template LEFT JOIN rarity USING (w)),
+openers AS (SELECT t, arg_min(w, (n, w)) AS w FROM ranked WHERE is_key GROUP BY t),
+opened AS (SELECT h.r, o.t FROM held h JOIN openers o USING (w)),
+looked AS (
+  SELECT *, count(*) OVER (PARTITION BY r, t) AS many FROM (
+    SELECT o.r, o.t, x.w, row_number() OVER (PARTITION BY o.r, o.t ORDER BY x.n, x.w) AS place
+    FROM opened o JOIN ranked x ON x.t = o.t JOIN held h ON h.r = o.r AND h.w = x.w) WHERE place <= {LOOKUPS}),
+starts AS (
+  SELECT l.r, l.t, l.w, l.many, CAST(floor((p.i - m.k) / CAST(head.tol AS DOUBLE)) AS BIGINT) AS b
+  FROM looked l JOIN head ON head.t = l.t JOIN template m ON m.t = l.t AND m.w = l.w JOIN places p ON p.r = l.r AND p.w = l.w),
+windows AS (
+  SELECT r, t, b FROM (SELECT * FROM starts UNION ALL SELECT r, t, w, many, b - 1 FROM starts)
+  GROUP BY r, t, b HAVING count(DISTINCT w) >= least({AGREE}, any_value(many))),
+whole AS (
+  SELECT x.r, x.t, x.b, x.b * head.tol - head.tol AS lo, head.size, head.tol, head.label FROM windows x JOIN head USING (t) JOIN docs d USING (r)
+  WHERE NOT EXISTS (SELECT 1 FROM phrase f WHERE f.t = x.t AND NOT contains(
+    ' ' || array_to_string(d.words[greatest(x.b * head.tol - head.tol, 0) + 1 : x.b * head.tol - head.tol + head.size + 4 * head.tol + 1], ' ') || ' ', f.p))),
 scored AS (
-  SELECT s.r, s.t, m.label, s.start, count(*) FILTER (p.i IS NOT NULL) / CAST(count(*) AS DOUBLE) AS share, bool_and(NOT m.is_key OR p.i IS NOT NULL) AS key
-  FROM starts s JOIN template m USING (t) LEFT JOIN places p ON p.r = s.r AND p.i = s.start + m.k AND p.w = m.w GROUP BY ALL),
-found AS (SELECT r, label, max(share) AS share FROM scored WHERE key AND share >= {MATCH} GROUP BY r, label),
+  SELECT c.r, c.t, c.label, c.b, count(DISTINCT m.k) / CAST(any_value(c.size) AS DOUBLE) AS share
+  FROM whole c JOIN template m ON m.t = c.t JOIN places p ON p.r = c.r AND p.w = m.w AND p.i BETWEEN c.lo + m.k AND c.lo + m.k + 4 * c.tol GROUP BY ALL),
+found AS (SELECT r, label, max(share) AS share FROM scored WHERE share >= {MATCH} GROUP BY r, label),
 spots AS (SELECT p.r, b.label, p.i - b.k AS start FROM places p JOIN base b USING (w) GROUP BY ALL HAVING count(*) = any_value(b.size)),
 more AS (SELECT r, string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(share) AS share FROM (SELECT r, label, share FROM found UNION ALL SELECT r, label, 1.0 FROM spots) GROUP BY r),
 own AS (SELECT r, count(*) AS n, min(start) AS first_word, max(start) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM spots GROUP BY r)
