@@ -50,19 +50,27 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def shared_folder(warehouse: str) -> str:
+    """The warehouse's folder, refused where it is a machine's own."""
+    if "://" not in warehouse or warehouse.startswith("file:"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return warehouse.rstrip("/")
+
+
 def scratch_root(spark: SparkSession) -> str:
     """The shared folder for written intermediate tables.
 
     It is `spark.checkpoint.dir` of the session. Where that is unset, a local
     session (tests) gets a temporary folder and a cluster gets a folder in the
-    warehouse, which executors share; never a machine-local folder on a cluster.
+    warehouse, if that is on a shared file system: a cluster without either is
+    refused, since executors do not share a machine's own folders.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         if spark.sparkContext.master.startswith("local["):
             root = "file://" + tempfile.mkdtemp(prefix="vigilake-")
         else:
-            root = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_vigilake"
+            root = shared_folder(spark.conf.get("spark.sql.warehouse.dir")) + "/_vigilake"
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
 
