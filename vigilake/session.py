@@ -75,15 +75,34 @@ def scratch_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+_MADE: list[str] = []
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path in the shared folder, removed when the driver's JVM ends."""
     folder = spark._jvm.org.apache.hadoop.fs.Path(f"{scratch_root(spark)}/vigilake-{uuid.uuid4().hex}")
     fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
     fs.mkdirs(folder)
     fs.deleteOnExit(folder)
+    _MADE.append(fs.makeQualified(folder).toString())
     return f"{fs.makeQualified(folder).toString()}/{name}"
 
 
+def scratch_mark() -> int:
+    """A point in the order of the folders made, for `release`."""
+    return len(_MADE)
+
+
+def release(spark: SparkSession, since: int, keep: str) -> None:
+    """Remove the folders made after `since`, but the one that holds `keep`: what was
+    computed from them must be written."""
+    for folder in _MADE[since:]:
+        if not keep.startswith(folder):
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    _MADE[since:] = [folder for folder in _MADE[since:] if keep.startswith(folder)]
+
+
 def cut(df: DataFrame, name: str = "part") -> DataFrame:
     """Write `df` to the shared folder and read it back: the lineage ends here
     and a lost executor costs nothing that was already computed."""
