@@ -1,23 +1,23 @@
 """Toxicity by a weighted finite-state pattern grammar.
 
-A clause is read as a string of word classes. Three transducers are composed:
-reported speech, negation and target each rewrite the insults and threats that
-they reach, so that what comes out is a string of matches such as "insult at a
-target" or "negated threat". A document scores by the weights of its matched
-clauses, never by words alone.
-
-Learned from labels (on at most about `max_fit` labelled documents, the
-documented bound of the fit): which words are insults, and the weight of each
-kind of match.
+A clause is read as a string of word classes. Three transducers are composed into
+one machine: reported speech, negation and target each rewrite the insults and
+threats that they reach, so that an arc of the composition puts out a match such as
+"insult at a target" or "negated threat" and carries its weight. The weight of a
+clause is the sum over the arcs of its path, and a document scores by the weights of
+its clauses, each further pass of arcs that put out the same match weighing less;
+words alone never score.
+
+Learned from labels (on at most about `max_fit` labelled documents, the documented
+bound of the fit): which words are insults, and the weights of the arcs.
 """
 
 from __future__ import annotations
 
 import math
 import re
-import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -26,18 +26,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vigilake.llm.common import fold, sized_broadcast
-from vigilake.session import cut
+from vigilake.session import cut, ship
 
 MAX_FIT = 20_000
-MAX_LEXICON = 2_000
 #: Evidence (G-test) that a word or stem needs to count as an insult, and how much
-#: more often it must stand in toxic texts than in others.
-EVIDENCE, LIFT = 20.0, 20
+#: more often it must stand in toxic texts than in others, in LEAST of them or more.
+EVIDENCE, LIFT, LEAST = 20.0, 20, 3
 #: Lengths of the word beginnings that are tried as stems (written `stem*`).
 STEMS = range(4, 9)
 
 WORD = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)?")
-LETTERS = re.compile(r"[^\W\d_]+")
 CLAUSE = re.compile(r"[.!?;:\n\"“”«»]+")
 
 #: Closed word classes in the languages of the corpus.
@@ -56,33 +54,68 @@ INTERCEPT = -3.0
 
 @dataclass(frozen=True)
 class Transducer:
-    """Deterministic: `arcs[state, symbol]` is (next state, output); other symbols
-    follow `default[state]` and come out as they are."""
+    """Deterministic: `arcs[state, symbol]` is (next state, output, weight); other
+    symbols follow `default[state]`, come out as they are and weigh nothing."""
 
-    arcs: dict[tuple[int, str], tuple[int, str]]
+    arcs: dict[tuple[int, str], tuple[int, str, float]]
     default: dict[int, int]
 
-    def run(self, symbols: list[str]) -> list[str]:
+    def step(self, state: int, symbol: str) -> tuple[int, str, float]:
+        return self.arcs.get((state, symbol)) or (self.default[state], symbol, 0.0)
+
+    def run(self, symbols: list[str]) -> list[tuple[str, float]]:
+        """The output and the weight of each arc of the path."""
         state, out = 0, []
         for s in symbols:
-            state, o = self.arcs.get((state, s)) or (self.default[state], s)
-            out.append(o)
+            state, *arc = self.step(state, s)
+            out.append(tuple(arc))
         return out
 
+    def then(self, other: Transducer) -> Transducer:
+        """The composition: what comes out of this goes into `other`; weights add up.
+        States are pairs, those that can be reached, in the order they are found."""
+        symbols = sorted({s for _, s in self.arcs} | {s for _, s in other.arcs})
+        known, arcs, default, queue = {(0, 0): 0}, {}, {}, [(0, 0)]
+
+        def number(pair: tuple[int, int]) -> int:
+            if pair not in known:
+                known[pair] = len(known)
+                queue.append(pair)
+            return known[pair]
+
+        for p, q in queue:  # grows as pairs are found
+            here = known[p, q]
+            default[here] = number((self.default[p], other.default[q]))
+            for s in symbols:
+                p2, o, w = self.step(p, s)
+                q2, o2, w2 = other.step(q, o)
+                arcs[here, s] = (number((p2, q2)), o2, w + w2)
+        return Transducer(arcs, default)
+
+    def weighted(self, weights: dict[str, float]) -> Transducer:
+        """The same machine, each arc with the weight of the match it puts out."""
+        return Transducer({k: (n, o, weights.get(o, 0.0)) for k, (n, o, _) in self.arcs.items()}, self.default)
+
 
 def within(trigger: str, mark: str, reach: int | None, over: tuple[str, ...]) -> Transducer:
     """Marks symbols of `over` that follow `trigger` within `reach` symbols, or
     anywhere after it in the clause."""
     steps = range(1, (reach or 1) + 1)
     after = lambda n: 0 if reach and n == reach else (n + 1 if reach else n)
-    arcs = {(n, trigger): (1, trigger) for n in (0, *steps)}
-    arcs |= {(n, s): (after(n), f"{s}_{mark}") for n in steps for s in over}
+    arcs = {(n, trigger): (1, trigger, 0.0) for n in (0, *steps)}
+    arcs |= {(n, s): (after(n), f"{s}_{mark}", 0.0) for n in steps for s in over}
     return Transducer(arcs, {0: 0} | {n: after(n) for n in steps})
 
 
-REPORTED = within("REPORT", "reported", None, ("insult", "threat"))
-NEGATED = within("NEGATION", "negated", REACH, ("insult", "threat"))
-TARGETED = within("TARGET", "target", REACH, ("insult", "threat"))
+HOT = ("insult", "threat")
+REPORTED = within("REPORT", "reported", None, HOT)
+NEGATED = within("NEGATION", "negated", REACH, HOT)
+TARGETED = within("TARGET", "target", REACH, HOT)
+#: Forwards; a target may also follow, which the last machine finds backwards.
+CONTEXT = REPORTED.then(NEGATED).then(TARGETED)
+#: So that an arc can weigh for its match, also where no target comes near it.
+PASSING = Transducer({(0, k): (0, k, 0.0) for k in KINDS}, {0: 0})
+BACKWARDS = TARGETED.then(PASSING)
 
 
 class Classes:
@@ -104,33 +137,47 @@ class Classes:
         return found
 
 
-def matches(text: str | None, classes: Classes) -> np.ndarray:
-    """How often each of KINDS is matched in the whole text."""
-    found: Counter[str] = Counter()
+def passes(text: str | None, classes: Classes, last: Transducer = BACKWARDS) -> Counter[tuple[str, float]]:
+    """How often the paths of the whole text's clauses pass arcs of each (match, weight)."""
+    found: Counter[tuple[str, float]] = Counter()
     lowered = (text or "").lower()
-    hot = {w for w in set(WORD.findall(lowered)) if classes.of(w) in ("insult", "threat")}
-    if not hot:
-        return np.zeros(len(KINDS))
-    for clause in CLAUSE.split(lowered):
+    hot = {w for w in set(WORD.findall(lowered)) if classes.of(w) in HOT}
+    for clause in CLAUSE.split(lowered) if hot else ():
         words = WORD.findall(clause)
-        if hot.isdisjoint(words):
-            continue
-        out = TARGETED.run(NEGATED.run(REPORTED.run([classes.of(w) for w in words])))
-        found.update(TARGETED.run(out[::-1]))  # a target may also follow
+        if not hot.isdisjoint(words):
+            marked = [o for o, _ in CONTEXT.run([classes.of(w) for w in words])]
+            found.update(arc for arc in last.run(marked[::-1]) if arc[0] in KINDS)
+    return found
+
+
+def matches(text: str | None, classes: Classes) -> np.ndarray:
+    """How often each of KINDS is matched in the whole text."""
+    found = Counter()
+    for (kind, _), n in passes(text, classes).items():
+        found[kind] += n
     return np.array([found[k] for k in KINDS], float)
 
 
-def score(features: np.ndarray, weights: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-np.clip(np.log1p(features) @ weights[1:] + weights[0], -30, 30)))
+@dataclass(frozen=True)
+class Grammar:
+    """A lexicon, the last machine with weights on its arcs, and the weight of a text
+    without any match."""
 
+    insults: frozenset[str]
+    last: Transducer
+    intercept: float
 
-def evidence(toxic: int, clean: int, all_toxic: int, all_clean: int) -> float:
-    """G-test of a word's documents against the label, 0 unless it leans to toxic."""
-    n, rate = toxic + clean, all_toxic / max(all_toxic + all_clean, 1)
-    if not n or toxic <= n * rate:
-        return 0.0
-    part = lambda seen, expected: seen * math.log(seen / expected) if seen else 0.0
-    return 2 * (part(toxic, n * rate) + part(clean, n * (1 - rate)))
+    @classmethod
+    def of(cls, insults: frozenset[str], weights: np.ndarray) -> Grammar:
+        return cls(insults, BACKWARDS.weighted(dict(zip(KINDS, weights[1:].tolist(), strict=True))), float(weights[0]))
+
+    def weight(self, text: str | None, classes: Classes) -> float:
+        """The arcs of all paths, n passes of one kind of arc counting log(1 + n) fold."""
+        found = passes(text, classes, self.last)
+        return self.intercept + sum(w * math.log1p(n) for (_, w), n in sorted(found.items()))
+
+    def scores(self, texts: Iterable[str | None], classes: Classes) -> np.ndarray:
+        return 1 / (1 + np.exp(-np.clip(np.array([self.weight(t, classes) for t in texts], float), -30, 30)))
 
 
 def labelled(docs: DataFrame, labels: DataFrame, max_fit: int) -> DataFrame:
@@ -144,39 +191,40 @@ def labelled(docs: DataFrame, labels: DataFrame, max_fit: int) -> DataFrame:
     return cut(joined.groupBy("text").agg(F.max("toxic").alias("toxic")), "labelled")
 
 
-def learn_insults(rows: DataFrame, max_lexicon: int = MAX_LEXICON) -> frozenset[str]:
+def evidence(toxic: Column, clean: Column, all_toxic: int, all_clean: int) -> Column:
+    """G-test of a form's texts against the label, 0 unless it leans to toxic."""
+    n, rate = toxic + clean, all_toxic / max(all_toxic + all_clean, 1)
+    part = lambda seen, expected: F.when(seen > 0, seen * F.log(seen / expected)).otherwise(0.0)
+    return F.when(toxic > n * rate, 2 * (part(toxic, n * rate) + part(clean, n * (1 - rate)))).otherwise(0.0)
+
+
+def learn_insults(rows: DataFrame) -> frozenset[str]:
     """Words and stems that set toxic texts apart.
 
     Candidates come from counts of texts; what is then weighed is the number of
     different neighbours (word before, word after) that a candidate has in toxic
     texts, so that words of one text that was copied often do not pass for insults.
+    Every candidate is weighed; only those with EVIDENCE come to the driver.
     """
     totals = rows.agg(F.sum("toxic").alias("t"), F.count("*").alias("n")).first()
     all_toxic, all_clean = int(totals["t"] or 0), int(totals["n"] - (totals["t"] or 0))
     if not all_toxic:
         return INSULTS
-    words = F.array_distinct(F.split(F.lower("text"), r"[^\p{L}]+"))
-    forms = F.array_distinct(F.flatten(F.array(words, *[_stems(words, n) for n in STEMS])))
-    counts = rows.select(F.explode(forms).alias("w"), "toxic").where("w <> ''").groupBy("w").agg(F.sum("toxic").alias("t"), F.sum(1 - F.col("toxic")).alias("c"))
-    leaning = counts.where((F.col("t") >= 3) & (F.col("t") * (all_clean + 1) > LIFT * F.col("c") * all_toxic))
-    top = {r["w"]: int(r["c"]) for r in leaning.orderBy(F.desc("t"), "w").limit(max_lexicon).collect()}
-
-    def neighbours(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for at in range(0, len(batch), 20):  # texts that are much alike share most of their places
-                out = set()
-                for text in batch["text"].iloc[at : at + 20]:
-                    w = ["", *LETTERS.findall(text.lower()), ""]
-                    for i in range(1, len(w) - 1):
-                        forms = [f for f in (w[i], *(w[i][:n] + "*" for n in STEMS if n < len(w[i]))) if f in top]
-                        if forms:
-                            place = zlib.crc32(w[i - 1].encode()) << 31 ^ zlib.crc32(w[i + 1].encode())
-                            out.update((f, place) for f in forms)
-                yield pd.DataFrame(sorted(out), columns=["w", "place"])
-
-    seen = rows.where("toxic = 1").select("text").mapInPandas(neighbours, "w string, place long").distinct()
-    places = {r["w"]: r["n"] for r in seen.groupBy("w").agg(F.count("*").alias("n")).collect()}  # a row per candidate
-    return INSULTS | {w for w, n in places.items() if evidence(n, top[w], all_toxic, all_clean) >= EVIDENCE}
+    words = F.filter(F.split(F.lower("text"), r"[^\p{L}]+"), lambda w: w != "")
+    split = rows.select("toxic", words.alias("words"))
+    held = F.array_distinct(F.flatten(F.array("words", *[_stems(F.col("words"), n) for n in STEMS])))
+    toxic, clean = F.sum("toxic").alias("t"), F.sum(1 - F.col("toxic")).alias("c")
+    counts = split.select(F.explode(held).alias("w"), "toxic").groupBy("w").agg(toxic, clean)
+    leaning = counts.where((F.col("t") >= LEAST) & (F.col("t") * (all_clean + 1) > LIFT * F.col("c") * all_toxic))
+    leaning = cut(leaning.select("w", "c"), "leaning")
+    word = lambda i: F.coalesce(F.get("words", i), F.lit(""))
+    near = F.transform("words", lambda w, i: F.struct(w.alias("w"), F.when(i > 0, word(i - 1)).alias("before"), word(i + 1).alias("after")))
+    places = split.where("toxic = 1").select(F.explode(near).alias("x")).select("x.*").distinct()
+    one = F.array("w")
+    forms = places.select(F.explode(F.flatten(F.array(one, *[_stems(one, n) for n in STEMS]))).alias("w"), "before", "after")
+    seen = forms.join(sized_broadcast(leaning), "w").distinct().groupBy("w", "c").agg(F.count("*").alias("n"))
+    found = seen.where(evidence(F.col("n"), F.col("c"), all_toxic, all_clean) >= EVIDENCE)
+    return INSULTS | {r["w"] for r in found.select("w").collect()}
 
 
 def _stems(words: Column, n: int) -> Column:
@@ -206,13 +254,16 @@ def learn_weights(x: np.ndarray, y: np.ndarray, strength: float = 0.05, rounds:
     return w
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_fit: int = MAX_FIT) -> tuple[frozenset[str], np.ndarray]:
+def fit(docs: DataFrame, labels: DataFrame, max_fit: int = MAX_FIT) -> Grammar:
+    """Learn from labelled rows outside fold 0; without any, the built-in lexicon and
+    weights hold."""
+    ship(docs.sparkSession)
     rows = labelled(docs, labels, max_fit)
     insults = learn_insults(rows)
     seen = sorted((r["toxic"], r["f"]) for r in features_of(rows, insults).collect())  # sums of floats in one order
     if not seen:
-        return insults, np.array([INTERCEPT, *PRIOR])
-    return insults, learn_weights(np.array([f for _, f in seen]), np.array([t for t, _ in seen], float))
+        return Grammar.of(insults, np.array([INTERCEPT, *PRIOR]))
+    return Grammar.of(insults, learn_weights(np.array([f for _, f in seen]), np.array([t for t, _ in seen], float)))
 
 
 def judge(docs: DataFrame, labels: DataFrame, max_fit: int = MAX_FIT) -> DataFrame:
@@ -226,15 +277,17 @@ def judge(docs: DataFrame, labels: DataFrame, max_fit: int = MAX_FIT) -> DataFra
     return predict(docs, fit(docs, labels, max_fit))
 
 
-def predict(docs: DataFrame, model: tuple[frozenset[str], np.ndarray]) -> DataFrame:
-    """Per document: doc_id, held_out, score, predicted."""
-    insults, weights = model
+def predict(docs: DataFrame, grammar: Grammar) -> DataFrame:
+    """Per document: doc_id, held_out, score, predicted.
+
+    Null and empty texts get the base score; repeated rows are scored alike; an empty
+    table gives an empty result. A score of exactly 0.5 counts as toxic."""
+    ship(docs.sparkSession)
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        classes = Classes(insults)
+        classes = Classes(grammar.insults)
         for batch in batches:
-            found = np.array([matches(t, classes) for t in batch["text"]]).reshape(len(batch), len(KINDS))
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "score": score(found, weights)})
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "score": grammar.scores(batch["text"], classes)})
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     scored = docs.select("doc_id", "text").mapInPandas(read, f"doc_id {kind}, score double")
