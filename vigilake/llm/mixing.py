@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vigilake.llm.common import WORD, sized_broadcast
+from vigilake.operators.order import running
 from vigilake.session import cut
 
 HASH_BITS = 60
@@ -30,23 +31,21 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_rep
     Sources in code-point order, null last, weigh `weights` in turn and share the
     sum of all sizes. A target stops at `max_repeats` times its source's size and
     the excess is shared anew by weight: that is the level L for which the sum of
-    min(cap, L * weight) is the whole, found by one pass over sources ordered by
-    cap / weight. The windows see one row per source, never documents.
+    min(cap, L * weight) is the whole, found by running sums over sources ordered by
+    cap / weight. Ranks and sums are taken range by range, so any number of sources
+    is spread over many tasks.
     """
-    everything = Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    order = Window.orderBy(F.col("source").asc_nulls_last())
     cycle = F.array(*[F.lit(w) for w in weights])
-    ranked = sizes.withColumn("weight", F.element_at(cycle, ((F.row_number().over(order) - 1) % len(weights) + 1).cast("int")))
-    ranked = ranked.withColumn("cap", F.col("source_size") * max_repeats)
-    ratio = F.col("cap").cast("double") / F.col("weight")
-    before = Window.orderBy(ratio, F.col("source").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)
-    total, all_weight = F.sum("source_size").over(everything), F.sum("weight").over(everything)
-    left = total - F.coalesce(F.sum("cap").over(before), F.lit(0))
-    weight_left = all_weight - F.coalesce(F.sum("weight").over(before), F.lit(0))
-    leveled = ranked.withColumn("level_here", left.cast("double") / weight_left).withColumn("fits", F.col("level_here") <= ratio)
-    level = F.max(F.when(F.col("fits"), F.col("level_here"))).over(everything)
-    leveled = leveled.withColumn("level", level)
-    target = F.least(F.col("cap").cast("double"), F.coalesce(F.col("level") * F.col("weight"), F.col("cap").cast("double")))
+    keyed = sizes.withColumn("no_source", F.col("source").isNull()).withColumn("one", F.lit(1).cast("long"))
+    ranked = running(keyed, ["no_source", "source"], {"rank": "one"})
+    ranked = ranked.withColumn("weight", F.element_at(cycle, (F.col("rank") % len(weights) + 1).cast("int")))
+    ranked = ranked.withColumn("cap", F.col("source_size") * max_repeats).withColumn("ratio", F.col("cap").cast("double") / F.col("weight"))
+    leveled = cut(running(ranked, ["ratio", "no_source", "source"], {"cap_before": "cap", "weight_before": "weight"}), "leveled")
+    sums = leveled.agg(F.sum("source_size").alias("total"), F.sum("weight").alias("weight")).first()
+    level = (F.lit(sums["total"] or 0) - F.col("cap_before")).cast("double") / (F.lit(sums["weight"] or 1) - F.col("weight_before"))
+    found = leveled.where(level <= F.col("ratio")).agg(F.max(level).alias("level")).first()["level"]
+    cap = F.col("cap").cast("double")
+    target = cap if found is None else F.least(cap, F.lit(found) * F.col("weight"))
     return leveled.select("source", "source_size", target.alias("target"))
 
 
@@ -90,12 +89,14 @@ def mix_plan(rows: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_repeats: i
     return cut(joined.select("p.source", "source_size", "target", "whole", F.coalesce("below", F.lit(0)).alias("below")), "plan")
 
 
-def apply_plan(rows: DataFrame, plan: DataFrame, source: Column, h: Column) -> DataFrame:
-    """`rows` with (source_size, target, copies) of the plan."""
-    planned = plan.select(*[F.col(c).alias(f"_mix_{c}") for c in plan.columns])
-    joined = rows.join(sized_broadcast(planned), source.eqNullSafe(F.col("_mix_source")))
-    copies = F.col("_mix_whole") + F.when(h < F.col("_mix_below"), 1).otherwise(0)
-    return joined.withColumn("_mix_copies", copies.cast("int")).drop("_mix_source", "_mix_whole", "_mix_below")
+def planned(rows: DataFrame, plan: DataFrame, source: Column, h: Column) -> DataFrame:
+    """`rows` beside the plan's columns (struct `plan`), with `copies` in it; the
+    columns of `rows` are under `row`, so no name of theirs can clash."""
+    one = rows.select(F.struct("*").alias("row"), source.alias("source_of"), h.alias("hash_of"))
+    taken = plan.select(F.col("source").alias("source_in_plan"), F.struct("source_size", "target", "whole", "below").alias("plan"))
+    joined = one.join(sized_broadcast(taken), F.col("source_of").eqNullSafe(F.col("source_in_plan")))
+    copies = F.col("plan.whole") + F.when(F.col("hash_of") < F.col("plan.below"), 1).otherwise(0)
+    return joined.select("row", "plan", copies.cast("int").alias("copies"))
 
 
 def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_repeats: int = MAX_REPEATS) -> DataFrame:
@@ -106,20 +107,25 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_repeats
     share a hash and are taken alike; an empty table gives an empty result.
     """
     rows = cut(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), doc_hash(F.col("doc_id")).alias("h")), "sizes")
-    mixed = apply_plan(rows, mix_plan(rows, weights, max_repeats), F.col("source"), F.col("h"))
+    mixed = planned(rows, mix_plan(rows, weights, max_repeats), F.col("source"), F.col("h"))
     return mixed.select(
-        "doc_id", "size", F.col("_mix_source_size").alias("source_size"), F.col("_mix_target").alias("target"),
-        (F.col("size") * F.col("_mix_copies")).alias("taken"), F.col("_mix_copies").alias("copies"),
+        "row.doc_id", "row.size", "plan.source_size", "plan.target",
+        (F.col("row.size") * F.col("copies")).alias("taken"), "copies",
     )
 
 
 def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_repeats: int = MAX_REPEATS) -> DataFrame:
     """`docs` with each row as often as the mix takes it (0 to `max_repeats` times);
-    columns are those of `docs`."""
+    columns are those of `docs`, whatever their names.
+
+    Null and empty texts weigh nothing and go with their source's copies; a null
+    source is a source of its own; rows of one id are taken alike, ties of the hash
+    too; an empty table stays empty.
+    """
     rows = cut(docs.select("source", word_count(F.col("text")).alias("size"), doc_hash(F.col("doc_id")).alias("h")), "sizes")
-    mixed = apply_plan(docs, mix_plan(rows, weights, max_repeats), F.col("source"), doc_hash(F.col("doc_id")))
-    taken = mixed.where(F.col("_mix_copies") > 0)
-    return taken.withColumn("_mix_copy", F.explode(F.sequence(F.lit(1), F.col("_mix_copies")))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    mixed = planned(docs, mix_plan(rows, weights, max_repeats), F.col("source"), doc_hash(F.col("doc_id")))
+    taken = mixed.where(F.col("copies") > 0)
+    return taken.select("row", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy")).select("row.*")
 
 
 #: The same rule with a running sum over documents ordered by hash.
