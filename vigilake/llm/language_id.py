@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from vigilake.llm.common import fold, sized_broadcast
+from vigilake.session import cut, ship
 
 BUCKETS = 4096
 PER_LANGUAGE = 500
@@ -56,6 +57,7 @@ def document_frequencies(docs: DataFrame, buckets: int = BUCKETS) -> tuple[int,
                 n += 1
         yield pd.DataFrame({"bucket": np.append(np.arange(buckets), -1), "n": np.append(df, n)})
 
+    ship(docs.sparkSession)
     sums = docs.select("text").mapInPandas(count, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
     found = {r["bucket"]: r["n"] for r in sums.collect()}  # buckets + 1 rows
     return found.get(-1, 0), np.array([found.get(i, 0) for i in range(buckets)], np.float64)
@@ -66,7 +68,7 @@ def sample(train: DataFrame, per_language: int) -> DataFrame:
     each time: a hash threshold thins the large languages before ranking."""
     order = F.xxhash64("doc_id", "text")
     unit = F.pmod(order, F.lit(1 << 30)) / float(1 << 30)
-    sizes = sized_broadcast(train.groupBy("lang").agg(F.count("*").alias("n_lang")))  # a row per language
+    sizes = sized_broadcast(cut(train.groupBy("lang").agg(F.count("*").alias("n_lang")), "sizes"))  # a row per language
     thin = train.join(sizes, "lang").where(unit < 2.0 * per_language / F.col("n_lang"))
     ranked = thin.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(order, "doc_id")))
     return ranked.where(F.col("rank") <= per_language).select("lang", "doc_id", "text")
@@ -112,6 +114,7 @@ def predict(docs: DataFrame, model, buckets: int = BUCKETS, slack: float = SLACK
     no centroid. `rejected` marks texts farther from every centroid than `slack`
     allows; their nearest language is given all the same.
     """
+    ship(docs.sparkSession)
     idf, languages, centroids, radii = model
 
     def nearest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
