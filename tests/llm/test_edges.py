@@ -126,8 +126,48 @@ def test_registered_query_runs(spark, name):
 
 
 def test_pipeline_stages_keep_columns(spark, odd_docs):
-    docs = odd_docs.select("doc_id", "text", "lang", "source", F.length("text").cast("long").alias("n_chars"))
+    docs = odd_docs.select("*", *[F.lit(1).alias(c) for c in ("_row_key", "_mix_size", "row", "plan", "rejected_key", "text_key", "doc", "_near_dup_id")])
+    names = docs.columns
     for _, stage in corpus_pipeline.STAGES[:-1]:
         docs = stage(spark, docs, "/root/testdata/sf0.001")
-        assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars"]
+        assert docs.columns == names
     assert corpus_pipeline.STAGES[-1][1](spark, docs, "/root/testdata/sf0.001").columns[:2] == ["doc_id", "n_tokens"]
+
+
+def test_pipeline_stages_on_an_empty_table(spark, no_docs):
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, no_docs, "/root/testdata/sf0.001")
+        assert out.columns == no_docs.columns and out.collect() == []
+    assert corpus_pipeline.STAGES[-1][1](spark, no_docs, "/root/testdata/sf0.001").collect() == []
+
+
+def test_pipeline_keeps_texts_apart_that_share_an_id(spark):
+    one, other = (" ".join(f"{x}{i}" for i in range(120)) for x in ("alpha", "beta"))
+    docs = spark.createDataFrame([(1, one), (5, one), (5, other), (5, "too short")], "doc_id long, text string")
+    docs = docs.select("*", F.lit("en").alias("lang"), F.lit("s").alias("source"), F.lit(1).cast("long").alias("n_chars"))
+    kept = corpus_pipeline.quality_rules(spark, docs, "/root/testdata/sf0.001")
+    assert Counter(r["text"] == "too short" for r in kept.collect()) == Counter({False: 3})
+    left = corpus_pipeline.near_duplicates(spark, kept, "/root/testdata/sf0.001").collect()
+    assert sorted((r["doc_id"], r["text"]) for r in left) == [(1, one), (5, other)]
+
+
+def test_operators_ship_the_package(tmp_path):
+    """Workers find the package though only the driver's path has it."""
+    import pathlib
+    import subprocess
+    import sys
+
+    root = pathlib.Path(corpus_pipeline.__file__).resolve().parent
+    code = f"""
+import sys
+sys.path.insert(0, {str(root)!r})
+from pyspark.sql import SparkSession
+spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").getOrCreate()
+docs = spark.createDataFrame([(i, "you are a b c d e f g " + str(i % 3), "en", "s") for i in range(6)], "doc_id long, text string, lang string, source string")
+labels = spark.createDataFrame([(1, 0, 1), (2, 1, 0)], "doc_id long, quality int, toxic int")
+from vigilake.llm import bpe, language_id, near_dup, token_store, toxicity
+for rows in (near_dup.dedup(docs), language_id.identify(docs), toxicity.judge(docs, labels), bpe.encode(docs), token_store.round_trip(docs)):
+    assert rows.count() == 6
+"""
+    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True, timeout=300, env={k: v for k, v in __import__("os").environ.items() if k != "PYTHONPATH"})
+    assert done.returncode == 0, done.stderr[-2000:]
