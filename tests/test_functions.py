@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from vigilake.functions import policies, text, urls, versions
+from vigilake.functions import policies, text, unicode, urls, versions
 
 
 def one(spark, f, *values, types=None):
@@ -75,7 +75,7 @@ def test_url_parts(spark):
     assert one(spark, urls.entropy, "aabb") == 1.0 and one(spark, urls.entropy, "") == 0.0
 
 
-@pytest.mark.parametrize(("version", "bounds", "expected"), [("1.2.3", ">= 1.0, < 2.0", True), ("2.0", "< 2.0.0", False), ("1.10", "> 1.9", True), ("v3", "= 3.0", True), ("1.0rc1", ">= 0.1", False), ("1.0", "nonsense", False), (None, "< 2", False), ("1.0", None, False), ("1.0", "!= 1.0", False)])
+@pytest.mark.parametrize(("version", "bounds", "expected"), [("1.2.3", ">= 1.0, < 2.0", True), ("2.0", "< 2.0.0", False), ("1.10", "> 1.9", True), ("v3", "= 3.0", True), ("1.0rc1", ">= 0.1", True), ("1.0rc1", ">= 1.0", False), ("junk", ">= 0", False), ("1.0", "nonsense", False), (None, "< 2", False), ("1.0", None, False), ("1.0", "!= 1.0", False)])
 def test_version_range(spark, version, bounds, expected):
     assert one(spark, versions.in_range, version, bounds) is expected
 
@@ -105,8 +105,53 @@ def test_alerts(spark):
 
 
 def test_redaction(spark):
-    out = one(spark, text.redacted, "Bearer abc.def password=hunter2 at https://user:pw@host/x " + "a" * 40)
-    assert "hunter2" not in out and "host" not in out and "abc.def" not in out and "a" * 40 not in out
+    said = "Bearer abc.def password=hunter2 at https://user:pw@host/x "
+    out = one(spark, text.log_summary, said + "a" * 2000)
+    assert "hunter2" not in out and "host" not in out and "abc.def" not in out and len(out) == 1000
+    out = one(spark, text.redacted, said + "Authorization: Token t0 auth_key: k1; cve-2024-1")
+    assert out == "Bearer abc.def password=[REDACTED] at https://user:[REDACTED]@host/x Authorization: [REDACTED] auth_key: [REDACTED]; [CVE_REDACTED]"
+
+
+def test_every_version_and_range(spark):
+    """Against the packaging library, over forms of versions and all kinds of bounds."""
+    packaging = pytest.importorskip("packaging")
+    from packaging.specifiers import InvalidSpecifier, SpecifierSet
+    from packaging.version import InvalidVersion, Version
+
+    assert packaging
+    known = ["1.0", "1.0.0", "1.0rc1", "1.0.dev3", "1.0a1.dev2", "1.0.post1", "1.0-1", "v1.2.3", "1!0.5", "2.0.0-beta", "1.0+abc", "1.0+ABC_1", "1.2", "1.10", "1.0.post1.dev2", "junk", "1.0.x", "", "2", "1.0c1", "1.2.0.0.0", " 1.2 "]
+    ranges = [f"{o} {v}" for o in ("<", "<=", ">", ">=", "==", "!=", "~=", "=") for v in known if v.strip()] + ["== 1.*", "!=1.0.*", "==1.2.*", ">= 1.0, < 2", "> 1.0,", "== 1.0 , != 1.0.post1", "1.0", ">=1.0rc1, <1.0"]
+
+    def want(v, r):
+        parts = [" ".join(p.split()) for p in r.split(",")]
+        parts = ["==" + p[1:].lstrip() if p.startswith("=") and not p.startswith("==") else p for p in parts]
+        try:
+            return all(parts) and SpecifierSet(",".join(parts)).contains(Version(v), prereleases=True)
+        except (InvalidVersion, InvalidSpecifier):
+            return False
+
+    rows = spark.createDataFrame([(v, r) for v in known for r in ranges], "v string, r string")
+    got = rows.select("v", "r", versions.in_range(F.col("v"), F.col("r")).alias("x")).collect()
+    assert [(r["v"], r["r"], r["x"]) for r in got if r["x"] != want(r["v"], r["r"])] == []
+
+
+def test_every_top_weakness(spark):
+    """The whole list raises a priority by one level, others do not."""
+    ids = "20 22 77 78 79 89 94 120 121 122 125 200 284 306 352 416 434 476 502 639 770 787 862 863 918".split()
+    rows = spark.createDataFrame([(f"CWE-{n}",) for n in [*ids, "119", "190", "269", "287", "400", "798", "7", "1"]], "id string")
+    priority = policies.priority(F.lit("LOW"), F.lit(False), F.lit(None).cast("double"), F.lit(None).cast("double"), F.array("id"))
+    raised = {r["id"] for r in rows.select("id", priority.alias("p")).collect() if r["p"] == "MEDIUM"}
+    assert raised == {f"CWE-{n}" for n in ids} and len(ids) == 25
+
+
+def test_small_forms(spark):
+    assert one(spark, lambda c: text.catalog_id(c, "CAPEC"), "capec-0066") == "CAPEC-66" and one(spark, lambda c: text.catalog_id(c, "CWE"), "0") is None
+    assert one(spark, text.cwe_from_text, "NVD-CWE-Other") is None and one(spark, text.cwe_from_text, "79") == "CWE-79"
+    assert one(spark, lambda c: text.strict(c, 3), "abcd") == "too_long" and one(spark, lambda c: text.strict(c, 3), "  ") == "missing" and one(spark, lambda c: text.strict(c, 3), "abc") is None
+    assert one(spark, policies.source_severity, "none") == "NONE" and one(spark, policies.source_severity, "unknown") is None
+    assert one(spark, policies.verdict, "benign") == "benign" and one(spark, policies.verdict, "phishing") == "malicious" and one(spark, policies.verdict, None) is None
+    assert one(spark, text.package_name, "Foo_Bar", "pip") == "foo-bar" and one(spark, text.ecosystem, " PIP ") == "pypi"
+    assert [one(spark, unicode.network, x) for x in ("10.1.2.3/8", "2001:DB8::0:1", "1.2.3.4", "300.1.1.1", "x")] == ["10.0.0.0/8", "2001:db8::1", "1.2.3.4", None, None]
 
 
 def test_package_names(spark):

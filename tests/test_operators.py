@@ -7,7 +7,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from vigilake.operators import merge, resolution
+from vigilake.operators import merge, order, resolution
 from vigilake.plans.registry import FLAGSHIP, ORACLES, QUERIES
 from vigilake.sources import feeds
 from vigilake.streaming import ingest
@@ -182,3 +182,23 @@ def test_stream_lands_each_payload_once(spark, tmp_path):
     stored = spark.read.parquet(f"{out}/raw")
     assert sorted(r["payload"] for r in stored.collect()) == ["1", "2", "9"] and stored.select("id").distinct().count() == 3
     assert spark.read.parquet(f"{out}/rejects").count() == 1
+
+
+def test_components_of_a_long_chain(spark):
+    """1,000 nodes that share values only with their neighbours, and a hub of 500."""
+    chain = [(i, f"s{j}") for i in range(1000) for j in (i, i + 1)]
+    hub = [(5000 + i, "hub") for i in range(500)] + [(9000, None), (9001, "alone")]
+    got = {r["node"]: r["component"] for r in resolution.components(spark.createDataFrame(chain + hub, "node long, shared string")).collect()}
+    assert all(got[i] == 0 for i in range(1000)) and all(got[5000 + i] == 5000 for i in range(500)) and got[9001] == 9001 and 9000 not in got
+
+
+def test_quantiles_by_ranges(spark):
+    """Exact, over many ranges, with a hot key, ties, a null key and null values."""
+    rng = random.Random(2)
+    rows = [("hot", float(rng.randrange(50))) for _ in range(3000)] + [("one", 5.0), ("two", 1.0), ("two", 2.0), (None, 7.0), ("none", None)]
+    df = spark.createDataFrame(rows, "k string, x double").repartition(6)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    got = {r["k"]: tuple(r)[1:] for r in order.quantiles(df, "k", "x", {"q0": 0.0, "q5": 0.5, "q9": 0.9, "q1": 1.0}).collect()}
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    want = {r["k"]: (r["n"], *r["q"]) for r in df.where("x is not null").groupBy("k").agg(F.count("*").alias("n"), F.percentile("x", [0.0, 0.5, 0.9, 1.0]).alias("q")).collect()}
+    assert got == want and got["two"] == (2, 1.0, 1.5, pytest.approx(1.9), 2.0)

@@ -6,8 +6,12 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 LEVELS = ("NONE", "LOW", "MEDIUM", "HIGH", "CRITICAL")
-#: The frozen list of the most dangerous weaknesses.
-TOP_WEAKNESSES = tuple(f"CWE-{n}" for n in (79, 787, 89, 352, 22, 125, 78, 416, 862, 434, 94, 20, 77, 287, 269, 502, 200, 863, 918, 119, 476, 798, 190, 400, 306))
+#: The frozen list of the most dangerous weaknesses, edition 2025.
+TOP_WEAKNESSES = (
+    "CWE-20", "CWE-22", "CWE-77", "CWE-78", "CWE-79", "CWE-89", "CWE-94", "CWE-120", "CWE-121", "CWE-122", "CWE-125",
+    "CWE-200", "CWE-284", "CWE-306", "CWE-352", "CWE-416", "CWE-434", "CWE-476", "CWE-502", "CWE-639", "CWE-770",
+    "CWE-787", "CWE-862", "CWE-863", "CWE-918",
+)
 ELEVATED_PERCENTILE, ELEVATED_SCORE = 0.90, 0.04
 
 
@@ -33,7 +37,7 @@ def severity(score: Column, version: Column) -> Column:
 def source_severity(label: Column) -> Column:
     """A feed's severity word; unknown is null (FN-26)."""
     t = F.upper(F.trim(label))
-    return F.when(t == "MODERATE", "MEDIUM").when(t.isin("LOW", "MEDIUM", "HIGH", "CRITICAL"), t)
+    return F.when(t == "MODERATE", "MEDIUM").when(t.isin(*LEVELS), t)
 
 
 def cvss_version(label: Column) -> Column:
@@ -62,3 +66,8 @@ def alert_types(applicability: Column, known: Column, kev_before: Column, kev_no
     raised = said(known & before.isin("LOW", "MEDIUM", "HIGH") & (now == "CRITICAL"))
     each = F.array(F.when(new, "new_confirmed_critical_exposure"), F.when(entered, "confirmed_exposure_entered_kev"), F.when(raised, "priority_transition_to_critical"))
     return F.when(applicability == "confirmed", F.filter(each, lambda x: x.isNotNull())).otherwise(F.array().cast("array<string>"))
+
+
+def verdict(threat_class: Column) -> Column:
+    """What a class of the URL classifier says of the URL (FN-40)."""
+    return F.when(threat_class.isNotNull(), F.when(threat_class == "benign", "benign").otherwise("malicious"))

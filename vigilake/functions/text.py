@@ -12,6 +12,12 @@ def clean(c: Column, most: int | None = None) -> Column:
     return t if most is None else F.when(F.length(t) <= most, t)
 
 
+def strict(c: Column, most: int) -> Column:
+    """What is wrong with a field that must be there and fit, null if nothing (FN-06)."""
+    t = clean(c)
+    return F.when(t.isNull(), "missing").when(F.length(t) > most, "too_long")
+
+
 def cve(c: Column) -> Column:
     """CVE identifier (FN-01)."""
     t = F.upper(F.trim(c))
@@ -37,9 +43,22 @@ def cwe_list(c: Column) -> Column:
     return F.array_distinct(F.filter(F.transform(c, cwe), lambda x: x.isNotNull()))
 
 
+#: Words that stand for no weakness.
+CWE_PLACEHOLDERS = ("CWE-NOINFO", "CWE-OTHER", "NVD-CWE-NOINFO", "NVD-CWE-OTHER")
+
+
 def cwe_from_text(c: Column) -> Column:
-    """The first token of free text that is a weakness (FN-04)."""
-    return F.get(F.filter(F.transform(F.split(c, r"[\s,:()\[\]]+"), cwe), lambda x: x.isNotNull()), F.lit(0))
+    """A weakness in any form of a feed: an identifier, a number, or the first token of
+    free text that is one; placeholders are none (FN-04)."""
+    tokens = F.filter(F.transform(F.split(c, r"[\s,:()\[\]]+"), cwe), lambda x: x.isNotNull())
+    found = F.coalesce(cwe(c), F.get(tokens, F.lit(0)))
+    return F.when(~F.upper(clean(c, 500)).isin(*CWE_PLACEHOLDERS), found)
+
+
+def catalog_id(c: Column, prefix: str) -> Column:
+    """`CWE-` or `CAPEC-` identifiers of the catalog, leading zeros gone (FN-05)."""
+    digits = F.regexp_extract(F.upper(F.trim(c)), rf"^(?:{prefix}-)?0*([1-9][0-9]*)$", 1)
+    return F.when(digits != "", F.concat(F.lit(f"{prefix}-"), digits))
 
 
 def flag(c: Column) -> Column:
@@ -93,15 +112,49 @@ def software_name(c: Column) -> Column:
     return F.nullif(F.lower(F.regexp_replace(F.trim(c), r"\s+", " ")), F.lit(""))
 
 
-def package_name(name: Column, ecosystem: Column) -> Column:
-    """PyPI names fold `-_.` runs to `-`; others are software names (FN-23)."""
-    t = software_name(name)
-    return F.when(F.lower(ecosystem) == "pypi", F.regexp_replace(t, r"[-_.]+", "-")).otherwise(t)
+#: Names of ecosystems and what they stand for.
+ECOSYSTEMS = {"pip": "pypi", "pypi": "pypi", "npm": "npm"}
+_FULL_WIDTH = "".join(chr(c) for c in range(0xFF01, 0xFF5F))
+_ASCII = "".join(chr(c - 0xFEE0) for c in range(0xFF01, 0xFF5F))
 
 
-def redacted(c: Column) -> Column:
-    """Error text without bearer tokens, credentials, URIs or long tokens (FN-37)."""
-    t = F.regexp_replace(c, r"(?i)bearer\s+[A-Za-z0-9._~+/=-]+", "Bearer <redacted>")
-    t = F.regexp_replace(t, r"(?i)(password|passwd|secret|token|api[_-]?key)\s*[=:]\s*[^\s,;&]+", "$1=<redacted>")
-    t = F.regexp_replace(t, r"(?i)\b[a-z][a-z0-9+.-]*://[^\s]+", "<uri>")
-    return F.regexp_replace(t, r"\b[A-Za-z0-9_-]{32,}\b", "<token>")
+def ecosystem(c: Column) -> Column:
+    """The name under which components and advisories of an ecosystem meet; null for
+    one that is not matched."""
+    t = F.lower(F.trim(c))
+    out = F.lit(None).cast("string")
+    for alias, name in ECOSYSTEMS.items():
+        out = F.when(t == alias, name).otherwise(out)
+    return out
+
+
+def package_name(name: Column, of: Column) -> Column:
+    """PyPI names fold `-_.` runs to `-`; others are software names. Full-width forms
+    are folded here; other compatibility forms take `unicode.software_name` (FN-23)."""
+    t = software_name(F.translate(name, _FULL_WIDTH, _ASCII))
+    return F.when(ecosystem(of) == "pypi", F.regexp_replace(t, r"[-_.]+", "-")).otherwise(t)
+
+
+REDACTED = "[REDACTED]"
+SECRET_NAMES = (
+    "github_token|access_token|refresh_token|session_token|id_token|api_token|token|api_key|auth_key|client_secret|password|passwd|secret"
+)
+
+
+def redacted(c: Column, most: int = 500) -> Column:
+    """Text without the passwords of URIs, authorization values, secrets that are
+    assigned to a name, and vulnerability identifiers, cut to a length (FN-37)."""
+    t = F.regexp_replace(c, r"([a-zA-Z][a-zA-Z0-9+.-]*://)([^:/@\s]+):[^@\s]+@", rf"$1$2:{REDACTED}@")
+    t = F.regexp_replace(t, r"(?i)\b(authorization\s*:\s*)(?:bearer|token|basic)\s+\S+", rf"$1{REDACTED}")
+    t = F.substring(F.regexp_replace(t, rf"(?i)\b({SECRET_NAMES})(\s*[=:]\s*)[^\s,;&#]+", rf"$1$2{REDACTED}"), 1, most)
+    return F.regexp_replace(t, r"(?i)\bCVE-[A-Z0-9._-]+\b", "[CVE_REDACTED]")
+
+
+def log_summary(c: Column, most: int = 1_000) -> Column:
+    """An error for the log of a job: no URL at all, no secret, no bearer token, no
+    control characters, cut to a length (FN-37)."""
+    t = F.regexp_replace(c, r"[\x00-\x1f\x7f]+", " ")
+    t = F.regexp_replace(t, r"(?i)\b[a-z][a-z0-9+.-]*://\S+", "[redacted-url]")
+    t = F.regexp_replace(t, r"(?i)\b(password|passwd|pwd|token|api[_-]?key|secret|authorization)\b\s*[:=]\s*(?:bearer\s+)?[^\s,;]+", "$1=***")
+    t = F.regexp_replace(t, r"(?i)\bbearer\s+[a-z0-9._~+/=-]+", "Bearer ***")
+    return F.substring(t, 1, most)

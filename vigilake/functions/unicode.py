@@ -56,3 +56,31 @@ def software_name(c: Column) -> Column:
 
     odd = c.rlike(r"[^\x00-\x7f]")
     return text.software_name(F.coalesce(nfkc(F.when(odd, c)), c))
+
+
+def package_name(name: Column, of: Column) -> Column:
+    """`text.package_name` after NFKC, outside of array functions (FN-23)."""
+    return text.package_name(software_name(name), of)
+
+
+def network(c: Column) -> Column:
+    """IP addresses and networks in canonical form, host bits of a network cleared;
+    null for anything else (FN-36). IPv4 addresses and text that cannot be one stay
+    on the native path."""
+
+    @F.pandas_udf("string")
+    def form(values: pd.Series) -> pd.Series:
+        return values.map(_network_form)
+
+    t = F.trim(c)
+    special = t.rlike(r"^[0-9A-Fa-f:.]+(/[0-9]{1,3})?$") & (t.contains(":") | t.contains("/"))
+    return F.when(special, form(F.when(special, t))).when(t.rlike(urls.IPV4), t)
+
+
+def _network_form(value: str | None) -> str | None:
+    if value is None:
+        return None
+    try:
+        return str(ipaddress.ip_network(value, strict=False)) if "/" in value else str(ipaddress.ip_address(value))
+    except ValueError:
+        return None

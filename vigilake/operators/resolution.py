@@ -8,25 +8,30 @@ from pyspark.sql import functions as F
 from vigilake.session import cut
 
 
-def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
+def components(links: DataFrame) -> DataFrame:
     """(node, shared) -> (node, component): nodes that share any value, directly or
     through others, get their smallest node (ER-01).
 
-    The graph stays bipartite: a shared value takes the least label of its nodes
-    and gives it back, so a value shared by many nodes costs one row for each,
-    not one for each pair. Minima are pre-aggregated; every round is written to
-    the shared folder.
+    Each shared value becomes a star around its smallest node, so a value of many
+    nodes costs one row for each, not one for each pair. Labels move over these links
+    and then jump to the label's own label: a chain of n nodes takes about log n
+    rounds, and rounds go on until nothing moves. Minima are pre-aggregated; every
+    round is written to the shared folder.
     """
-    links = cut(links.select("node", "shared").distinct(), "links")
-    labels = links.groupBy("node").agg(F.min("node").alias("label"))
-    for _ in range(most_rounds):
-        least = links.join(labels, "node").groupBy("shared").agg(F.min("label").alias("least"))
-        back = links.join(least, "shared").groupBy("node").agg(F.min("least").alias("least"))
-        stepped = cut(labels.join(back, "node").select("node", F.least("label", "least").alias("label"), (F.col("least") < F.col("label")).alias("moved")), "labels")
+    links = cut(links.where("node IS NOT NULL AND shared IS NOT NULL").select("node", "shared").distinct(), "links")
+    hubs = links.groupBy("shared").agg(F.min("node").alias("hub"))
+    star = links.join(hubs, "shared").where("node <> hub").select("node", "hub")
+    both = cut(star.unionByName(star.select(F.col("hub").alias("node"), F.col("node").alias("hub"))).distinct(), "star")
+    labels = cut(links.groupBy("node").agg(F.min("node").alias("label")), "labels")
+    while True:  # labels only fall, so this ends
+        seen = both.join(labels.withColumnRenamed("node", "hub"), "hub").groupBy("node").agg(F.min("label").alias("near"))
+        moved = labels.join(seen, "node", "left").select("node", "label", F.least("label", "near").alias("new"))
+        jump = labels.select(F.col("node").alias("new"), F.col("label").alias("far"))
+        new = F.least("new", "far")
+        stepped = cut(moved.join(jump, "new", "left").select("node", new.alias("label"), (new < F.col("label")).alias("moved")), "labels")
         labels = stepped.select("node", "label")
         if stepped.where("moved").isEmpty():
             return labels.withColumnRenamed("label", "component")
-    raise RuntimeError(f"labels still move after {most_rounds} rounds")
 
 
 def aggregates(observations: DataFrame, found: DataFrame) -> DataFrame:

@@ -90,20 +90,25 @@ def weakness_associations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 MACHINE_SQL = f"""WITH {EXPOSURES}, {COMPONENTS}, {MACHINES}, x AS (
   SELECT machine_id, organization_id, vulnerability_id, applicability, is_kev, CASE priority WHEN 'LOW' THEN 1 WHEN 'MEDIUM' THEN 2 WHEN 'HIGH' THEN 3 WHEN 'CRITICAL' THEN 4 ELSE 1 END AS base FROM exposures JOIN components USING (component_id) JOIN machines USING (machine_id) WHERE applicability <> 'not_applicable'),
-s AS (SELECT l_partkey AS vulnerability_id, max(l_discount) >= 0.1 AS elevated FROM lineitem GROUP BY 1),
-p AS (SELECT x.*, CASE WHEN is_kev AND applicability = 'confirmed' THEN 4 ELSE least(base + CASE WHEN elevated THEN 1 ELSE 0 END, 4) END AS r FROM x LEFT JOIN s USING (vulnerability_id))
+s AS (SELECT l_partkey AS vulnerability_id, max(l_discount) * 9 AS percentile, max(l_tax) / 2 AS score, bool_or(l_linenumber = 7) AS weak FROM lineitem GROUP BY 1),
+o AS (SELECT x.*, weak, least(base + CASE WHEN percentile >= 0.9 OR score >= 0.04 THEN 1 ELSE 0 END, 4) AS once FROM x LEFT JOIN s USING (vulnerability_id)),
+p AS (SELECT *, CASE WHEN is_kev AND applicability = 'confirmed' THEN 4 WHEN weak THEN greatest(once, least(once + 1, 3)) ELSE once END AS r FROM o)
 SELECT machine_id, organization_id, count(*) AS n_exposures, count(*) FILTER (r = 4) AS n_critical, count(DISTINCT vulnerability_id) AS n_vulnerabilities, max(r) AS worst FROM p GROUP BY 1, 2"""
 
 
 @query("machine_pipeline", MACHINE_SQL)
 def machine_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Match, severity, priority and totals for every machine in one job (REC-03,
-    REC-04, REC-05)."""
-    scores = table(spark, sf_dir, "lineitem").groupBy(F.col("l_partkey").alias("vulnerability_id")).agg((F.max("l_discount") >= 0.1).alias("elevated"))
+    """Priority by the policy, with forecasts and weaknesses, and totals for every
+    machine in one job (REC-04). Matching, severity, transitions and alerts of the whole
+    pipeline are `processed_exposures`, `processed_transitions`, `processed_alerts`."""
+    weak = F.when(F.bool_or(F.col("l_linenumber") == 7), F.array(F.lit("CWE-79"))).otherwise(F.array(F.lit("CWE-1")))
+    signals = table(spark, sf_dir, "lineitem").groupBy(F.col("l_partkey").alias("vulnerability_id")).agg(
+        (F.max("l_discount") * 9).alias("percentile"), (F.max("l_tax") / 2).alias("score"), weak.alias("cwe_ids"),
+    )
     x = exposures(spark, sf_dir).where("applicability <> 'not_applicable'").join(components(spark, sf_dir).select("component_id", "machine_id"), "component_id")
-    x = x.join(machines(spark, sf_dir).select("machine_id", "organization_id"), "machine_id").join(scores, "vulnerability_id", "left")
-    base = F.greatest(policies.rank(F.col("priority")), F.lit(1))
-    r = F.when(F.col("is_kev") & (F.col("applicability") == "confirmed"), 4).otherwise(F.least(base + F.when(F.col("elevated"), 1).otherwise(0), F.lit(4)))
+    x = x.join(machines(spark, sf_dir).select("machine_id", "organization_id"), "machine_id").join(signals, "vulnerability_id", "left")
+    kev = F.col("is_kev") & (F.col("applicability") == "confirmed")
+    r = policies.rank(policies.priority(F.col("priority"), kev, F.col("percentile"), F.col("score"), F.col("cwe_ids")))
     return x.withColumn("r", r).groupBy("machine_id", "organization_id").agg(
         F.count("*").alias("n_exposures"), F.count_if(F.col("r") == 4).alias("n_critical"), F.count_distinct("vulnerability_id").alias("n_vulnerabilities"), F.max("r").alias("worst"),
     )
@@ -119,11 +124,18 @@ def work_claim(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("event_id", "ts").orderBy("ts", "event_id").limit(500)
 
 
-@query("latest_inventories", """SELECT o_custkey AS machine_uid, arg_max(o_orderkey, (o_orderdate, o_orderkey)) AS inventory_id, max(o_orderdate) AS collected_at, count(*) - 1 AS n_superseded FROM orders GROUP BY 1""")
+@query("latest_inventories", """WITH r AS (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS n FROM orders),
+s AS (SELECT *, max(o_orderdate) OVER (PARTITION BY o_custkey ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS newest FROM r)
+SELECT o_custkey AS machine_uid, o_orderkey AS inventory_id, CASE WHEN newest IS NULL OR o_orderdate > newest THEN 'accepted' WHEN o_orderdate = newest THEN 'timestamp_conflict' ELSE 'stale' END AS outcome FROM s""")
 def latest_inventories(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The accepted inventory of each machine; older ones never win (STR-07)."""
-    o = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("machine_uid"))
-    return o.agg(F.max_by("o_orderkey", F.struct("o_orderdate", "o_orderkey")).alias("inventory_id"), F.max("o_orderdate").alias("collected_at"), (F.count("*") - 1).alias("n_superseded"))
+    """What becomes of each inventory of a machine in order of arrival: accepted if it is
+    newer than all before; of the same time with another id, or older, it is rejected
+    (STR-07)."""
+    o = table(spark, sf_dir, "orders")
+    before = Window.partitionBy("o_custkey").orderBy("o_orderkey").rowsBetween(Window.unboundedPreceding, -1)
+    newest, at = F.max("o_orderdate").over(before), F.col("o_orderdate")
+    outcome = F.when(newest.isNull() | (at > newest), "accepted").when(at == newest, "timestamp_conflict").otherwise("stale")
+    return o.select(F.col("o_custkey").alias("machine_uid"), F.col("o_orderkey").alias("inventory_id"), outcome.alias("outcome"))
 
 
 @query("alert_status_updates", """SELECT event_id, CASE WHEN event_type IN ('view', 'error') AND value >= 40 THEN 'sent' WHEN event_type = 'view' AND value < 5 THEN 'failed' ELSE event_type END AS status FROM events""")
@@ -141,10 +153,16 @@ def actionable_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("l_orderkey", "l_linenumber", F.col("hit").isNotNull().alias("resolved"))
 
 
-@query("three_valued_filter", "SELECT doc_id, lang FROM documents WHERE (lang = 'en') IS TRUE AND (source <> 'src0') IS TRUE")
+@query("three_valued_filter", """WITH b AS (SELECT doc_id, lang = 'en' AS verified, CASE WHEN n_chars % 3 = 0 THEN NULL ELSE source <> 'src0' END AS online FROM documents)
+SELECT doc_id, verified, online, coalesce(verified AND online, false) AS active FROM b WHERE (verified IS TRUE AND online IS TRUE) OR (verified IS NULL OR online IS NULL)""")
 def three_valued_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """IS TRUE of nullable conditions (FLT-03): null is not true."""
-    return table(spark, sf_dir, "documents").where((F.col("lang") == "en") & (F.col("source") != "src0")).select("doc_id", "lang")
+    """IS TRUE of nullable flags (FLT-03): null is not true, and a row whose flag is
+    unknown is not active."""
+    verified, online = F.col("lang") == "en", F.when(F.col("n_chars") % 3 == 0, None).otherwise(F.col("source") != "src0")
+    rows = table(spark, sf_dir, "documents").select("doc_id", verified.alias("verified"), online.alias("online"))
+    true = F.col("verified").eqNullSafe(True) & F.col("online").eqNullSafe(True)
+    unknown = F.col("verified").isNull() | F.col("online").isNull()
+    return rows.withColumn("active", true).where(true | unknown)
 
 
 @query("keep_first_rows", f"""WITH {CANON} SELECT group_key, path, min(page_id) AS page_id FROM c GROUP BY group_key, path""")
@@ -176,17 +194,6 @@ def csv_export(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.csv(path, header=True, schema="page_id long, url string", escape='"', multiLine=True)
 
 
-@query("whole_group_subset", """WITH g AS (SELECT source, count(*) AS n FROM documents WHERE source IS NOT NULL GROUP BY 1), r AS (SELECT source, n, CAST(sum(n) OVER (ORDER BY md5('3:' || source)) AS BIGINT) AS upto, sum(n) OVER () AS total FROM g)
-SELECT source, n, upto FROM r WHERE upto <= total * 0.6""")
-def whole_group_subset(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whole groups in seeded order up to a target size (DS-03, TOP-06); the window
-    holds a row per group."""
-    g = table(spark, sf_dir, "documents").where("source IS NOT NULL").groupBy("source").agg(F.count("*").alias("n"))
-    order = Window.orderBy(F.md5(F.concat(F.lit("3:"), "source"))).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    every = Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    return g.select("source", "n", F.sum("n").over(order).alias("upto"), F.sum("n").over(every).alias("t")).where(F.col("upto") <= F.col("t") * 0.6).drop("t")
-
-
 @query("sample_preparation", f"""WITH {CANON} SELECT sha256(canonical_url) AS sample_id, group_key, CASE WHEN ends_with(host, '.com') THEN 'phishing' WHEN ends_with(host, '.net') THEN 'malware' ELSE 'benign' END AS label,
   CAST(CASE WHEN ends_with(host, '.com') OR ends_with(host, '.net') THEN 1.0 ELSE 0.9 END AS DOUBLE) AS confidence, length(canonical_url) AS url_length FROM c""")
 def sample_preparation(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,18 +11,24 @@ from vigilake.plans.base import COMPONENTS, EXPOSURES, MACHINES, components, exp
 from vigilake.session import table
 
 
-@query("priority_policy", """SELECT l_orderkey, l_linenumber, CASE WHEN l_linestatus = 'F' AND l_returnflag = 'R' THEN 'CRITICAL' ELSE
+#: Weaknesses dealt over exposures: those that raise a priority, and neighbours that do not.
+DEALT = (*policies.TOP_WEAKNESSES, "CWE-1", "CWE-2", "CWE-23", "CWE-80", "CWE-119", "CWE-190", "CWE-269", "CWE-287", "CWE-400", "CWE-798", "CWE-1000", "CWE-7870")
+RAISING = "20 22 77 78 79 89 94 120 121 122 125 200 284 306 352 416 434 476 502 639 770 787 862 863 918"
+
+
+@query("priority_policy", f"""SELECT l_orderkey, l_linenumber, CASE WHEN l_linestatus = 'F' AND l_returnflag = 'R' THEN 'CRITICAL' ELSE
   (['NONE', 'LOW', 'MEDIUM', 'HIGH', 'CRITICAL'])[1 + CASE WHEN w THEN greatest(once, least(once + 1, 3)) ELSE once END] END AS priority FROM (
   SELECT *, least(base + CASE WHEN pct >= 0.90 OR l_tax >= 0.04 THEN 1 ELSE 0 END, 4) AS once FROM (
-    SELECT *, CASE WHEN l_quantity >= 45 THEN 4 WHEN l_quantity >= 30 THEN 3 WHEN l_quantity >= 15 THEN 2 ELSE 1 END AS base, l_discount * 10 AS pct, l_partkey % 7 = 0 AS w FROM lineitem))""")
+    SELECT *, CASE WHEN l_quantity >= 45 THEN 4 WHEN l_quantity >= 30 THEN 3 WHEN l_quantity >= 15 THEN 2 ELSE 1 END AS base, l_discount * 10 AS pct,
+      list_contains(string_split('{RAISING}', ' '), replace(([{", ".join(f"'{w}'" for w in DEALT)}])[1 + l_partkey % {len(DEALT)}], 'CWE-', '')) AS w FROM lineitem))""")
 def priority_policy(spark: SparkSession, sf_dir: str) -> DataFrame:
     """FN-31 over every exposure: severity from the quantity, the forecast from
-    discount and tax, a top weakness on every seventh part."""
-    rows = table(spark, sf_dir, "lineitem").join(F.broadcast(spark.range(1).select(F.array(F.lit("CWE-79")).alias("top"))))
+    discount and tax, every weakness of the list and some others dealt over parts."""
     severity = F.when(F.col("l_quantity") >= 45, "CRITICAL").when(F.col("l_quantity") >= 30, "HIGH").when(F.col("l_quantity") >= 15, "MEDIUM").when(F.col("l_quantity") >= 5, "LOW")
-    weak = F.when(F.col("l_partkey") % 7 == 0, F.col("top")).otherwise(F.array(F.lit("CWE-1")))
+    weak = F.array(F.get(F.array(*map(F.lit, DEALT)), (F.col("l_partkey") % len(DEALT)).cast("int")))
     kev = (F.col("l_linestatus") == "F") & (F.col("l_returnflag") == "R")
-    return rows.select("l_orderkey", "l_linenumber", policies.priority(severity, kev, F.col("l_discount") * 10, F.col("l_tax"), weak).alias("priority"))
+    priority = policies.priority(severity, kev, F.col("l_discount") * 10, F.col("l_tax"), weak)
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", priority.alias("priority"))
 
 
 @query("severity_policy", """SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN CASE WHEN s < 4 THEN 'LOW' WHEN s < 7 THEN 'MEDIUM' ELSE 'HIGH' END
@@ -36,11 +42,16 @@ def severity_policy(spark: SparkSession, sf_dir: str) -> DataFrame:
 HALF = "1998-01-01"
 
 
-def _snapshots(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Exposure state per (machine, vulnerability), before and after a day."""
+def _snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exposure state per (machine, vulnerability), now and before a day (`*0`), in one
+    grouped pass with conditional aggregates."""
     e = exposures(spark, sf_dir).join(components(spark, sf_dir).select("component_id", "machine_id"), "component_id")
-    fold = lambda df: df.groupBy("machine_id", "vulnerability_id").agg(F.max(policies.rank(F.col("priority"))).alias("r"), F.bool_or("is_kev").alias("kev"), F.bool_or(F.col("applicability") == "confirmed").alias("confirmed"))
-    return fold(e.where(F.col("detected_at") < F.lit(HALF).cast("timestamp"))), fold(e)
+    old = F.col("detected_at") < F.lit(HALF).cast("timestamp_ntz")
+    rank, kev = policies.rank(F.col("priority")), F.col("is_kev")
+    return e.groupBy("machine_id", "vulnerability_id").agg(
+        F.max(rank).alias("r"), F.bool_or(kev).alias("kev"), F.bool_or(F.col("applicability") == "confirmed").alias("confirmed"),
+        F.max(F.when(old, rank)).alias("r0"), F.bool_or(F.when(old, kev)).alias("kev0"),
+    )
 
 
 SNAPSHOTS = f"""WITH {EXPOSURES}, {COMPONENTS}, s AS (
@@ -53,11 +64,9 @@ x AS (SELECT machine_id, vulnerability_id, max(r) AS r, bool_or(is_kev) AS kev,
 @query("exposure_transitions", f"""{SNAPSHOTS} SELECT machine_id, vulnerability_id, r0 IS NOT NULL AS known, r0 AS rank_before, r AS rank_now FROM x WHERE r0 IS NULL OR r0 <> r OR kev0 <> kev""")
 def exposure_transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """New or changed exposures between two snapshots (JOIN-14)."""
-    before, after = _snapshots(spark, sf_dir)
-    old = before.select("machine_id", "vulnerability_id", F.col("r").alias("rank_before"), F.col("kev").alias("kev_before"))
-    joined = after.join(old, ["machine_id", "vulnerability_id"], "left")
-    moved = merge.changed(F.col("rank_before"), F.col("r")) | merge.changed(F.col("kev_before"), F.col("kev"))
-    return joined.where(moved).select("machine_id", "vulnerability_id", F.col("rank_before").isNotNull().alias("known"), "rank_before", F.col("r").alias("rank_now"))
+    x = _snapshots(spark, sf_dir)
+    moved = merge.changed(F.col("r0"), F.col("r")) | merge.changed(F.col("kev0"), F.col("kev"))
+    return x.where(moved).select("machine_id", "vulnerability_id", F.col("r0").isNotNull().alias("known"), F.col("r0").alias("rank_before"), F.col("r").alias("rank_now"))
 
 
 @query("alert_candidates", f"""{SNAPSHOTS}, t AS (
@@ -68,9 +77,7 @@ FROM t JOIN customer ON c_custkey = machine_id JOIN supplier ON s_nationkey = c_
 def alert_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Alerts of every transition for each recipient of the machine's tenant
     (FN-32, JOIN-15, FLT-14)."""
-    before, after = _snapshots(spark, sf_dir)
-    old = before.select("machine_id", "vulnerability_id", F.col("r").alias("r0"), F.col("kev").alias("kev0"))
-    t = after.join(old, ["machine_id", "vulnerability_id"], "left")
+    t = _snapshots(spark, sf_dir)
     level = lambda c: policies.named(F.when(F.col(c) >= 0, F.col(c)))
     found = policies.alert_types(F.when(F.col("confirmed"), "confirmed"), F.col("r0").isNotNull(), F.col("kev0"), F.col("kev"), level("r0"), level("r"))
     rows = t.select("machine_id", "vulnerability_id", F.explode(found).alias("alert_type")).join(machines(spark, sf_dir).select("machine_id", "organization_id"), "machine_id")
@@ -212,12 +219,13 @@ def package_reconciliation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joined.groupBy(action.alias("action")).agg(F.count("*").alias("n"))
 
 
-@query("kev_reconciliation", f"""WITH {EXPOSURES}, {COMPONENTS}, kev AS (SELECT DISTINCT p_partkey, lower(regexp_replace(trim(p_brand), '\\s+', ' ', 'g')) AS vendor FROM part WHERE p_size >= 48)
+@query("kev_reconciliation", f"""WITH {EXPOSURES}, {COMPONENTS}, kev AS (SELECT DISTINCT p_partkey FROM part WHERE p_size >= 48)
 SELECT c.component_id, count(DISTINCT k.p_partkey) AS n_kev, bool_or(e.applicability = 'confirmed') AS owned_elsewhere FROM exposures e JOIN components c USING (component_id) JOIN kev k ON k.p_partkey = e.vulnerability_id
 WHERE c.component_type = 'O' GROUP BY c.component_id""")
 def kev_reconciliation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Exact catalog matches of applications, once per vulnerability, keeping who
-    owns the exposure (REC-02, JOIN-09)."""
+    """Exposures of applications to cataloged vulnerabilities, once for each, and whether
+    another rule owns one. The match by vendor and product is `application_matches`, the
+    reconciliation `reconciled_applications`."""
     kev = table(spark, sf_dir, "part").where("p_size >= 48").select(F.col("p_partkey").alias("vulnerability_id")).distinct()
     apps = components(spark, sf_dir).where("component_type = 'O'").select("component_id")
     rows = exposures(spark, sf_dir).join(kev, "vulnerability_id").join(apps, "component_id")
@@ -250,12 +258,15 @@ def explode_json_union(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("set_overlap", """WITH a AS (SELECT DISTINCT user_id FROM events WHERE event_type = 'error'), b AS (SELECT DISTINCT user_id FROM events WHERE event_type = 'purchase' AND value > 50)
-SELECT (SELECT count(*) FROM a) AS n_a, (SELECT count(*) FROM b) AS n_b, (SELECT count(*) FROM (SELECT * FROM a INTERSECT SELECT * FROM b)) AS n_both, (SELECT count(*) FROM (SELECT * FROM a UNION SELECT * FROM b)) AS n_any""")
+SELECT (SELECT count(*) FROM a) AS n_a, (SELECT count(*) FROM b) AS n_b, (SELECT count(*) FROM (SELECT * FROM a INTERSECT SELECT * FROM b)) AS n_both, (SELECT count(*) FROM (SELECT * FROM a UNION SELECT * FROM b)) AS n_any,
+  (SELECT count(*) FROM (SELECT * FROM a EXCEPT SELECT * FROM b)) AS n_only_a, (SELECT count(*) FROM (SELECT * FROM b EXCEPT SELECT * FROM a)) AS n_only_b""")
 def set_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Set sizes, intersection and union (SET-02, SET-04)."""
+    """Set sizes, intersection, union and differences (SET-02, SET-04)."""
     e = table(spark, sf_dir, "events")
     marks = e.groupBy("user_id").agg(F.bool_or(F.col("event_type") == "error").alias("a"), F.bool_or((F.col("event_type") == "purchase") & (F.col("value") > 50)).alias("b"))
-    return marks.agg(F.count_if("a").alias("n_a"), F.count_if("b").alias("n_b"), F.count_if(F.col("a") & F.col("b")).alias("n_both"), F.count_if(F.col("a") | F.col("b")).alias("n_any"))
+    n = lambda c, name: F.count_if(c).alias(name)
+    a, b = F.col("a"), F.col("b")
+    return marks.agg(n(a, "n_a"), n(b, "n_b"), n(a & b, "n_both"), n(a | b, "n_any"), n(a & ~b, "n_only_a"), n(b & ~a, "n_only_b"))
 
 
 @query("run_shares", """WITH d AS (SELECT event_type, strftime(ts, '%Y-%m-%d') AS day, count(*) AS n FROM events GROUP BY 1, 2)

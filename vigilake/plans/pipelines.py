@@ -43,11 +43,11 @@ def identifier_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("event_id", text.cwe(padded).alias("cwe"), text.cve(F.concat(F.lit(" cve-2024-"), F.col("event_id").cast("string"))).alias("cve"), text.flag(word).alias("flag"))
 
 
-@query("redacted_text", r"""SELECT page_id, regexp_replace(regexp_replace('fetch ' || url || ' failed, token=abc', '(?i)\b[a-z][a-z0-9+.-]*://[^\s]+', '<uri>', 'g'),
-  '(?i)(token)\s*[=:]\s*[^\s,;&]+', '\1=<redacted>', 'g') AS message FROM pages""")
+@query("redacted_text", r"""SELECT page_id, 'fetch ' || url || ' failed for [CVE_REDACTED]: Authorization: [REDACTED] api_key=[REDACTED]; ftp://me:[REDACTED]@host/x' AS message FROM pages""")
 def redacted_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Error text without URLs and secrets (FN-37)."""
-    said = F.concat(F.lit("fetch "), F.col("url"), F.lit(" failed, token=abc"))
+    """Error text without secrets, credentials and vulnerability identifiers (FN-37)."""
+    tail = F.lit(" failed for cve-2026-77: Authorization: Basic abc= api_key=k1; ftp://me:pw@host/x")
+    said = F.concat(F.lit("fetch "), F.col("url"), tail)
     return table(spark, sf_dir, "pages").select("page_id", text.redacted(said).alias("message"))
 
 

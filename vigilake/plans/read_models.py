@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from vigilake.functions.policies import rank
 from vigilake.plans.base import COMPONENTS, EXPOSURES, MACHINES, RANK, components, exposures, machines, query
 from vigilake.session import table
 
-ORGANIZATION = 7
 OWNED = f"WITH {EXPOSURES}, {COMPONENTS}, {MACHINES}"
 
 
@@ -77,28 +76,33 @@ def dash_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("machine_list", f"""{OWNED}
-SELECT m.machine_id, m.hostname, count(DISTINCT c.component_id) AS n_components, count(DISTINCT (e.component_id, e.line)) FILTER (e.line IS NOT NULL) AS n_exposures,
+SELECT m.organization_id, m.machine_id, m.hostname, count(DISTINCT c.component_id) AS n_components, count(DISTINCT (e.component_id, e.line)) FILTER (e.line IS NOT NULL) AS n_exposures,
   count(DISTINCT (e.component_id, e.line)) FILTER (e.priority = 'CRITICAL') AS n_critical
 FROM machines m LEFT JOIN components c USING (machine_id) LEFT JOIN exposures e USING (component_id)
-WHERE m.organization_id = {ORGANIZATION} GROUP BY m.machine_id, m.hostname""")
+GROUP BY m.organization_id, m.machine_id, m.hostname""")
 def machine_list(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Machines of a tenant with distinct counts (AGG-04, FLT-01). A line is one
-    exposure, so sums by component stand for distinct counts after the join."""
-    mine = machines(spark, sf_dir).where(F.col("organization_id") == ORGANIZATION)
+    """Machines of every tenant with distinct counts (AGG-04, FLT-01); one tenant's are a
+    filter on organization_id. A line is one exposure, so sums by component stand for
+    distinct counts after the join."""
+    mine = machines(spark, sf_dir)
     parts = components(spark, sf_dir).select("component_id", "machine_id").join(mine.select("machine_id"), "machine_id", "left_semi")
     sums = exposures(spark, sf_dir).groupBy("component_id").agg(F.count_distinct("line").alias("n"), F.count_distinct(F.when(F.col("priority") == "CRITICAL", F.col("line"))).alias("c"))
     per = parts.join(sums, "component_id", "left").groupBy("machine_id").agg(F.count_distinct("component_id").alias("p"), F.sum("n").alias("n"), F.sum("c").alias("c"))
     zero = lambda c, name: F.coalesce(c, F.lit(0)).alias(name)
-    return mine.join(per, "machine_id", "left").select("machine_id", "hostname", zero("p", "n_components"), zero("n", "n_exposures"), zero("c", "n_critical"))
+    return mine.join(per, "machine_id", "left").select("organization_id", "machine_id", "hostname", zero("p", "n_components"), zero("n", "n_exposures"), zero("c", "n_critical"))
 
 
-@query("software_list", f"""WITH {COMPONENTS}, {MACHINES}
-SELECT component_type, ecosystem, os_name, count(DISTINCT machine_id) AS n_machines, count(DISTINCT component_id) AS n_components
-FROM components JOIN machines USING (machine_id) GROUP BY ALL""")
+@query("software_list", f"""{OWNED}
+SELECT component_type, ecosystem, os_name, count(DISTINCT machine_id) AS n_machines, count(DISTINCT component_id) AS n_components, count(DISTINCT vulnerability_id) AS n_vulnerabilities,
+  count(*) FILTER (priority = 'CRITICAL') AS n_critical, max(seen_at) AS last_seen_at
+FROM components JOIN machines USING (machine_id) LEFT JOIN exposures USING (component_id) GROUP BY component_type, ecosystem, os_name""")
 def software_list(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Grouped by nullable columns (AGG-05)."""
-    rows = components(spark, sf_dir).join(machines(spark, sf_dir), "machine_id")
-    return rows.groupBy("component_type", "ecosystem", "os_name").agg(F.count_distinct("machine_id").alias("n_machines"), F.count_distinct("component_id").alias("n_components"))
+    """Grouped by nullable columns, with exposures of components that have any (AGG-05)."""
+    rows = components(spark, sf_dir).join(machines(spark, sf_dir), "machine_id").join(exposures(spark, sf_dir), "component_id", "left")
+    return rows.groupBy("component_type", "ecosystem", "os_name").agg(
+        F.count_distinct("machine_id").alias("n_machines"), F.count_distinct("component_id").alias("n_components"), F.count_distinct("vulnerability_id").alias("n_vulnerabilities"),
+        F.count_if(F.col("priority") == "CRITICAL").alias("n_critical"), F.max("seen_at").alias("last_seen_at"),
+    )
 
 
 @query("vuln_summary", f"""WITH {EXPOSURES}, {COMPONENTS}
@@ -127,30 +131,31 @@ def vuln_page_by_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.orderBy(F.desc("priority_rank"), F.desc("is_kev"), "vulnerability_id").limit(50)
 
 
-@query("machine_exposures_by_text", f"""{OWNED}
-SELECT component_id, line, vulnerability_id, priority FROM exposures JOIN components USING (component_id)
-WHERE machine_id = 10 ORDER BY priority DESC NULLS LAST, component_id, line LIMIT 100""")
+@query("machine_exposures_by_text", f"""{OWNED}, r AS (SELECT machine_id, component_id, line, vulnerability_id, priority, row_number() OVER (PARTITION BY machine_id ORDER BY priority DESC NULLS LAST, component_id, line, vulnerability_id) AS place
+FROM exposures JOIN components USING (component_id)) SELECT * FROM r WHERE place <= 100""")
 def machine_exposures_by_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The machine detail's exposures in its text order of priority (Q3)."""
-    mine = components(spark, sf_dir).where("machine_id = 10").select("component_id")
-    rows = exposures(spark, sf_dir).join(mine, "component_id").select("component_id", "line", "vulnerability_id", "priority")
-    return rows.orderBy(F.col("priority").desc_nulls_last(), "component_id", "line").limit(100)
+    """Every machine's first 100 exposures in the text order of priority (FLT-16), the
+    page that its detail view shows."""
+    rows = exposures(spark, sf_dir).join(components(spark, sf_dir).select("component_id", "machine_id"), "component_id")
+    place = F.row_number().over(Window.partitionBy("machine_id").orderBy(F.col("priority").desc_nulls_last(), "component_id", "line", "vulnerability_id"))
+    return rows.select("machine_id", "component_id", "line", "vulnerability_id", "priority", place.alias("place")).where("place <= 100")
 
 
 @query("machine_detail", f"""{OWNED}
-SELECT machine_id, any_value(hostname) AS hostname, string_agg(DISTINCT component_type, ',' ORDER BY component_type) AS component_types,
-  count(DISTINCT component_id) AS n_components, max(seen_at) AS last_seen_at,
+SELECT organization_id, machine_id, any_value(hostname) AS hostname, count(DISTINCT component_id) AS n_components, max(seen_at) AS last_seen_at,
+  string_agg(DISTINCT lower(component_type) || '/' || coalesce(ecosystem, '') || '/' || component_id, ',' ORDER BY lower(component_type) || '/' || coalesce(ecosystem, '') || '/' || component_id) AS components,
   string_agg(DISTINCT CAST(vulnerability_id AS VARCHAR), ',' ORDER BY CAST(vulnerability_id AS VARCHAR)) AS vulnerabilities
-FROM exposures JOIN components USING (component_id) JOIN machines USING (machine_id) WHERE organization_id = {ORGANIZATION} GROUP BY machine_id""")
+FROM exposures JOIN components USING (component_id) JOIN machines USING (machine_id) GROUP BY organization_id, machine_id""")
 def machine_detail(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A nested document per machine, here as sorted text (detail read models, TOP-04)."""
-    joined = lambda c: F.array_join(F.array_sort(F.collect_set(F.col(c).cast("string"))), ",")
-    mine = machines(spark, sf_dir).where(F.col("organization_id") == ORGANIZATION)
-    rows = exposures(spark, sf_dir).join(components(spark, sf_dir), "component_id").join(mine, "machine_id")
-    return rows.groupBy("machine_id").agg(
-        F.first("hostname").alias("hostname"), joined("component_type").alias("component_types"), F.count_distinct("component_id").alias("n_components"),
-        F.max("seen_at").alias("last_seen_at"), joined("vulnerability_id").alias("vulnerabilities"),
+    """A nested document per machine, its parts in (lower(name), version or '', id)
+    order, given here as text so that SQL can be compared (TOP-04)."""
+    rows = exposures(spark, sf_dir).join(components(spark, sf_dir), "component_id").join(machines(spark, sf_dir), "machine_id")
+    part = F.struct(F.concat_ws("/", F.lower("component_type"), F.coalesce("ecosystem", F.lit("")), F.col("component_id").cast("string")).alias("label"))
+    nested = rows.groupBy("organization_id", "machine_id").agg(
+        F.first("hostname").alias("hostname"), F.count_distinct("component_id").alias("n_components"), F.max("seen_at").alias("last_seen_at"),
+        F.array_sort(F.collect_set(part)).alias("components"), F.array_sort(F.collect_set(F.col("vulnerability_id").cast("string"))).alias("vulnerabilities"),
     )
+    return nested.withColumns({"components": F.array_join(F.transform("components", lambda x: x["label"]), ","), "vulnerabilities": F.array_join("vulnerabilities", ",")})
 
 
 @query("search_components", f"""WITH {COMPONENTS}, {MACHINES}
@@ -174,26 +179,35 @@ def keyset_page(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("tenant_scope_check", f"""{OWNED}
-SELECT e.component_id, e.line FROM exposures e WHERE e.vulnerability_id = 17 AND NOT EXISTS (
-  SELECT 1 FROM components c JOIN machines m USING (machine_id) WHERE c.component_id = e.component_id AND m.organization_id = {ORGANIZATION})""")
+SELECT e.component_id, e.line, e.vulnerability_id FROM exposures e WHERE NOT EXISTS (
+  SELECT 1 FROM components c JOIN machines m USING (machine_id) WHERE c.component_id = e.component_id AND m.organization_id = e.vulnerability_id % 25)""")
 def tenant_scope_check(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Requested exposures outside the tenant (JOIN-19, SNK-12)."""
-    asked = exposures(spark, sf_dir).where("vulnerability_id = 17").select("component_id", "line")
-    mine = components(spark, sf_dir).join(machines(spark, sf_dir).where(F.col("organization_id") == ORGANIZATION), "machine_id").select("component_id")
-    return asked.join(mine, "component_id", "left_anti")
-
-
-@query("canonical_metrics", f"""WITH {EXPOSURES}, v AS (SELECT p_partkey, bool_or(e.is_kev) AS kev, bool_or(e.applicability = 'confirmed') AS confirmed, count(DISTINCT e.source_id) AS sources
-  FROM part LEFT JOIN exposures e ON e.vulnerability_id = p_partkey GROUP BY p_partkey)
-SELECT count(*) AS n_total, count(*) FILTER (sources > 0) AS n_observed, count(*) FILTER (coalesce(kev, false)) AS n_kev,
-  count(*) FILTER (coalesce(confirmed, false)) AS n_confirmed, count(*) FILTER (sources >= 2) AS n_many_sources, count(*) FILTER (sources = 0) AS n_orphan FROM v""")
+    """Requested exposures outside the tenant that asked (JOIN-19, SNK-12), joined on
+    component and tenant; here every exposure is asked for, by a tenant of its own."""
+    asked = exposures(spark, sf_dir).select("component_id", "line", "vulnerability_id", (F.col("vulnerability_id") % 25).cast("int").alias("organization_id"))
+    mine = components(spark, sf_dir).join(machines(spark, sf_dir), "machine_id").select("component_id", "organization_id")
+    return asked.join(mine, ["component_id", "organization_id"], "left_anti").select("component_id", "line", "vulnerability_id")
+
+
+@query("canonical_metrics", f"""WITH {EXPOSURES}, v AS (SELECT p_partkey, starts_with(p_name, 'a') OR p_size > 20 AS has_cve, p_size > 30 AS primary_cve, p_size < 5 AS primary_other,
+    coalesce(bool_or(e.is_kev), false) AS has_cwe, coalesce(bool_or(e.applicability = 'confirmed'), false) AS has_epss, count(DISTINCT e.source_id) AS sources
+  FROM part LEFT JOIN exposures e ON e.vulnerability_id = p_partkey GROUP BY ALL)
+SELECT count(*) AS n_total, count(*) FILTER (has_cve) AS n_cve, count(*) FILTER (NOT has_cve) AS n_without_cve, count(*) FILTER (primary_cve) AS n_primary_cve, count(*) FILTER (primary_other) AS n_primary_other,
+  count(*) FILTER (has_cve AND has_cwe) AS n_cve_cwe, count(*) FILTER (has_cve AND NOT has_cwe) AS n_cve_no_cwe, count(*) FILTER (has_cve AND has_epss) AS n_cve_epss, count(*) FILTER (has_cve AND NOT has_epss) AS n_cve_no_epss,
+  count(*) FILTER (has_cve AND (has_cwe OR has_epss)) AS n_cve_any, count(*) FILTER (has_cve AND NOT has_cwe AND NOT has_epss) AS n_cve_none, count(*) FILTER (has_cve AND sources > 1) AS n_multi_source, count(*) FILTER (has_cve AND sources <= 1) AS n_single_source FROM v""")
 def canonical_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Flags per canonical record, then filtered counts (AGG-06, JOIN-18)."""
+    """Flags per canonical record, then a total and twelve filtered counts (AGG-06,
+    JOIN-18)."""
     e = exposures(spark, sf_dir).groupBy("vulnerability_id").agg(F.bool_or("is_kev").alias("kev"), F.bool_or(F.col("applicability") == "confirmed").alias("confirmed"), F.count_distinct("source_id").alias("sources"))
-    v = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("vulnerability_id")).join(e, "vulnerability_id", "left")
-    n = lambda c, name: F.count_if(F.coalesce(c, F.lit(False))).alias(name)
-    sources = F.coalesce("sources", F.lit(0))
-    return v.agg(F.count("*").alias("n_total"), n(sources > 0, "n_observed"), n(F.col("kev"), "n_kev"), n(F.col("confirmed"), "n_confirmed"), n(sources >= 2, "n_many_sources"), n(sources == 0, "n_orphan"))
+    v = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("vulnerability_id"), "p_name", "p_size").join(e, "vulnerability_id", "left")
+    said = lambda c: F.coalesce(c, F.lit(False))
+    cve, cwe, epss = F.col("p_name").startswith("a") | (F.col("p_size") > 20), said(F.col("kev")), said(F.col("confirmed"))
+    many = F.coalesce("sources", F.lit(0)) > 1
+    counts = {
+        "n_cve": cve, "n_without_cve": ~cve, "n_primary_cve": F.col("p_size") > 30, "n_primary_other": F.col("p_size") < 5, "n_cve_cwe": cve & cwe, "n_cve_no_cwe": cve & ~cwe,
+        "n_cve_epss": cve & epss, "n_cve_no_epss": cve & ~epss, "n_cve_any": cve & (cwe | epss), "n_cve_none": cve & ~cwe & ~epss, "n_multi_source": cve & many, "n_single_source": cve & ~many,
+    }
+    return v.agg(F.count("*").alias("n_total"), *[F.count_if(c).alias(name) for name, c in counts.items()])
 
 
 @query("set_status_histogram", "SELECT o_orderstatus AS status, count(*) AS n FROM orders GROUP BY o_orderstatus")
