@@ -310,6 +310,37 @@ def test_em_finds_the_planted_rules():
     assert quality.posterior((quality.GOOD,) * 4, prior, odds) > 0.99 and quality.posterior((quality.BAD,) * 4, prior, odds) < 0.01
 
 
+def test_em_equals_a_plain_loop(spark, docs):
+    """The fit again, pattern by pattern, and every posterior from it."""
+    import math
+
+    voted = quality.measures(docs).withColumn("votes", F.array(*[r.vote() for r in quality.RULES]))
+    votes = {r["doc_id"]: tuple(r["votes"]) for r in voted.select("doc_id", "votes").collect()}
+    seen = sorted(collections.Counter(votes.values()).items())
+    n, prior = len(quality.RULES), 0.85
+    odds = [{1: (0.9, 0.4), -1: (0.01, 0.4), 0: (0.09, 0.2)} for _ in range(n)]
+
+    def posterior(v):
+        z = math.log(prior / (1 - prior)) + sum(math.log(o[x][0] / o[x][1]) for o, x in zip(odds, v, strict=True))
+        return 1 / (1 + math.exp(-min(max(z, -500), 500)))
+
+    for _ in range(quality.ROUNDS):
+        sums, good = [{x: [1.0, 1.0] for x in (1, -1, 0)} for _ in range(n)], 0.0
+        for v, count in seen:
+            p = posterior(v)
+            good += p * count
+            for j, x in enumerate(v):
+                sums[j][x][0] += p * count
+                sums[j][x][1] += (1 - p) * count
+        prior, odds = min(max(good / sum(c for _, c in seen), 0.5), 0.95), []
+        for t in sums:
+            alarm, hit = min(t[-1][0] / sum(t[x][0] for x in t), 0.02), max(t[-1][1] / sum(t[x][1] for x in t), 0.2)
+            odds.append({-1: (alarm, hit)} | {x: ((1 - alarm) * t[x][0] / (t[1][0] + t[0][0]), (1 - hit) * t[x][1] / (t[1][1] + t[0][1])) for x in (1, 0)})
+    for r in quality.judge(docs).collect():
+        want = posterior(votes[r["doc_id"]])
+        assert abs(r["quality"] - want) < 1e-6 and r["kept"] == (not r["base_failed"] and want >= 0.5)
+
+
 def test_bpe_equals_library(docs, texts, tokenizer):
     for r in bpe.encode(docs).collect():
         ids = tokenizer.encode(texts[r["doc_id"]] or "", add_special_tokens=False).ids

@@ -9,6 +9,7 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -63,8 +64,8 @@ PRIOR = (0.5, 0.95)
 def _repeated(words: Column) -> Column:
     """Words inside 3-word windows that occur twice or more in the text.
 
-    Windows are compared by 64-bit hash and sorted with their places, so equal
-    ones are neighbours: n log n for any text, however repetitive.
+    Windows are sorted by 64-bit hash with their places, so equal ones are neighbours,
+    and neighbours are compared word by word: n log n for any text, however repetitive.
     """
 
     def places(hashes: Column) -> Column:
@@ -72,7 +73,9 @@ def _repeated(words: Column) -> Column:
         window = lambda i: F.struct(F.xxhash64(F.get(hashes, i), F.get(hashes, i + 1), F.get(hashes, i + 2)).alias("h"), i.alias("i"))
 
         def again(s: Column) -> Column:
-            near = lambda x, k: F.coalesce(F.get(s, k)["h"] == x["h"], F.lit(False))
+            word = lambda i, j: F.get(words, i) == F.get(words, j)
+            alike = lambda i, j: word(i, j) & word(i + 1, j + 1) & word(i + 2, j + 2)
+            near = lambda x, k: F.coalesce((F.get(s, k)["h"] == x["h"]) & alike(F.get(s, k)["i"], x["i"]), F.lit(False))
             twice = F.filter(s, lambda x, k: near(x, k - 1) | near(x, k + 1))
             first = F.transform(twice, lambda x: x["i"])
             covered = F.concat(first, F.transform(first, lambda i: i + 1), F.transform(first, lambda i: i + 2))
@@ -123,28 +126,31 @@ def fit(patterns: list[tuple[tuple[int, ...], int]], n_rules: int, rounds: int =
     """EM over (votes, count): the prior of good and, for each rule and vote,
     P(vote | good) and P(vote | bad). The start says that rules are mostly right
     and that most documents are good; the bounds keep that meaning of the two
-    classes. Sums run in sorted order, so that reruns agree."""
+    classes. Sums run over sorted patterns, so that reruns agree; a round is a few
+    array operations, however many patterns there are."""
     patterns = sorted(patterns)
-    everything = sum(c for _, c in patterns) or 1
-    prior = 0.85
-    odds = [{GOOD: (0.9, 0.4), BAD: (0.01, 0.4), NONE: (0.09, 0.2)} for _ in range(n_rules)]
+    kinds = (GOOD, BAD, NONE)
+    votes = np.array([v for v, _ in patterns], np.int64).reshape(len(patterns), n_rules)
+    counts = np.array([c for _, c in patterns], float)
+    cast = np.stack([votes == k for k in kinds], axis=2).astype(float)  # pattern, rule, kind of vote
+    prior, good, bad = 0.85, np.tile([0.9, 0.01, 0.09], (n_rules, 1)), np.tile([0.4, 0.4, 0.2], (n_rules, 1))
     for _ in range(rounds):
-        sums = [{v: [1.0, 1.0] for v in (GOOD, BAD, NONE)} for _ in range(n_rules)]
-        good_sum = 0.0
-        for votes, count in patterns:
-            p = posterior(votes, prior, odds)
-            good_sum += p * count
-            for j, v in enumerate(votes):
-                sums[j][v][0] += p * count
-                sums[j][v][1] += (1 - p) * count
-        prior = min(max(good_sum / everything, PRIOR[0]), PRIOR[1])
-        odds = []
-        for s in sums:
-            of_good, of_bad = sum(s[v][0] for v in s), sum(s[v][1] for v in s)
-            alarm, hit = min(s[BAD][0] / of_good, FALSE_ALARM), max(s[BAD][1] / of_bad, LEAST_HIT)
-            rest_good, rest_bad = s[GOOD][0] + s[NONE][0], s[GOOD][1] + s[NONE][1]
-            odds.append({BAD: (alarm, hit)} | {v: ((1 - alarm) * s[v][0] / rest_good, (1 - hit) * s[v][1] / rest_bad) for v in (GOOD, NONE)})
-    return prior, odds
+        z = math.log(prior / (1 - prior)) + np.einsum("prk,rk->p", cast, np.log(good / bad))
+        p = 1 / (1 + np.exp(-np.clip(z, -500, 500)))
+        prior = min(max(float((p * counts).sum() / (counts.sum() or 1)), PRIOR[0]), PRIOR[1])
+        good = 1 + np.einsum("prk,p->rk", cast, p * counts)
+        bad = 1 + np.einsum("prk,p->rk", cast, (1 - p) * counts)
+        alarm = np.minimum(good[:, 1] / good.sum(axis=1), FALSE_ALARM)
+        hit = np.maximum(bad[:, 1] / bad.sum(axis=1), LEAST_HIT)
+        good = _with_bad(good, alarm)
+        bad = _with_bad(bad, hit)
+    return prior, [{k: (float(good[j, i]), float(bad[j, i])) for i, k in enumerate(kinds)} for j in range(n_rules)]
+
+
+def _with_bad(sums: np.ndarray, share: np.ndarray) -> np.ndarray:
+    """Shares of votes (good, bad, none) with that of bad votes as given."""
+    rest = (1 - share) / (sums[:, 0] + sums[:, 2])
+    return np.stack([sums[:, 0] * rest, share, sums[:, 2] * rest], axis=1)
 
 
 def posterior(votes: tuple[int, ...], prior: float, odds: list[dict[int, tuple[float, float]]]) -> float:
