@@ -157,7 +157,7 @@ def test_advisories(spark, tmp_path):
 
 def test_inventory_and_benign(spark, tmp_path):
     inv = {"schema_version": "inventory/v1", "inventory_id": "i1", "collected_at": "2024-01-01T00:00:00Z", "machine": {"machine_uid": "m1"}, "components": [{"component_type": "application", "name": " My  App "}, {"component_type": "package", "ecosystem": "pypi", "package_name": "A.B"}, {"component_type": "package", "package_name": "x"}, {"component_type": "driver"}]}
-    feed = feeds.inventories(spark, put(tmp_path / "i.json", [inv]))
+    feed = feeds.inventories(spark, put(tmp_path / "i.json", [inv]), exact=False)
     assert sorted(r["normalized_name"] for r in feed.valid.collect()) == ["a-b", "my app"]
     assert reasons(feed) == ["package_without_ecosystem", "unknown_component_type"]
     csv = "url,registered_domain,source_rank,source_snapshot,observed_at\nhttps://www.a.org/x,a.org,3,s,2024-01-01T00:00:00Z\nhttps://b.org/,a.org,3,s,2024-01-01T00:00:00Z\nhttps://a.org/,a.org,0,s,2024-01-01T00:00:00Z\n"
@@ -202,3 +202,37 @@ def test_quantiles_by_ranges(spark):
     spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     want = {r["k"]: (r["n"], *r["q"]) for r in df.where("x is not null").groupBy("k").agg(F.count("*").alias("n"), F.percentile("x", [0.0, 0.5, 0.9, 1.0]).alias("q")).collect()}
     assert got == want and got["two"] == (2, 1.0, 1.5, pytest.approx(1.9), 2.0)
+
+
+def test_inventory_keys_are_exact(spark, tmp_path):
+    app = {"component_type": "application", "name": "A", "version": None, "vendor": None, "external_id": None, "detected_by": "x"}
+    package = {"component_type": "package", "ecosystem": "pip", "package_name": "Foo_Bar", "version": "1", "scope": "user", "detected_by": "x"}
+    inv = {"schema_version": "Inventory/V1", "inventory_id": "i1", "collected_at": "2026-01-01T00:00:00Z", "agent": {"name": "a", "version": "1"}, "machine": {"machine_uid": "m1"}, "components": [app, package, dict(app, extra=1), {k: v for k, v in package.items() if k != "scope"}]}
+    feed = feeds.inventories(spark, put(tmp_path / "i.json", [inv, dict(inv, more=1), {k: v for k, v in inv.items() if k != "agent"}]))
+    assert sorted((r["normalized_name"], r["ecosystem"]) for r in feed.valid.collect()) == [("a", None), ("foo-bar", "pypi")]
+    assert reasons(feed) == ["wrong_component_keys"] * 2 + ["wrong_keys"] * 8
+
+
+def test_feeds_of_odd_shapes(spark, tmp_path):
+    """Network details, partial snapshots, CVSS versions of vectors, nested locations,
+    relations of weaknesses, headers."""
+    details = [{"ip_address": "2001:DB8::0:1", "cidr_block": "10.1.2.3/8", "rir": " RIPE ", "country": "de"}] * 2 + [{"ip_address": "999.1.1.1", "country": "xx"}, {"ip_address": "1.2.3.4", "country": "Germany"}]
+    phish = [{"phish_id": str(i), "url": "http://bücher.example/", "submission_time": "2026-01-01T00:00:00Z", "details": details} for i in (3, 1, 2)]
+    feed = feeds.phishing(spark, put(tmp_path / "p.json", phish), limit=2)
+    got = {r["phish_id"]: r for r in feed.valid.collect()}
+    assert set(got) == {1, 2} and not got[1]["snapshot_complete"] and got[1]["canonical_url"] == "http://xn--bcher-kva.example/"
+    assert [tuple(n) for n in got[1]["network"]] == [("2001:db8::1", "10.0.0.0/8", "ripe", "DE"), ("1.2.3.4", None, None, None)]
+
+    a = {"ghsa_id": "GHSA-23cf-gh4v-56pq", "updated_at": "2026-01-01T00:00:00Z", "cvss": {"score": 5.0, "vector_string": "CVSS:3.0/x"}, "source_code_location": {"url": "u1", "location": ["l1", {"path": "p1"}]}}
+    a["vulnerabilities"] = [{"package": {"ecosystem": "pip", "name": "A_b"}, "source_code_location": "u2"}, {"package": {"ecosystem": "pip", "name": "C"}, "source_code_location": ["u1", "  "]}]
+    (r,) = feeds.advisories(spark, put(tmp_path / "a.json", [a])).valid.collect()
+    assert r["primary_metric"]["version"] == "3.0" and r["source_locations"] == ["u1", "l1", "p1", "u2"] and [p["ecosystem"] for p in r["packages"]] == ["pypi", "pypi"]
+
+    w = {"ID": "079", "Name": "n", "RelatedWeaknesses": [{"Nature": "ChildOf", "CweID": "0074"}, {"Nature": "x", "CweID": "?"}], "RelatedAttackPatterns": ["063", "CAPEC-63"], "AlternateTerms": ["XSS", {"Term": "HTML injection"}], "MappingNotes": {"Usage": "Allowed"}}
+    (r,) = feeds.weaknesses(spark, put(tmp_path / "w.json", {"Weaknesses": [w, w]})).valid.collect()
+    assert (r["cwe_id"], r["related"][0]["cwe_id"], len(r["related"]), r["attack_patterns"], r["terms"], r["mapping_usage"]) == ("CWE-79", "CWE-74", 1, ["CAPEC-63"], ["XSS", "HTML injection"], "Allowed")
+
+    more = "more,observed_at,source_snapshot,source_rank,registered_domain,url\n1,2026-01-01T00:00:00Z,s,3,a.org,https://www.a.org/x\n"
+    assert feeds.benign_candidates(spark, put(tmp_path / "b.csv", more)).valid.first()["rank"] == 3
+    with pytest.raises(ValueError, match="observed_at"):
+        feeds.benign_candidates(spark, put(tmp_path / "c.csv", "url,registered_domain,source_rank,source_snapshot\n"))

@@ -12,8 +12,13 @@ from pyspark.sql import functions as F
 
 
 def insert_ignore(stored: DataFrame, incoming: DataFrame, keys: list[str]) -> DataFrame:
-    """Rows of `incoming` whose key is new, one for each key (SNK-01/02/15/18)."""
-    return incoming.dropDuplicates(keys).join(stored.select(*keys).distinct(), keys, "left_anti")
+    """Rows of `incoming` whose key is new, one for each key: the least by its other
+    columns in their order (SNK-01/02/15/18)."""
+    new = incoming.join(stored.select(*keys).distinct(), keys, "left_anti")
+    rest = [c for c in incoming.columns if c not in keys]
+    if not rest:
+        return new.distinct()
+    return new.groupBy(*keys).agg(F.min(F.struct(*rest)).alias("_one")).select(*[F.col(c) if c in keys else F.col(f"_one.{c}").alias(c) for c in incoming.columns])
 
 
 def conflicts(incoming: DataFrame, keys: list[str], values: list[str]) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from vigilake.functions import text, urls, versions
 from vigilake.plans.base import query
 from vigilake.plans.url_dataset import canonical_pages
-from vigilake.session import scratch_path, table
+from vigilake.session import cut, scratch_path, table
 from vigilake.streaming import ingest
 
 
@@ -51,6 +51,9 @@ def redacted_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", text.redacted(said).alias("message"))
 
 
+N_FOLDS = 5
+
+
 @query("url_classifier_folds")
 def url_classifier_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Multinomial logistic regression on the 13 features, scaled, with balanced
@@ -59,20 +62,21 @@ def url_classifier_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = canonical_pages(spark, sf_dir)
     language = F.regexp_extract(urls.part(F.col("canonical_url"), 3), "^/([a-z]{2})/", 1)
     codes = F.when(language == "en", 0).when(language == "de", 1).when(language == "fr", 2).when(language == "es", 3).otherwise(4).cast("double")
-    fold = F.pmod(F.xxhash64("host"), F.lit(3)).cast("int")
+    fold = F.pmod(F.xxhash64("host"), F.lit(N_FOLDS)).cast("int")
     rows = c.select(*urls.features(F.col("canonical_url")), codes.alias("label"), fold.alias("fold"))
     names = [n for n in rows.columns if n not in ("label", "fold")]
-    rows = VectorAssembler(inputCols=names, outputCol="raw").transform(rows).select("raw", "label", "fold").persist()
+    rows = VectorAssembler(inputCols=names, outputCol="raw").transform(rows).select("raw", "label", "fold")
+    rows = cut(rows, "folds")
     sizes = rows.groupBy("fold", "label").count()
     out = None
-    for k in range(3):
+    for k in range(N_FOLDS):
         train, held = rows.where(F.col("fold") != k), rows.where(F.col("fold") == k)
         if train.select("label").distinct().limit(2).count() < 2:
             continue
         per = sizes.where(F.col("fold") != k).groupBy("label").agg(F.sum("count").alias("n"))
         weight = F.broadcast(per.select("label", (1.0 / F.col("n")).alias("weight")))  # a row per class
         scaler = StandardScaler(inputCol="raw", outputCol="features", withMean=True).fit(train)
-        model = LogisticRegression(family="multinomial", weightCol="weight", maxIter=30).fit(scaler.transform(train.join(weight, "label")))
+        model = LogisticRegression(family="multinomial", weightCol="weight", maxIter=60).fit(scaler.transform(train.join(weight, "label")))
         scored = model.transform(scaler.transform(held)).groupBy("label", "prediction").count()
         hit = F.sum(F.when(F.col("label") == F.col("prediction"), F.col("count")).otherwise(0))
         true = scored.groupBy("label").agg(F.sum("count").alias("t"), hit.alias("tp"))

@@ -16,6 +16,8 @@ from vigilake.operators.merge import insert_ignore
 from vigilake.sources.feeds import payload_id
 
 KEYS = ["source", "record_id", "payload_hash"]
+#: Folders that stored keys are dealt over by hash.
+KEY_SHARDS = 64
 
 
 def exists(spark: SparkSession, path: str) -> bool:
@@ -25,15 +27,24 @@ def exists(spark: SparkSession, path: str) -> bool:
 
 def land(batch: DataFrame, batch_id: int, table_path: str, source: str) -> None:
     """One micro-batch of (record_id, payload) into the raw table at `table_path`
-    (a folder for each batch, so a repeated batch replaces its own rows)."""
+    (a folder for each batch, so a repeated batch replaces its own rows). Keys are kept
+    apart, by hash, so that a batch meets stored keys and never stored payloads."""
     spark = batch.sparkSession
     rows = batch.select(F.lit(source).alias("source"), "record_id", F.sha2("payload", 256).alias("payload_hash"), "payload", payload_id(source, F.col("record_id"), F.col("payload")).alias("id"))
     good = rows.where(F.col("record_id").isNotNull() & F.col("payload").isNotNull())
-    new = good.dropDuplicates(KEYS)
-    if exists(spark, f"{table_path}/raw"):
-        stored = spark.read.parquet(f"{table_path}/raw").where(F.col("batch") != batch_id)
-        new = insert_ignore(stored, new, KEYS)
-    new.write.mode("overwrite").parquet(f"{table_path}/raw/batch={batch_id}")
+    shard = F.pmod(F.xxhash64(*KEYS), F.lit(KEY_SHARDS)).cast("int")
+    new = good.dropDuplicates(KEYS).withColumn("shard", shard).persist()
+    if exists(spark, f"{table_path}/keys"):
+        # Only the shards of keys that the batch touches are read, and keys only.
+        touched = [r["shard"] for r in new.select("shard").distinct().collect()]  # KEY_SHARDS at most
+        stored = spark.read.parquet(f"{table_path}/keys").where((F.col("batch") != batch_id) & F.col("shard").isin(touched))
+        left = insert_ignore(stored.select(*KEYS), new, KEYS)
+    else:
+        left = new
+    left.drop("shard").write.mode("overwrite").parquet(f"{table_path}/raw/batch={batch_id}")
+    left = spark.read.parquet(f"{table_path}/raw/batch={batch_id}")
+    left.select(*KEYS, shard.alias("shard")).write.mode("overwrite").partitionBy("shard").parquet(f"{table_path}/keys/batch={batch_id}")
+    new.unpersist()
     bad = batch.where(F.col("record_id").isNull() | F.col("payload").isNull()).select(F.lit(source).alias("source"), F.lit("no_record_id_or_payload").alias("reason"))
     bad.write.mode("overwrite").parquet(f"{table_path}/rejects/batch={batch_id}")
 
