@@ -53,3 +53,21 @@ def locations(c: Column) -> Column:
     texts = F.transform(F.from_json(c, "array<string>"), lambda x: F.trim(F.replace(x, F.lit("\xa0"), F.lit(" "))))
     plain = F.slice(F.array_distinct(F.filter(texts, lambda x: (x != "") & (F.length(x) <= MOST_LENGTH))), 1, MOST_LOCATIONS)
     return F.when(c.isNull(), F.array().cast("array<string>")).when(nested, read(F.when(nested, c))).otherwise(plain)
+
+
+def canonical_json(value: str | None) -> str | None:
+    """JSON with sorted keys at every level, compact, characters as they are."""
+    if value is None:
+        return None
+    return json.dumps(json.loads(value), sort_keys=True, separators=(",", ":"), ensure_ascii=False)
+
+
+def payload_hash(c: Column) -> Column:
+    """SHA-256 of the canonical form of a JSON text, the same for any order of keys
+    (FN-15); null for a null."""
+
+    @F.pandas_udf("string")
+    def form(values: pd.Series) -> pd.Series:
+        return values.map(canonical_json)
+
+    return F.sha2(form(c), 256)

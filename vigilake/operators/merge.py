@@ -60,3 +60,13 @@ def diff(old: DataFrame, new: DataFrame, keys: list[str], values: list[str]) ->
     b = new.select(*keys, F.struct(*values).alias("_new"))
     action = F.when(F.col("_old").isNull(), "insert").when(F.col("_new").isNull(), "delete").when(changed(F.col("_old"), F.col("_new")), "update").otherwise("unchanged")
     return a.join(b, keys, "full").select(*keys, action.alias("action"))
+
+
+def upsert(stored: DataFrame, incoming: DataFrame, keys: list[str]) -> DataFrame:
+    """Stored rows replaced by incoming ones of the same key (SNK-13); a batch that holds
+    a key with different contents is refused for that key, which stays as it was."""
+    rest = [c for c in stored.columns if c not in keys]
+    new = incoming.groupBy(*keys).agg(F.count_distinct(F.struct(*rest)).alias("_n"), F.min(F.struct(*rest)).alias("_new"))
+    both = stored.select(*keys, F.struct(*rest).alias("_old")).join(new, keys, "full")
+    chosen = F.when(F.col("_n") == 1, F.col("_new")).otherwise(F.col("_old"))
+    return both.select(*keys, chosen.alias("_x")).where("_x IS NOT NULL").select(*keys, "_x.*")

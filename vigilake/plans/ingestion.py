@@ -4,14 +4,15 @@ The SQL states the rows that the rules must give.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from vigilake.functions import text
-from vigilake.operators import dataset
+from vigilake.functions import nested, text
+from vigilake.operators import dataset, merge
 from vigilake.plans.base import query
 from vigilake.plans.fixtures import day, expected
 from vigilake.session import scratch_path, table
+from vigilake.sources import feeds
 from vigilake.sources.feeds import payload_id
 from vigilake.streaming import runs
 
@@ -164,3 +165,61 @@ def reference_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     references = spark.createDataFrame([(1, ["79", "cwe-0079", "NVD-CWE-noinfo"]), (2, ["CWE-20", "what", "CWE-1234"]), (3, None)], "id long, refs array<string>")
     catalog = spark.createDataFrame([("CWE-79",), ("CWE-20",)], "cwe_id string")
     return dataset.reference_states(references, catalog, text.CWE_PLACEHOLDERS, _normal())
+
+
+@query("catalog_upsert", expected("cwe_id VARCHAR, name VARCHAR, version VARCHAR", [("CWE-1", "kept", "4.1"), ("CWE-2", "new", "4.2"), ("CWE-3", "added", "4.2"), ("CWE-4", "old", "4.1")]))
+def catalog_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A weakness catalog after a batch; contradicting rows change nothing (SNK-13)."""
+    kinds = "cwe_id string, name string, version string"
+    stored = spark.createDataFrame([("CWE-1", "kept", "4.1"), ("CWE-2", "old", "4.1"), ("CWE-4", "old", "4.1")], kinds)
+    batch = spark.createDataFrame([("CWE-2", "new", "4.2"), ("CWE-3", "added", "4.2"), ("CWE-3", "added", "4.2"), ("CWE-4", "a", "4.2"), ("CWE-4", "b", "4.2"), ("CWE-5", "a", "1"), ("CWE-5", "b", "1")], kinds)
+    return merge.upsert(stored, batch, ["cwe_id"])
+
+
+@query("catalog_to_sync", """WITH asked AS (SELECT DISTINCT l_partkey AS id FROM lineitem WHERE l_quantity >= 49), c AS (SELECT p_partkey AS id, CASE WHEN p_size > 45 THEN NULL WHEN p_size > 20 THEN '4.2' ELSE '4.1' END AS version FROM part WHERE p_size < 48)
+SELECT a.id, CASE WHEN c.id IS NULL THEN 'missing' ELSE 'stale' END AS reason FROM asked a LEFT JOIN c USING (id) WHERE c.id IS NULL OR c.version IS DISTINCT FROM '4.2'""")
+def catalog_to_sync(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Referenced ids that the catalog lacks or has in another version (REC-06)."""
+    asked = table(spark, sf_dir, "lineitem").where("l_quantity >= 49").select(F.col("l_partkey").alias("id")).distinct()
+    version = F.when(F.col("p_size") > 45, None).when(F.col("p_size") > 20, "4.2").otherwise("4.1")
+    catalog = table(spark, sf_dir, "part").where("p_size < 48").select(F.col("p_partkey").alias("id"), F.lit(True).alias("known"), version.alias("version"))
+    joined = asked.join(catalog, "id", "left")
+    reason = F.when(F.col("known").isNull(), "missing").when(merge.changed(F.col("version"), F.lit("4.2")), "stale")
+    return joined.select("id", reason.alias("reason")).where("reason IS NOT NULL")
+
+
+@query("canonical_payload_hashes", """SELECT page_id, sha256('{"a":[1,{"k":"é","z":null}],"b":' || page_id || '}') AS payload_hash FROM pages""")
+def canonical_payload_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hashes of JSON that do not depend on the order of keys, at any depth (FN-15)."""
+    odd = F.concat(F.lit('{ "b": '), F.col("page_id").cast("string"), F.lit(', "a": [1, {"z": null, "k": "\\u00e9"}]}'))
+    even = F.concat(F.lit('{"a":[1,{"k":"é","z":null}],"b":'), F.col("page_id").cast("string"), F.lit("}"))
+    body = F.when(F.col("page_id") % 2 == 1, odd).otherwise(even)
+    return table(spark, sf_dir, "pages").select("page_id", nested.payload_hash(body).alias("payload_hash"))
+
+
+@query("streamed_dump", """SELECT page_id AS malware_id, CASE WHEN page_id % 2 = 0 THEN 'a,b' ELSE 'c' END AS tags FROM pages WHERE page_id > 0""")
+def streamed_dump(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A bulk dump read as a file stream, batch by batch (STR-09, SRC-09)."""
+    root = scratch_path(spark, "dump")
+    tags = F.when(F.col("page_id") % 2 == 0, "a, b").otherwise("c")
+    line = F.concat_ws('","', F.concat(F.lit('"'), F.col("page_id").cast("string")), F.lit("2026-01-01 10:00:00"), F.lit("http://a.example/"), F.lit("online"), F.lit(""), F.lit("malware"), tags, F.lit("l"), F.lit('r"'))
+    lines = table(spark, sf_dir, "pages").select(line.alias("value"))
+    lines.unionByName(spark.createDataFrame([("# comment",), ("",)], "value string")).repartition(3).write.text(f"{root}/in")
+    stream = spark.readStream.option("maxFilesPerTrigger", 1).text(f"{root}/in")
+    feed = feeds.malware_lines(stream).valid.select("malware_id", F.array_join("tags", ",").alias("tags"))
+    feed.writeStream.format("parquet").option("checkpointLocation", f"{root}/mark").trigger(availableNow=True).start(f"{root}/out").awaitTermination()
+    return spark.read.parquet(f"{root}/out")
+
+
+@query("alert_recipients", """WITH v AS (SELECT s_suppkey AS recipient_id, s_nationkey AS organization_id, CASE WHEN s_suppkey % 3 = 0 THEN 'viewer' ELSE 'security_responsible' END AS role, CASE WHEN s_suppkey % 5 = 0 THEN NULL ELSE s_suppkey % 7 <> 0 END AS active, s_acctbal AS created FROM supplier)
+SELECT organization_id, recipient_id, CAST(row_number() OVER (PARTITION BY organization_id ORDER BY created, recipient_id) AS INTEGER) AS place FROM v WHERE role = 'security_responsible' AND active IS TRUE""")
+def alert_recipients(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Active security contacts of each tenant in order of creation (FLT-14)."""
+    key = F.col("s_suppkey")
+    v = table(spark, sf_dir, "supplier").select(
+        key.alias("recipient_id"), F.col("s_nationkey").alias("organization_id"), F.when(key % 3 == 0, "viewer").otherwise("security_responsible").alias("role"),
+        F.when(key % 5 == 0, None).otherwise(key % 7 != 0).alias("active"), F.col("s_acctbal").alias("created"),
+    )
+    mine = v.where((F.col("role") == "security_responsible") & F.col("active").eqNullSafe(True))
+    place = F.row_number().over(Window.partitionBy("organization_id").orderBy("created", "recipient_id"))
+    return mine.select("organization_id", "recipient_id", place.alias("place"))

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import StandardScaler, VectorAssembler
+from pyspark.ml import Pipeline
+from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
+from pyspark.ml.feature import StandardScaler
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -54,34 +56,50 @@ def redacted_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 N_FOLDS = 5
 
 
-@query("url_classifier_folds")
-def url_classifier_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Multinomial logistic regression on the 13 features, scaled, with balanced
-    weights, scored on each held-out fold of whole groups (DS-06, FN-40): fold,
-    rows, accuracy, macro_f1. The label is the site's language path."""
+def _folds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(raw, label, fold) of every page: the 13 features, the site's language path as the
+    label, and a fold of whole hosts."""
     c = canonical_pages(spark, sf_dir)
     language = F.regexp_extract(urls.part(F.col("canonical_url"), 3), "^/([a-z]{2})/", 1)
     codes = F.when(language == "en", 0).when(language == "de", 1).when(language == "fr", 2).when(language == "es", 3).otherwise(4).cast("double")
     fold = F.pmod(F.xxhash64("host"), F.lit(N_FOLDS)).cast("int")
     rows = c.select(*urls.features(F.col("canonical_url")), codes.alias("label"), fold.alias("fold"))
     names = [n for n in rows.columns if n not in ("label", "fold")]
-    rows = VectorAssembler(inputCols=names, outputCol="raw").transform(rows).select("raw", "label", "fold")
-    rows = cut(rows, "folds")
-    sizes = rows.groupBy("fold", "label").count()
-    out = None
+    return cut(rows.withColumn("raw", F.array(*[F.col(n).cast("double") for n in names])).select("raw", "label", "fold"), "folds")
+
+
+def _out_of_fold(rows: DataFrame, stages: list) -> DataFrame:
+    """Each fold predicted by a model of the others, with balanced weights: fold, rows,
+    accuracy, macro_f1."""
+    spark, out = rows.sparkSession, None
+    rows = rows.withColumn("raw", array_to_vector("raw"))
+    sizes = cut(rows.groupBy("fold", "label").count(), "sizes")
     for k in range(N_FOLDS):
         train, held = rows.where(F.col("fold") != k), rows.where(F.col("fold") == k)
-        if train.select("label").distinct().limit(2).count() < 2:
-            continue
         per = sizes.where(F.col("fold") != k).groupBy("label").agg(F.sum("count").alias("n"))
+        if per.limit(2).count() < 2:
+            continue
         weight = F.broadcast(per.select("label", (1.0 / F.col("n")).alias("weight")))  # a row per class
-        scaler = StandardScaler(inputCol="raw", outputCol="features", withMean=True).fit(train)
-        model = LogisticRegression(family="multinomial", weightCol="weight", maxIter=60).fit(scaler.transform(train.join(weight, "label")))
-        scored = model.transform(scaler.transform(held)).groupBy("label", "prediction").count()
+        scored = Pipeline(stages=stages).fit(train.join(weight, "label")).transform(held).groupBy("label", "prediction").count()
         hit = F.sum(F.when(F.col("label") == F.col("prediction"), F.col("count")).otherwise(0))
         true = scored.groupBy("label").agg(F.sum("count").alias("t"), hit.alias("tp"))
         said = scored.groupBy(F.col("prediction").alias("label")).agg(F.sum("count").alias("p"))
         f1 = true.join(said, "label", "left").select("t", "tp", (2 * F.col("tp") / (F.col("t") + F.coalesce("p", F.lit(0)))).alias("f1"))
-        one = f1.agg(F.sum("t").alias("rows"), F.round(F.sum("tp") / F.sum("t"), 6).alias("accuracy"), F.round(F.avg("f1"), 6).alias("macro_f1")).select(F.lit(k).alias("fold"), "rows", "accuracy", "macro_f1")
+        one = f1.agg(F.sum("t").alias("rows"), F.round(F.sum("tp") / F.sum("t"), 6).alias("accuracy"), F.round(F.avg("f1"), 6).alias("macro_f1"))
+        one = cut(one.select(F.lit(k).alias("fold"), "rows", "accuracy", "macro_f1"), "scores")
         out = one if out is None else out.unionByName(one)
     return out if out is not None else spark.createDataFrame([], "fold int, rows long, accuracy double, macro_f1 double")
+
+
+@query("url_classifier_folds")
+def url_classifier_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Multinomial logistic regression on scaled features, five folds (DS-06)."""
+    scaler = StandardScaler(inputCol="raw", outputCol="features", withMean=True)
+    return _out_of_fold(_folds(spark, sf_dir), [scaler, LogisticRegression(family="multinomial", weightCol="weight", maxIter=60)])
+
+
+@query("url_forest_folds")
+def url_forest_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A random forest on the same folds, for the tree ensembles (DS-06)."""
+    forest = RandomForestClassifier(featuresCol="raw", weightCol="weight", numTrees=20, maxDepth=6, seed=7)
+    return _out_of_fold(_folds(spark, sf_dir), [forest])

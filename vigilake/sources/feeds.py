@@ -136,7 +136,14 @@ def malware_dump(spark: SparkSession, path: str) -> Feed:
     """The service's CSV dump: comment lines, optional header, rows of 8 or 9
     columns, tags split on commas (SRC-09, STR-09). Lines are parsed where they are
     read; nothing is gathered."""
-    lines = spark.read.text(path).where("value <> '' AND NOT startswith(value, '#') AND NOT startswith(lower(value), 'id,') AND NOT startswith(lower(value), '\"id\"')")
+    return malware_lines(spark.read.text(path))
+
+
+def malware_lines(text: DataFrame) -> Feed:
+    """The dump's lines (value), of a batch or of a file stream: a line stands for itself,
+    so a dump of any size is read batch by batch (STR-09)."""
+    head = F.lower("value").startswith("id,") | F.lower("value").startswith('"id"')
+    lines = text.where((F.col("value") != "") & ~F.col("value").startswith("#") & ~head)
     nine = F.from_csv(F.col("value"), "a string, b string, c string, d string, e string, f string, g string, h string, i string", {"mode": "PERMISSIVE"})
     rows = lines.select(nine.alias("r"), F.col("value")).withColumn("long", F.col("r.i").isNotNull())
     pick = lambda with_nine, with_eight: F.when(F.col("long"), F.col(f"r.{with_nine}")).otherwise(F.col(f"r.{with_eight}"))
