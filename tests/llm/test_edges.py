@@ -171,3 +171,11 @@ for rows in (near_dup.dedup(docs), language_id.identify(docs), toxicity.judge(do
 """
     done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True, timeout=300, env={k: v for k, v in __import__("os").environ.items() if k != "PYTHONPATH"})
     assert done.returncode == 0, done.stderr[-2000:]
+
+
+def test_long_ids_beside_nulls_stay_exact(spark):
+    big = 2**62 + 1
+    docs = spark.createDataFrame([(big, "you are here", "en", "s"), (None, "x y z", "en", "s"), (big + 2, None, "de", None)], "doc_id long, text string, lang string, source string").coalesce(1)
+    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    for rows in (near_dup.dedup(docs), language_id.identify(docs), toxicity.judge(docs, labels), bpe.encode(docs), token_store.round_trip(docs), quality.judge(docs), license_scan.scan(docs), mixing.mix_sources(docs)):
+        assert sorted((r["doc_id"] for r in rows.collect()), key=str) == [big, big + 2, None], rows.columns

@@ -24,6 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from vigilake.llm.common import per_document
 from vigilake.session import ship
 
 #: Fragments that one worker remembers, and bytes of text that it cuts at a time.
@@ -262,13 +263,12 @@ def encode(docs: DataFrame, path: str | None = None, with_ids: bool = False) ->
             out = pd.DataFrame({"doc_id": batch["doc_id"].to_numpy(), "n_tokens": counts, "ids_sha256": hashes, "decoded_sha256": decoded})
             yield out.assign(ids=ids) if with_ids else out
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    schema = f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
-    return docs.select("doc_id", "text").mapInPandas(run, schema)
+    return per_document(docs.select("doc_id", "text"), run, "n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids)
 
 
 def decode(tokens: DataFrame, path: str | None = None) -> DataFrame:
-    """(doc_id, ids) -> (doc_id, text); null ids give null text."""
+    """(doc_id, ids) -> (doc_id, text); null ids give null text, no ids the empty text;
+    repeated rows come out alike; an empty table gives an empty result."""
     spec = shared_spec(tokens, path or default_path())
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -277,5 +277,4 @@ def decode(tokens: DataFrame, path: str | None = None) -> DataFrame:
             texts = [None if ids is None else c.decode(np.asarray(ids, np.int64)).decode("utf-8") for ids in batch["ids"]]
             yield pd.DataFrame({"doc_id": batch["doc_id"], "text": texts})
 
-    kind = tokens.schema["doc_id"].dataType.simpleString()
-    return tokens.select("doc_id", F.col("ids")).mapInPandas(run, f"doc_id {kind}, text string")
+    return per_document(tokens.select("doc_id", "ids"), run, "text string")

@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from vigilake.session import ship
+
 #: A word is a run of characters other than ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 SPACE = r"[\x20\x09-\x0D]+"
@@ -24,6 +26,15 @@ def fold(id_col: str | Column, parts: int = 5) -> Column:
     return F.crc32(F.coalesce(col.cast("string"), F.lit("")).cast("binary")) % parts
 
 
+def per_document(docs: DataFrame, run: Callable, more: str) -> DataFrame:
+    """`mapInPandas` over rows with a doc_id, whose schema is doc_id and `more`. Ids pass
+    as text: a batch that holds a null would turn long ids into floats."""
+    ship(docs.sparkSession)
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    own = docs.withColumn("doc_id", F.col("doc_id").cast("string"))
+    return own.mapInPandas(run, f"doc_id string, {more}").withColumn("doc_id", F.col("doc_id").cast(kind))
+
+
 def small(df: DataFrame, rows: int) -> bool:
     """Whether `df` has at most `rows` rows; looks at no more than it must."""
     return df.limit(rows + 1).count() <= rows

@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from vigilake.llm.common import fold, sized_broadcast
+from vigilake.llm.common import fold, per_document, sized_broadcast
 from vigilake.session import cut, ship
 
 BUCKETS = 4096
@@ -114,7 +114,6 @@ def predict(docs: DataFrame, model, buckets: int = BUCKETS, slack: float = SLACK
     no centroid. `rejected` marks texts farther from every centroid than `slack`
     allows; their nearest language is given all the same.
     """
-    ship(docs.sparkSession)
     idf, languages, centroids, radii = model
 
     def nearest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -131,8 +130,7 @@ def predict(docs: DataFrame, model, buckets: int = BUCKETS, slack: float = SLACK
             yield pd.DataFrame({"doc_id": batch["doc_id"], "lang_pred": langs, "score": scores, "rejected": rejected})
 
     letters = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("letters")
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text", letters).mapInPandas(nearest, f"doc_id {kind}, lang_pred string, score double, rejected boolean")
+    return per_document(docs.select("doc_id", "text", letters), nearest, "lang_pred string, score double, rejected boolean")
 
 
 def identify(docs: DataFrame, per_language: int = PER_LANGUAGE) -> DataFrame:

@@ -29,7 +29,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vigilake.llm.common import WORD, sized_broadcast
+from vigilake.llm.common import WORD, per_document, sized_broadcast
 from vigilake.llm.components import connected
 from vigilake.session import cut, ship
 
@@ -195,10 +195,8 @@ def sketched(docs: DataFrame) -> DataFrame:
                     found.append(sketch(labelled(s)) if words else None)
                 yield pd.DataFrame({"doc_id": batch["doc_id"], "text_key": batch["text_key"], "print": prints, "sketch": found})
 
-    ship(docs.sparkSession)
     asked = F.when(F.col("doc_id").isNotNull(), F.col("text")).alias("text")
-    kinds = "doc_id long, text_key binary, print binary, sketch array<long>"
-    return docs.select("doc_id", "text_key", asked).mapInPandas(run, kinds)
+    return per_document(docs.select("doc_id", "text_key", asked), run, "text_key binary, print binary, sketch array<long>")
 
 
 def shingled(docs: DataFrame, nodes: DataFrame) -> DataFrame:

@@ -37,6 +37,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from vigilake.llm import bpe
+from vigilake.llm.common import per_document
 from vigilake.session import cut, scratch_path, ship
 
 END_ID = 2
@@ -238,9 +239,10 @@ def lookup(ids: DataFrame, root: str) -> DataFrame:
 
     if not parts:  # nothing is stored
         return spark.createDataFrame([], f"doc_id {kind}, {RUN_KINDS}")
-    keyed = ids.select("doc_id", key_of(F.col("doc_id")).alias("key"), fingerprint_of(F.col("doc_id")).alias("fingerprint")).distinct()
+    as_text = F.col("doc_id").cast("string").alias("doc_id")  # nulls beside them would turn long ids into floats
+    keyed = ids.select(as_text, key_of(F.col("doc_id")).alias("key"), fingerprint_of(F.col("doc_id")).alias("fingerprint")).distinct()
     placed = keyed.withColumn("part", F.pmod(F.col("key"), F.lit(parts)).cast("int"))
-    return placed.groupBy("part").applyInPandas(find, f"doc_id {kind}, {RUN_KINDS}")
+    return placed.groupBy("part").applyInPandas(find, f"doc_id string, {RUN_KINDS}").withColumn("doc_id", F.col("doc_id").cast(kind))
 
 
 class Shards:
@@ -303,10 +305,9 @@ def read_ids(found: DataFrame, root: str, digest: bool = False) -> DataFrame:
         if out:
             yield table()
 
-    kind = found.schema["doc_id"].dataType.simpleString()
     more = "ids_crc32 long" if digest else "ids array<int>"
     dealt = found.repartition("shard").sortWithinPartitions("shard", "offset")
-    return dealt.mapInPandas(read, f"doc_id {kind}, shard int, offset long, length long, {more}")
+    return per_document(dealt, read, f"shard int, offset long, length long, {more}")
 
 
 def round_trip(docs: DataFrame, path: str | None = None) -> DataFrame:

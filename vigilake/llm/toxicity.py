@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vigilake.llm.common import fold, sized_broadcast
+from vigilake.llm.common import fold, per_document, sized_broadcast
 from vigilake.session import cut, ship
 
 MAX_FIT = 20_000
@@ -282,13 +282,11 @@ def predict(docs: DataFrame, grammar: Grammar) -> DataFrame:
 
     Null and empty texts get the base score; repeated rows are scored alike; an empty
     table gives an empty result. A score of exactly 0.5 counts as toxic."""
-    ship(docs.sparkSession)
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         classes = Classes(grammar.insults)
         for batch in batches:
             yield pd.DataFrame({"doc_id": batch["doc_id"], "score": grammar.scores(batch["text"], classes)})
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    scored = docs.select("doc_id", "text").mapInPandas(read, f"doc_id {kind}, score double")
+    scored = per_document(docs.select("doc_id", "text"), read, "score double")
     return scored.select("doc_id", (fold("doc_id") == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
