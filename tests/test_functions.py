@@ -59,8 +59,10 @@ def test_times(spark):
 @pytest.mark.parametrize(
     ("given", "expected"),
     [
-        ("HTTP://Example.COM", "http://example.com/"), ("https://example.com.:443/a?B#C", "https://example.com/a?B#C"), ("http://example.com:8080/", "http://example.com:8080/"),
-        ("https://u:p@example.com/", None), ("ftp://example.com/", None), ("http://exa mple.com/", None), ("http://example.com:/", None), ("javascript:alert(1)", None), ("http://a\\b/", None), (None, None), ("http:///x", None),
+        ("HTTP://Example.COM", "http://example.com/"), ("https://example.com.:443/a?B#C", "https://example.com/a?B#C"),
+            ("http://example.com:8080/", "http://example.com:8080/"),
+        ("https://u:p@example.com/", None), ("ftp://example.com/", None), ("http://exa mple.com/", None), ("http://example.com:/", None),
+            ("javascript:alert(1)", None), ("http://a\\b/", None), (None, None), ("http:///x", None),
     ],
 )
 def test_canonical_url(spark, given, expected):
@@ -75,12 +77,15 @@ def test_url_parts(spark):
     assert one(spark, urls.entropy, "aabb") == 1.0 and one(spark, urls.entropy, "") == 0.0
 
 
-@pytest.mark.parametrize(("version", "bounds", "expected"), [("1.2.3", ">= 1.0, < 2.0", True), ("2.0", "< 2.0.0", False), ("1.10", "> 1.9", True), ("v3", "= 3.0", True), ("1.0rc1", ">= 0.1", True), ("1.0rc1", ">= 1.0", False), ("junk", ">= 0", False), ("1.0", "nonsense", False), (None, "< 2", False), ("1.0", None, False), ("1.0", "!= 1.0", False)])
+@pytest.mark.parametrize(("version", "bounds", "expected"), [("1.2.3", ">= 1.0, < 2.0", True), ("2.0", "< 2.0.0", False), ("1.10", "> 1.9", True),
+    ("v3", "= 3.0", True), ("1.0rc1", ">= 0.1", True), ("1.0rc1", ">= 1.0", False), ("junk", ">= 0", False), ("1.0", "nonsense", False),
+        (None, "< 2", False), ("1.0", None, False), ("1.0", "!= 1.0", False)])
 def test_version_range(spark, version, bounds, expected):
     assert one(spark, versions.in_range, version, bounds) is expected
 
 
-@pytest.mark.parametrize(("score", "version", "expected"), [(0.0, "3.1", "NONE"), (3.9, "3.1", "LOW"), (4.0, "3.1", "MEDIUM"), (7.0, "4.0", "HIGH"), (9.0, "3.0", "CRITICAL"), (9.0, "2.0", "HIGH"), (None, "3.1", None), (5.0, "9", None)])
+@pytest.mark.parametrize(("score", "version", "expected"), [(0.0, "3.1", "NONE"), (3.9, "3.1", "LOW"), (4.0, "3.1", "MEDIUM"), (7.0, "4.0", "HIGH"),
+    (9.0, "3.0", "CRITICAL"), (9.0, "2.0", "HIGH"), (None, "3.1", None), (5.0, "9", None)])
 def test_severity(spark, score, version, expected):
     assert one(spark, policies.severity, score, version, types=["double", "string"]) == expected
 
@@ -88,12 +93,15 @@ def test_severity(spark, score, version, expected):
 @pytest.mark.parametrize(
     ("severity", "kev", "percentile", "score", "weaknesses", "expected"),
     [
-        (None, False, None, None, None, "LOW"), ("NONE", False, 0.89, 0.039, [], "LOW"), ("LOW", False, 0.90, None, [], "MEDIUM"), ("HIGH", False, 0.1, 0.04, [], "CRITICAL"), ("HIGH", False, None, None, ["CWE-79"], "HIGH"),
-        ("LOW", True, None, None, [], "CRITICAL"), ("LOW", False, 0.95, None, ["CWE-79"], "HIGH"), ("MEDIUM", None, None, None, ["CWE-1"], "MEDIUM"), ("CRITICAL", False, 0.99, None, ["CWE-79"], "CRITICAL"),
+        (None, False, None, None, None, "LOW"), ("NONE", False, 0.89, 0.039, [], "LOW"), ("LOW", False, 0.90, None, [], "MEDIUM"),
+            ("HIGH", False, 0.1, 0.04, [], "CRITICAL"), ("HIGH", False, None, None, ["CWE-79"], "HIGH"),
+        ("LOW", True, None, None, [], "CRITICAL"), ("LOW", False, 0.95, None, ["CWE-79"], "HIGH"), ("MEDIUM", None, None, None, ["CWE-1"], "MEDIUM"),
+            ("CRITICAL", False, 0.99, None, ["CWE-79"], "CRITICAL"),
     ],
 )
 def test_priority(spark, severity, kev, percentile, score, weaknesses, expected):
-    assert one(spark, policies.priority, severity, kev, percentile, score, weaknesses, types=["string", "boolean", "double", "double", "array<string>"]) == expected
+    assert one(spark, policies.priority, severity, kev, percentile, score, weaknesses,
+        types=["string", "boolean", "double", "double", "array<string>"]) == expected
 
 
 def test_alerts(spark):
@@ -119,8 +127,10 @@ def test_every_version_and_range(spark):
     from packaging.version import InvalidVersion, Version
 
     assert packaging
-    known = ["1.0", "1.0.0", "1.0rc1", "1.0.dev3", "1.0a1.dev2", "1.0.post1", "1.0-1", "v1.2.3", "1!0.5", "2.0.0-beta", "1.0+abc", "1.0+ABC_1", "1.2", "1.10", "1.0.post1.dev2", "junk", "1.0.x", "", "2", "1.0c1", "1.2.0.0.0", " 1.2 "]
-    ranges = [f"{o} {v}" for o in ("<", "<=", ">", ">=", "==", "!=", "~=", "=") for v in known if v.strip()] + ["== 1.*", "!=1.0.*", "==1.2.*", ">= 1.0, < 2", "> 1.0,", "== 1.0 , != 1.0.post1", "1.0", ">=1.0rc1, <1.0"]
+    known = ["1.0", "1.0.0", "1.0rc1", "1.0.dev3", "1.0a1.dev2", "1.0.post1", "1.0-1", "v1.2.3", "1!0.5", "2.0.0-beta", "1.0+abc", "1.0+ABC_1", "1.2",
+        "1.10", "1.0.post1.dev2", "junk", "1.0.x", "", "2", "1.0c1", "1.2.0.0.0", " 1.2 "]
+    ranges = [f"{o} {v}" for o in ("<", "<=", ">", ">=", "==", "!=", "~=", "=") for v in known if v.strip()] + ["== 1.*", "!=1.0.*", "==1.2.*",
+        ">= 1.0, < 2", "> 1.0,", "== 1.0 , != 1.0.post1", "1.0", ">=1.0rc1, <1.0"]
 
     def want(v, r):
         parts = [" ".join(p.split()) for p in r.split(",")]
@@ -147,13 +157,17 @@ def test_every_top_weakness(spark):
 def test_small_forms(spark):
     assert one(spark, lambda c: text.catalog_id(c, "CAPEC"), "capec-0066") == "CAPEC-66" and one(spark, lambda c: text.catalog_id(c, "CWE"), "0") is None
     assert one(spark, text.cwe_from_text, "NVD-CWE-Other") is None and one(spark, text.cwe_from_text, "79") == "CWE-79"
-    assert one(spark, lambda c: text.strict(c, 3), "abcd") == "too_long" and one(spark, lambda c: text.strict(c, 3), "  ") == "missing" and one(spark, lambda c: text.strict(c, 3), "abc") is None
+    assert one(spark, lambda c: text.strict(c, 3), "abcd") == "too_long" and one(spark, lambda c: text.strict(c, 3), "  ") == "missing" and one(spark,
+        lambda c: text.strict(c, 3), "abc") is None
     assert one(spark, policies.source_severity, "none") == "NONE" and one(spark, policies.source_severity, "unknown") is None
-    assert one(spark, policies.verdict, "benign") == "benign" and one(spark, policies.verdict, "phishing") == "malicious" and one(spark, policies.verdict, None) is None
+    assert one(spark, policies.verdict, "benign") == "benign" and one(spark, policies.verdict, "phishing") == "malicious" and one(spark,
+        policies.verdict, None) is None
     assert one(spark, text.package_name, "Foo_Bar", "pip") == "foo-bar" and one(spark, text.ecosystem, " PIP ") == "pypi"
-    assert [one(spark, unicode.network, x) for x in ("10.1.2.3/8", "2001:DB8::0:1", "1.2.3.4", "300.1.1.1", "x")] == ["10.0.0.0/8", "2001:db8::1", "1.2.3.4", None, None]
+    assert [one(spark, unicode.network, x) for x in ("10.1.2.3/8", "2001:DB8::0:1", "1.2.3.4", "300.1.1.1", "x")] == ["10.0.0.0/8", "2001:db8::1",
+        "1.2.3.4", None, None]
 
 
 def test_package_names(spark):
     assert one(spark, text.package_name, " Foo__Bar.baz ", "PyPI") == "foo-bar-baz" and one(spark, text.package_name, "Foo_Bar", "npm") == "foo_bar"
-    assert one(spark, policies.cvss_version, "CVSS:3.1/AV:N") == "3.1" and one(spark, policies.cvss_version, "cvss_v4") == "4.0" and one(spark, policies.cvss_version, "x") is None
+    assert one(spark, policies.cvss_version, "CVSS:3.1/AV:N") == "3.1" and one(spark, policies.cvss_version, "cvss_v4") == "4.0" and one(spark,
+        policies.cvss_version, "x") is None

@@ -71,7 +71,8 @@ def test_conflicts(spark):
 
 def test_components_equal_union_find(spark):
     rng = random.Random(5)
-    pairs = [(n, f"s{rng.randrange(60)}") for n in range(80) for _ in range(rng.randrange(1, 3))] + [(n, f"chain{n // 2}") for n in range(200, 230)] + [(n + 1, f"chain{n // 2}") for n in range(200, 230)]
+    pairs = [(n, f"s{rng.randrange(60)}") for n in range(80) for _ in range(rng.randrange(1, 3))] + [(n, f"chain{n // 2}") for n in range(200,
+        230)] + [(n + 1, f"chain{n // 2}") for n in range(200, 230)]
     parent = {}
 
     def root(x):
@@ -92,7 +93,8 @@ def test_components_equal_union_find(spark):
 
 
 def test_aggregates_and_owner_conflicts(spark):
-    obs = spark.createDataFrame([("k1", "CVE-2024-0002", 3, False), ("k2", "GHSA-X", 1, True), ("k2", "CVE-2024-0001", 1, True)], "node string, identifier string, observed_at int, active boolean")
+    obs = spark.createDataFrame([("k1", "CVE-2024-0002", 3, False), ("k2", "GHSA-X", 1, True), ("k2", "CVE-2024-0001", 1, True)],
+        "node string, identifier string, observed_at int, active boolean")
     found = spark.createDataFrame([("k1", "k1"), ("k2", "k1")], "node string, component string")
     a = resolution.aggregates(obs, found).first()
     assert (a["primary_identifier"], a["created_at"], a["updated_at"], a["active"], a["n_evidence"]) == ("CVE-2024-0001", 1, 3, True, 2)
@@ -110,7 +112,8 @@ def reasons(feed):
 
 
 def test_kev_feed(spark, tmp_path):
-    ok = {"cveID": "cve-2024-0001", "vendorProject": " Acme  Inc ", "product": "Thing", "dateAdded": "2024-01-02", "dueDate": "bad", "knownRansomwareCampaignUse": "Known", "cwes": ["CWE-079", "x"]}
+    ok = {"cveID": "cve-2024-0001", "vendorProject": " Acme  Inc ", "product": "Thing", "dateAdded": "2024-01-02", "dueDate": "bad",
+        "knownRansomwareCampaignUse": "Known", "cwes": ["CWE-079", "x"]}
     bad = [dict(ok, cveID="nope"), dict(ok, cveID="CVE-2024-0002", dateAdded="2024-1-2"), dict(ok, cveID="CVE-2024-0003"), dict(ok, cveID="CVE-2024-0003")]
     feed = feeds.kev(spark, put(tmp_path / "kev.json", {"catalogVersion": "1", "count": 5, "vulnerabilities": [ok, *bad]}))
     (r,) = feed.valid.collect()
@@ -120,7 +123,8 @@ def test_kev_feed(spark, tmp_path):
 
 
 def test_epss_feed(spark, tmp_path):
-    d = [{"cve": "CVE-2024-0001", "epss": "0.5", "percentile": "0.9", "date": "2024-01-01"}] * 2 + [{"cve": "CVE-2024-0002", "epss": "1.5", "percentile": "0.9", "date": "2024-01-01"}]
+    d = [{"cve": "CVE-2024-0001", "epss": "0.5", "percentile": "0.9", "date": "2024-01-01"}] * 2 + [{"cve": "CVE-2024-0002", "epss": "1.5",
+        "percentile": "0.9", "date": "2024-01-01"}]
     d += [{"cve": "CVE-2024-0003", "epss": e, "percentile": "0.9", "date": "2024-01-01"} for e in ("0.1", "0.2")]
     feed = feeds.epss(spark, put(tmp_path / "epss.json", {"status": "OK", "data": d}))
     assert [r["cve_id"] for r in feed.valid.collect()] == ["CVE-2024-0001"]
@@ -128,15 +132,19 @@ def test_epss_feed(spark, tmp_path):
 
 
 def test_phishing_feed(spark, tmp_path):
-    ok = {"phish_id": "7", "url": "http://Bad.example/", "submission_time": "2024-01-01T00:00:00+00:00", "verification_time": "2024-01-02T00:00:00+00:00", "verified": "yes", "online": "no", "details": [{"ip_address": "1.2.3.4", "rir": "RIPE", "country": "de"}]}
-    feed = feeds.phishing(spark, put(tmp_path / "p.json", [ok, dict(ok, phish_id="0"), dict(ok, phish_id="8", url="mailto:x"), dict(ok, phish_id="9", verification_time="2023-01-01T00:00:00Z")]))
+    ok = {"phish_id": "7", "url": "http://Bad.example/", "submission_time": "2024-01-01T00:00:00+00:00",
+        "verification_time": "2024-01-02T00:00:00+00:00", "verified": "yes", "online": "no",
+            "details": [{"ip_address": "1.2.3.4", "rir": "RIPE", "country": "de"}]}
+    feed = feeds.phishing(spark, put(tmp_path / "p.json", [ok, dict(ok, phish_id="0"), dict(ok, phish_id="8", url="mailto:x"), dict(ok, phish_id="9",
+        verification_time="2023-01-01T00:00:00Z")]))
     (r,) = feed.valid.collect()
     assert (r["canonical_url"], r["active"], r["network"][0]["rir"], r["network"][0]["country"]) == ("http://bad.example/", False, "ripe", "DE")
     assert reasons(feed) == ["bad_identifier", "bad_url", "verified_before_submission"]
 
 
 def test_malware_feeds(spark, tmp_path):
-    u = {"id": "5", "url": "http://m.example/x", "url_status": "online", "date_added": "2024-01-01 10:00:00 UTC", "tags": [" a ", "a", None, "b"], "blacklists": {"z": "listed", "b": "not"}}
+    u = {"id": "5", "url": "http://m.example/x", "url_status": "online", "date_added": "2024-01-01 10:00:00 UTC", "tags": [" a ", "a", None, "b"],
+        "blacklists": {"z": "listed", "b": "not"}}
     feed = feeds.malware_urls(spark, put(tmp_path / "m.json", {"query_status": "ok", "urls": [u, dict(u, id="x"), dict(u, date_added="?")]}))
     (r,) = feed.valid.collect()
     assert r["tags"] == ["a", "b"] and [b["name"] for b in r["blacklists"]] == ["b", "z"]
@@ -147,7 +155,9 @@ def test_malware_feeds(spark, tmp_path):
 
 
 def test_advisories(spark, tmp_path):
-    a = {"ghsa_id": "GHSA-23cf-gh4v-56pq", "cve_id": "CVE-2024-0001", "severity": "moderate", "updated_at": "2024-01-01T00:00:00Z", "cvss_severities": {"cvss_v3": {"score": 0.0, "vector_string": None}, "cvss_v4": {"score": 8.1, "vector_string": "CVSS:4.0/x"}}, "cvss": {"score": 5.0, "vector_string": "CVSS:3.1/x"}, "cwes": [{"cwe_id": "CWE-79"}]}
+    a = {"ghsa_id": "GHSA-23cf-gh4v-56pq", "cve_id": "CVE-2024-0001", "severity": "moderate", "updated_at": "2024-01-01T00:00:00Z",
+        "cvss_severities": {"cvss_v3": {"score": 0.0, "vector_string": None}, "cvss_v4": {"score": 8.1, "vector_string": "CVSS:4.0/x"}},
+            "cvss": {"score": 5.0, "vector_string": "CVSS:3.1/x"}, "cwes": [{"cwe_id": "CWE-79"}]}
     a["vulnerabilities"] = [{"package": {"ecosystem": "pip", "name": "A_b"}, "vulnerable_version_range": "< 2"}] * 2
     feed = feeds.advisories(spark, put(tmp_path / "a.json", [a, dict(a, ghsa_id="x"), dict(a, updated_at=None)]))
     (r,) = feed.valid.collect()
@@ -156,7 +166,10 @@ def test_advisories(spark, tmp_path):
 
 
 def test_inventory_and_benign(spark, tmp_path):
-    inv = {"schema_version": "inventory/v1", "inventory_id": "i1", "collected_at": "2024-01-01T00:00:00Z", "machine": {"machine_uid": "m1"}, "components": [{"component_type": "application", "name": " My  App "}, {"component_type": "package", "ecosystem": "pypi", "package_name": "A.B"}, {"component_type": "package", "package_name": "x"}, {"component_type": "driver"}]}
+    inv = {"schema_version": "inventory/v1", "inventory_id": "i1", "collected_at": "2024-01-01T00:00:00Z", "machine": {"machine_uid": "m1"},
+        "components": [{"component_type": "application", "name": " My  App "},
+            {"component_type": "package", "ecosystem": "pypi", "package_name": "A.B"}, {"component_type": "package", "package_name": "x"},
+                {"component_type": "driver"}]}
     feed = feeds.inventories(spark, put(tmp_path / "i.json", [inv]), exact=False)
     assert sorted(r["normalized_name"] for r in feed.valid.collect()) == ["a-b", "my app"]
     assert reasons(feed) == ["package_without_ecosystem", "unknown_component_type"]
@@ -166,7 +179,8 @@ def test_inventory_and_benign(spark, tmp_path):
 
 
 def test_weaknesses(spark, tmp_path):
-    w = [{"ID": "79", "Name": "XSS", "Description": "d"}, {"ID": "79", "Name": "XSS", "Description": "d"}, {"ID": "80", "Name": "a"}, {"ID": "80", "Name": "b"}, {"ID": "x", "Name": "n"}]
+    w = [{"ID": "79", "Name": "XSS", "Description": "d"}, {"ID": "79", "Name": "XSS", "Description": "d"}, {"ID": "80", "Name": "a"},
+        {"ID": "80", "Name": "b"}, {"ID": "x", "Name": "n"}]
     feed = feeds.weaknesses(spark, put(tmp_path / "w.json", {"Weaknesses": w}))
     assert [r["cwe_id"] for r in feed.valid.collect()] == ["CWE-79"] and reasons(feed) == ["bad_identifier", "conflicting_content", "conflicting_content"]
 
@@ -200,14 +214,16 @@ def test_quantiles_by_ranges(spark):
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
     got = {r["k"]: tuple(r)[1:] for r in order.quantiles(df, "k", "x", {"q0": 0.0, "q5": 0.5, "q9": 0.9, "q1": 1.0}).collect()}
     spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
-    want = {r["k"]: (r["n"], *r["q"]) for r in df.where("x is not null").groupBy("k").agg(F.count("*").alias("n"), F.percentile("x", [0.0, 0.5, 0.9, 1.0]).alias("q")).collect()}
+    want = {r["k"]: (r["n"], *r["q"]) for r in df.where("x is not null").groupBy("k").agg(F.count("*").alias("n"),
+        F.percentile("x", [0.0, 0.5, 0.9, 1.0]).alias("q")).collect()}
     assert got == want and got["two"] == (2, 1.0, 1.5, pytest.approx(1.9), 2.0)
 
 
 def test_inventory_keys_are_exact(spark, tmp_path):
     app = {"component_type": "application", "name": "A", "version": None, "vendor": None, "external_id": None, "detected_by": "x"}
     package = {"component_type": "package", "ecosystem": "pip", "package_name": "Foo_Bar", "version": "1", "scope": "user", "detected_by": "x"}
-    inv = {"schema_version": "Inventory/V1", "inventory_id": "i1", "collected_at": "2026-01-01T00:00:00Z", "agent": {"name": "a", "version": "1"}, "machine": {"machine_uid": "m1"}, "components": [app, package, dict(app, extra=1), {k: v for k, v in package.items() if k != "scope"}]}
+    inv = {"schema_version": "Inventory/V1", "inventory_id": "i1", "collected_at": "2026-01-01T00:00:00Z", "agent": {"name": "a", "version": "1"},
+        "machine": {"machine_uid": "m1"}, "components": [app, package, dict(app, extra=1), {k: v for k, v in package.items() if k != "scope"}]}
     feed = feeds.inventories(spark, put(tmp_path / "i.json", [inv, dict(inv, more=1), {k: v for k, v in inv.items() if k != "agent"}]))
     assert sorted((r["normalized_name"], r["ecosystem"]) for r in feed.valid.collect()) == [("a", None), ("foo-bar", "pypi")]
     assert reasons(feed) == ["wrong_component_keys"] * 2 + ["wrong_keys"] * 8
@@ -216,23 +232,47 @@ def test_inventory_keys_are_exact(spark, tmp_path):
 def test_feeds_of_odd_shapes(spark, tmp_path):
     """Network details, partial snapshots, CVSS versions of vectors, nested locations,
     relations of weaknesses, headers."""
-    details = [{"ip_address": "2001:DB8::0:1", "cidr_block": "10.1.2.3/8", "rir": " RIPE ", "country": "de"}] * 2 + [{"ip_address": "999.1.1.1", "country": "xx"}, {"ip_address": "1.2.3.4", "country": "Germany"}]
+    details = [{"ip_address": "2001:DB8::0:1", "cidr_block": "10.1.2.3/8", "rir": " RIPE ", "country": "de"}] * 2 + [{"ip_address": "999.1.1.1",
+        "country": "xx"}, {"ip_address": "1.2.3.4", "country": "Germany"}]
     phish = [{"phish_id": str(i), "url": "http://bücher.example/", "submission_time": "2026-01-01T00:00:00Z", "details": details} for i in (3, 1, 2)]
     feed = feeds.phishing(spark, put(tmp_path / "p.json", phish), limit=2)
     got = {r["phish_id"]: r for r in feed.valid.collect()}
     assert set(got) == {1, 2} and not got[1]["snapshot_complete"] and got[1]["canonical_url"] == "http://xn--bcher-kva.example/"
     assert [tuple(n) for n in got[1]["network"]] == [("2001:db8::1", "10.0.0.0/8", "ripe", "DE"), ("1.2.3.4", None, None, None)]
 
-    a = {"ghsa_id": "GHSA-23cf-gh4v-56pq", "updated_at": "2026-01-01T00:00:00Z", "cvss": {"score": 5.0, "vector_string": "CVSS:3.0/x"}, "source_code_location": {"url": "u1", "location": ["l1", {"path": "p1"}]}}
-    a["vulnerabilities"] = [{"package": {"ecosystem": "pip", "name": "A_b"}, "source_code_location": "u2"}, {"package": {"ecosystem": "pip", "name": "C"}, "source_code_location": ["u1", "  "]}]
+    a = {"ghsa_id": "GHSA-23cf-gh4v-56pq", "updated_at": "2026-01-01T00:00:00Z", "cvss": {"score": 5.0, "vector_string": "CVSS:3.0/x"},
+        "source_code_location": {"url": "u1", "location": ["l1", {"path": "p1"}]}}
+    a["vulnerabilities"] = [{"package": {"ecosystem": "pip", "name": "A_b"}, "source_code_location": "u2"},
+        {"package": {"ecosystem": "pip", "name": "C"}, "source_code_location": ["u1", "  "]}]
     (r,) = feeds.advisories(spark, put(tmp_path / "a.json", [a])).valid.collect()
-    assert r["primary_metric"]["version"] == "3.0" and r["source_locations"] == ["u1", "l1", "p1", "u2"] and [p["ecosystem"] for p in r["packages"]] == ["pypi", "pypi"]
+    assert r["primary_metric"]["version"] == "3.0" and r["source_locations"] == ["u1", "l1", "p1",
+        "u2"] and [p["ecosystem"] for p in r["packages"]] == ["pypi", "pypi"]
 
-    w = {"ID": "079", "Name": "n", "RelatedWeaknesses": [{"Nature": "ChildOf", "CweID": "0074"}, {"Nature": "x", "CweID": "?"}], "RelatedAttackPatterns": ["063", "CAPEC-63"], "AlternateTerms": ["XSS", {"Term": "HTML injection"}], "MappingNotes": {"Usage": "Allowed"}}
+    w = {"ID": "079", "Name": "n", "RelatedWeaknesses": [{"Nature": "ChildOf", "CweID": "0074"}, {"Nature": "x", "CweID": "?"}],
+        "RelatedAttackPatterns": ["063", "CAPEC-63"], "AlternateTerms": ["XSS", {"Term": "HTML injection"}], "MappingNotes": {"Usage": "Allowed"}}
     (r,) = feeds.weaknesses(spark, put(tmp_path / "w.json", {"Weaknesses": [w, w]})).valid.collect()
-    assert (r["cwe_id"], r["related"][0]["cwe_id"], len(r["related"]), r["attack_patterns"], r["terms"], r["mapping_usage"]) == ("CWE-79", "CWE-74", 1, ["CAPEC-63"], ["XSS", "HTML injection"], "Allowed")
+    assert (r["cwe_id"], r["related"][0]["cwe_id"], len(r["related"]), r["attack_patterns"], r["terms"], r["mapping_usage"]) == ("CWE-79", "CWE-74",
+        1, ["CAPEC-63"], ["XSS", "HTML injection"], "Allowed")
 
     more = "more,observed_at,source_snapshot,source_rank,registered_domain,url\n1,2026-01-01T00:00:00Z,s,3,a.org,https://www.a.org/x\n"
     assert feeds.benign_candidates(spark, put(tmp_path / "b.csv", more)).valid.first()["rank"] == 3
     with pytest.raises(ValueError, match="observed_at"):
         feeds.benign_candidates(spark, put(tmp_path / "c.csv", "url,registered_domain,source_rank,source_snapshot\n"))
+
+
+def test_ingestion_by_small_pages(spark):
+    """Pages of two over ties of time: every record once, then the overlap again."""
+    from vigilake.plans.fixtures import day
+    from vigilake.streaming import runs
+
+    records = spark.createDataFrame([(str(i), "{}", day(i // 3)) for i in range(7)], "record_id string, payload string, modified_at timestamp_ntz")
+    got = []
+    store = lambda rows, batch: got.append([r["record_id"] for r in rows.orderBy("modified_at", "record_id").collect()])
+    state, log = runs.ingest(spark, runs.pages(records, 2), runs.State(), store)
+    assert got == [["0", "1"], ["2", "3"], ["4", "5"], ["6"]] and state == runs.State(None, day(2), None, 0, True)
+    assert [r["status"] for r in log.orderBy("batch").collect()] == ["running"] * 3 + ["completed"]
+    got.clear()
+    state, _ = runs.ingest(spark, runs.pages(records, 2), state, store)
+    assert got == [["6"]] and state.high_water_mark == day(2)
+    state, _ = runs.ingest(spark, runs.pages(records, 2), runs.State(), store, max_batches=2)
+    assert not state.complete and state.cursor is not None and state.high_water_mark is None and state.candidate_mark == day(1)

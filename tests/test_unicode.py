@@ -9,8 +9,10 @@ from vigilake.functions import unicode, urls
 @pytest.mark.parametrize(
     ("given", "expected"),
     [
-        ("https://BÜCHER.example/a?b#c", "https://xn--bcher-kva.example/a?b#c"), ("http://[2001:DB8:0:0::1]:80/x", "http://[2001:db8::1]/x"), ("http://[2001:db8::1]:8080", "http://[2001:db8::1]:8080/"),
-        ("http://[nonsense]/", None), ("http://ü@example.org/", None), ("HTTP://Example.COM", "http://example.com/"), (None, None), ("http://bücher.example:/", None),
+        ("https://BÜCHER.example/a?b#c", "https://xn--bcher-kva.example/a?b#c"), ("http://[2001:DB8:0:0::1]:80/x", "http://[2001:db8::1]/x"),
+            ("http://[2001:db8::1]:8080", "http://[2001:db8::1]:8080/"),
+        ("http://[nonsense]/", None), ("http://ü@example.org/", None), ("HTTP://Example.COM", "http://example.com/"), (None, None),
+            ("http://bücher.example:/", None),
     ],
 )
 def test_canonical(spark, given, expected):

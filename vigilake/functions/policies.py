@@ -64,7 +64,8 @@ def alert_types(applicability: Column, known: Column, kev_before: Column, kev_no
     new = said(~known & (now == "CRITICAL"))
     entered = said(known & ~said(kev_before) & said(kev_now))
     raised = said(known & before.isin("LOW", "MEDIUM", "HIGH") & (now == "CRITICAL"))
-    each = F.array(F.when(new, "new_confirmed_critical_exposure"), F.when(entered, "confirmed_exposure_entered_kev"), F.when(raised, "priority_transition_to_critical"))
+    each = F.array(F.when(new, "new_confirmed_critical_exposure"), F.when(entered, "confirmed_exposure_entered_kev"),
+        F.when(raised, "priority_transition_to_critical"))
     return F.when(applicability == "confirmed", F.filter(each, lambda x: x.isNotNull())).otherwise(F.array().cast("array<string>"))
 
 

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 MOST = 4096
 #: Two-label public suffixes (a part of the public list; other hosts
 #: take their last two labels).
-TWO_LABEL_SUFFIXES = ("co.uk", "org.uk", "ac.uk", "gov.uk", "com.au", "net.au", "org.au", "co.jp", "co.nz", "co.in", "com.br", "com.cn", "com.mx", "com.tr", "co.za", "github.io", "blogspot.com")
+TWO_LABEL_SUFFIXES = ("co.uk", "org.uk", "ac.uk", "gov.uk", "com.au", "net.au", "org.au", "co.jp", "co.nz", "co.in", "com.br", "com.cn", "com.mx",
+    "com.tr", "co.za", "github.io", "blogspot.com")
 IPV4 = r"^(25[0-5]|2[0-4]\d|1?\d?\d)(\.(25[0-5]|2[0-4]\d|1?\d?\d)){3}$"
 PARTS = r"^([A-Za-z][A-Za-z0-9+.\-]*)://([^/?#]*)([^?#]*)(\?[^#]*)?(#.*)?$"
 
@@ -59,7 +60,8 @@ def group_key(h: Column) -> Column:
 def projection(url: Column) -> Column:
     """Path, query and fragment with private values hidden (FN-17)."""
     segment = lambda s: (
-        F.when(s.rlike(r"(?i)^[0-9a-f]{8}-([0-9a-f]{4}-){3}[0-9a-f]{12}$"), "<uuid>").when(s.rlike(r"^[^@\s]+@[^@\s]+\.[^@\s]+$"), "<email>").when(s.rlike(r"^[A-Za-z0-9_-]{24,}$"), "<token>").otherwise(s)
+        F.when(s.rlike(r"(?i)^[0-9a-f]{8}-([0-9a-f]{4}-){3}[0-9a-f]{12}$"), "<uuid>").when(s.rlike(r"^[^@\s]+@[^@\s]+\.[^@\s]+$"),
+            "<email>").when(s.rlike(r"^[A-Za-z0-9_-]{24,}$"), "<token>").otherwise(s)
     )
     path = F.array_join(F.transform(F.split(part(url, 3), "/"), segment), "/")
     query = F.regexp_replace(F.substring(part(url, 4), 2, MOST), r"([^&=]+)=[^&]*", "$1=<value>")
@@ -97,8 +99,10 @@ def features(url: Column) -> list[Column]:
     return [
         F.length(url).alias("url_length"), F.length(h).alias("hostname_length"), count(".").alias("dot_count"), count("-").alias("hyphen_count"),
         F.regexp_count(url, F.lit(r"\p{Nd}")).alias("digit_count"), special.alias("special_char_count"), segments.alias("path_segment_count"),
-        entropy(h).alias("hostname_entropy"), mean_label.alias("mean_hostname_label_length"), ratio(F.length(path), F.length(url)).alias("path_to_url_length_ratio"),
-        special_ratio.alias("special_char_ratio"), product(F.length(path), special_ratio).alias("path_special_product"), product(segments, special_ratio).alias("segment_special_product"),
+        entropy(h).alias("hostname_entropy"), mean_label.alias("mean_hostname_label_length"),
+            ratio(F.length(path), F.length(url)).alias("path_to_url_length_ratio"),
+        special_ratio.alias("special_char_ratio"), product(F.length(path), special_ratio).alias("path_special_product"),
+            product(segments, special_ratio).alias("segment_special_product"),
     ]
 
 

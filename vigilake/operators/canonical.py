@@ -139,7 +139,8 @@ def web_correlated(rows: DataFrame, stored: DataFrame, now: Column) -> Canonical
     """
     given = web_observations(rows)
     seen = given.records
-    kept = stored.select("source", "record_key", urls.value_hash(unicode.canonical(F.col("url"))).alias("value_hash"), "indicator_id", "created_at", "updated_at")
+    kept = stored.select("source", "record_key", urls.value_hash(unicode.canonical(F.col("url"))).alias("value_hash"), "indicator_id", "created_at",
+        "updated_at")
     kept = cut(kept, "stored")
     keys = ["source", "record_key"]
     both = seen.select(*keys, "value_hash").unionByName(kept.select(*keys, "value_hash"))
@@ -155,10 +156,12 @@ def web_correlated(rows: DataFrame, stored: DataFrame, now: Column) -> Canonical
     evidence = good.groupBy("value_hash", *keys).agg(top, F.min("observed_at").alias("observed_at"), F.max("last_observed_at").alias("last_observed_at"))
     evidence = evidence.select("value_hash", *keys, "top.*", "observed_at", "last_observed_at")
     records = good.groupBy("value_hash").agg(F.min("canonical_url").alias("canonical_url"), F.count_distinct(F.struct(*keys)).alias("n_observations"))
-    old = kept.groupBy("value_hash").agg(F.min("indicator_id").alias("indicator_id"), F.min("created_at").alias("created_at"), F.max("updated_at").alias("updated_at"))
+    old = kept.groupBy("value_hash").agg(F.min("indicator_id").alias("indicator_id"), F.min("created_at").alias("created_at"),
+        F.max("updated_at").alias("updated_at"))
     joined = records.join(old, "value_hash", "left")
     created = F.coalesce("created_at", now)
-    out = joined.select("value_hash", "canonical_url", "indicator_id", created.alias("created_at"), F.greatest(created, now, "updated_at").alias("updated_at"), "n_observations")
+    out = joined.select("value_hash", "canonical_url", "indicator_id", created.alias("created_at"),
+        F.greatest(created, now, "updated_at").alias("updated_at"), "n_observations")
     return Canonical(out, evidence.limit(0), evidence, conflicts, given.rejects)
 
 

@@ -48,7 +48,8 @@ def registrable_domains(hosts: DataFrame, rules: DataFrame) -> DataFrame:
     table = lines.select(bare.alias("ending"), F.when(exception, -1).when(wild, 1).otherwise(0).alias("more"))
     address = F.col("host").rlike(r"^[0-9.]+$") | F.col("host").startswith("[")
     named = hosts.select("host").distinct().where(~address).withColumn("labels", F.split("host", r"\."))
-    ending = F.transform(F.sequence(F.lit(1), F.size("labels")), lambda n: F.struct(n.alias("size"), F.array_join(F.slice("labels", -n, n), ".").alias("ending")))
+    ending = F.transform(F.sequence(F.lit(1), F.size("labels")),
+        lambda n: F.struct(n.alias("size"), F.array_join(F.slice("labels", -n, n), ".").alias("ending")))
     each = named.select("host", "labels", F.explode(ending).alias("e")).select("host", "labels", "e.size", "e.ending")
     rank = F.struct((F.col("more") == -1).alias("exception"), (F.col("size") + F.col("more")).alias("suffix"))
     best = each.join(table, "ending").groupBy("host", "labels").agg(F.max(rank).alias("b"))
@@ -126,7 +127,8 @@ def associated_weaknesses(sources: DataFrame, evidence: DataFrame, catalog: Data
     record_key, vulnerability_id); `catalog`: (cwe_id)."""
     owned = sources.join(evidence, ["source", "record_key"]).select("vulnerability_id", "source", "record_key", F.posexplode("cwe_ids").alias("at", "cwe_id"))
     known = owned.join(catalog.select("cwe_id").distinct(), "cwe_id", "left_semi")
-    return known.groupBy("vulnerability_id", "cwe_id").agg(F.min(F.struct("source", "record_key", "at")).alias("first")).select("vulnerability_id", "cwe_id", F.col("first.at").alias("place"))
+    return known.groupBy("vulnerability_id", "cwe_id").agg(F.min(F.struct("source", "record_key", "at")).alias("first")).select("vulnerability_id",
+        "cwe_id", F.col("first.at").alias("place"))
 
 
 def reference_states(references: DataFrame, catalog: DataFrame, placeholders: tuple[str, ...], normal: Column) -> DataFrame:
@@ -139,6 +141,7 @@ def reference_states(references: DataFrame, catalog: DataFrame, placeholders: tu
     n = lambda c, name: F.count_if(asked & c).alias(name)
     valid = ~idle & F.col("cwe_id").isNotNull()
     return joined.groupBy("id").agg(
-        n(valid & F.col("known").isNotNull(), "resolved"), n(idle, "placeholder"), n(~idle & F.col("cwe_id").isNull(), "invalid"), n(valid & F.col("known").isNull(), "unresolved"),
+        n(valid & F.col("known").isNotNull(), "resolved"), n(idle, "placeholder"), n(~idle & F.col("cwe_id").isNull(), "invalid"),
+            n(valid & F.col("known").isNull(), "unresolved"),
         F.array_join(F.array_sort(F.collect_set(F.when(F.col("known"), F.col("cwe_id")))), ",").alias("cwe_ids"),
     )

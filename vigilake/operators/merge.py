@@ -58,7 +58,8 @@ def diff(old: DataFrame, new: DataFrame, keys: list[str], values: list[str]) ->
     """insert / update / delete / unchanged by a full outer join (JOIN-08, SNK-19)."""
     a = old.select(*keys, F.struct(*values).alias("_old"))
     b = new.select(*keys, F.struct(*values).alias("_new"))
-    action = F.when(F.col("_old").isNull(), "insert").when(F.col("_new").isNull(), "delete").when(changed(F.col("_old"), F.col("_new")), "update").otherwise("unchanged")
+    action = F.when(F.col("_old").isNull(), "insert").when(F.col("_new").isNull(), "delete").when(changed(F.col("_old"), F.col("_new")),
+        "update").otherwise("unchanged")
     return a.join(b, keys, "full").select(*keys, action.alias("action"))
 
 

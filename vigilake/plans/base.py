@@ -37,7 +37,8 @@ def priority_of(quantity: Column) -> Column:
 def exposures(spark: SparkSession, sf_dir: str) -> DataFrame:
     """lineitem as exposures."""
     return table(spark, sf_dir, "lineitem").select(
-        F.col("l_orderkey").alias("component_id"), F.col("l_linenumber").alias("line"), F.col("l_partkey").alias("vulnerability_id"), F.col("l_suppkey").alias("source_id"),
+        F.col("l_orderkey").alias("component_id"), F.col("l_linenumber").alias("line"), F.col("l_partkey").alias("vulnerability_id"),
+            F.col("l_suppkey").alias("source_id"),
         priority_of(F.col("l_quantity")).alias("priority"), (F.col("l_linestatus") == "F").alias("is_kev"),
         F.when(F.col("l_returnflag") == "A", "confirmed").when(F.col("l_returnflag") == "N", "potential").otherwise("not_applicable").alias("applicability"),
         F.col("l_shipdate").alias("detected_at"),
@@ -48,25 +49,29 @@ def components(spark: SparkSession, sf_dir: str) -> DataFrame:
     """orders as software components."""
     return table(spark, sf_dir, "orders").select(
         F.col("o_orderkey").alias("component_id"), F.col("o_custkey").alias("machine_id"), F.col("o_orderstatus").alias("component_type"),
-        F.when(F.col("o_orderpriority") != "4-NOT SPECIFIED", F.col("o_orderpriority")).alias("ecosystem"), F.col("o_orderdate").alias("seen_at"), F.col("o_totalprice").alias("price"),
+        F.when(F.col("o_orderpriority") != "4-NOT SPECIFIED", F.col("o_orderpriority")).alias("ecosystem"), F.col("o_orderdate").alias("seen_at"),
+            F.col("o_totalprice").alias("price"),
     )
 
 
 def machines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """customer as machines."""
-    return table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("machine_id"), F.col("c_name").alias("hostname"), F.col("c_nationkey").alias("organization_id"), F.col("c_mktsegment").alias("os_name"))
+    return table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("machine_id"), F.col("c_name").alias("hostname"),
+        F.col("c_nationkey").alias("organization_id"), F.col("c_mktsegment").alias("os_name"))
 
 
 #: The same shapes in SQL.
 EXPOSURES = """exposures AS (
   SELECT l_orderkey AS component_id, l_linenumber AS line, l_partkey AS vulnerability_id, l_suppkey AS source_id,
-         CASE WHEN l_quantity >= 45 THEN 'CRITICAL' WHEN l_quantity >= 30 THEN 'HIGH' WHEN l_quantity >= 15 THEN 'MEDIUM' WHEN l_quantity >= 5 THEN 'LOW' END AS priority,
+         CASE WHEN l_quantity >= 45 THEN 'CRITICAL' WHEN l_quantity >= 30 THEN 'HIGH' WHEN l_quantity >= 15 THEN 'MEDIUM' WHEN l_quantity >= 5 THEN
+           'LOW' END AS priority,
          l_linestatus = 'F' AS is_kev,
          CASE l_returnflag WHEN 'A' THEN 'confirmed' WHEN 'N' THEN 'potential' ELSE 'not_applicable' END AS applicability, l_shipdate AS detected_at
   FROM lineitem)"""
 COMPONENTS = """components AS (
   SELECT o_orderkey AS component_id, o_custkey AS machine_id, o_orderstatus AS component_type,
-         CASE WHEN o_orderpriority <> '4-NOT SPECIFIED' THEN o_orderpriority END AS ecosystem, o_orderdate AS seen_at, o_totalprice AS price FROM orders)"""
+         CASE WHEN o_orderpriority <> '4-NOT SPECIFIED' THEN o_orderpriority END AS ecosystem, o_orderdate AS seen_at, o_totalprice AS price FROM
+           orders)"""
 MACHINES = """machines AS (
   SELECT c_custkey AS machine_id, c_name AS hostname, c_nationkey AS organization_id, c_mktsegment AS os_name FROM customer)"""
 RANK = "CASE priority WHEN 'LOW' THEN 1 WHEN 'MEDIUM' THEN 2 WHEN 'HIGH' THEN 3 WHEN 'CRITICAL' THEN 4 ELSE -1 END"

@@ -60,9 +60,12 @@ def correlated_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("merged_evidence", f"""WITH {values("fx_observations")}, f AS (SELECT *, coalesce(last_observed_at, observed_at) AS seen,
-  row_number() OVER (PARTITION BY source, record_key ORDER BY coalesce(last_observed_at, observed_at) DESC, modified_at DESC NULLS LAST, record_id DESC, evidence_type DESC, rule DESC, confidence DESC, coalesce(record_hash, '') DESC) AS n FROM fx_observations)
-SELECT source, record_key, max(record_id) FILTER (n = 1) AS record_id, max(confidence) FILTER (n = 1) AS confidence, min(observed_at) AS observed_at, max(seen) AS last_observed_at,
-  min(published_at) AS published_at, max(modified_at) AS modified_at, coalesce(max(record_hash) FILTER (n = 1), max(record_hash)) AS record_hash FROM f GROUP BY source, record_key""")
+  row_number() OVER (PARTITION BY source, record_key ORDER BY coalesce(last_observed_at, observed_at) DESC, modified_at DESC NULLS LAST, record_id
+    DESC, evidence_type DESC, rule DESC, confidence DESC, coalesce(record_hash, '') DESC) AS n FROM fx_observations)
+SELECT source, record_key, max(record_id) FILTER (n = 1) AS record_id, max(confidence) FILTER (n = 1) AS confidence, min(observed_at) AS observed_at,
+  max(seen) AS last_observed_at,
+  min(published_at) AS published_at, max(modified_at) AS modified_at, coalesce(max(record_hash) FILTER (n = 1), max(record_hash)) AS record_hash FROM
+    f GROUP BY source, record_key""")
 def merged_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Evidence by seven fields of freshness (ER-04, SNK-05)."""
     columns = ["source", "record_key", "record_id", "confidence", "observed_at", "last_observed_at", "published_at", "modified_at", "record_hash"]
@@ -79,7 +82,8 @@ def _web(spark: SparkSession) -> canonical.Canonical:
 @query("web_records", expected(
     "canonical_url VARCHAR, indicator_id BIGINT, created_at TIMESTAMP, updated_at TIMESTAMP, n_observations BIGINT",
     [
-        ("http://example.com/a", 1, day(-3), day(99), 2), ("http://xn--bcher-kva.example/ä", None, NOW, NOW, 1), ("http://[2001:db8::1]:8080/", None, NOW, NOW, 1),
+        ("http://example.com/a", 1, day(-3), day(99), 2), ("http://xn--bcher-kva.example/ä", None, NOW, NOW, 1),
+            ("http://[2001:db8::1]:8080/", None, NOW, NOW, 1),
     ],
 ))
 def web_records(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -126,8 +130,10 @@ FORECAST = "vulnerability_id long, cve_id string, score double, percentile doubl
 def accepted_forecasts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Forecasts replaced by date, then by synchronization if a value differs (SNK-04)."""
     d = lambda n: dt.date(2026, 1, n)
-    stored = [(1, "CVE-1", 0.1, 0.1, d(2), day(2)), (2, "CVE-2", 0.5, 0.5, d(2), day(9)), (3, "CVE-3", 0.5, 0.5, d(2), day(5)), (4, "CVE-4", 0.5, 0.5, d(2), day(5)), (5, "CVE-5", 0.5, 0.5, d(2), day(5)), (7, "CVE-7", None, None, d(2), day(5))]
-    incoming = [(1, "CVE-1", 0.2, 0.1, d(3), day(3)), (2, "CVE-2", 0.5, 0.5, d(2), day(10)), (3, "CVE-3", 0.6, 0.5, d(2), day(9)), (4, "CVE-4", 0.9, 0.5, d(2), day(4)), (5, "CVE-5", 0.9, 0.5, d(1), day(9)), (6, "CVE-6", 0.7, 0.5, d(1), day(9)), (6, "CVE-6", 0.8, 0.5, d(2), day(4))]
+    stored = [(1, "CVE-1", 0.1, 0.1, d(2), day(2)), (2, "CVE-2", 0.5, 0.5, d(2), day(9)), (3, "CVE-3", 0.5, 0.5, d(2), day(5)),
+        (4, "CVE-4", 0.5, 0.5, d(2), day(5)), (5, "CVE-5", 0.5, 0.5, d(2), day(5)), (7, "CVE-7", None, None, d(2), day(5))]
+    incoming = [(1, "CVE-1", 0.2, 0.1, d(3), day(3)), (2, "CVE-2", 0.5, 0.5, d(2), day(10)), (3, "CVE-3", 0.6, 0.5, d(2), day(9)),
+        (4, "CVE-4", 0.9, 0.5, d(2), day(4)), (5, "CVE-5", 0.9, 0.5, d(1), day(9)), (6, "CVE-6", 0.7, 0.5, d(1), day(9)), (6, "CVE-6", 0.8, 0.5, d(2), day(4))]
     return canonical.accepted_forecasts(spark.createDataFrame(stored, FORECAST), spark.createDataFrame(incoming, FORECAST)).drop("percentile")
 
 

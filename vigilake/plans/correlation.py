@@ -12,7 +12,8 @@ from vigilake.plans.url_dataset import CANON, canonical_pages
 from vigilake.session import scratch_path, table
 
 OBSERVED = """obs AS (
-  SELECT 'kev:' || s_suppkey AS node, 'CVE-2024-' || lpad(CAST(s_suppkey % 40 AS VARCHAR), 4, '0') AS identifier, s_suppkey AS observed_at, true AS active FROM supplier
+  SELECT 'kev:' || s_suppkey AS node, 'CVE-2024-' || lpad(CAST(s_suppkey % 40 AS VARCHAR), 4, '0') AS identifier, s_suppkey AS observed_at, true AS
+    active FROM supplier
   UNION ALL SELECT 'adv:' || s_suppkey, 'GHSA-' || (s_suppkey % 30), s_suppkey + 1000, false FROM supplier
   UNION ALL SELECT 'adv:' || s_suppkey, 'CVE-2024-' || lpad(CAST(s_nationkey + 100 AS VARCHAR), 4, '0'), s_suppkey + 1000, false FROM supplier),
 links AS (SELECT DISTINCT node, identifier AS shared FROM obs),
@@ -25,14 +26,16 @@ def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
     cve = lambda n: F.concat(F.lit("CVE-2024-"), F.lpad(n.cast("string"), 4, "0"))
     key = lambda source: F.concat(F.lit(source), F.col("s_suppkey").cast("string")).alias("node")
     kev = s.select(key("kev:"), cve(F.col("s_suppkey") % 40).alias("identifier"), F.col("s_suppkey").alias("observed_at"), F.lit(True).alias("active"))
-    adv = s.select(key("adv:"), F.explode(F.array(F.concat(F.lit("GHSA-"), (F.col("s_suppkey") % 30).cast("string")), cve(F.col("s_nationkey") + 100))).alias("identifier"), (F.col("s_suppkey") + 1000).alias("observed_at"), F.lit(False).alias("active"))
+    adv = s.select(key("adv:"), F.explode(F.array(F.concat(F.lit("GHSA-"), (F.col("s_suppkey") % 30).cast("string")),
+        cve(F.col("s_nationkey") + 100))).alias("identifier"), (F.col("s_suppkey") + 1000).alias("observed_at"), F.lit(False).alias("active"))
     return kev.unionByName(adv)
 
 
 @query("canonical_vulnerabilities", f"""WITH RECURSIVE {OBSERVED},
 reach(a, b) AS (SELECT node, node FROM links UNION SELECT r.a, y.node FROM reach r JOIN links x ON x.node = r.b JOIN links y ON y.shared = x.shared),
 comp AS (SELECT a AS node, min(b) AS component FROM reach GROUP BY a)
-SELECT component, coalesce(min(identifier) FILTER (starts_with(identifier, 'CVE-')), min(identifier)) AS primary_identifier, min(observed_at) AS created_at, max(observed_at) AS updated_at,
+SELECT component, coalesce(min(identifier) FILTER (starts_with(identifier, 'CVE-')), min(identifier)) AS primary_identifier, min(observed_at) AS
+  created_at, max(observed_at) AS updated_at,
   bool_or(active) AS active, count(DISTINCT node) AS n_evidence FROM obs JOIN comp USING (node) GROUP BY component""")
 def canonical_vulnerabilities(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Observations that share identifiers become one record (ER-01, ER-03, ER-08)."""
@@ -41,21 +44,26 @@ def canonical_vulnerabilities(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resolution.aggregates(obs, found)
 
 
-@query("identifier_owner_conflicts", """WITH o AS (SELECT l_orderkey AS component, l_suppkey % 3 AS owner FROM lineitem) SELECT component, count(DISTINCT owner) AS n_owners FROM o GROUP BY component HAVING count(DISTINCT owner) > 1""")
+@query("identifier_owner_conflicts",
+    """WITH o AS (SELECT l_orderkey AS component, l_suppkey % 3 AS owner FROM lineitem) SELECT component, count(DISTINCT owner) AS n_owners FROM o GROUP BY
+  component HAVING count(DISTINCT owner) > 1""")
 def identifier_owner_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components that touch several stored records are reported, never merged (ER-02)."""
-    rows = table(spark, sf_dir, "lineitem").select(F.concat_ws("-", "l_orderkey", "l_linenumber", "l_suppkey").alias("node"), F.col("l_orderkey").alias("component"), (F.col("l_suppkey") % 3).alias("owner"))
+    rows = table(spark, sf_dir, "lineitem").select(F.concat_ws("-", "l_orderkey", "l_linenumber", "l_suppkey").alias("node"),
+        F.col("l_orderkey").alias("component"), (F.col("l_suppkey") % 3).alias("owner"))
     return resolution.owner_conflicts(rows.select("node", "component").distinct(), rows.select("node", "owner").distinct())
 
 
-@query("web_indicators", f"""WITH {CANON} SELECT sha256('https://' || host || path) AS value_hash, count(*) AS n_observations, min(page_id) AS first_record, max(page_id) AS last_record, count(DISTINCT query || fragment) AS n_variants
+@query("web_indicators", f"""WITH {CANON} SELECT sha256('https://' || host || path) AS value_hash, count(*) AS n_observations, min(page_id) AS first_record, max(page_id) AS
+  last_record, count(DISTINCT query || fragment) AS n_variants
 FROM c GROUP BY 1""")
 def web_indicators(spark: SparkSession, sf_dir: str) -> DataFrame:
     """URL observations grouped by identity: no fuzzy merging (ER-07, ER-09, SNK-07)."""
     u = F.col("canonical_url")
     place = F.concat(F.lit("https://"), "host", urls.part(u, 3))
     return canonical_pages(spark, sf_dir).groupBy(urls.value_hash(place).alias("value_hash")).agg(
-        F.count("*").alias("n_observations"), F.min("page_id").alias("first_record"), F.max("page_id").alias("last_record"), F.count_distinct(F.concat(urls.part(u, 4), urls.part(u, 5))).alias("n_variants"),
+        F.count("*").alias("n_observations"), F.min("page_id").alias("first_record"), F.max("page_id").alias("last_record"),
+            F.count_distinct(F.concat(urls.part(u, 4), urls.part(u, 5))).alias("n_variants"),
     )
 
 
@@ -64,22 +72,28 @@ SELECT id, arg_max(record, (last_at, q, tax, record)) AS record, min(last_at) AS
 def evidence_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The freshest evidence by a several-field order, least and greatest times
     (ER-04, SNK-05, SNK-09): one pre-aggregated pass."""
-    e = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("id"), F.col("l_suppkey").alias("record"), F.col("l_shipdate").alias("last_at"), F.col("l_quantity").alias("q"), F.col("l_tax").alias("tax"))
-    return e.groupBy("id").agg(F.max_by("record", F.struct("last_at", "q", "tax", "record")).alias("record"), F.min("last_at").alias("first_at"), F.max("last_at").alias("last_at"), F.count("*").alias("n"))
+    e = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("id"), F.col("l_suppkey").alias("record"),
+        F.col("l_shipdate").alias("last_at"), F.col("l_quantity").alias("q"), F.col("l_tax").alias("tax"))
+    return e.groupBy("id").agg(F.max_by("record", F.struct("last_at", "q", "tax", "record")).alias("record"), F.min("last_at").alias("first_at"),
+        F.max("last_at").alias("last_at"), F.count("*").alias("n"))
 
 
 @query("forecast_enrichment", """SELECT p_partkey, s.score, s.at, CASE WHEN s.score IS NULL THEN 'missing' WHEN s.score >= 0.09 THEN 'elevated' ELSE 'known' END AS state
-FROM part LEFT JOIN (SELECT l_partkey, arg_max(l_discount, (l_shipdate, l_orderkey, l_linenumber, l_discount)) AS score, max(l_shipdate) AS at FROM lineitem WHERE l_quantity >= 48 GROUP BY 1) s ON s.l_partkey = p_partkey""")
+FROM part LEFT JOIN (SELECT l_partkey, arg_max(l_discount, (l_shipdate, l_orderkey, l_linenumber, l_discount)) AS score, max(l_shipdate) AS at FROM
+  lineitem WHERE l_quantity >= 48 GROUP BY 1) s ON s.l_partkey = p_partkey""")
 def forecast_enrichment(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The latest score of each record, and those that have none (JOIN-11, JOIN-20)."""
     rows = table(spark, sf_dir, "lineitem").where("l_quantity >= 48").groupBy(F.col("l_partkey").alias("p_partkey"))
-    latest = rows.agg(F.max_by("l_discount", F.struct("l_shipdate", "l_orderkey", "l_linenumber", "l_discount")).alias("score"), F.max("l_shipdate").alias("at"))
+    latest = rows.agg(F.max_by("l_discount", F.struct("l_shipdate", "l_orderkey", "l_linenumber", "l_discount")).alias("score"),
+        F.max("l_shipdate").alias("at"))
     state = F.when(F.col("score").isNull(), "missing").when(F.col("score") >= 0.09, "elevated").otherwise("known")
     return table(spark, sf_dir, "part").select("p_partkey").join(latest, "p_partkey", "left").select("p_partkey", "score", "at", state.alias("state"))
 
 
-@query("weakness_associations", """WITH w AS (SELECT p_partkey, string_split(p_name, ' ') AS words FROM part), e AS (SELECT p_partkey, unnest(words) AS word, generate_subscripts(words, 1) AS pos FROM w),
-k AS (SELECT p_partkey, word, min(pos) AS pos FROM e WHERE length(word) % 2 = 0 GROUP BY 1, 2) SELECT p_partkey, string_agg(word, ',' ORDER BY pos) AS official, count(*) AS n FROM k GROUP BY p_partkey""")
+@query("weakness_associations", """WITH w AS (SELECT p_partkey, string_split(p_name, ' ') AS words FROM part), e AS (SELECT p_partkey, unnest(words) AS word, generate_subscripts(words,
+  1) AS pos FROM w),
+k AS (SELECT p_partkey, word, min(pos) AS pos FROM e WHERE length(word) % 2 = 0 GROUP BY 1, 2) SELECT p_partkey, string_agg(word, ',' ORDER BY pos) AS
+  official, count(*) AS n FROM k GROUP BY p_partkey""")
 def weakness_associations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Source tokens that the official catalog has, in order, without repeats
     (JOIN-12, JOIN-13, SET-06): array functions only, no shuffle."""
@@ -89,11 +103,16 @@ def weakness_associations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 MACHINE_SQL = f"""WITH {EXPOSURES}, {COMPONENTS}, {MACHINES}, x AS (
-  SELECT machine_id, organization_id, vulnerability_id, applicability, is_kev, CASE priority WHEN 'LOW' THEN 1 WHEN 'MEDIUM' THEN 2 WHEN 'HIGH' THEN 3 WHEN 'CRITICAL' THEN 4 ELSE 1 END AS base FROM exposures JOIN components USING (component_id) JOIN machines USING (machine_id) WHERE applicability <> 'not_applicable'),
-s AS (SELECT l_partkey AS vulnerability_id, max(l_discount) * 9 AS percentile, max(l_tax) / 2 AS score, bool_or(l_linenumber = 7) AS weak FROM lineitem GROUP BY 1),
-o AS (SELECT x.*, weak, least(base + CASE WHEN percentile >= 0.9 OR score >= 0.04 THEN 1 ELSE 0 END, 4) AS once FROM x LEFT JOIN s USING (vulnerability_id)),
+  SELECT machine_id, organization_id, vulnerability_id, applicability, is_kev, CASE priority WHEN 'LOW' THEN 1 WHEN 'MEDIUM' THEN 2 WHEN 'HIGH' THEN 3
+    WHEN 'CRITICAL' THEN 4 ELSE 1 END AS base FROM exposures JOIN components USING (component_id) JOIN machines USING (machine_id) WHERE applicability
+    <> 'not_applicable'),
+s AS (SELECT l_partkey AS vulnerability_id, max(l_discount) * 9 AS percentile, max(l_tax) / 2 AS score, bool_or(l_linenumber = 7) AS weak FROM
+  lineitem GROUP BY 1),
+o AS (SELECT x.*, weak, least(base + CASE WHEN percentile >= 0.9 OR score >= 0.04 THEN 1 ELSE 0 END, 4) AS once FROM x LEFT JOIN s USING
+  (vulnerability_id)),
 p AS (SELECT *, CASE WHEN is_kev AND applicability = 'confirmed' THEN 4 WHEN weak THEN greatest(once, least(once + 1, 3)) ELSE once END AS r FROM o)
-SELECT machine_id, organization_id, count(*) AS n_exposures, count(*) FILTER (r = 4) AS n_critical, count(DISTINCT vulnerability_id) AS n_vulnerabilities, max(r) AS worst FROM p GROUP BY 1, 2"""
+SELECT machine_id, organization_id, count(*) AS n_exposures, count(*) FILTER (r = 4) AS n_critical, count(DISTINCT vulnerability_id) AS
+  n_vulnerabilities, max(r) AS worst FROM p GROUP BY 1, 2"""
 
 
 @query("machine_pipeline", MACHINE_SQL)
@@ -110,11 +129,13 @@ def machine_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     kev = F.col("is_kev") & (F.col("applicability") == "confirmed")
     r = policies.rank(policies.priority(F.col("priority"), kev, F.col("percentile"), F.col("score"), F.col("cwe_ids")))
     return x.withColumn("r", r).groupBy("machine_id", "organization_id").agg(
-        F.count("*").alias("n_exposures"), F.count_if(F.col("r") == 4).alias("n_critical"), F.count_distinct("vulnerability_id").alias("n_vulnerabilities"), F.max("r").alias("worst"),
+        F.count("*").alias("n_exposures"), F.count_if(F.col("r") == 4).alias("n_critical"),
+            F.count_distinct("vulnerability_id").alias("n_vulnerabilities"), F.max("r").alias("worst"),
     )
 
 
-@query("work_claim", """SELECT event_id, ts FROM events e WHERE event_type = 'view' AND EXISTS (SELECT 1 FROM events r WHERE r.event_type = 'purchase' AND r.user_id = e.user_id AND r.ts >= e.ts) ORDER BY ts, event_id LIMIT 500""")
+@query("work_claim", """SELECT event_id, ts FROM events e WHERE event_type = 'view' AND EXISTS (SELECT 1 FROM events r WHERE r.event_type = 'purchase' AND r.user_id =
+  e.user_id AND r.ts >= e.ts) ORDER BY ts, event_id LIMIT 500""")
 def work_claim(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Oldest pending payloads seen in a completed run (STR-03): the existence test is
     one maximum for each run key."""
@@ -126,7 +147,8 @@ def work_claim(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("latest_inventories", """WITH r AS (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS n FROM orders),
 s AS (SELECT *, max(o_orderdate) OVER (PARTITION BY o_custkey ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS newest FROM r)
-SELECT o_custkey AS machine_uid, o_orderkey AS inventory_id, CASE WHEN newest IS NULL OR o_orderdate > newest THEN 'accepted' WHEN o_orderdate = newest THEN 'timestamp_conflict' ELSE 'stale' END AS outcome FROM s""")
+SELECT o_custkey AS machine_uid, o_orderkey AS inventory_id, CASE WHEN newest IS NULL OR o_orderdate > newest THEN 'accepted' WHEN o_orderdate =
+  newest THEN 'timestamp_conflict' ELSE 'stale' END AS outcome FROM s""")
 def latest_inventories(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What becomes of each inventory of a machine in order of arrival: accepted if it is
     newer than all before; of the same time with another id, or older, it is rejected
@@ -138,14 +160,19 @@ def latest_inventories(spark: SparkSession, sf_dir: str) -> DataFrame:
     return o.select(F.col("o_custkey").alias("machine_uid"), F.col("o_orderkey").alias("inventory_id"), outcome.alias("outcome"))
 
 
-@query("alert_status_updates", """SELECT event_id, CASE WHEN event_type IN ('view', 'error') AND value >= 40 THEN 'sent' WHEN event_type = 'view' AND value < 5 THEN 'failed' ELSE event_type END AS status FROM events""")
+@query("alert_status_updates",
+    """SELECT event_id, CASE WHEN event_type IN ('view', 'error') AND value >= 40 THEN 'sent' WHEN event_type = 'view' AND value < 5 THEN 'failed' ELSE
+  event_type END AS status FROM events""")
 def alert_status_updates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """pending or failed -> sent, pending -> failed (SNK-15)."""
     t, v = F.col("event_type"), F.col("value")
-    return table(spark, sf_dir, "events").select("event_id", F.when(t.isin("view", "error") & (v >= 40), "sent").when((t == "view") & (v < 5), "failed").otherwise(t).alias("status"))
+    return table(spark, sf_dir, "events").select("event_id", F.when(t.isin("view", "error") & (v >= 40), "sent").when((t == "view") & (v < 5),
+        "failed").otherwise(t).alias("status"))
 
 
-@query("actionable_matches", """SELECT l_orderkey, l_linenumber, p_partkey IS NOT NULL AS resolved FROM lineitem LEFT JOIN part ON p_partkey = l_partkey AND p_size >= 10 WHERE l_returnflag = 'A'""")
+@query("actionable_matches",
+    """SELECT l_orderkey, l_linenumber, p_partkey IS NOT NULL AS resolved FROM lineitem LEFT JOIN part ON p_partkey = l_partkey AND p_size >= 10 WHERE
+  l_returnflag = 'A'""")
 def actionable_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Matches split into resolved and unresolved (FLT-09, JOIN-02)."""
     part = table(spark, sf_dir, "part").where("p_size >= 10").select(F.col("p_partkey").alias("l_partkey"), F.lit(True).alias("hit"))
@@ -154,7 +181,8 @@ def actionable_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("three_valued_filter", """WITH b AS (SELECT doc_id, lang = 'en' AS verified, CASE WHEN n_chars % 3 = 0 THEN NULL ELSE source <> 'src0' END AS online FROM documents)
-SELECT doc_id, verified, online, coalesce(verified AND online, false) AS active FROM b WHERE (verified IS TRUE AND online IS TRUE) OR (verified IS NULL OR online IS NULL)""")
+SELECT doc_id, verified, online, coalesce(verified AND online, false) AS active FROM b WHERE (verified IS TRUE AND online IS TRUE) OR (verified IS
+  NULL OR online IS NULL)""")
 def three_valued_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """IS TRUE of nullable flags (FLT-03): null is not true, and a row whose flag is
     unknown is not active."""
@@ -179,7 +207,8 @@ def collated_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.orderBy(F.collate("p_name", "fr_CI_AI"), F.coalesce("p_retailprice", F.lit(-1.0)).desc(), "p_partkey").limit(100)
 
 
-@query("payload_hashes", """SELECT event_id, sha256('{"id":' || event_id || ',"type":"' || event_type || '","user":' || user_id || '}') AS payload_hash FROM events""")
+@query("payload_hashes",
+    """SELECT event_id, sha256('{"id":' || event_id || ',"type":"' || event_type || '","user":' || user_id || '}') AS payload_hash FROM events""")
 def payload_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Content hash of canonical JSON: keys in order, compact (FN-15)."""
     body = F.to_json(F.struct(F.col("event_id").alias("id"), F.col("event_type").alias("type"), F.col("user_id").alias("user")))
@@ -194,10 +223,13 @@ def csv_export(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.csv(path, header=True, schema="page_id long, url string", escape='"', multiLine=True)
 
 
-@query("sample_preparation", f"""WITH {CANON} SELECT sha256(canonical_url) AS sample_id, group_key, CASE WHEN ends_with(host, '.com') THEN 'phishing' WHEN ends_with(host, '.net') THEN 'malware' ELSE 'benign' END AS label,
-  CAST(CASE WHEN ends_with(host, '.com') OR ends_with(host, '.net') THEN 1.0 ELSE 0.9 END AS DOUBLE) AS confidence, length(canonical_url) AS url_length FROM c""")
+@query("sample_preparation", f"""WITH {CANON} SELECT sha256(canonical_url) AS sample_id, group_key, CASE WHEN ends_with(host, '.com') THEN 'phishing' WHEN ends_with(host, '.net') THEN
+  'malware' ELSE 'benign' END AS label,
+  CAST(CASE WHEN ends_with(host, '.com') OR ends_with(host, '.net') THEN 1.0 ELSE 0.9 END AS DOUBLE) AS confidence, length(canonical_url) AS
+    url_length FROM c""")
 def sample_preparation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Identity, group, label, confidence and a feature of each sample (DS-02)."""
     h, u = F.col("host"), F.col("canonical_url")
     label = F.when(h.endswith(".com"), "phishing").when(h.endswith(".net"), "malware").otherwise("benign")
-    return canonical_pages(spark, sf_dir).select(urls.value_hash(u).alias("sample_id"), "group_key", label.alias("label"), F.when(label == "benign", 0.9).otherwise(1.0).alias("confidence"), F.length(u).cast("long").alias("url_length"))
+    return canonical_pages(spark, sf_dir).select(urls.value_hash(u).alias("sample_id"), "group_key", label.alias("label"),
+        F.when(label == "benign", 0.9).otherwise(1.0).alias("confidence"), F.length(u).cast("long").alias("url_length"))

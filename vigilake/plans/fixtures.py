@@ -53,13 +53,15 @@ TABLES: dict[str, tuple[str, list[tuple]]] = {
     ),
     "fx_catalog": (
         "cve_id string, vendor string, product string",
-        [("CVE-2026-0003", "Acme Corp", "Widget Server"), (" cve-2026-0003", "ACME  corp", "widget server"), ("CVE-2026-0001", "acme corp", "Gadget"), ("CVE-2026-0007", "acme", "widget server")],
+        [("CVE-2026-0003", "Acme Corp", "Widget Server"), (" cve-2026-0003", "ACME  corp", "widget server"), ("CVE-2026-0001", "acme corp", "Gadget"),
+            ("CVE-2026-0007", "acme", "widget server")],
     ),
     "fx_identifiers": (
         "identifier string, vulnerability_id long, status string",
         [
             ("CVE-2026-0001", 101, "active"), ("GHSA-AAAA", 101, "active"), ("GHSA-BBBB", 101, "active"), ("CVE-2026-0002", 102, "provisional"),
-            ("GHSA-CCCC", 102, "provisional"), ("CVE-2026-0003", 103, "active"), ("GHSA-EEEE", 104, "withdrawn"), ("GHSA-HHHH", 105, "active"), ("CVE-2026-0009", 106, "active"),
+            ("GHSA-CCCC", 102, "provisional"), ("CVE-2026-0003", 103, "active"), ("GHSA-EEEE", 104, "withdrawn"), ("GHSA-HHHH", 105, "active"),
+                ("CVE-2026-0009", 106, "active"),
         ],
     ),
     "fx_exposures": (
@@ -77,14 +79,17 @@ TABLES: dict[str, tuple[str, list[tuple]]] = {
     "fx_scores": (
         "vulnerability_id long, version string, base_score double, source_name string, source_role string, vector string, published_at timestamp_ntz, modified_at timestamp_ntz",
         [
-            (101, "3.1", 5.0, "nvd", "NVD", "v1", day(1), None), (101, "3.1", 9.8, "cna", "CNA", "v2", day(1), day(2)), (101, "2.0", 10.0, "maker", "VENDOR", None, day(9), None),
-            (102, "3.x", 8.0, "nvd", "NVD", None, None, None), (102, "3.x", 6.0, "nvd", "NVD", None, day(1), None), (102, "3.x", 5.0, "adp", "ADP", None, day(1), day(1)),
+            (101, "3.1", 5.0, "nvd", "NVD", "v1", day(1), None), (101, "3.1", 9.8, "cna", "CNA", "v2", day(1), day(2)),
+                (101, "2.0", 10.0, "maker", "VENDOR", None, day(9), None),
+            (102, "3.x", 8.0, "nvd", "NVD", None, None, None), (102, "3.x", 6.0, "nvd", "NVD", None, day(1), None),
+                (102, "3.x", 5.0, "adp", "ADP", None, day(1), day(1)),
             (103, "4.0", 0.0, "maker", "VENDOR", "v", None, None), (103, "4.0", 0.0, "cna", "CNA", "v", day(5), None),
         ],
     ),
     "fx_forecasts": (
         "vulnerability_id long, cve_id string, score double, percentile double, score_date date",
-        [(101, "CVE-2026-0001", 0.5, 0.89, dt.date(2026, 1, 2)), (101, "CVE-2026-0001", 0.01, 0.89, dt.date(2026, 1, 3)), (102, "CVE-2026-0002", 0.01, 0.90, dt.date(2026, 1, 1)), (104, "CVE-2026-0004", 0.039, 0.1, dt.date(2026, 1, 1))],
+        [(101, "CVE-2026-0001", 0.5, 0.89, dt.date(2026, 1, 2)), (101, "CVE-2026-0001", 0.01, 0.89, dt.date(2026, 1, 3)),
+            (102, "CVE-2026-0002", 0.01, 0.90, dt.date(2026, 1, 1)), (104, "CVE-2026-0004", 0.039, 0.1, dt.date(2026, 1, 1))],
     ),
     "fx_weaknesses": (
         "vulnerability_id long, cwe_id string",
@@ -92,7 +97,8 @@ TABLES: dict[str, tuple[str, list[tuple]]] = {
     ),
     "fx_contacts": (
         "recipient_id long, organization_id long, role string, active boolean, created_at timestamp_ntz",
-        [(1, 10, "security_responsible", True, day(3)), (2, 10, "security_responsible", False, day(1)), (3, 10, "viewer", True, day(1)), (4, 20, "security_responsible", True, day(2)), (5, 20, "security_responsible", None, day(2)), (6, 10, "security_responsible", True, day(1))],
+        [(1, 10, "security_responsible", True, day(3)), (2, 10, "security_responsible", False, day(1)), (3, 10, "viewer", True, day(1)),
+            (4, 20, "security_responsible", True, day(2)), (5, 20, "security_responsible", None, day(2)), (6, 10, "security_responsible", True, day(1))],
     ),
     "fx_alerts": (
         "dedup_key string, status string",
@@ -120,7 +126,8 @@ TABLES: dict[str, tuple[str, list[tuple]]] = {
     ),
     "fx_stored_records": (
         "vulnerability_id long, status string, created_at timestamp_ntz, updated_at timestamp_ntz",
-        [(7, "active", day(-20), day(9)), (8, "active", day(-20), day(0)), (9, "active", day(-20), day(0)), (10, "provisional", day(-20), day(1)), (11, "rejected", day(-20), day(1))],
+        [(7, "active", day(-20), day(9)), (8, "active", day(-20), day(0)), (9, "active", day(-20), day(0)), (10, "provisional", day(-20), day(1)),
+            (11, "rejected", day(-20), day(1))],
     ),
     "fx_stored_evidence": ("record_key string, source string, vulnerability_id long", [("a2", "advisory", 12)]),
     "fx_web": (
@@ -149,7 +156,8 @@ def fixture(spark: SparkSession, name: str) -> DataFrame:
     return spark.createDataFrame(rows, schema)
 
 
-_SQL_TYPES = {"long": "BIGINT", "string": "VARCHAR", "double": "DOUBLE", "boolean": "BOOLEAN", "timestamp_ntz": "TIMESTAMP", "date": "DATE", "array<string>": "VARCHAR[]"}
+_SQL_TYPES = {"long": "BIGINT", "string": "VARCHAR", "double": "DOUBLE", "boolean": "BOOLEAN", "timestamp_ntz": "TIMESTAMP", "date": "DATE",
+    "array<string>": "VARCHAR[]"}
 
 
 def _literal(value: object) -> str:

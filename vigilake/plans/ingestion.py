@@ -17,10 +17,15 @@ from vigilake.sources.feeds import payload_id
 from vigilake.streaming import runs
 
 
+#: Records of a page.
+PAGE = 2_500
+
+
 def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events as the records of a paged source; several share a modification time."""
-    e = table(spark, sf_dir, "events").where("event_id <= 300")
-    return e.select(F.lpad(F.col("event_id").cast("string"), 6, "0").alias("record_id"), F.col("props").alias("payload"), F.date_trunc("day", "ts").cast("timestamp_ntz").alias("modified_at"))
+    """Events as the records of a paged source; many share a modification time."""
+    e = table(spark, sf_dir, "events")
+    return e.select(F.lpad(F.col("event_id").cast("string"), 6, "0").alias("record_id"), F.col("props").alias("payload"),
+        F.date_trunc("day", "ts").cast("timestamp_ntz").alias("modified_at"))
 
 
 def _ingested(spark: SparkSession, sf_dir: str) -> tuple[runs.State, DataFrame, DataFrame]:
@@ -31,16 +36,17 @@ def _ingested(spark: SparkSession, sf_dir: str) -> tuple[runs.State, DataFrame,
         made = rows.withColumn("id", payload_id("events", F.col("record_id"), F.col("payload")))
         made.write.mode("append").parquet(path)
 
-    source = runs.pages(_records(spark, sf_dir), 120)
+    source = runs.pages(_records(spark, sf_dir), PAGE)
     state, log = runs.ingest(spark, source, runs.State(), store, run_id=1)
     state, more = runs.ingest(spark, source, state, store, run_id=2)
     return state, log.unionByName(more), spark.read.parquet(path)
 
 
-SOURCE_SQL = """r AS (SELECT lpad(CAST(event_id AS VARCHAR), 6, '0') AS record_id, props, date_trunc('day', ts) AS modified_at, row_number() OVER (ORDER BY date_trunc('day', ts), lpad(CAST(event_id AS VARCHAR), 6, '0')) AS n, max(date_trunc('day', ts)) OVER () AS mark FROM events WHERE event_id <= 300)"""
+SOURCE_SQL = """r AS (SELECT lpad(CAST(event_id AS VARCHAR), 6, '0') AS record_id, props, date_trunc('day', ts) AS modified_at, row_number() OVER (ORDER BY
+  date_trunc('day', ts), lpad(CAST(event_id AS VARCHAR), 6, '0')) AS n, max(date_trunc('day', ts)) OVER () AS mark FROM events)"""
 
 
-@query("ingestion_runs", f"""WITH {SOURCE_SQL}, b AS (SELECT CAST((n - 1) // 120 AS INTEGER) AS batch, count(*) AS records FROM r GROUP BY 1)
+@query("ingestion_runs", f"""WITH {SOURCE_SQL}, b AS (SELECT CAST((n - 1) // {PAGE} AS INTEGER) AS batch, count(*) AS records FROM r GROUP BY 1)
 SELECT CAST(1 AS BIGINT) AS run_id, batch, records, CASE WHEN batch = (SELECT max(batch) FROM b) THEN 'completed' ELSE 'running' END AS status FROM b
 UNION ALL SELECT 2, 0, count(*), 'completed' FROM r WHERE modified_at >= mark - INTERVAL 5 MINUTE""")
 def ingestion_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -60,7 +66,8 @@ def ingested_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
 def ingestion_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The state that the next run starts from (SNK-14, SRC-04)."""
     s = _ingested(spark, sf_dir)[0]
-    return spark.createDataFrame([(s.cursor, s.high_water_mark, s.attempts, s.complete)], "cursor string, high_water_mark timestamp_ntz, attempts int, complete boolean")
+    return spark.createDataFrame([(s.cursor, s.high_water_mark, s.attempts, s.complete)],
+        "cursor string, high_water_mark timestamp_ntz, attempts int, complete boolean")
 
 
 @query("failed_run", expected(
@@ -107,7 +114,8 @@ def claimed_work(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("recovered_work", expected(
     "payload_id BIGINT, status VARCHAR, leased BOOLEAN",
-    [(1, "pending", False), (2, "pending", False), (3, "pending", False), (4, "processed", False), (5, "pending", False), (6, "failed", False), (7, "processing", True), (8, "pending", False)],
+    [(1, "pending", False), (2, "pending", False), (3, "pending", False), (4, "processed", False), (5, "pending", False), (6, "failed", False),
+        (7, "processing", True), (8, "pending", False)],
 ))
 def recovered_work(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Leases that ran out: pending again, or failed after three attempts (STR-04)."""
@@ -115,8 +123,8 @@ def recovered_work(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("payload_id", "status", F.col("leased_at").isNotNull().alias("leased"))
 
 
-@query("forecast_backfill", """WITH asked AS (SELECT DISTINCT p_partkey FROM part WHERE p_size < 10), known AS (SELECT p_partkey, p_partkey % 2 = 0 AS canonical FROM part WHERE p_partkey % 3 = 0),
-answers AS (SELECT p_partkey, p_retailprice FROM part WHERE p_partkey % 5 <> 0)
+@query("forecast_backfill", """WITH asked AS (SELECT DISTINCT p_partkey FROM part WHERE p_size < 10),
+known AS (SELECT p_partkey, p_size >= 5 AS canonical FROM part WHERE p_retailprice > 950), answers AS (SELECT p_partkey, p_retailprice FROM part WHERE p_brand <> 'Brand#11')
 SELECT 'CVE-2026-' || lpad(CAST(a.p_partkey AS VARCHAR), 6, '0') AS cve_id, p_retailprice AS score, CASE WHEN p_retailprice IS NULL THEN 'missing' ELSE 'found' END AS state
 FROM asked a LEFT JOIN answers USING (p_partkey) WHERE NOT EXISTS (SELECT 1 FROM known k WHERE k.p_partkey = a.p_partkey AND k.canonical)""")
 def forecast_backfill(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -124,8 +132,8 @@ def forecast_backfill(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = table(spark, sf_dir, "part")
     cve = F.concat(F.lit("CVE-2026-"), F.lpad(F.col("p_partkey").cast("string"), 6, "0")).alias("cve_id")
     ids = part.where("p_size < 10").select(cve)
-    known = part.where("p_partkey % 3 = 0").select(cve, (F.col("p_partkey") % 2 == 0).alias("canonical"))
-    answers = part.where("p_partkey % 5 <> 0").select(cve, F.col("p_retailprice").alias("score"))
+    known = part.where("p_retailprice > 950").select(cve, (F.col("p_size") >= 5).alias("canonical"))
+    answers = part.where("p_brand <> 'Brand#11'").select(cve, F.col("p_retailprice").alias("score"))
     return runs.backfill(spark, ids, lambda asked: answers.join(asked, "cve_id", "left_semi"), known)
 
 
@@ -145,7 +153,8 @@ def requested_forecasts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def owned_weaknesses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Weaknesses of the records that own a source's evidence, by the official catalog,
     in order and once (JOIN-12, JOIN-13, SET-06)."""
-    sources = spark.createDataFrame([("adv", "a", ["CWE-79", "CWE-999", "CWE-20", "CWE-79"]), ("adv", "b", ["CWE-999", "CWE-89"]), ("adv", "c", ["CWE-20"])], "source string, record_key string, cwe_ids array<string>")
+    sources = spark.createDataFrame([("adv", "a", ["CWE-79", "CWE-999", "CWE-20", "CWE-79"]), ("adv", "b", ["CWE-999", "CWE-89"]),
+        ("adv", "c", ["CWE-20"])], "source string, record_key string, cwe_ids array<string>")
     evidence = spark.createDataFrame([("adv", "a", 1), ("adv", "b", 2)], "source string, record_key string, vulnerability_id long")
     catalog = spark.createDataFrame([("CWE-79",), ("CWE-89",), ("CWE-20",)], "cwe_id string")
     return dataset.associated_weaknesses(sources, evidence, catalog)
@@ -162,22 +171,27 @@ def _normal() -> Column:
 def reference_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     """References against the local catalog: resolved, placeholder, invalid, unresolved
     (JOIN-20)."""
-    references = spark.createDataFrame([(1, ["79", "cwe-0079", "NVD-CWE-noinfo"]), (2, ["CWE-20", "what", "CWE-1234"]), (3, None)], "id long, refs array<string>")
+    references = spark.createDataFrame([(1, ["79", "cwe-0079", "NVD-CWE-noinfo"]), (2, ["CWE-20", "what", "CWE-1234"]), (3, None)],
+        "id long, refs array<string>")
     catalog = spark.createDataFrame([("CWE-79",), ("CWE-20",)], "cwe_id string")
     return dataset.reference_states(references, catalog, text.CWE_PLACEHOLDERS, _normal())
 
 
-@query("catalog_upsert", expected("cwe_id VARCHAR, name VARCHAR, version VARCHAR", [("CWE-1", "kept", "4.1"), ("CWE-2", "new", "4.2"), ("CWE-3", "added", "4.2"), ("CWE-4", "old", "4.1")]))
+@query("catalog_upsert", expected("cwe_id VARCHAR, name VARCHAR, version VARCHAR", [("CWE-1", "kept", "4.1"), ("CWE-2", "new", "4.2"), ("CWE-3",
+    "added", "4.2"), ("CWE-4", "old", "4.1")]))
 def catalog_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A weakness catalog after a batch; contradicting rows change nothing (SNK-13)."""
     kinds = "cwe_id string, name string, version string"
     stored = spark.createDataFrame([("CWE-1", "kept", "4.1"), ("CWE-2", "old", "4.1"), ("CWE-4", "old", "4.1")], kinds)
-    batch = spark.createDataFrame([("CWE-2", "new", "4.2"), ("CWE-3", "added", "4.2"), ("CWE-3", "added", "4.2"), ("CWE-4", "a", "4.2"), ("CWE-4", "b", "4.2"), ("CWE-5", "a", "1"), ("CWE-5", "b", "1")], kinds)
+    batch = spark.createDataFrame([("CWE-2", "new", "4.2"), ("CWE-3", "added", "4.2"), ("CWE-3", "added", "4.2"), ("CWE-4", "a", "4.2"),
+        ("CWE-4", "b", "4.2"), ("CWE-5", "a", "1"), ("CWE-5", "b", "1")], kinds)
     return merge.upsert(stored, batch, ["cwe_id"])
 
 
-@query("catalog_to_sync", """WITH asked AS (SELECT DISTINCT l_partkey AS id FROM lineitem WHERE l_quantity >= 49), c AS (SELECT p_partkey AS id, CASE WHEN p_size > 45 THEN NULL WHEN p_size > 20 THEN '4.2' ELSE '4.1' END AS version FROM part WHERE p_size < 48)
-SELECT a.id, CASE WHEN c.id IS NULL THEN 'missing' ELSE 'stale' END AS reason FROM asked a LEFT JOIN c USING (id) WHERE c.id IS NULL OR c.version IS DISTINCT FROM '4.2'""")
+@query("catalog_to_sync", """WITH asked AS (SELECT DISTINCT l_partkey AS id FROM lineitem WHERE l_quantity >= 49), c AS (SELECT p_partkey AS id, CASE WHEN p_size > 45 THEN NULL
+  WHEN p_size > 20 THEN '4.2' ELSE '4.1' END AS version FROM part WHERE p_size < 48)
+SELECT a.id, CASE WHEN c.id IS NULL THEN 'missing' ELSE 'stale' END AS reason FROM asked a LEFT JOIN c USING (id) WHERE c.id IS NULL OR c.version IS
+  DISTINCT FROM '4.2'""")
 def catalog_to_sync(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Referenced ids that the catalog lacks or has in another version (REC-06)."""
     asked = table(spark, sf_dir, "lineitem").where("l_quantity >= 49").select(F.col("l_partkey").alias("id")).distinct()
@@ -202,7 +216,8 @@ def streamed_dump(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A bulk dump read as a file stream, batch by batch (STR-09, SRC-09)."""
     root = scratch_path(spark, "dump")
     tags = F.when(F.col("page_id") % 2 == 0, "a, b").otherwise("c")
-    line = F.concat_ws('","', F.concat(F.lit('"'), F.col("page_id").cast("string")), F.lit("2026-01-01 10:00:00"), F.lit("http://a.example/"), F.lit("online"), F.lit(""), F.lit("malware"), tags, F.lit("l"), F.lit('r"'))
+    line = F.concat_ws('","', F.concat(F.lit('"'), F.col("page_id").cast("string")), F.lit("2026-01-01 10:00:00"), F.lit("http://a.example/"),
+        F.lit("online"), F.lit(""), F.lit("malware"), tags, F.lit("l"), F.lit('r"'))
     lines = table(spark, sf_dir, "pages").select(line.alias("value"))
     lines.unionByName(spark.createDataFrame([("# comment",), ("",)], "value string")).repartition(3).write.text(f"{root}/in")
     stream = spark.readStream.option("maxFilesPerTrigger", 1).text(f"{root}/in")
@@ -211,13 +226,16 @@ def streamed_dump(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{root}/out")
 
 
-@query("alert_recipients", """WITH v AS (SELECT s_suppkey AS recipient_id, s_nationkey AS organization_id, CASE WHEN s_suppkey % 3 = 0 THEN 'viewer' ELSE 'security_responsible' END AS role, CASE WHEN s_suppkey % 5 = 0 THEN NULL ELSE s_suppkey % 7 <> 0 END AS active, s_acctbal AS created FROM supplier)
-SELECT organization_id, recipient_id, CAST(row_number() OVER (PARTITION BY organization_id ORDER BY created, recipient_id) AS INTEGER) AS place FROM v WHERE role = 'security_responsible' AND active IS TRUE""")
+@query("alert_recipients", """WITH v AS (SELECT s_suppkey AS recipient_id, s_nationkey AS organization_id, CASE WHEN s_suppkey % 3 = 0 THEN 'viewer' ELSE 'security_responsible' END
+  AS role, CASE WHEN s_suppkey % 5 = 0 THEN NULL ELSE s_suppkey % 7 <> 0 END AS active, s_acctbal AS created FROM supplier)
+SELECT organization_id, recipient_id, CAST(row_number() OVER (PARTITION BY organization_id ORDER BY created, recipient_id) AS INTEGER) AS place FROM v
+  WHERE role = 'security_responsible' AND active IS TRUE""")
 def alert_recipients(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Active security contacts of each tenant in order of creation (FLT-14)."""
     key = F.col("s_suppkey")
     v = table(spark, sf_dir, "supplier").select(
-        key.alias("recipient_id"), F.col("s_nationkey").alias("organization_id"), F.when(key % 3 == 0, "viewer").otherwise("security_responsible").alias("role"),
+        key.alias("recipient_id"), F.col("s_nationkey").alias("organization_id"),
+            F.when(key % 3 == 0, "viewer").otherwise("security_responsible").alias("role"),
         F.when(key % 5 == 0, None).otherwise(key % 7 != 0).alias("active"), F.col("s_acctbal").alias("created"),
     )
     mine = v.where((F.col("role") == "security_responsible") & F.col("active").eqNullSafe(True))

@@ -35,17 +35,21 @@ def version_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", versions.in_range(version, F.lit(">= 1.5, < 4.2.0")).alias("hit"))
 
 
-@query("identifier_forms", r"""SELECT event_id, CASE WHEN event_id > 0 THEN 'CWE-' || event_id END AS cwe, CASE WHEN regexp_matches(upper(trim(c)), '^CVE-[0-9]{4}-[0-9]{4,19}$') THEN upper(trim(c)) END AS cve,
+@query("identifier_forms", r"""SELECT event_id, CASE WHEN event_id > 0 THEN 'CWE-' || event_id END AS cwe, CASE WHEN regexp_matches(upper(trim(c)), '^CVE-[0-9]{4}-[0-9]{4,19}$')
+  THEN upper(trim(c)) END AS cve,
   CASE WHEN event_type = 'click' THEN true WHEN event_type = 'error' THEN false END AS flag FROM (SELECT *, ' cve-2024-' || event_id AS c FROM events)""")
 def identifier_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Identifier and flag normal forms (FN-01, FN-03, FN-10, FLT-04)."""
     e = table(spark, sf_dir, "events")
     padded = F.concat(F.lit(" cwe-00"), F.col("event_id").cast("string"))
     word = F.when(F.col("event_type") == "click", "Yes ").when(F.col("event_type") == "error", " n").otherwise("maybe")
-    return e.select("event_id", text.cwe(padded).alias("cwe"), text.cve(F.concat(F.lit(" cve-2024-"), F.col("event_id").cast("string"))).alias("cve"), text.flag(word).alias("flag"))
+    return e.select("event_id", text.cwe(padded).alias("cwe"), text.cve(F.concat(F.lit(" cve-2024-"), F.col("event_id").cast("string"))).alias("cve"),
+        text.flag(word).alias("flag"))
 
 
-@query("redacted_text", r"""SELECT page_id, 'fetch ' || url || ' failed for [CVE_REDACTED]: Authorization: [REDACTED] api_key=[REDACTED]; ftp://me:[REDACTED]@host/x' AS message FROM pages""")
+@query("redacted_text",
+    r"""SELECT page_id, 'fetch ' || url || ' failed for [CVE_REDACTED]: Authorization: [REDACTED] api_key=[REDACTED]; ftp://me:[REDACTED]@host/x' AS message
+  FROM pages""")
 def redacted_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Error text without secrets, credentials and vulnerability identifiers (FN-37)."""
     tail = F.lit(" failed for cve-2026-77: Authorization: Basic abc= api_key=k1; ftp://me:pw@host/x")

@@ -25,11 +25,13 @@ def dash_top_machines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five machines with most critical exposures (AGG-03, TOP-01). Exposures
     are summed by component before they meet machines, so little is shuffled."""
     lines = exposures(spark, sf_dir).where("applicability <> 'not_applicable'")
-    per_component = lines.groupBy("component_id").agg(F.count("*").alias("n"), F.count_if(F.col("priority") == "CRITICAL").alias("c"), F.count_if("is_kev").alias("k"))
+    per_component = lines.groupBy("component_id").agg(F.count("*").alias("n"), F.count_if(F.col("priority") == "CRITICAL").alias("c"),
+        F.count_if("is_kev").alias("k"))
     per_machine = per_component.join(components(spark, sf_dir).select("component_id", "machine_id"), "component_id").groupBy("machine_id")
     sums = per_machine.agg(F.sum("n").alias("n_exposures"), F.sum("c").alias("n_critical"), F.sum("k").alias("n_kev"))
     named = sums.join(machines(spark, sf_dir).select("machine_id", "hostname"), "machine_id")
-    return named.select("machine_id", "hostname", "n_exposures", "n_critical", "n_kev").orderBy(F.desc("n_critical"), F.desc("n_exposures"), "hostname", "machine_id").limit(5)
+    return named.select("machine_id", "hostname", "n_exposures", "n_critical", "n_kev").orderBy(F.desc("n_critical"), F.desc("n_exposures"),
+        "hostname", "machine_id").limit(5)
 
 
 @query("dash_exposure_counts", f"""{OWNED}
@@ -42,7 +44,8 @@ def dash_exposure_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ten filtered counts in one pass (AGG-01, JOIN-03)."""
     of = lambda c: F.col("priority") == c
     return owned(spark, sf_dir).groupBy("organization_id").agg(
-        F.count("*").alias("n_total"), *[F.count_if(of(p)).alias(f"n_{p.lower()}") for p in ("CRITICAL", "HIGH", "MEDIUM", "LOW")], F.count_if(F.col("priority").isNull()).alias("n_unranked"),
+        F.count("*").alias("n_total"), *[F.count_if(of(p)).alias(f"n_{p.lower()}") for p in ("CRITICAL", "HIGH", "MEDIUM", "LOW")],
+            F.count_if(F.col("priority").isNull()).alias("n_unranked"),
         F.count_if(F.col("applicability") == "confirmed").alias("n_confirmed"), F.count_if(F.col("applicability") == "potential").alias("n_potential"),
         F.count_if("is_kev").alias("n_kev"), F.count_if(F.col("is_kev") & (F.col("applicability") == "confirmed")).alias("n_kev_confirmed"),
     )
@@ -51,10 +54,12 @@ def dash_exposure_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("dash_alert_counts", "SELECT count(*) FILTER (event_type = 'view') AS n_pending, count(*) FILTER (event_type = 'error') AS n_failed FROM events")
 def dash_alert_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pending and failed alerts (AGG-02)."""
-    return table(spark, sf_dir, "events").agg(F.count_if(F.col("event_type") == "view").alias("n_pending"), F.count_if(F.col("event_type") == "error").alias("n_failed"))
+    return table(spark, sf_dir, "events").agg(F.count_if(F.col("event_type") == "view").alias("n_pending"),
+        F.count_if(F.col("event_type") == "error").alias("n_failed"))
 
 
-@query("dash_latest_alerts", "SELECT event_id, ts, event_type, user_id FROM events WHERE event_type IN ('error', 'view') ORDER BY ts DESC, event_id DESC LIMIT 5")
+@query("dash_latest_alerts",
+    "SELECT event_id, ts, event_type, user_id FROM events WHERE event_type IN ('error', 'view') ORDER BY ts DESC, event_id DESC LIMIT 5")
 def dash_latest_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The latest five alerts, with a unique tie-break (TOP-01)."""
     alerts = table(spark, sf_dir, "events").where(F.col("event_type").isin("error", "view"))
@@ -62,21 +67,25 @@ def dash_latest_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("dash_actions", f"""{OWNED}, m AS (
-  SELECT organization_id, count(*) FILTER (priority = 'CRITICAL' AND applicability = 'confirmed') AS critical, count(*) FILTER (is_kev) AS kev, count(*) FILTER (priority IS NULL) AS unranked
+  SELECT organization_id, count(*) FILTER (priority = 'CRITICAL' AND applicability = 'confirmed') AS critical, count(*) FILTER (is_kev) AS kev,
+    count(*) FILTER (priority IS NULL) AS unranked
   FROM exposures JOIN components USING (component_id) JOIN machines USING (machine_id) GROUP BY organization_id),
-a AS (SELECT organization_id, 1 AS step, 'fix_critical' AS action, critical AS n FROM m UNION ALL SELECT organization_id, 2, 'review_kev', kev FROM m UNION ALL SELECT organization_id, 3, 'rank_exposures', unranked FROM m)
+a AS (SELECT organization_id, 1 AS step, 'fix_critical' AS action, critical AS n FROM m UNION ALL SELECT organization_id, 2, 'review_kev', kev FROM m
+  UNION ALL SELECT organization_id, 3, 'rank_exposures', unranked FROM m)
 SELECT organization_id, step, action, n FROM a WHERE n > 0""")
 def dash_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Actions derived from the metrics, as rows (AGG-29)."""
     m = owned(spark, sf_dir).groupBy("organization_id").agg(
-        F.count_if((F.col("priority") == "CRITICAL") & (F.col("applicability") == "confirmed")).alias("critical"), F.count_if("is_kev").alias("kev"), F.count_if(F.col("priority").isNull()).alias("unranked"),
+        F.count_if((F.col("priority") == "CRITICAL") & (F.col("applicability") == "confirmed")).alias("critical"), F.count_if("is_kev").alias("kev"),
+            F.count_if(F.col("priority").isNull()).alias("unranked"),
     )
     stacked = F.expr("stack(3, 1, 'fix_critical', critical, 2, 'review_kev', kev, 3, 'rank_exposures', unranked) AS (step, action, n)")
     return m.select("organization_id", stacked).where("n > 0")
 
 
 @query("machine_list", f"""{OWNED}
-SELECT m.organization_id, m.machine_id, m.hostname, count(DISTINCT c.component_id) AS n_components, count(DISTINCT (e.component_id, e.line)) FILTER (e.line IS NOT NULL) AS n_exposures,
+SELECT m.organization_id, m.machine_id, m.hostname, count(DISTINCT c.component_id) AS n_components, count(DISTINCT (e.component_id, e.line)) FILTER
+  (e.line IS NOT NULL) AS n_exposures,
   count(DISTINCT (e.component_id, e.line)) FILTER (e.priority = 'CRITICAL') AS n_critical
 FROM machines m LEFT JOIN components c USING (machine_id) LEFT JOIN exposures e USING (component_id)
 GROUP BY m.organization_id, m.machine_id, m.hostname""")
@@ -86,21 +95,26 @@ def machine_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     distinct counts after the join."""
     mine = machines(spark, sf_dir)
     parts = components(spark, sf_dir).select("component_id", "machine_id").join(mine.select("machine_id"), "machine_id", "left_semi")
-    sums = exposures(spark, sf_dir).groupBy("component_id").agg(F.count_distinct("line").alias("n"), F.count_distinct(F.when(F.col("priority") == "CRITICAL", F.col("line"))).alias("c"))
-    per = parts.join(sums, "component_id", "left").groupBy("machine_id").agg(F.count_distinct("component_id").alias("p"), F.sum("n").alias("n"), F.sum("c").alias("c"))
+    sums = exposures(spark, sf_dir).groupBy("component_id").agg(F.count_distinct("line").alias("n"),
+        F.count_distinct(F.when(F.col("priority") == "CRITICAL", F.col("line"))).alias("c"))
+    per = parts.join(sums, "component_id", "left").groupBy("machine_id").agg(F.count_distinct("component_id").alias("p"), F.sum("n").alias("n"),
+        F.sum("c").alias("c"))
     zero = lambda c, name: F.coalesce(c, F.lit(0)).alias(name)
-    return mine.join(per, "machine_id", "left").select("organization_id", "machine_id", "hostname", zero("p", "n_components"), zero("n", "n_exposures"), zero("c", "n_critical"))
+    return mine.join(per, "machine_id", "left").select("organization_id", "machine_id", "hostname", zero("p", "n_components"),
+        zero("n", "n_exposures"), zero("c", "n_critical"))
 
 
 @query("software_list", f"""{OWNED}
-SELECT component_type, ecosystem, os_name, count(DISTINCT machine_id) AS n_machines, count(DISTINCT component_id) AS n_components, count(DISTINCT vulnerability_id) AS n_vulnerabilities,
+SELECT component_type, ecosystem, os_name, count(DISTINCT machine_id) AS n_machines, count(DISTINCT component_id) AS n_components, count(DISTINCT
+  vulnerability_id) AS n_vulnerabilities,
   count(*) FILTER (priority = 'CRITICAL') AS n_critical, max(seen_at) AS last_seen_at
 FROM components JOIN machines USING (machine_id) LEFT JOIN exposures USING (component_id) GROUP BY component_type, ecosystem, os_name""")
 def software_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Grouped by nullable columns, with exposures of components that have any (AGG-05)."""
     rows = components(spark, sf_dir).join(machines(spark, sf_dir), "machine_id").join(exposures(spark, sf_dir), "component_id", "left")
     return rows.groupBy("component_type", "ecosystem", "os_name").agg(
-        F.count_distinct("machine_id").alias("n_machines"), F.count_distinct("component_id").alias("n_components"), F.count_distinct("vulnerability_id").alias("n_vulnerabilities"),
+        F.count_distinct("machine_id").alias("n_machines"), F.count_distinct("component_id").alias("n_components"),
+            F.count_distinct("vulnerability_id").alias("n_vulnerabilities"),
         F.count_if(F.col("priority") == "CRITICAL").alias("n_critical"), F.max("seen_at").alias("last_seen_at"),
     )
 
@@ -120,18 +134,23 @@ def vuln_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.count_distinct("machine_id").alias("n_machines"), F.count_distinct("component_id").alias("n_components"),
     )
     part = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("vulnerability_id"), F.col("p_name").alias("name"))
-    return folded.join(part, "vulnerability_id", "left").select("vulnerability_id", "name", "priority", "is_kev", "n_confirmed", "n_potential", "n_machines", "n_components")
+    return folded.join(part, "vulnerability_id", "left").select("vulnerability_id", "name", "priority", "is_kev", "n_confirmed", "n_potential",
+        "n_machines", "n_components")
 
 
-@query("vuln_page_by_rank", f"""WITH {EXPOSURES}, v AS (SELECT vulnerability_id, max({RANK}) AS priority_rank, bool_or(is_kev) AS is_kev FROM exposures WHERE applicability = 'confirmed' GROUP BY vulnerability_id)
+@query("vuln_page_by_rank", f"""WITH {EXPOSURES}, v AS (SELECT vulnerability_id, max({RANK}) AS priority_rank, bool_or(is_kev) AS is_kev FROM exposures WHERE applicability =
+  'confirmed' GROUP BY vulnerability_id)
 SELECT vulnerability_id, priority_rank, is_kev FROM v ORDER BY priority_rank DESC, is_kev DESC, vulnerability_id LIMIT 50""")
 def vuln_page_by_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One page in rank order (TOP-02)."""
-    rows = exposures(spark, sf_dir).where("applicability = 'confirmed'").groupBy("vulnerability_id").agg(F.max(rank(F.col("priority"))).alias("priority_rank"), F.bool_or("is_kev").alias("is_kev"))
+    rows = exposures(spark,
+        sf_dir).where("applicability = 'confirmed'").groupBy("vulnerability_id").agg(F.max(rank(F.col("priority"))).alias("priority_rank"),
+            F.bool_or("is_kev").alias("is_kev"))
     return rows.orderBy(F.desc("priority_rank"), F.desc("is_kev"), "vulnerability_id").limit(50)
 
 
-@query("machine_exposures_by_text", f"""{OWNED}, r AS (SELECT machine_id, component_id, line, vulnerability_id, priority, row_number() OVER (PARTITION BY machine_id ORDER BY priority DESC NULLS LAST, component_id, line, vulnerability_id) AS place
+@query("machine_exposures_by_text", f"""{OWNED}, r AS (SELECT machine_id, component_id, line, vulnerability_id, priority, row_number() OVER (PARTITION BY machine_id ORDER BY priority DESC
+  NULLS LAST, component_id, line, vulnerability_id) AS place
 FROM exposures JOIN components USING (component_id)) SELECT * FROM r WHERE place <= 100""")
 def machine_exposures_by_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every machine's first 100 exposures in the text order of priority (FLT-16), the
@@ -143,7 +162,8 @@ def machine_exposures_by_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("machine_detail", f"""{OWNED}
 SELECT organization_id, machine_id, any_value(hostname) AS hostname, count(DISTINCT component_id) AS n_components, max(seen_at) AS last_seen_at,
-  string_agg(DISTINCT lower(component_type) || '/' || coalesce(ecosystem, '') || '/' || component_id, ',' ORDER BY lower(component_type) || '/' || coalesce(ecosystem, '') || '/' || component_id) AS components,
+  string_agg(DISTINCT lower(component_type) || '/' || coalesce(ecosystem, '') || '/' || component_id, ',' ORDER BY lower(component_type) || '/' ||
+    coalesce(ecosystem, '') || '/' || component_id) AS components,
   string_agg(DISTINCT CAST(vulnerability_id AS VARCHAR), ',' ORDER BY CAST(vulnerability_id AS VARCHAR)) AS vulnerabilities
 FROM exposures JOIN components USING (component_id) JOIN machines USING (machine_id) GROUP BY organization_id, machine_id""")
 def machine_detail(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -155,7 +175,8 @@ def machine_detail(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.first("hostname").alias("hostname"), F.count_distinct("component_id").alias("n_components"), F.max("seen_at").alias("last_seen_at"),
         F.array_sort(F.collect_set(part)).alias("components"), F.array_sort(F.collect_set(F.col("vulnerability_id").cast("string"))).alias("vulnerabilities"),
     )
-    return nested.withColumns({"components": F.array_join(F.transform("components", lambda x: x["label"]), ","), "vulnerabilities": F.array_join("vulnerabilities", ",")})
+    return nested.withColumns({"components": F.array_join(F.transform("components", lambda x: x["label"]), ","),
+        "vulnerabilities": F.array_join("vulnerabilities", ",")})
 
 
 @query("search_components", f"""WITH {COMPONENTS}, {MACHINES}
@@ -173,7 +194,8 @@ WHERE (o_orderdate, o_custkey, o_orderkey) > (TIMESTAMP '1998-01-01 00:00:00', 1
 def keyset_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A page after a three-part key (TOP-03)."""
     c = components(spark, sf_dir).select("seen_at", "machine_id", "component_id")
-    after = F.struct("seen_at", "machine_id", "component_id") > F.struct(F.lit("1998-01-01").cast("timestamp").alias("seen_at"), F.lit(100).cast("long").alias("machine_id"), F.lit(5000).cast("long").alias("component_id"))
+    after = F.struct("seen_at", "machine_id", "component_id") > F.struct(F.lit("1998-01-01").cast("timestamp").alias("seen_at"),
+        F.lit(100).cast("long").alias("machine_id"), F.lit(5000).cast("long").alias("component_id"))
     # The first part alone can be pushed to the scan.
     return c.where((F.col("seen_at") >= F.lit("1998-01-01").cast("timestamp")) & after).orderBy("seen_at", "machine_id", "component_id").limit(200)
 
@@ -190,22 +212,29 @@ def tenant_scope_check(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("canonical_metrics", f"""WITH {EXPOSURES}, v AS (SELECT p_partkey, starts_with(p_name, 'a') OR p_size > 20 AS has_cve, p_size > 30 AS primary_cve, p_size < 5 AS primary_other,
-    coalesce(bool_or(e.is_kev), false) AS has_cwe, coalesce(bool_or(e.applicability = 'confirmed'), false) AS has_epss, count(DISTINCT e.source_id) AS sources
+    coalesce(bool_or(e.is_kev), false) AS has_cwe, coalesce(bool_or(e.applicability = 'confirmed'), false) AS has_epss, count(DISTINCT e.source_id) AS
+      sources
   FROM part LEFT JOIN exposures e ON e.vulnerability_id = p_partkey GROUP BY ALL)
-SELECT count(*) AS n_total, count(*) FILTER (has_cve) AS n_cve, count(*) FILTER (NOT has_cve) AS n_without_cve, count(*) FILTER (primary_cve) AS n_primary_cve, count(*) FILTER (primary_other) AS n_primary_other,
-  count(*) FILTER (has_cve AND has_cwe) AS n_cve_cwe, count(*) FILTER (has_cve AND NOT has_cwe) AS n_cve_no_cwe, count(*) FILTER (has_cve AND has_epss) AS n_cve_epss, count(*) FILTER (has_cve AND NOT has_epss) AS n_cve_no_epss,
-  count(*) FILTER (has_cve AND (has_cwe OR has_epss)) AS n_cve_any, count(*) FILTER (has_cve AND NOT has_cwe AND NOT has_epss) AS n_cve_none, count(*) FILTER (has_cve AND sources > 1) AS n_multi_source, count(*) FILTER (has_cve AND sources <= 1) AS n_single_source FROM v""")
+SELECT count(*) AS n_total, count(*) FILTER (has_cve) AS n_cve, count(*) FILTER (NOT has_cve) AS n_without_cve, count(*) FILTER (primary_cve) AS
+  n_primary_cve, count(*) FILTER (primary_other) AS n_primary_other,
+  count(*) FILTER (has_cve AND has_cwe) AS n_cve_cwe, count(*) FILTER (has_cve AND NOT has_cwe) AS n_cve_no_cwe, count(*) FILTER (has_cve AND
+    has_epss) AS n_cve_epss, count(*) FILTER (has_cve AND NOT has_epss) AS n_cve_no_epss,
+  count(*) FILTER (has_cve AND (has_cwe OR has_epss)) AS n_cve_any, count(*) FILTER (has_cve AND NOT has_cwe AND NOT has_epss) AS n_cve_none, count(*)
+    FILTER (has_cve AND sources > 1) AS n_multi_source, count(*) FILTER (has_cve AND sources <= 1) AS n_single_source FROM v""")
 def canonical_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Flags per canonical record, then a total and twelve filtered counts (AGG-06,
     JOIN-18)."""
-    e = exposures(spark, sf_dir).groupBy("vulnerability_id").agg(F.bool_or("is_kev").alias("kev"), F.bool_or(F.col("applicability") == "confirmed").alias("confirmed"), F.count_distinct("source_id").alias("sources"))
+    e = exposures(spark, sf_dir).groupBy("vulnerability_id").agg(F.bool_or("is_kev").alias("kev"),
+        F.bool_or(F.col("applicability") == "confirmed").alias("confirmed"), F.count_distinct("source_id").alias("sources"))
     v = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("vulnerability_id"), "p_name", "p_size").join(e, "vulnerability_id", "left")
     said = lambda c: F.coalesce(c, F.lit(False))
     cve, cwe, epss = F.col("p_name").startswith("a") | (F.col("p_size") > 20), said(F.col("kev")), said(F.col("confirmed"))
     many = F.coalesce("sources", F.lit(0)) > 1
     counts = {
-        "n_cve": cve, "n_without_cve": ~cve, "n_primary_cve": F.col("p_size") > 30, "n_primary_other": F.col("p_size") < 5, "n_cve_cwe": cve & cwe, "n_cve_no_cwe": cve & ~cwe,
-        "n_cve_epss": cve & epss, "n_cve_no_epss": cve & ~epss, "n_cve_any": cve & (cwe | epss), "n_cve_none": cve & ~cwe & ~epss, "n_multi_source": cve & many, "n_single_source": cve & ~many,
+        "n_cve": cve, "n_without_cve": ~cve, "n_primary_cve": F.col("p_size") > 30, "n_primary_other": F.col("p_size") < 5, "n_cve_cwe": cve & cwe,
+            "n_cve_no_cwe": cve & ~cwe,
+        "n_cve_epss": cve & epss, "n_cve_no_epss": cve & ~epss, "n_cve_any": cve & (cwe | epss), "n_cve_none": cve & ~cwe & ~epss,
+            "n_multi_source": cve & many, "n_single_source": cve & ~many,
     }
     return v.agg(F.count("*").alias("n_total"), *[F.count_if(c).alias(name) for name, c in counts.items()])
 
@@ -216,7 +245,8 @@ def status_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return components(spark, sf_dir).groupBy(F.col("component_type").alias("status")).agg(F.count("*").alias("n"))
 
 
-@query("catalog_rows", "SELECT 'customer' AS name, count(*) AS n_rows FROM customer UNION ALL SELECT 'orders', count(*) FROM orders UNION ALL SELECT 'lineitem', count(*) FROM lineitem UNION ALL SELECT 'part', count(*) FROM part")
+@query("catalog_rows",
+    "SELECT 'customer' AS name, count(*) AS n_rows FROM customer UNION ALL SELECT 'orders', count(*) FROM orders UNION ALL SELECT 'lineitem', count(*) FROM lineitem UNION ALL SELECT 'part', count(*) FROM part")
 def catalog_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exact row counts for the data dictionary (SNK-21, AGG-16)."""
     out = None

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from vigilake.functions import policies, urls
 from vigilake.operators import dataset
+from vigilake.operators.order import running
 from vigilake.plans.base import query
 from vigilake.plans.fixtures import expected
 from vigilake.plans.url_dataset import canonical_pages
@@ -22,8 +23,10 @@ from vigilake.session import scratch_path, table
 @query("registrable_domains", expected(
     "host VARCHAR, group_key VARCHAR",
     [
-        ("a.b.example.com", "example.com"), ("example.com", "example.com"), ("com", "com"), ("x.y.co.uk", "y.co.uk"), ("co.uk", "co.uk"), ("a.b.c.ck", "b.c.ck"), ("b.c.ck", "b.c.ck"),
-        ("www.ck", "www.ck"), ("a.www.ck", "www.ck"), ("me.github.io", "me.github.io"), ("deep.me.github.io", "me.github.io"), ("localhost", "localhost"), ("10.0.0.1", "10.0.0.1"), ("[2001:db8::1]", "[2001:db8::1]"),
+        ("a.b.example.com", "example.com"), ("example.com", "example.com"), ("com", "com"), ("x.y.co.uk", "y.co.uk"), ("co.uk", "co.uk"),
+            ("a.b.c.ck", "b.c.ck"), ("b.c.ck", "b.c.ck"),
+        ("www.ck", "www.ck"), ("a.www.ck", "www.ck"), ("me.github.io", "me.github.io"), ("deep.me.github.io", "me.github.io"),
+            ("localhost", "localhost"), ("10.0.0.1", "10.0.0.1"), ("[2001:db8::1]", "[2001:db8::1]"),
     ],
 ))
 def registrable_domains(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -34,14 +37,18 @@ def registrable_domains(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dataset.registrable_domains(spark.createDataFrame([(h,) for h in hosts], "host string"), rules)
 
 
-@query("candidate_pools", """WITH o AS (SELECT c_custkey AS v, c_nationkey % 2 AS snap, c_custkey % 150 AS rank FROM customer), t AS (SELECT DISTINCT o_custkey AS v, o_orderstatus AS source FROM orders WHERE o_orderstatus <> 'P' AND o_totalprice > 300000),
+@query("candidate_pools", """WITH o AS (SELECT c_custkey AS v, c_nationkey % 2 AS snap, c_custkey % 150 AS rank FROM customer), t AS (SELECT DISTINCT o_custkey AS v, o_orderstatus
+  AS source FROM orders WHERE o_orderstatus <> 'P' AND o_totalprice > 300000),
 k AS (SELECT v, count(*) AS n, min(source) AS pool FROM t GROUP BY v)
-SELECT v AS value_hash, 'benign' AS pool FROM o WHERE snap = 1 AND rank <= 100 AND NOT EXISTS (SELECT 1 FROM k WHERE k.v = o.v) UNION ALL SELECT v, pool FROM k WHERE n = 1""")
+SELECT v AS value_hash, 'benign' AS pool FROM o WHERE snap = 1 AND rank <= 100 AND NOT EXISTS (SELECT 1 FROM k WHERE k.v = o.v) UNION ALL SELECT v,
+  pool FROM k WHERE n = 1""")
 def candidate_pools(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benign candidates of one snapshot up to a rank and unknown to threats; threats of
     one source only (DS-01)."""
-    o = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("value_hash"), (F.col("c_nationkey") % 2).cast("string").alias("snapshot"), (F.col("c_custkey") % 150).alias("rank"))
-    t = table(spark, sf_dir, "orders").where("o_orderstatus <> 'P' AND o_totalprice > 300000").select(F.col("o_custkey").alias("value_hash"), F.col("o_orderstatus").alias("source"))
+    o = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("value_hash"), (F.col("c_nationkey") % 2).cast("string").alias("snapshot"),
+        (F.col("c_custkey") % 150).alias("rank"))
+    t = table(spark, sf_dir, "orders").where("o_orderstatus <> 'P' AND o_totalprice > 300000").select(F.col("o_custkey").alias("value_hash"),
+        F.col("o_orderstatus").alias("source"))
     return dataset.candidate_pools(o, t, "1", max_rank=100)
 
 
@@ -60,12 +67,14 @@ def ensured_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _persisted(spark: SparkSession) -> tuple[DataFrame, DataFrame, DataFrame]:
     samples = spark.createDataFrame([("a", "benign"), ("b", "phishing")], "sample_id string, label string")
     members = spark.createDataFrame([("s1", "a", "train")], "snapshot string, sample_id string, split string")
-    rows = [("s1", "a", "train", "benign"), ("s1", "b", "test", "malware"), ("s1", "c", "train", "benign"), ("s1", "c", "train", "benign"), ("s1", "d", "train", "benign"), ("s1", "d", "test", "benign"), ("s1", "e", "train", "benign"), ("s1", "e", "train", "malware")]
+    rows = [("s1", "a", "train", "benign"), ("s1", "b", "test", "malware"), ("s1", "c", "train", "benign"), ("s1", "c", "train", "benign"),
+        ("s1", "d", "train", "benign"), ("s1", "d", "test", "benign"), ("s1", "e", "train", "benign"), ("s1", "e", "train", "malware")]
     batch = spark.createDataFrame(rows, "snapshot string, sample_id string, split string, label string")
     return dataset.persisted_batch(samples, members, batch)
 
 
-@query("persisted_members", expected("sample_id VARCHAR, label VARCHAR, split VARCHAR", [("a", "benign", "train"), ("b", "phishing", None), ("c", "benign", "train")]))
+@query("persisted_members", expected("sample_id VARCHAR, label VARCHAR, split VARCHAR", [("a", "benign", "train"), ("b", "phishing", None), ("c",
+    "benign", "train")]))
 def persisted_members(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Samples and members after a batch: new ones once, known ones unchanged (SNK-16)."""
     samples, members, _ = _persisted(spark)
@@ -78,43 +87,48 @@ def member_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _persisted(spark)[2]
 
 
-@query("stored_keys", """SELECT DISTINCT l_partkey AS id, l_partkey IN (SELECT p_partkey FROM part WHERE p_size < 25) AS found FROM lineitem WHERE l_quantity >= 45""")
+@query("stored_keys",
+    """SELECT DISTINCT l_partkey AS id, l_partkey IN (SELECT p_partkey FROM part WHERE p_size < 25) AS found FROM lineitem WHERE l_quantity >= 45""")
 def stored_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Existence of many keys at once (FLT-13)."""
     asked = table(spark, sf_dir, "lineitem").where("l_quantity >= 45").select(F.col("l_partkey").alias("id"))
     return dataset.existing(asked, table(spark, sf_dir, "part").where("p_size < 25").select(F.col("p_partkey").alias("id")), ["id"])
 
 
-@query("bounded_pages", """SELECT page_id, length(url) AS n FROM pages WHERE length(url) BETWEEN 25 AND 60 AND (starts_with(url, 'https://') OR starts_with(url, 'http://')) AND page_id BETWEEN 5 AND 100000""")
+@query("bounded_pages", """SELECT page_id, length(url) AS n FROM pages WHERE length(url) BETWEEN 25 AND 60 AND (starts_with(url, 'https://') OR starts_with(url, 'http://'))
+  AND url BETWEEN 'http' AND 'https://z'""")
 def bounded_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """BETWEEN, prefix and length conditions (FLT-08); the range of ids reaches the scan."""
+    """BETWEEN, prefix and length conditions (FLT-08); range and prefixes reach the scan."""
     url = F.col("url")
     web = url.startswith("https://") | url.startswith("http://")
-    return table(spark, sf_dir, "pages").where(F.col("page_id").between(5, 100000) & F.length(url).between(25, 60) & web).select("page_id", F.length(url).cast("long").alias("n"))
+    rows = table(spark, sf_dir, "pages").where(url.between("http", "https://z") & F.length(url).between(25, 60) & web)
+    return rows.select("page_id", F.length(url).cast("long").alias("n"))
 
 
-@query("stable_places", """SELECT doc_id, CAST(row_number() OVER (ORDER BY lang NULLS FIRST, source NULLS FIRST, doc_id) - 1 AS BIGINT) AS place FROM documents""")
+@query("stable_places",
+    """SELECT doc_id, CAST(row_number() OVER (ORDER BY lang NULLS FIRST, source NULLS FIRST, doc_id) - 1 AS BIGINT) AS place FROM documents""")
 def stable_places(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A total order of rows before a split, (label, group, id), as places: range by
     range, no task holds it all (TOP-06)."""
-    from vigilake.operators.order import running
-
     rows = table(spark, sf_dir, "documents").select("lang", "source", "doc_id", F.lit(1).cast("long").alias("one"))
     return running(rows, ["lang", "source", "doc_id"], {"place": "one"}).select("doc_id", "place")
 
 
-@query("principal_component", """WITH z AS (SELECT (l_quantity - avg(l_quantity) OVER ()) / stddev_samp(l_quantity) OVER () AS a, (l_extendedprice - avg(l_extendedprice) OVER ()) / stddev_samp(l_extendedprice) OVER () AS b FROM lineitem)
+@query("principal_component", """WITH z AS (SELECT (l_quantity - avg(l_quantity) OVER ()) / stddev_samp(l_quantity) OVER () AS a, (l_extendedprice - avg(l_extendedprice) OVER ()) /
+  stddev_samp(l_extendedprice) OVER () AS b FROM lineitem)
 SELECT round(1 + abs(corr(a, b)), 4) AS variance, round((1 + abs(corr(a, b))) / 2, 4) AS share, round(sqrt(0.5), 4) AS weight FROM z""")
 def principal_component(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first principal component of two scaled features as a composite (AGG-30): its
     variance, its share, and the size of its weights. For two scaled features these are
     known: 1 + |r|, half of it, and the root of one half."""
     rows = table(spark, sf_dir, "lineitem").select("l_quantity", "l_extendedprice")
-    steps = [VectorAssembler(inputCols=rows.columns, outputCol="raw"), StandardScaler(inputCol="raw", outputCol="x", withMean=True), PCA(k=2, inputCol="x", outputCol="pc")]
+    steps = [VectorAssembler(inputCols=rows.columns, outputCol="raw"), StandardScaler(inputCol="raw", outputCol="x", withMean=True),
+        PCA(k=2, inputCol="x", outputCol="pc")]
     model = Pipeline(stages=steps).fit(rows)
     first = vector_to_array("pc")[0]
     weight = float(abs(model.stages[-1].pc.toArray()[0, 0]))
-    return model.transform(rows).agg(F.round(F.var_samp(first), 4).alias("variance"), F.round(F.var_samp(first) / 2, 4).alias("share"), F.round(F.lit(weight), 4).alias("weight"))
+    return model.transform(rows).agg(F.round(F.var_samp(first), 4).alias("variance"), F.round(F.var_samp(first) / 2, 4).alias("share"),
+        F.round(F.lit(weight), 4).alias("weight"))
 
 
 FEATURE_SET = ["url_length", "hostname_length", "dot_count", "digit_count", "path_segment_count"]
@@ -124,11 +138,13 @@ def _classifier(spark: SparkSession, sf_dir: str):
     """A saved model of three classes, its manifest, and the rows it was fitted on."""
     c = canonical_pages(spark, sf_dir)
     rows = c.select("page_id", *urls.features(F.col("canonical_url")), (F.col("page_id") % 3).cast("double").alias("label"))
-    steps = [VectorAssembler(inputCols=FEATURE_SET, outputCol="raw"), StandardScaler(inputCol="raw", outputCol="features", withMean=True), LogisticRegression(family="multinomial", maxIter=20)]
+    steps = [VectorAssembler(inputCols=FEATURE_SET, outputCol="raw"), StandardScaler(inputCol="raw", outputCol="features", withMean=True),
+        LogisticRegression(family="multinomial", maxIter=20)]
     model = Pipeline(stages=steps).fit(rows)
     path = scratch_path(spark, "model")
     model.write().overwrite().save(path)
-    manifest = {"sha256": dataset.artifact_hash(spark, path), "features": FEATURE_SET, "feature_set_version": "v1", "classes": ["benign", "phishing", "malware"]}
+    manifest = {"sha256": dataset.artifact_hash(spark, path), "features": FEATURE_SET, "feature_set_version": "v1",
+        "classes": ["benign", "phishing", "malware"]}
     return model, path, manifest, rows
 
 
@@ -156,7 +172,8 @@ def url_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("page_id", found.alias("threat_class"), policies.verdict(found).alias("verdict"), F.round(p, 6).alias("confidence"))
 
 
-@query("data_dictionary", "SELECT table_name AS \"table\", column_name AS \"column\", CAST(column_index AS INTEGER) AS place FROM duckdb_columns() WHERE NOT internal AND table_name IN ('customer', 'orders', 'lineitem', 'part')")
+@query("data_dictionary",
+    "SELECT table_name AS \"table\", column_name AS \"column\", CAST(column_index AS INTEGER) AS place FROM duckdb_columns() WHERE NOT internal AND table_name IN ('customer', 'orders', 'lineitem', 'part')")
 def data_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tables, columns and places for the data dictionary (SNK-21); row counts are
     `catalog_rows`."""

@@ -21,7 +21,8 @@ CANON = r"""canon AS (
   FROM (SELECT page_id, url, trim(url) AS u FROM pages)),
 c AS (SELECT *, CASE WHEN raw_path = '' THEN '/' ELSE raw_path END AS path,
   scheme || '://' || host || CASE WHEN raw_path = '' THEN '/' ELSE raw_path END || query || fragment AS canonical_url,
-  CASE WHEN regexp_matches(host, '\.(co\.uk|com\.au)$') THEN array_to_string(string_split(host, '.')[-3:], '.') ELSE array_to_string(string_split(host, '.')[-2:], '.') END AS group_key
+  CASE WHEN regexp_matches(host, '\.(co\.uk|com\.au)$') THEN array_to_string(string_split(host, '.')[-3:], '.') ELSE
+    array_to_string(string_split(host, '.')[-2:], '.') END AS group_key
   FROM canon WHERE scheme IN ('http', 'https') AND host <> '')"""
 
 
@@ -41,14 +42,18 @@ def url_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 FEATURES = rf"""WITH {CANON}, f AS (
-  SELECT page_id, canonical_url AS u, host, path, length(canonical_url) AS n, length(path) AS np, len(list_filter(string_split(path, '/'), lambda s: s <> '')) AS segments,
+  SELECT page_id, canonical_url AS u, host, path, length(canonical_url) AS n, length(path) AS np, len(list_filter(string_split(path, '/'), lambda s: s
+    <> '')) AS segments,
     len(regexp_extract_all(canonical_url, '[^\p{{L}}\p{{N}}]')) AS special FROM c)
-SELECT page_id, CAST(n AS INTEGER) AS url_length, CAST(length(host) AS INTEGER) AS hostname_length, CAST(n - length(replace(u, '.', '')) AS INTEGER) AS dot_count, CAST(n - length(replace(u, '-', '')) AS INTEGER) AS hyphen_count,
-  CAST(len(regexp_extract_all(u, '\p{{Nd}}')) AS INTEGER) AS digit_count, CAST(special AS INTEGER) AS special_char_count, CAST(segments AS INTEGER) AS path_segment_count,
+SELECT page_id, CAST(n AS INTEGER) AS url_length, CAST(length(host) AS INTEGER) AS hostname_length, CAST(n - length(replace(u, '.', '')) AS INTEGER)
+  AS dot_count, CAST(n - length(replace(u, '-', '')) AS INTEGER) AS hyphen_count,
+  CAST(len(regexp_extract_all(u, '\p{{Nd}}')) AS INTEGER) AS digit_count, CAST(special AS INTEGER) AS special_char_count, CAST(segments AS INTEGER) AS
+    path_segment_count,
   round(list_entropy(string_split(host, '')), 6) AS hostname_entropy,
   round(length(replace(host, '.', '')) / len(list_filter(string_split(host, '.'), lambda s: s <> '')), 6) AS mean_hostname_label_length,
   round(np / n, 6) AS path_to_url_length_ratio, round(special / n, 6) AS special_char_ratio,
-  round((np / (1.0 + np)) * ((special / n) / (1 + special / n)), 6) AS path_special_product, round((segments / (1.0 + segments)) * ((special / n) / (1 + special / n)), 6) AS segment_special_product
+  round((np / (1.0 + np)) * ((special / n) / (1 + special / n)), 6) AS path_special_product, round((segments / (1.0 + segments)) * ((special / n) / (1
+    + special / n)), 6) AS segment_special_product
 FROM f"""
 
 
@@ -62,9 +67,11 @@ def url_features(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("url_projection", rf"""WITH {CANON}, s AS (
   SELECT *, array_to_string(list_transform(string_split(path, '/'), lambda s: CASE
-    WHEN regexp_matches(s, '^[0-9a-fA-F]{{8}}-([0-9a-fA-F]{{4}}-){{3}}[0-9a-fA-F]{{12}}$') THEN '<uuid>' WHEN regexp_matches(s, '^[^@\s]+@[^@\s]+\.[^@\s]+$') THEN '<email>'
+    WHEN regexp_matches(s, '^[0-9a-fA-F]{{8}}-([0-9a-fA-F]{{4}}-){{3}}[0-9a-fA-F]{{12}}$') THEN '<uuid>' WHEN regexp_matches(s,
+      '^[^@\s]+@[^@\s]+\.[^@\s]+$') THEN '<email>'
     WHEN regexp_matches(s, '^[A-Za-z0-9_-]{{24,}}$') THEN '<token>' ELSE s END), '/') AS hidden FROM c)
-SELECT page_id, scheme || '://' || host || hidden || CASE WHEN query <> '' THEN '?' || regexp_replace(query[2:], '([^&=]+)=[^&]*', '\1=<value>', 'g') ELSE '' END
+SELECT page_id, scheme || '://' || host || hidden || CASE WHEN query <> '' THEN '?' || regexp_replace(query[2:], '([^&=]+)=[^&]*', '\1=<value>', 'g')
+  ELSE '' END
   || CASE WHEN fragment <> '' THEN '#<fragment>' ELSE '' END AS projected FROM s""")
 def url_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Privacy projection (FN-17)."""
@@ -95,7 +102,8 @@ MORE = {
 }
 
 
-@query("url_more_features", f"WITH {CANON}, k AS (SELECT *, canonical_url AS u, length(canonical_url) AS n FROM c) SELECT page_id, {', '.join(f'{sql} AS {name}' for name, sql in MORE.items())} FROM k")
+@query("url_more_features",
+    f"WITH {CANON}, k AS (SELECT *, canonical_url AS u, length(canonical_url) AS n FROM c) SELECT page_id, {', '.join(f'{sql} AS {name}' for name, sql in MORE.items())} FROM k")
 def url_more_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Twenty experimental features: runs, encodings, counts, ratios (FN-21)."""
     u, h = F.col("canonical_url"), F.col("host")
@@ -104,10 +112,14 @@ def url_more_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     ratio = lambda pattern, of: F.round(F.regexp_count(of, F.lit(pattern)) / F.length(of), 6)
     labels, after = F.split(h, r"\."), lambda c: F.greatest(F.length(c) - 1, F.lit(0))
     found = {
-        "longest_digits": urls.longest_run(u, "[0-9]+"), "longest_letters": urls.longest_run(u, "[A-Za-z]+"), "longest_consonants": urls.longest_run(F.lower(u), "[bcdfghjklmnpqrstvwxz]+"),
-        "percent_count": F.regexp_count(u, F.lit("%[0-9A-Fa-f]{2}")), "parameter_count": F.regexp_count(query_, F.lit("=")), "slash_count": count("/"), "underscore_count": count("_"), "at_count": count("@"),
-        "subdomain_count": F.greatest(F.size(labels) - 2, F.lit(0)), "longest_label": F.array_max(F.transform(labels, F.length)), "query_length": after(query_), "fragment_length": after(fragment), "path_length": F.length(path),
-        "has_https": u.startswith("https:"), "has_extension": path.rlike(r"\.[A-Za-z0-9]{1,5}$"), "digit_ratio": ratio("[0-9]", u), "letter_ratio": ratio("[A-Za-z]", u), "uppercase_ratio": ratio("[A-Z]", u),
+        "longest_digits": urls.longest_run(u, "[0-9]+"), "longest_letters": urls.longest_run(u, "[A-Za-z]+"),
+            "longest_consonants": urls.longest_run(F.lower(u), "[bcdfghjklmnpqrstvwxz]+"),
+        "percent_count": F.regexp_count(u, F.lit("%[0-9A-Fa-f]{2}")), "parameter_count": F.regexp_count(query_, F.lit("=")),
+            "slash_count": count("/"), "underscore_count": count("_"), "at_count": count("@"),
+        "subdomain_count": F.greatest(F.size(labels) - 2, F.lit(0)), "longest_label": F.array_max(F.transform(labels, F.length)),
+            "query_length": after(query_), "fragment_length": after(fragment), "path_length": F.length(path),
+        "has_https": u.startswith("https:"), "has_extension": path.rlike(r"\.[A-Za-z0-9]{1,5}$"), "digit_ratio": ratio("[0-9]", u),
+            "letter_ratio": ratio("[A-Za-z]", u), "uppercase_ratio": ratio("[A-Z]", u),
         "query_ratio": F.round(after(query_) / n, 6), "host_digit_ratio": ratio("[0-9]", h),
     }
     return canonical_pages(spark, sf_dir).select("page_id", *[c.alias(name) for name, c in found.items()])
@@ -122,7 +134,8 @@ def url_log_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_features(spark, sf_dir).select("page_id", *[F.round(F.log1p(c), 6).alias(f"log_{c}") for c in LOGGED])
 
 
-@query("per_domain_sample", f"""WITH {CANON}, r AS (SELECT page_id, canonical_url, group_key, row_number() OVER (PARTITION BY group_key ORDER BY md5(canonical_url), page_id) AS n FROM c)
+@query("per_domain_sample", f"""WITH {CANON}, r AS (SELECT page_id, canonical_url, group_key, row_number() OVER (PARTITION BY group_key ORDER BY md5(canonical_url), page_id) AS n
+  FROM c)
 SELECT page_id, canonical_url, group_key, CAST(n AS INTEGER) AS n FROM r WHERE n <= 10""")
 def per_domain_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     """At most ten URLs of each domain, by hash order (WIN-01). The rank limit is
@@ -137,46 +150,57 @@ def domain_membership(spark: SparkSession, sf_dir: str) -> DataFrame:
     return canonical_pages(spark, sf_dir).where((F.col("host") == "example.org") | F.col("host").endswith(".example.org")).select("page_id", "host")
 
 
-@query("threat_pools", f"""WITH {CANON}, a AS (SELECT *, string_split(host, '.')[1] AS site FROM c WHERE ends_with(host, '.com')), b AS (SELECT *, string_split(host, '.')[1] AS site FROM c WHERE ends_with(host, '.net')), d AS (SELECT *, string_split(host, '.')[1] AS site FROM c WHERE ends_with(host, '.org'))
+@query("threat_pools", f"""WITH {CANON}, a AS (SELECT *, string_split(host, '.')[1] AS site FROM c WHERE ends_with(host, '.com')), b AS (SELECT *, string_split(host, '.')[1] AS
+  site FROM c WHERE ends_with(host, '.net')), d AS (SELECT *, string_split(host, '.')[1] AS site FROM c WHERE ends_with(host, '.org'))
 SELECT 'phishing' AS pool, count(*) AS n FROM a WHERE NOT EXISTS (SELECT 1 FROM b WHERE b.site = a.site AND b.path = a.path)
 UNION ALL SELECT 'malware', count(*) FROM b WHERE NOT EXISTS (SELECT 1 FROM a WHERE a.site = b.site AND a.path = b.path)
-UNION ALL SELECT 'benign', count(*) FROM d WHERE NOT EXISTS (SELECT 1 FROM a WHERE a.site = d.site) AND NOT EXISTS (SELECT 1 FROM b WHERE b.site = d.site AND b.path = d.path)""")
+UNION ALL SELECT 'benign', count(*) FROM d WHERE NOT EXISTS (SELECT 1 FROM a WHERE a.site = d.site) AND NOT EXISTS (SELECT 1 FROM b WHERE b.site =
+  d.site AND b.path = d.path)""")
 def threat_pools(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Class pools by semi and anti joins (JOIN-04, JOIN-05, DS-01)."""
     c = canonical_pages(spark, sf_dir).withColumn("path", urls.part(F.col("canonical_url"), 3)).withColumn("site", F.substring_index("host", ".", 1))
     a, b, d = (c.where(F.col("host").endswith(x)) for x in (".com", ".net", ".org"))
     n = lambda df, pool: df.agg(F.count("*").alias("n")).select(F.lit(pool).alias("pool"), "n")
     benign = d.join(a, "site", "left_anti").join(b, ["site", "path"], "left_anti")
-    return n(a.join(b, ["site", "path"], "left_anti"), "phishing").unionByName(n(b.join(a, ["site", "path"], "left_anti"), "malware")).unionByName(n(benign, "benign"))
+    return n(a.join(b, ["site", "path"], "left_anti"), "phishing").unionByName(n(b.join(a, ["site", "path"], "left_anti"),
+        "malware")).unionByName(n(benign, "benign"))
 
 
 RATES = {
-    "https_rate": (r"^https:", "scheme = 'https'"), "query_rate": (r"\?", "query <> ''"), "fragment_rate": ("#", "fragment <> ''"), "digit_rate": ("[0-9]", "regexp_matches(canonical_url, '[0-9]')"),
-    "percent_rate": ("%[0-9A-Fa-f]{2}", "regexp_matches(canonical_url, '%[0-9A-Fa-f]{2}')"), "deep_rate": (r"^[a-z]+://[^/]*/[^/?#]+/[^/?#]+", "regexp_matches(canonical_url, '^[a-z]+://[^/]*/[^/?#]+/[^/?#]+')"),
-    "port_rate": (r"^[a-z]+://[^/]*:[0-9]+/", "regexp_matches(canonical_url, '^[a-z]+://[^/]*:[0-9]+/')"), "address_rate": (r"^[a-z]+://[0-9.]+/", "regexp_matches(canonical_url, '^[a-z]+://[0-9.]+/')"),
+    "https_rate": (r"^https:", "scheme = 'https'"), "query_rate": (r"\?", "query <> ''"), "fragment_rate": ("#", "fragment <> ''"),
+        "digit_rate": ("[0-9]", "regexp_matches(canonical_url, '[0-9]')"),
+    "percent_rate": ("%[0-9A-Fa-f]{2}", "regexp_matches(canonical_url, '%[0-9A-Fa-f]{2}')"),
+        "deep_rate": (r"^[a-z]+://[^/]*/[^/?#]+/[^/?#]+", "regexp_matches(canonical_url, '^[a-z]+://[^/]*/[^/?#]+/[^/?#]+')"),
+    "port_rate": (r"^[a-z]+://[^/]*:[0-9]+/", "regexp_matches(canonical_url, '^[a-z]+://[^/]*:[0-9]+/')"),
+        "address_rate": (r"^[a-z]+://[0-9.]+/", "regexp_matches(canonical_url, '^[a-z]+://[0-9.]+/')"),
     "root_rate": (r"^[a-z]+://[^/]*/$", "regexp_matches(canonical_url, '^[a-z]+://[^/]*/$')"),
 }
 
 
 @query("candidate_audit", f"""WITH {CANON}
-SELECT count(*) AS n, count(DISTINCT host) AS n_hosts, {", ".join(f"round(avg(CASE WHEN {sql} THEN 1.0 ELSE 0.0 END), 6) AS {name}" for name, (_, sql) in RATES.items())},
+SELECT count(*) AS n, count(DISTINCT host) AS n_hosts,
+  {", ".join(f"round(avg(CASE WHEN {sql} THEN 1.0 ELSE 0.0 END), 6) AS {name}" for name, (_, sql) in RATES.items())},
   min(length(canonical_url)) AS min_length, round(avg(length(canonical_url)), 6) AS mean_length,
-  round(quantile_cont(length(canonical_url), 0.5), 6) AS p50, round(quantile_cont(length(canonical_url), 0.9), 6) AS p90, round(quantile_cont(length(canonical_url), 0.95), 6) AS p95, max(length(canonical_url)) AS max_length FROM c""")
+  round(quantile_cont(length(canonical_url), 0.5), 6) AS p50, round(quantile_cont(length(canonical_url), 0.9), 6) AS p90,
+    round(quantile_cont(length(canonical_url), 0.95), 6) AS p95, max(length(canonical_url)) AS max_length FROM c""")
 def candidate_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nine structural rates and exact length percentiles (AGG-25, FN-41)."""
     c, u = canonical_pages(spark, sf_dir), F.col("canonical_url")
     rate = lambda pattern, name: F.round(F.avg(F.when(u.rlike(pattern), 1.0).otherwise(0.0)), 6).alias(name)
     sums = c.agg(
         F.count("*").alias("n"), F.count_distinct("host").alias("n_hosts"), *[rate(pattern, name) for name, (pattern, _) in RATES.items()],
-        F.min(F.length(u)).cast("long").alias("min_length"), F.round(F.avg(F.length(u)), 6).alias("mean_length"), F.max(F.length(u)).cast("long").alias("max_length"),
+        F.min(F.length(u)).cast("long").alias("min_length"), F.round(F.avg(F.length(u)), 6).alias("mean_length"),
+            F.max(F.length(u)).cast("long").alias("max_length"),
     )
     lengths = quantiles(c.select(F.lit(0).alias("one"), F.length(u).cast("double").alias("x")), "one", "x", {"p50": 0.5, "p90": 0.9, "p95": 0.95})
     both = sums.withColumn("one", F.lit(0)).join(lengths.drop("n"), "one", "left")  # one row each
     return both.select(*[F.round(x, 6).alias(x) if x in ("p50", "p90", "p95") else x for x in both.columns if x != "one"])
 
 
-@query("canonical_diagnostics", r"""WITH p AS (SELECT page_id, trim(url) AS u, page_id % 7 = 0 AS spoiled, page_id % 11 = 0 AS refused FROM pages), g AS (SELECT * FROM p WHERE u IS NOT NULL)
-SELECT regexp_extract(u, '^https?') AS source, count(*) AS n_rows, count(*) FILTER (NOT refused) AS n_accepted, count(*) FILTER (refused) AS n_rejected, count(*) FILTER (spoiled AND NOT refused) AS n_hash_mismatch FROM g GROUP BY 1""")
+@query("canonical_diagnostics", r"""WITH p AS (SELECT page_id, trim(url) AS u, page_id % 7 = 0 AS spoiled, page_id % 11 = 0 AS refused FROM pages), g AS (SELECT * FROM p WHERE u IS NOT
+  NULL)
+SELECT regexp_extract(u, '^https?') AS source, count(*) AS n_rows, count(*) FILTER (NOT refused) AS n_accepted, count(*) FILTER (refused) AS
+  n_rejected, count(*) FILTER (spoiled AND NOT refused) AS n_hash_mismatch FROM g GROUP BY 1""")
 def canonical_diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What canonicalization does to each source (SRC-17): accepted, rejected, and rows
     whose stored hash is not that of their URL. Every seventh page carries a wrong hash,
@@ -194,28 +218,36 @@ def canonical_diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("host_concentration", f"""WITH {CANON}, h AS (SELECT host, count(*) AS n FROM c GROUP BY host), r AS (SELECT *, row_number() OVER (ORDER BY n DESC, host) AS k FROM h)
-SELECT count(*) AS n_hosts, round(avg(n), 6) AS mean_urls, median(n) AS median_urls, round(quantile_cont(n, 0.95), 6) AS p95_urls, max(n) AS max_urls, round(sum(n) FILTER (k <= 10) / sum(n), 6) AS top10_share FROM r""")
+SELECT count(*) AS n_hosts, round(avg(n), 6) AS mean_urls, median(n) AS median_urls, round(quantile_cont(n, 0.95), 6) AS p95_urls, max(n) AS max_urls,
+  round(sum(n) FILTER (k <= 10) / sum(n), 6) AS top10_share FROM r""")
 def host_concentration(spark: SparkSession, sf_dir: str) -> DataFrame:
     """URLs per host and the share of the ten largest (AGG-18). The ten come from a
     top-k, percentiles from the counts of counts: no task ranks every host."""
     h = cut(canonical_pages(spark, sf_dir).groupBy("host").agg(F.count("*").cast("double").alias("n")), "hosts")
     top = h.orderBy(F.desc("n"), "host").limit(10).agg(F.sum("n")).first()[0] or 0
-    sums = h.agg(F.count("*").alias("n_hosts"), F.round(F.avg("n"), 6).alias("mean_urls"), F.max("n").cast("long").alias("max_urls"), F.sum("n").alias("all")).withColumn("one", F.lit(0))
+    sums = h.agg(F.count("*").alias("n_hosts"), F.round(F.avg("n"), 6).alias("mean_urls"), F.max("n").cast("long").alias("max_urls"),
+        F.sum("n").alias("all")).withColumn("one", F.lit(0))
     q = quantiles(h.withColumn("one", F.lit(0)), "one", "n", {"median_urls": 0.5, "p95_urls": 0.95}).drop("n")
     both = sums.join(q, "one", "left")  # one row each
-    return both.select("n_hosts", "mean_urls", "median_urls", F.round("p95_urls", 6).alias("p95_urls"), "max_urls", F.round(F.lit(top) / F.col("all"), 6).alias("top10_share"))
+    return both.select("n_hosts", "mean_urls", "median_urls", F.round("p95_urls", 6).alias("p95_urls"), "max_urls",
+        F.round(F.lit(top) / F.col("all"), 6).alias("top10_share"))
 
 
-@query("dup_summary", f"""WITH {CANON} SELECT count(*) AS n_rows, count(DISTINCT canonical_url) AS n_urls, count(*) - count(DISTINCT canonical_url) AS n_duplicates, count(DISTINCT host) AS n_hosts, count(DISTINCT host || path) AS n_places FROM c""")
+@query("dup_summary",
+    f"""WITH {CANON} SELECT count(*) AS n_rows, count(DISTINCT canonical_url) AS n_urls, count(*) - count(DISTINCT canonical_url) AS n_duplicates,
+  count(DISTINCT host) AS n_hosts, count(DISTINCT host || path) AS n_places FROM c""")
 def dup_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows, distinct hashes, duplicates, distinct hosts (AGG-17)."""
     c = canonical_pages(spark, sf_dir)
     place = F.concat("host", urls.part(F.col("canonical_url"), 3))
-    return c.agg(F.count("*").alias("n_rows"), F.count_distinct("canonical_url").alias("n_urls"), (F.count("*") - F.count_distinct("canonical_url")).alias("n_duplicates"), F.count_distinct("host").alias("n_hosts"), F.count_distinct(place).alias("n_places"))
+    return c.agg(F.count("*").alias("n_rows"), F.count_distinct("canonical_url").alias("n_urls"),
+        (F.count("*") - F.count_distinct("canonical_url")).alias("n_duplicates"), F.count_distinct("host").alias("n_hosts"),
+            F.count_distinct(place).alias("n_places"))
 
 
 @query("balanced_sample", """WITH n AS (SELECT min(k) AS least FROM (SELECT count(*) AS k FROM documents WHERE lang IS NOT NULL GROUP BY lang)),
-r AS (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY ('0x' || substr(md5('7:' || CAST(doc_id AS VARCHAR)), 1, 15))::BIGINT, doc_id) AS k FROM documents WHERE lang IS NOT NULL)
+r AS (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY ('0x' || substr(md5('7:' || CAST(doc_id AS VARCHAR)), 1, 15))::BIGINT,
+  doc_id) AS k FROM documents WHERE lang IS NOT NULL)
 SELECT doc_id, lang FROM r WHERE k <= (SELECT least FROM n)""")
 def balanced_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Seeded downsampling to the smallest class (DS-03), without sorting a class: a
@@ -238,10 +270,13 @@ def balanced_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
 SUBSET_TRIALS, SUBSET_SHARE = 20, 0.6
 
 
-@query("whole_group_subset", f"""WITH g AS (SELECT source, count(*) AS n FROM documents WHERE source IS NOT NULL GROUP BY 1), t AS (SELECT CAST(floor(sum(n) * {SUBSET_SHARE}) AS BIGINT) AS target FROM g),
-p AS (SELECT trial, source, n, md5(trial || ':' || source) AS h FROM g, (SELECT unnest(range({SUBSET_TRIALS})) AS trial)), c AS (SELECT trial, source, n, h, sum(n) OVER (PARTITION BY trial ORDER BY h, source) AS upto FROM p),
+@query("whole_group_subset", f"""WITH g AS (SELECT source, count(*) AS n FROM documents WHERE source IS NOT NULL GROUP BY 1), t AS (SELECT CAST(floor(sum(n) * {SUBSET_SHARE}) AS
+  BIGINT) AS target FROM g),
+p AS (SELECT trial, source, n, md5(trial || ':' || source) AS h FROM g, (SELECT unnest(range({SUBSET_TRIALS})) AS trial)), c AS (SELECT trial, source,
+  n, h, sum(n) OVER (PARTITION BY trial ORDER BY h, source) AS upto FROM p),
 d AS (SELECT trial, h, source, upto, abs(upto - target) AS gap FROM c, t UNION ALL SELECT DISTINCT trial, '', '', 0, target FROM c, t),
-best AS (SELECT trial, upto, gap FROM d ORDER BY gap, trial, upto LIMIT 1) SELECT c.source, c.n, CAST(best.trial AS INTEGER) AS trial, CAST(best.gap AS BIGINT) AS gap FROM c JOIN best ON c.trial = best.trial AND c.upto <= best.upto""")
+best AS (SELECT trial, upto, gap FROM d ORDER BY gap, trial, upto LIMIT 1) SELECT c.source, c.n, CAST(best.trial AS INTEGER) AS trial, CAST(best.gap
+  AS BIGINT) AS gap FROM c JOIN best ON c.trial = best.trial AND c.upto <= best.upto""")
 def whole_group_subset(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole groups whose rows come nearest a target, the best of several seeded orders
     (DS-03, TOP-06). Each order's running sum is taken range by range."""
@@ -261,7 +296,9 @@ def whole_group_subset(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chosen.select("source", "n", "trial", F.lit(best["gap"]).cast("long").alias("gap"))
 
 
-@query("split_folds", """SELECT doc_id, source, lang, CAST(('0x' || substr(md5('fold:' || source), 1, 8))::BIGINT % 5 AS INTEGER) AS fold FROM documents WHERE source IS NOT NULL""")
+@query("split_folds",
+    """SELECT doc_id, source, lang, CAST(('0x' || substr(md5('fold:' || source), 1, 8))::BIGINT % 5 AS INTEGER) AS fold FROM documents WHERE source IS NOT
+  NULL""")
 def split_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole groups go to one fold by hash, so no group leaks (DS-04)."""
     h = F.conv(F.substring(F.md5(F.concat(F.lit("fold:"), "source")), 1, 8), 16, 10).cast("long")
@@ -269,12 +306,16 @@ def split_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 N_FOLDS = 5
-FOLDS = """f AS (SELECT lang, CAST(('0x' || substr(md5('fold:' || source), 1, 8))::BIGINT % 5 AS INTEGER) AS fold FROM documents WHERE source IS NOT NULL AND lang IS NOT NULL)"""
+FOLDS = """f AS (SELECT lang, CAST(('0x' || substr(md5('fold:' || source), 1, 8))::BIGINT % 5 AS INTEGER) AS fold FROM documents WHERE source IS NOT NULL AND
+  lang IS NOT NULL)"""
 
 
 @query("split_best_fold", f"""WITH {FOLDS}, a AS (SELECT lang, count(*) AS n FROM f GROUP BY lang), b AS (SELECT fold, lang, count(*) AS n FROM f GROUP BY fold, lang),
-d AS (SELECT x.fold, max(abs(coalesce(b.n, 0) * 1.0 / a.n - 0.2)) AS worst, avg(abs(coalesce(b.n, 0) * 1.0 / a.n - 0.2)) AS mean, CAST(sum(coalesce(b.n, 0)) AS BIGINT) AS test_rows FROM (SELECT DISTINCT fold FROM f) x CROSS JOIN a LEFT JOIN b ON b.fold = x.fold AND b.lang = a.lang GROUP BY x.fold)
-SELECT fold, round(worst, 6) AS worst, round(mean, 6) AS mean, test_rows, row_number() OVER (ORDER BY round(worst, 9), round(mean, 9), fold) = 1 AS chosen FROM d""")
+d AS (SELECT x.fold, max(abs(coalesce(b.n, 0) * 1.0 / a.n - 0.2)) AS worst, avg(abs(coalesce(b.n, 0) * 1.0 / a.n - 0.2)) AS mean,
+  CAST(sum(coalesce(b.n, 0)) AS BIGINT) AS test_rows FROM (SELECT DISTINCT fold FROM f) x CROSS JOIN a LEFT JOIN b ON b.fold = x.fold AND b.lang =
+  a.lang GROUP BY x.fold)
+SELECT fold, round(worst, 6) AS worst, round(mean, 6) AS mean, test_rows, row_number() OVER (ORDER BY round(worst, 9), round(mean, 9), fold) = 1 AS
+  chosen FROM d""")
 def split_best_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Folds of whole groups and the one that is chosen for the test: the least deviation
     of any class from its share, then the least on average, then the first (DS-04). One
@@ -286,7 +327,8 @@ def split_best_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     mean = F.aggregate("g", F.lit(0.0), lambda a, x: a + x) / F.size("g")
     each = gaps.select("fold", F.array_max("g").alias("worst"), mean.alias("mean"), "test_rows")
     first = Window.orderBy(F.round("worst", 9), F.round("mean", 9), "fold")  # a row per fold
-    return each.select("fold", F.round("worst", 6).alias("worst"), F.round("mean", 6).alias("mean"), "test_rows", (F.row_number().over(first) == 1).alias("chosen"))
+    return each.select("fold", F.round("worst", 6).alias("worst"), F.round("mean", 6).alias("mean"), "test_rows",
+        (F.row_number().over(first) == 1).alias("chosen"))
 
 
 @query("class_weights", """WITH c AS (SELECT lang, count(*) AS n FROM documents WHERE lang IS NOT NULL GROUP BY lang)
@@ -303,11 +345,14 @@ def class_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
 FROM documents GROUP BY source HAVING count(DISTINCT lang) > 1""")
 def group_quarantine(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups with several labels and their signature (AGG-15)."""
-    g = table(spark, sf_dir, "documents").groupBy(F.col("source").alias("group_key")).agg(F.count("*").alias("n_rows"), F.array_sort(F.collect_set("lang")).alias("labels"))
-    return g.where(F.size("labels") > 1).select("group_key", "n_rows", F.size("labels").cast("long").alias("n_labels"), F.array_join("labels", " + ").alias("signature"))
+    g = table(spark, sf_dir, "documents").groupBy(F.col("source").alias("group_key")).agg(F.count("*").alias("n_rows"),
+        F.array_sort(F.collect_set("lang")).alias("labels"))
+    return g.where(F.size("labels") > 1).select("group_key", "n_rows", F.size("labels").cast("long").alias("n_labels"),
+        F.array_join("labels", " + ").alias("signature"))
 
 
-@query("dataset_members", """SELECT CASE WHEN ('0x' || substr(md5('split:' || coalesce(source, '')), 1, 8))::BIGINT % 10 < 7 THEN 'train' WHEN ('0x' || substr(md5('split:' || coalesce(source, '')), 1, 8))::BIGINT % 10 < 8 THEN 'validation' ELSE 'test' END AS split,
+@query("dataset_members", """SELECT CASE WHEN ('0x' || substr(md5('split:' || coalesce(source, '')), 1, 8))::BIGINT % 10 < 7 THEN 'train' WHEN ('0x' || substr(md5('split:' ||
+  coalesce(source, '')), 1, 8))::BIGINT % 10 < 8 THEN 'validation' ELSE 'test' END AS split,
   lang AS label, count(*) AS n FROM documents GROUP BY 1, 2""")
 def dataset_members(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Member counts by split and label of a snapshot (AGG-13)."""

@@ -30,7 +30,8 @@ def land(batch: DataFrame, batch_id: int, table_path: str, source: str) -> None:
     (a folder for each batch, so a repeated batch replaces its own rows). Keys are kept
     apart, by hash, so that a batch meets stored keys and never stored payloads."""
     spark = batch.sparkSession
-    rows = batch.select(F.lit(source).alias("source"), "record_id", F.sha2("payload", 256).alias("payload_hash"), "payload", payload_id(source, F.col("record_id"), F.col("payload")).alias("id"))
+    rows = batch.select(F.lit(source).alias("source"), "record_id", F.sha2("payload", 256).alias("payload_hash"), "payload",
+        payload_id(source, F.col("record_id"), F.col("payload")).alias("id"))
     good = rows.where(F.col("record_id").isNotNull() & F.col("payload").isNotNull())
     shard = F.pmod(F.xxhash64(*KEYS), F.lit(KEY_SHARDS)).cast("int")
     new = good.dropDuplicates(KEYS).withColumn("shard", shard).persist()
@@ -45,7 +46,8 @@ def land(batch: DataFrame, batch_id: int, table_path: str, source: str) -> None:
     left = spark.read.parquet(f"{table_path}/raw/batch={batch_id}")
     left.select(*KEYS, shard.alias("shard")).write.mode("overwrite").partitionBy("shard").parquet(f"{table_path}/keys/batch={batch_id}")
     new.unpersist()
-    bad = batch.where(F.col("record_id").isNull() | F.col("payload").isNull()).select(F.lit(source).alias("source"), F.lit("no_record_id_or_payload").alias("reason"))
+    bad = batch.where(F.col("record_id").isNull() | F.col("payload").isNull()).select(F.lit(source).alias("source"),
+        F.lit("no_record_id_or_payload").alias("reason"))
     bad.write.mode("overwrite").parquet(f"{table_path}/rejects/batch={batch_id}")
 
 
@@ -67,4 +69,5 @@ def drain(stream: DataFrame, table_path: str, source: str, each: Callable[[DataF
 def latest_inventory(stream: DataFrame) -> DataFrame:
     """Per machine the newest inventory of a stream; an older one never replaces it
     (STR-07): max_by in a streaming aggregation."""
-    return stream.groupBy("machine_uid").agg(F.max_by("inventory_id", F.struct("collected_at", "inventory_id")).alias("inventory_id"), F.max("collected_at").alias("collected_at"))
+    return stream.groupBy("machine_uid").agg(F.max_by("inventory_id", F.struct("collected_at", "inventory_id")).alias("inventory_id"),
+        F.max("collected_at").alias("collected_at"))

@@ -151,7 +151,8 @@ def pages(folder: DataFrame, size: int) -> Connector:
         rows = folder if state.get("since") is None else folder.where(F.col("modified_at") >= F.lit(state["since"]).cast("timestamp_ntz"))
         if cursor is not None:
             at, record = cursor.split("|")
-            rows = rows.where(F.struct("modified_at", "record_id") > F.struct(F.lit(at).cast("timestamp_ntz").alias("modified_at"), F.lit(record).alias("record_id")))
+            rows = rows.where(F.struct("modified_at", "record_id") > F.struct(F.lit(at).cast("timestamp_ntz").alias("modified_at"),
+                F.lit(record).alias("record_id")))
         page = rows.orderBy("modified_at", "record_id").limit(size)
         last = page.withColumn("n", F.row_number().over(Window.orderBy(F.desc("modified_at"), F.desc("record_id")))).where("n = 1").first()  # of one page
         more = last is not None and rows.limit(size + 1).count() > size
