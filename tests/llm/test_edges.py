@@ -96,8 +96,10 @@ def test_licenses(odd_docs, no_docs):
 
 
 def test_urls(spark):
-    rows = [(1, None, None), (2, "no scheme", "<a href='https://x.example.org/'>"), (3, "HTTP://A.Example.com/en/7?x", None), (4, "://", ""), (None, "http://b.org/es/1#f", None), (3, "HTTP://A.Example.com/en/7?x", None)]
-    pages = spark.createDataFrame(rows, "page_id long, url string, html string").select("*", F.lit("clash").alias("host"), F.lit("clash").alias("rule"), F.lit(1).alias("trust"))
+    rows = [(1, None, None), (2, "no scheme", "<a href='https://x.example.org/'>"), (3, "HTTP://A.Example.com/en/7?x", None), (4, "://", ""),
+        (None, "http://b.org/es/1#f", None), (3, "HTTP://A.Example.com/en/7?x", None)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").select("*", F.lit("clash").alias("host"),
+        F.lit("clash").alias("rule"), F.lit(1).alias("trust"))
     found = url_filter.judge_urls(pages).collect()
     assert len(found) == 6
     got = {r["page_id"]: (r["host"], r["path"], r["rule"], r["verdict"]) for r in found}
@@ -108,8 +110,11 @@ def test_urls(spark):
 
 def test_embeddings(spark):
     nan, inf = float("nan"), float("inf")
-    rows = [(1, [1.0, 0.0, 0.0]), (2, [1.0, 0.0, 0.0]), (3, [2.0, 0.1, 0.0]), (4, None), (5, [0.0, 0.0, 0.0]), (6, [nan, 1.0, 0.0]), (7, [inf, 0.0, 0.0]), (8, [None, 1.0, 0.0]), (9, []), (None, [1.0, 0.0, 0.0]), (10, [1.0, 0.0]), (2, [1.0, 0.0, 0.0]), (11, [0.0, 1e-30, 0.0]), (12, [0.0, 1e30, 0.0])]
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").select("*", F.lit("clash").alias("rep"), F.lit(2).alias("label"), F.lit(0).alias("cell"))
+    rows = [(1, [1.0, 0.0, 0.0]), (2, [1.0, 0.0, 0.0]), (3, [2.0, 0.1, 0.0]), (4, None), (5, [0.0, 0.0, 0.0]), (6, [nan, 1.0, 0.0]),
+        (7, [inf, 0.0, 0.0]), (8, [None, 1.0, 0.0]), (9, []), (None, [1.0, 0.0, 0.0]), (10, [1.0, 0.0]), (2, [1.0, 0.0, 0.0]),
+            (11, [0.0, 1e-30, 0.0]), (12, [0.0, 1e30, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").select("*", F.lit("clash").alias("rep"), F.lit(2).alias("label"),
+        F.lit(0).alias("cell"))
     found = embedding_dup.dedup(df).collect()
     assert len(found) == len(rows)
     got = {r["vec_id"]: (r["n_links"], r["component_id"], r["kept"]) for r in found}
@@ -169,13 +174,16 @@ from vigilake.llm import bpe, language_id, near_dup, token_store, toxicity
 for rows in (near_dup.dedup(docs), language_id.identify(docs), toxicity.judge(docs, labels), bpe.encode(docs), token_store.round_trip(docs)):
     assert rows.count() == 6
 """
-    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True, timeout=300, env={k: v for k, v in __import__("os").environ.items() if k != "PYTHONPATH"})
+    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True, timeout=300,
+        env={k: v for k, v in __import__("os").environ.items() if k != "PYTHONPATH"})
     assert done.returncode == 0, done.stderr[-2000:]
 
 
 def test_long_ids_beside_nulls_stay_exact(spark):
     big = 2**62 + 1
-    docs = spark.createDataFrame([(big, "you are here", "en", "s"), (None, "x y z", "en", "s"), (big + 2, None, "de", None)], "doc_id long, text string, lang string, source string").coalesce(1)
+    docs = spark.createDataFrame([(big, "you are here", "en", "s"), (None, "x y z", "en", "s"), (big + 2, None, "de", None)],
+        "doc_id long, text string, lang string, source string").coalesce(1)
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
-    for rows in (near_dup.dedup(docs), language_id.identify(docs), toxicity.judge(docs, labels), bpe.encode(docs), token_store.round_trip(docs), quality.judge(docs), license_scan.scan(docs), mixing.mix_sources(docs)):
+    for rows in (near_dup.dedup(docs), language_id.identify(docs), toxicity.judge(docs, labels), bpe.encode(docs), token_store.round_trip(docs),
+        quality.judge(docs), license_scan.scan(docs), mixing.mix_sources(docs)):
         assert sorted((r["doc_id"] for r in rows.collect()), key=str) == [big, big + 2, None], rows.columns

@@ -292,7 +292,8 @@ def test_quality_equals_brute_force(spark, docs, texts):
         windows = collections.Counter(zip(words, words[1:], words[2:], strict=False))
         covered = {p for i in range(len(words) - 2) if windows[tuple(words[i : i + 3])] > 1 for p in (i, i + 1, i + 2)}
         lines = [x for x in text.split("\n") if WORD.search(x)]
-        assert (r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"]) == (len(words), sum(map(len, words)), sum(c in "#*$%&|<>" for c in text), len(lines) - len(set(lines)), len(covered))
+        assert (r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"]) == (len(words), sum(map(len, words)),
+            sum(c in "#*$%&|<>" for c in text), len(lines) - len(set(lines)), len(covered))
         assert r["base_failed"] == (len(words) < 50 or 100 * len(covered) > 50 * len(words)) and not (r["base_failed"] and r["kept"])
         right += r["doc_id"] in labels and not r["base_failed"] and r["kept"] == bool(labels[r["doc_id"]])
     judged = [i for i in labels if i in texts]
@@ -353,7 +354,8 @@ def test_bpe_equals_library_on_odd_texts(tokenizer, monkeypatch):
         spec = f.read()
     codec = bpe.ForcedBoundaryCodec(spec, cache=50)
     rng = random.Random(6)
-    parts = ["a", "don't", "'s", "'", "' s", "'S", " ", "  ", "\n", "\n\n", "\t", "\r\n", "é", "漢字", " ", "　", " ", "\x1c", "\x85", "<|endoftext|>", "<|", "|>", "123", "!!", "'ll", "xq", "Zq", "😀", "_", "-", "​"]
+    parts = ["a", "don't", "'s", "'", "' s", "'S", " ", "  ", "\n", "\n\n", "\t", "\r\n", "é", "漢字", " ", "　", " ", "\x1c", "\x85", "<|endoftext|>",
+        "<|", "|>", "123", "!!", "'ll", "xq", "Zq", "😀", "_", "-", "​"]
     odd = ["".join(rng.choice(parts) for _ in range(rng.randrange(1, 15))) for _ in range(3000)]
     for text, got in zip(odd, codec.encode(odd), strict=True):
         assert np.concatenate([np.empty(0, "<u4"), *got]).tolist() == tokenizer.encode(text, add_special_tokens=False).ids, repr(text)
@@ -435,7 +437,8 @@ def test_toxicity_equals_brute_force(spark):
     weight = {o: w for (_, o, w) in grammar.last.arcs.values() if o in toxicity.KINDS}
 
     def class_of(w):
-        for name, words in (("insult", grammar.insults), ("threat", toxicity.THREATS), ("R", toxicity.REPORTS), ("N", toxicity.NEGATIONS), ("T", toxicity.TARGETS)):
+        for name, words in (("insult", grammar.insults), ("threat", toxicity.THREATS), ("R", toxicity.REPORTS), ("N", toxicity.NEGATIONS),
+            ("T", toxicity.TARGETS)):
             if w in words:
                 return name
         return "insult" if any(w[:n] + "*" in grammar.insults for n in toxicity.STEMS if n < len(w)) else "-"
@@ -566,7 +569,9 @@ def test_licenses_equal_brute_force(docs, texts):
 
 
 def test_license_templates_are_found(spark):
-    rows = [(i, f"Header words first. {t.text.upper()}. Then more.") for i, t in enumerate(license_scan.TEMPLATES)] + [(99, "permission to use the software is a thing that any person may want"), (98, "MIT License mit  LICENSE; mit-license")]
+    rows = [(i, f"Header words first. {t.text.upper()}. Then more.") for i,
+        t in enumerate(license_scan.TEMPLATES)] + [(99, "permission to use the software is a thing that any person may want"),
+            (98, "MIT License mit  LICENSE; mit-license")]
     got = {r["doc_id"]: r for r in license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     for i, t in enumerate(license_scan.TEMPLATES):
         assert t.label in got[i]["labels"].split(",") and got[i]["score"] == 1.0, t

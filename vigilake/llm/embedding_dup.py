@@ -176,13 +176,16 @@ def search(reps: DataFrame, threshold: float = THRESHOLD, recall: float = TARGET
     placed = cut(located(reps, fit_grid(reps, n, threshold, recall)), "placed")
     stored = placed.groupBy("cell").agg(F.count("*").alias("n_stored"))
     asked = placed.select(F.explode("visits").alias("cell")).groupBy("cell").agg(F.count("*").alias("n_asked"))
-    blocks = stored.join(asked, "cell").select("cell", F.ceil(F.col("n_stored") / INDEX_BLOCK).cast("int").alias("ni"), F.ceil(F.col("n_asked") / QUERY_BLOCK).cast("int").alias("nq"))
+    blocks = stored.join(asked, "cell").select("cell", F.ceil(F.col("n_stored") / INDEX_BLOCK).cast("int").alias("ni"),
+        F.ceil(F.col("n_asked") / QUERY_BLOCK).cast("int").alias("nq"))
     blocks = F.broadcast(cut(blocks, "blocks"))  # a row per cell: CODEWORDS ** 2 at most
     deal = lambda n: F.pmod(F.xxhash64("rep"), F.col(n)).cast("int")
     each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     columns = ["cell", "ib", "qb", F.col("home"), "stored", "rep", "mult", "v", "visits"]
-    index = placed.withColumn("home", F.col("cell")).join(blocks, "cell").withColumn("ib", deal("ni")).withColumn("qb", each("nq")).withColumn("stored", F.lit(True))
-    query = placed.select("rep", "mult", "v", F.col("cell").alias("home"), F.explode("visits").alias("cell"), F.array().cast("array<int>").alias("visits")).join(blocks, "cell")
+    index = placed.withColumn("home", F.col("cell")).join(blocks, "cell").withColumn("ib", deal("ni")).withColumn("qb",
+        each("nq")).withColumn("stored", F.lit(True))
+    query = placed.select("rep", "mult", "v", F.col("cell").alias("home"), F.explode("visits").alias("cell"),
+        F.array().cast("array<int>").alias("visits")).join(blocks, "cell")
     query = query.withColumn("qb", deal("nq")).withColumn("ib", each("ni")).withColumn("stored", F.lit(False))
     met = index.select(*columns).unionByName(query.select(*columns))
     return met.groupBy("cell", "ib", "qb").applyInPandas(lambda rows: block_links(rows, threshold), "rep long, n long, root long")
@@ -211,11 +214,13 @@ def dedup(embeddings: DataFrame, threshold: float = THRESHOLD, recall: float = T
     counts = found.groupBy("rep").agg(F.sum("n").alias("n"))
     roots = connected(found.select(F.col("rep").alias("a"), F.col("root").alias("b")))
     known = reps.select("rep", "mult", "v").join(counts, "rep", "left").join(roots.withColumnRenamed("id", "rep"), "rep", "left")
-    known = cut(known.select("v", F.xxhash64("v").alias("h"), (F.col("mult") - 1 + F.coalesce("n", F.lit(0))).alias("n"), F.coalesce("component", "rep").alias("c")), "known")
+    known = cut(known.select("v", F.xxhash64("v").alias("h"), (F.col("mult") - 1 + F.coalesce("n", F.lit(0))).alias("n"),
+        F.coalesce("component", "rep").alias("c")), "known")
     asked = rows.withColumn("h", F.when(F.col("vec_id").isNotNull() & usable(F.col("v")), F.xxhash64("v"))).alias("r")
     joined = asked.join(known.alias("k"), (F.col("r.h") == F.col("k.h")) & (F.col("r.v") == F.col("k.v")), "left")
     component = F.coalesce("k.c", "r.vec_id")
-    return joined.select("r.vec_id", F.coalesce("k.n", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("r.vec_id") == component, F.lit(False)).alias("kept"))
+    return joined.select("r.vec_id", F.coalesce("k.n", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"),
+        F.coalesce(F.col("r.vec_id") == component, F.lit(False)).alias("kept"))
 
 
 #: All pairs, for tables small enough for that.
@@ -224,7 +229,8 @@ WITH RECURSIVE good AS (
   SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings
   WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
     AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
-links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM good a JOIN good b ON a.vec_id <> b.vec_id AND len(a.v) = len(b.v) AND list_cosine_similarity(a.v, b.v) >= {THRESHOLD}),
+links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM good a JOIN good b ON a.vec_id <> b.vec_id AND len(a.v) = len(b.v) AND list_cosine_similarity(a.v,
+  b.v) >= {THRESHOLD}),
 reach(a, b) AS (SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a)
 SELECT e.vec_id, CAST((SELECT count(*) FROM links l WHERE l.a = e.vec_id) AS BIGINT) AS n_links,
        least(e.vec_id, (SELECT min(b) FROM reach r WHERE r.a = e.vec_id)) AS component_id,

@@ -112,7 +112,9 @@ def predict(docs: DataFrame, model, buckets: int = BUCKETS, slack: float = SLACK
 
     `und` with score 0 where the text is null or has no letter, or where there is
     no centroid. `rejected` marks texts farther from every centroid than `slack`
-    allows; their nearest language is given all the same.
+    allows; their nearest language is given all the same. Of centroids equally near the
+    first by language counts; repeated rows are predicted alike; an empty table gives an
+    empty result.
     """
     idf, languages, centroids, radii = model
 

@@ -149,7 +149,7 @@ def intersected(words: Column, template: Column, rare: Column, tolerance: Column
             several = F.filter(s, lambda x, k: F.coalesce(F.get(s, k + AGREE - 1)["w"] == x["w"], F.lit(False)))
             return F.array_distinct(F.transform(F.when(F.size(found) >= AGREE, several).otherwise(s), lambda x: x["w"]))
 
-        return let(F.array_sort(F.array_distinct(F.flatten(F.transform(found, starts)))), agreeing)
+        return let(F.sort_array(F.array_distinct(F.flatten(F.transform(found, starts)))), agreeing)
 
     return let(F.slice(F.array_intersect(rare, words), 1, LOOKUPS), windows)
 
@@ -223,9 +223,11 @@ WITH template(t, k, w, is_key) AS (VALUES {", ".join(rows)}),
 head(t, label, size, tol) AS (VALUES {", ".join(heads)}),
 phrase(t, p) AS (VALUES {", ".join(phrases)}),
 base(label, k, w, size) AS (VALUES {base}),
-docs AS (SELECT doc_id, row_number() OVER () AS r, list_filter(regexp_split_to_array(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS words FROM documents),
+docs AS (SELECT doc_id, row_number() OVER () AS r, list_filter(regexp_split_to_array(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'),
+  '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS words FROM documents),
 vocabulary AS (SELECT DISTINCT w FROM template UNION SELECT w FROM base),
-places AS (SELECT r, u.w, u.i FROM (SELECT r, unnest(list_transform(words, lambda x, i: {{'w': x, 'i': i - 1}})) AS u FROM docs) WHERE u.w IN (SELECT w FROM vocabulary)),
+places AS (SELECT r, u.w, u.i FROM (SELECT r, unnest(list_transform(words, lambda x, i: {{'w': x, 'i': i - 1}})) AS u FROM docs) WHERE u.w IN (SELECT
+  w FROM vocabulary)),
 held AS (SELECT DISTINCT r, w FROM places),
 rarity AS (SELECT w, count(*) AS n FROM held GROUP BY w),
 ranked AS (SELECT DISTINCT t, template.w, is_key, coalesce(n, 0) AS n FROM template LEFT JOIN rarity USING (w)),
@@ -244,14 +246,19 @@ windows AS (
 whole AS (
   SELECT x.r, x.t, x.b, x.b * head.tol - head.tol AS lo, head.size, head.tol, head.label FROM windows x JOIN head USING (t) JOIN docs d USING (r)
   WHERE NOT EXISTS (SELECT 1 FROM phrase f WHERE f.t = x.t AND NOT contains(
-    ' ' || array_to_string(d.words[greatest(x.b * head.tol - head.tol, 0) + 1 : x.b * head.tol - head.tol + head.size + 4 * head.tol + 1], ' ') || ' ', f.p))),
+    ' ' || array_to_string(d.words[greatest(x.b * head.tol - head.tol, 0) + 1 : x.b * head.tol - head.tol + head.size + 4 * head.tol + 1], ' ') ||
+      ' ', f.p))),
 scored AS (
   SELECT c.r, c.t, c.label, c.b, count(DISTINCT m.k) / CAST(any_value(c.size) AS DOUBLE) AS share
-  FROM whole c JOIN template m ON m.t = c.t JOIN places p ON p.r = c.r AND p.w = m.w AND p.i BETWEEN c.lo + m.k AND c.lo + m.k + 4 * c.tol GROUP BY ALL),
+  FROM whole c JOIN template m ON m.t = c.t JOIN places p ON p.r = c.r AND p.w = m.w AND p.i BETWEEN c.lo + m.k AND c.lo + m.k + 4 * c.tol GROUP BY
+    ALL),
 found AS (SELECT r, label, max(share) AS share FROM scored WHERE share >= {MATCH} GROUP BY r, label),
 spots AS (SELECT p.r, b.label, p.i - b.k AS start FROM places p JOIN base b USING (w) GROUP BY ALL HAVING count(*) = any_value(b.size)),
-more AS (SELECT r, string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(share) AS share FROM (SELECT r, label, share FROM found UNION ALL SELECT r, label, 1.0 FROM spots) GROUP BY r),
-own AS (SELECT r, count(*) AS n, min(start) AS first_word, max(start) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM spots GROUP BY r)
-SELECT d.doc_id, CAST(len(d.words) AS BIGINT) AS n_words, coalesce(o.n, 0) AS n_base, o.first_word, o.last_word, coalesce(o.labels, '') AS base_labels, coalesce(m.labels, '') AS labels, CAST(coalesce(m.share, 0) AS DOUBLE) AS score
+more AS (SELECT r, string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(share) AS share FROM (SELECT r, label, share FROM found UNION ALL
+  SELECT r, label, 1.0 FROM spots) GROUP BY r),
+own AS (SELECT r, count(*) AS n, min(start) AS first_word, max(start) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM
+  spots GROUP BY r)
+SELECT d.doc_id, CAST(len(d.words) AS BIGINT) AS n_words, coalesce(o.n, 0) AS n_base, o.first_word, o.last_word, coalesce(o.labels, '') AS
+  base_labels, coalesce(m.labels, '') AS labels, CAST(coalesce(m.share, 0) AS DOUBLE) AS score
 FROM docs d LEFT JOIN own o USING (r) LEFT JOIN more m USING (r)
 """

@@ -13,7 +13,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vigilake.llm.common import SPACE, WORD, let
+from vigilake.llm.common import SPACE, let
 from vigilake.session import cut
 
 SYMBOLS = "#*$%&|<>"
@@ -68,30 +68,32 @@ def _repeated(words: Column) -> Column:
     and neighbours are compared word by word: n log n for any text, however repetitive.
     """
 
-    def places(hashes: Column) -> Column:
-        starts = F.sequence(F.lit(0), F.size(hashes) - 3)
-        window = lambda i: F.struct(F.xxhash64(F.get(hashes, i), F.get(hashes, i + 1), F.get(hashes, i + 2)).alias("h"), i.alias("i"))
+    def windows(hashes: Column) -> Column:
+        three = lambda i: F.xxhash64(F.get(hashes, i), F.get(hashes, i + 1), F.get(hashes, i + 2))
+        # Without a repeat, which a set of hashes tells, nothing is sorted.
+        return let(F.transform(F.sequence(F.lit(0), F.size(hashes) - 3), three), lambda h: F.when(F.size(F.array_distinct(h)) < F.size(h), covered(h)).otherwise(0))
 
+    def covered(h: Column) -> Column:
         def again(s: Column) -> Column:
             word = lambda i, j: F.get(words, i) == F.get(words, j)
             alike = lambda i, j: word(i, j) & word(i + 1, j + 1) & word(i + 2, j + 2)
             near = lambda x, k: F.coalesce((F.get(s, k)["h"] == x["h"]) & alike(F.get(s, k)["i"], x["i"]), F.lit(False))
             twice = F.filter(s, lambda x, k: near(x, k - 1) | near(x, k + 1))
             first = F.transform(twice, lambda x: x["i"])
-            covered = F.concat(first, F.transform(first, lambda i: i + 1), F.transform(first, lambda i: i + 2))
-            return F.size(F.array_distinct(covered))
+            return F.size(F.array_distinct(F.concat(first, F.transform(first, lambda i: i + 1), F.transform(first, lambda i: i + 2))))
 
-        return let(F.array_sort(F.transform(starts, window)), again)
+        # sort_array compares natively, array_sort by an expression for each pair.
+        return let(F.sort_array(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i")))), again)
 
-    some = let(F.transform(words, lambda w: F.xxhash64(w)), places)
+    some = let(F.transform(words, lambda w: F.xxhash64(w)), windows)
     return F.when(F.size(words) >= 3, some).otherwise(0)
 
 
 def measures(docs: DataFrame) -> DataFrame:
     """doc_id and the measures of each whole text; null text has no words."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    words = F.filter(F.split(text, SPACE), lambda w: w != "")
-    lines = F.filter(F.split(text, "\n", -1), lambda x: x.rlike(WORD))
+    words = F.array_remove(F.split(text, SPACE), "")
+    lines = F.filter(F.split(text, "\n", -1), lambda x: F.btrim(x, F.lit(SPACES)) != "")
     chars = lambda drop: F.length(text) - F.length(F.translate(text, drop, ""))
     counted = docs.select(
         "doc_id",
@@ -175,4 +177,5 @@ def judge(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
         z = z + F.when(vote == GOOD, weight[GOOD]).when(vote == BAD, weight[BAD]).otherwise(weight[NONE])
     quality = 1 / (1 + F.exp(-z))
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    return voted.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), (~failed & (quality >= 0.5)).alias("kept"), quality.alias("quality"))
+    return voted.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"),
+        (~failed & (quality >= 0.5)).alias("kept"), quality.alias("quality"))

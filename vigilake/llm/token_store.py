@@ -145,7 +145,8 @@ def write_store(docs: DataFrame, root: str, path: str | None = None, end_id: int
 
     Null text has only the end id. Documents of equal id stand next to each other
     (ordered by a hash of the text, then by row, so that any number of equal rows is
-    dealt over several shards) and are all found under that id.
+    dealt over several shards) and are all found under that id. Null ids are one id,
+    stored first; an empty table gives a store without shards.
     """
     spec = bpe.shared_spec(docs, path or bpe.default_path())
     width = bpe.id_width(spec.value, end_id)
@@ -226,7 +227,9 @@ class IndexPart:
 
 def lookup(ids: DataFrame, root: str) -> DataFrame:
     """(doc_id) -> (doc_id, shard, offset, length, ordinal, n): a row for each run of
-    `n` documents stored under the id in a shard; ids that are not stored give none."""
+    `n` documents stored under the id in a shard; ids that are not stored give none, ids
+    asked for twice are answered once, a null id finds the documents stored under it, and
+    an empty table or store gives an empty result."""
     spark: SparkSession = ids.sparkSession
     ship(spark)
     parts = (spark.read.parquet(f"{root}/manifest").select("parts").first() or [0])[0]
@@ -283,7 +286,8 @@ class Shards:
 def read_ids(found: DataFrame, root: str, digest: bool = False) -> DataFrame:
     """Runs, as `lookup` gives them, -> (doc_id, shard, offset, length) of each document
     with the ids read from the shards, or with their crc32 only (as unsigned 32-bit
-    integers). Rows meet by shard, so that a shard is read forwards."""
+    integers). Rows meet by shard, so that a shard is read forwards. An empty document
+    has its end id only; repeated runs are read again; no runs give an empty result."""
     ship(found.sparkSession)
     width = (found.sparkSession.read.parquet(f"{root}/manifest").select("width").first() or [4])[0]
     last = "ids_crc32" if digest else "ids"

@@ -141,24 +141,30 @@ WITH RECURSIVE parsed AS (
   SELECT page_id, html, {lower % "coalesce(regexp_extract(url, '^.*?://([^/?#]*)([^?#]*)', 1, 's'), '')"} AS host,
          coalesce(regexp_extract(url, '^.*?://([^/?#]*)([^?#]*)', 2, 's'), '') AS path FROM pages),
 ruled AS (SELECT page_id, host, path, {pick("rule")} AS rule, {pick("verdict")} AS listed FROM parsed),
-seeds AS (SELECT host, count(*) FILTER (listed = 'allow') AS trust, count(*) FILTER (listed = 'block') AS distrust FROM ruled WHERE rule IS NOT NULL GROUP BY host),
+seeds AS (SELECT host, count(*) FILTER (listed = 'allow') AS trust, count(*) FILTER (listed = 'block') AS distrust FROM ruled WHERE rule IS NOT NULL
+  GROUP BY host),
 restart AS (
   SELECT host, 1 AS kind, trust / CAST((SELECT sum(trust) FROM seeds) AS DOUBLE) AS seed FROM seeds WHERE trust > 0
   UNION ALL SELECT host, -1, distrust / CAST((SELECT sum(distrust) FROM seeds) AS DOUBLE) FROM seeds WHERE distrust > 0),
 links AS (SELECT host AS src, unnest(regexp_extract_all(html, '{LINK[5:].replace("'", "''")}', 1, 'is')) AS link FROM parsed),
 edges AS (
   SELECT src, dst, count(*) AS n FROM (
-    SELECT src, {lower % "regexp_extract(CASE WHEN starts_with(link, '//') THEN 'x:' || link ELSE link END, '^.*?://([^/?#]*)', 1, 's')"} AS dst FROM links)
+    SELECT src, {lower % "regexp_extract(CASE WHEN starts_with(link, '//') THEN 'x:' || link ELSE link END, '^.*?://([^/?#]*)', 1, 's')"} AS dst FROM
+      links)
   WHERE src <> dst AND src <> '' AND dst <> '' GROUP BY src, dst),
 flow AS (
   SELECT src AS host, dst AS "to", 1 AS kind, n / CAST(sum(n) OVER (PARTITION BY src) AS DOUBLE) AS share FROM edges
   UNION ALL SELECT dst, src, -1, n / CAST(sum(n) OVER (PARTITION BY dst) AS DOUBLE) FROM edges),
 s(host, kind, score, n) AS (
   SELECT host, kind, seed * (1 - {DAMPING}), 0 FROM restart WHERE seed > 0
-  UNION ALL SELECT f."to", f.kind, sum(f.share * {DAMPING} * s.score), s.n + 1 FROM flow f JOIN s ON f.host = s.host AND f.kind = s.kind WHERE s.n < {MOST_ROUNDS} GROUP BY f."to", f.kind, s.n),
+  UNION ALL SELECT f."to", f.kind, sum(f.share * {DAMPING} * s.score), s.n + 1 FROM flow f JOIN s ON f.host = s.host AND f.kind = s.kind WHERE s.n <
+    {MOST_ROUNDS} GROUP BY f."to", f.kind, s.n),
 moved AS (SELECT n FROM s GROUP BY n HAVING n = 0 OR sum(score) >= {TOLERANCE}),
-ranks AS (SELECT host, coalesce(sum(score) FILTER (kind = 1), 0) AS trust, coalesce(sum(score) FILTER (kind = -1), 0) AS distrust FROM s JOIN moved USING (n) GROUP BY host),
+ranks AS (SELECT host, coalesce(sum(score) FILTER (kind = 1), 0) AS trust, coalesce(sum(score) FILTER (kind = -1), 0) AS distrust FROM s JOIN moved
+  USING (n) GROUP BY host),
 judged AS (SELECT r.*, coalesce(k.trust, 0) AS trust, coalesce(k.distrust, 0) AS distrust,
-  CASE WHEN coalesce(k.distrust, 0) > coalesce(k.trust, 0) * {RATIO} THEN 'block' ELSE 'allow' END AS host_verdict FROM ruled r LEFT JOIN ranks k ON r.host = k.host)
-SELECT page_id, host, path, rule, coalesce(listed, host_verdict) AS verdict, round(trust, 9) AS trust, round(distrust, 9) AS distrust, host_verdict FROM judged
+  CASE WHEN coalesce(k.distrust, 0) > coalesce(k.trust, 0) * {RATIO} THEN 'block' ELSE 'allow' END AS host_verdict FROM ruled r LEFT JOIN ranks k ON
+    r.host = k.host)
+SELECT page_id, host, path, rule, coalesce(listed, host_verdict) AS verdict, round(trust, 9) AS trust, round(distrust, 9) AS distrust, host_verdict
+  FROM judged
 """
