@@ -24,6 +24,8 @@ CENTROIDS = 4
 #: A text is rejected where its distance to the nearest centroid exceeds this
 #: many times the largest distance seen in that centroid's cluster.
 SLACK = 1.25
+#: A cluster of one text has radius 0; that text's own distance is 0 but for rounding.
+ROUNDING = 1e-9
 #: ASCII letters and every non-ASCII byte stay; the rest is a gap.
 _TABLE = bytes(b if b >= 128 or chr(b).isalpha() else 32 for b in range(256))
 
@@ -128,7 +130,7 @@ def predict(docs: DataFrame, model, buckets: int = BUCKETS, slack: float = SLACK
                 sims = centroids @ vector(ngram_counts(text, buckets), idf)
                 i = int(np.argmax(sims))
                 langs.append(languages[i]), scores.append(float(min(max(sims[i], 0.0), 1.0)))
-                rejected.append(bool(1 - sims[i] > slack * radii[i]))
+                rejected.append(bool(1 - sims[i] > slack * radii[i] + ROUNDING))
             yield pd.DataFrame({"doc_id": batch["doc_id"], "lang_pred": langs, "score": scores, "rejected": rejected})
 
     letters = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("letters")
