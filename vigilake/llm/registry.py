@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vigilake.llm import bpe, embedding_dup, language_id, license_scan, mixing, near_dup, quality, token_store, toxicity, url_filter
+from vigilake.llm import alignment, bpe, byte_bpe, centroids, embedding_dup, language_id, license_scan, mixing, near_dup, quality, token_store, toxicity, url_filter
 from vigilake.session import table
 
 
@@ -50,6 +50,18 @@ def op10_license_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(table(spark, sf_dir, "documents"))
 
 
+def op11_annulus_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster(table(spark, sf_dir, "embeddings"))
+
+
+def op12_prefix_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return byte_bpe.encode(table(spark, sf_dir, "documents"))
+
+
+def op13_segment_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_centroids": op1_language_centroids,
     "op2_host_trust": op2_host_trust,
@@ -61,10 +73,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_toxic_grammar": op8_toxic_grammar,
     "op9_source_mixing": op9_source_mixing,
     "op10_license_index": op10_license_index,
+    "op11_annulus_clusters": op11_annulus_clusters,
+    "op12_prefix_bpe": op12_prefix_bpe,
+    "op13_segment_alignment": op13_segment_alignment,
 }
 ORACLES: dict[str, str] = {
     "op2_host_trust": url_filter.sql(),
     "op4_multi_index": embedding_dup.SQL,
     "op10_license_index": license_scan.sql(),
     "op9_source_mixing": mixing.SQL,
+    "op11_annulus_clusters": centroids.sql(),
 }
