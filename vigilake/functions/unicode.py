@@ -27,24 +27,34 @@ def _host_form(host: str | None) -> str | None:
         return None
 
 
+def has_odd_host(url: Column) -> Column:
+    """Whether a URL's host needs `canonical` here: outside ASCII, or IPv6."""
+    return F.coalesce(F.trim(url).rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*://([^/?#]*[^\x00-\x7f/?#]|\[)"), F.lit(False))
+
+
 def canonical(url: Column) -> Column:
-    """`urls.canonical`, and also of URLs with an IDNA or IPv6 host (FN-13)."""
+    """`urls.canonical`, and also of URLs with an IDNA or IPv6 host (FN-13). A table with
+    few of these does better to send only them here, as `canonical_pages` does."""
 
     @F.pandas_udf("string")
     def form(hosts: pd.Series) -> pd.Series:
         return hosts.map(_host_form)
 
-    u = F.trim(url)
-    authority = urls.part(u, 2)
-    bare = F.regexp_replace(authority, r":[0-9]*$", "")
-    special = authority.rlike(r"[^\x00-\x7f]") | authority.startswith("[")
-    host = form(F.when(special, bare))
-    # The same rules on the URL with its host replaced; an IPv6 host is put back at the end.
-    stand_in = F.when(host.startswith("["), F.lit("ipv6.invalid")).otherwise(host)
-    tail = F.concat(F.regexp_extract(authority, r"(:[0-9]*)$", 1), urls.part(u, 3), urls.part(u, 4), urls.part(u, 5))
-    rebuilt = urls.canonical(F.concat(urls.part(u, 1), F.lit("://"), stand_in, tail))
-    put_back = F.when(host.startswith("["), F.replace(rebuilt, F.lit("ipv6.invalid"), host)).otherwise(rebuilt)
-    return F.when(F.coalesce(special, F.lit(False)) & ~authority.contains("@"), put_back).otherwise(urls.canonical(url))
+    u, odd = F.trim(url), has_odd_host(url)
+    bare = urls.once(F.when(odd, u), lambda x: F.regexp_replace(urls.part(x, 2), r":[0-9]*$", ""))
+    both = F.struct(u.alias("u"), odd.alias("odd"), form(bare).alias("host"))
+
+    def body(v: Column) -> Column:
+        # The same rules on the URL with its host replaced; an IPv6 host is put back at the end.
+        six = v["host"].startswith("[")
+        stand_in = F.when(six, F.lit("ipv6.invalid")).otherwise(v["host"])
+        authority = urls.part(v["u"], 2)
+        tail = F.concat(F.regexp_extract(authority, r"(:[0-9]*)$", 1), urls.part(v["u"], 3), urls.part(v["u"], 4), urls.part(v["u"], 5))
+        rebuilt = F.concat(urls.part(v["u"], 1), F.lit("://"), stand_in, tail)
+        plain = urls.canonical(F.when(v["odd"] & ~authority.contains("@"), rebuilt).otherwise(v["u"]))
+        return F.when(F.coalesce(v["odd"] & six, F.lit(False)), F.replace(plain, F.lit("ipv6.invalid"), v["host"])).otherwise(plain)
+
+    return urls.once(both, body)
 
 
 def software_name(c: Column) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -14,6 +16,12 @@ IPV4 = r"^(25[0-5]|2[0-4]\d|1?\d?\d)(\.(25[0-5]|2[0-4]\d|1?\d?\d)){3}$"
 PARTS = r"^([A-Za-z][A-Za-z0-9+.\-]*)://([^/?#]*)([^?#]*)(\?[^#]*)?(#.*)?$"
 
 
+def once(value: Column, body: Callable[[Column], Column]) -> Column:
+    """`body(value)` with `value` computed once a row, however often the body uses it.
+    The body is evaluated as a lambda, so it adds nothing to the generated code."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def part(url: Column, n: int) -> Column:
     return F.regexp_extract(url, PARTS, n)
 
@@ -33,17 +41,22 @@ def canonical(url: Column) -> Column:
     `/`; query and fragment stay as they are. ASCII hosts only: others are null
     here (they need an IDNA library).
     """
-    u = F.trim(url)
-    scheme, authority = F.lower(part(u, 1)), part(u, 2)
+    parts = once(F.trim(url), lambda u: F.struct(u.alias("u"), *[part(u, n).alias(f"p{n}") for n in range(1, 6)]))
+    return once(parts, lambda p: assembled(p["u"], *[p[f"p{n}"] for n in range(1, 6)]))
+
+
+def assembled(u: Column, scheme: Column, authority: Column, path: Column, query: Column, fragment: Column) -> Column:
+    """The canonical form of a URL from its parts; null where it is refused."""
     port = F.regexp_extract(authority, r":([0-9]+)$", 1)
-    h = host(u)
-    usual = ((scheme == "http") & (port == "80")) | ((scheme == "https") & (port == "443")) | (port == "")
-    path = F.when(part(u, 3) == "", "/").otherwise(part(u, 3))
+    h = F.rtrim(F.lower(F.regexp_replace(authority, r":[0-9]*$", "")), F.lit("."))
+    known = F.lower(scheme)
+    usual = ((known == "http") & (port == "80")) | ((known == "https") & (port == "443")) | (port == "")
     good = (
-        (F.length(u) <= MOST) & ~u.rlike(r"[\s\\\x00-\x1f\x7f]") & scheme.isin("http", "https") & ~authority.contains("@")
+        (F.length(u) <= MOST) & ~u.rlike(r"[\s\\\x00-\x1f\x7f]") & known.isin("http", "https") & ~authority.contains("@")
         & ~authority.endswith(":") & (h != "") & (F.length(h) <= 253) & h.rlike(r"^[\x21-\x7e]+$")
     )
-    return F.when(good, F.concat(scheme, F.lit("://"), h, F.when(usual, "").otherwise(F.concat(F.lit(":"), port)), path, part(u, 4), part(u, 5)))
+    return F.when(good, F.concat(known, F.lit("://"), h, F.when(usual, "").otherwise(F.concat(F.lit(":"), port)), F.when(path == "",
+        "/").otherwise(path), query, fragment))
 
 
 def value_hash(canonical_url: Column) -> Column:

@@ -161,17 +161,6 @@ def artifact_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(name, ",".join(reasons)) for name, reasons in cases], "model string, reasons string")
 
 
-@query("url_verdicts")
-def url_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """URL to class, verdict and confidence, the probability of the class (FN-40)."""
-    model, _, manifest, rows = _classifier(spark, sf_dir)
-    names = F.array(*map(F.lit, manifest["classes"]))
-    scored = model.transform(rows)
-    found = F.get(names, F.col("prediction").cast("int"))
-    p = F.get(vector_to_array("probability"), F.col("prediction").cast("int"))
-    return scored.select("page_id", found.alias("threat_class"), policies.verdict(found).alias("verdict"), F.round(p, 6).alias("confidence"))
-
-
 @query("data_dictionary",
     "SELECT table_name AS \"table\", column_name AS \"column\", CAST(column_index AS INTEGER) AS place FROM duckdb_columns() WHERE NOT internal AND table_name IN ('customer', 'orders', 'lineitem', 'part')")
 def data_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -27,12 +27,14 @@ c AS (SELECT *, CASE WHEN raw_path = '' THEN '/' ELSE raw_path END AS path,
 
 
 def canonical_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(page_id, url, canonical_url, host, group_key) of pages whose URL is accepted;
-    hosts outside ASCII and IPv6 are sent to Python, others stay native."""
-    pages = table(spark, sf_dir, "pages").select("page_id", "url", unicode.canonical(F.col("url")).alias("canonical_url"))
-    pages = pages.where(F.col("canonical_url").isNotNull())
-    h = urls.host(F.col("canonical_url"))
-    return pages.select("page_id", "url", "canonical_url", h.alias("host"), urls.group_key(h).alias("group_key"))
+    """(page_id, url, canonical_url, host, group_key) of pages whose URL is accepted. Only
+    rows with a host outside ASCII or of IPv6 pass through Python; all others stay native."""
+    pages, url = table(spark, sf_dir, "pages").select("page_id", "url"), F.col("url")
+    odd = unicode.has_odd_host(url)
+    native = pages.where(~odd).withColumn("canonical_url", urls.canonical(url))
+    both = native.unionByName(pages.where(odd).withColumn("canonical_url", unicode.canonical(url))).where("canonical_url IS NOT NULL")
+    held = urls.once(urls.host(F.col("canonical_url")), lambda h: F.struct(h.alias("host"), urls.group_key(h).alias("group_key")))
+    return both.withColumn("h", held).select("page_id", "url", "canonical_url", "h.host", "h.group_key")
 
 
 @query("url_canonical", f"WITH {CANON} SELECT page_id, canonical_url, sha256(canonical_url) AS value_hash, host, group_key FROM c")
