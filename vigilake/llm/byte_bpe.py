@@ -31,6 +31,8 @@ from vigilake.session import ship
 
 #: Distinct pre-tokens that one worker remembers; pre-tokens of a text held at a time.
 CACHE, BATCH = 150_000, 100_000
+#: Characters of a text whose pre-tokens are listed at once.
+WHOLE = 1 << 20
 #: Pairs of tokens whose compatibility one worker remembers.
 PAIRS = 1_000_000
 
@@ -72,6 +74,7 @@ class PrefixCodec:
             if len(token) == 1 or self._merged(token) == [rank]:
                 self.ends.add_word(token.decode("latin-1"), (len(token), rank))
         self.ends.make_automaton()
+        self.longest = max(map(len, self.ranks))
 
     def _merged(self, raw: bytes) -> list[int]:
         """Merges of the lowest rank first: of a token's or two tokens' bytes only."""
@@ -86,47 +89,38 @@ class PrefixCodec:
 
     def _follows(self, a: int, b: int) -> bool:
         """Whether the bytes of the two tokens together are encoded as just these two."""
-        key = a << 32 | b
-        known = self.pairs.get(key)
-        if known is None:
-            if len(self.pairs) >= PAIRS:
-                self.pairs.clear()
-            known = self.pairs[key] = self._merged(self.token[a] + self.token[b]) == [a, b]
-        return known
-
-    def extend(self, raw: bytes, last: array, widths: array) -> None:
+        if len(self.pairs) >= PAIRS:
+            self.pairs.clear()
+        fits = self.pairs[a << 32 | b] = self._merged(self.token[a] + self.token[b]) == [a, b]
+        return fits
+
+    def extend(self, raw: bytes, last: list, widths: list) -> None:
         """Fills the table of `raw` from where it ends: last[i] is the last token of the
         first i + 1 bytes, widths[i] its length."""
-        done, reach = len(last), max(0, len(last) - self.longest + 1)
-        at: dict[int, list] = {}
-        for end, found in self.ends.iter(raw[reach:].decode("latin-1")):
-            place = reach + end
-            if place < done:
+        done = len(last)
+        start = max(0, done - self.longest + 1)
+        pairs, follows = self.pairs, self._follows
+        # The tokens that end at a byte come together; each byte is a token, so one of them fits.
+        for end, (width, rank) in self.ends.iter(raw[start:].decode("latin-1")):
+            end += start
+            if end < done:
                 continue
-            at.setdefault(place, []).append(found)
-            if len(at) > 1:  # all that end at the byte before are known
-                self._settle(place - 1, at.pop(place - 1), last, widths)
-        for place in sorted(at):
-            self._settle(place, at[place], last, widths)
-
-    @property
-    def longest(self) -> int:
-        if not hasattr(self, "_longest"):
-            self._longest = max(map(len, self.ranks))
-        return self._longest
-
-    def _settle(self, place: int, found: list, last: array, widths: array) -> None:
-        for width, rank in found:
-            before = place - width
-            if before < 0 or self._follows(last[before], rank):
-                last.append(rank)
-                widths.append(width)
-                return
-        raise ValueError("the ranks do not encode every byte")
-
-    def ids_of(self, last: array, widths: array) -> array:
+            if end >= width:
+                before = last[end - width]
+                fits = pairs.get(before << 32 | rank)
+                if fits is None:
+                    fits = follows(before, rank)
+                if not fits:
+                    continue
+            last.append(rank)
+            widths.append(width)
+            done += 1
+        if done != len(raw):
+            raise ValueError("the ranks do not encode every byte")
+
+    def ids_of(self, last: list, widths: list) -> list[int]:
         """Reads the table backwards."""
-        out, at = array("I"), len(last) - 1
+        out, at = [], len(last) - 1
         while at >= 0:
             out.append(last[at])
             at -= widths[at]
@@ -138,9 +132,9 @@ class PrefixCodec:
         whole = self.ranks.get(raw)
         if whole is not None:
             return array("I", [whole]).tobytes()
-        last, widths = array("I"), array("H" if self.longest < 1 << 16 else "I")
+        last, widths = [], []
         self.extend(raw, last, widths)
-        return self.ids_of(last, widths).tobytes()
+        return array("I", self.ids_of(last, widths)).tobytes()
 
     def encoded(self, pieces: list[str]) -> bytes:
         """Ids of pre-tokens as little-endian 32-bit integers. A full cache becomes the
@@ -160,7 +154,11 @@ class PrefixCodec:
 
     def encode(self, text: str | None) -> Iterator[np.ndarray]:
         """The ids of a text in pieces, so that a long one is never held whole as lists."""
-        found = self.pattern.finditer(text or "")
+        if len(text or "") <= WHOLE:
+            if text:
+                yield np.frombuffer(self.encoded(self.pattern.findall(text)), "<u4")
+            return
+        found = self.pattern.finditer(text)
         while pieces := [m.group() for m in islice(found, BATCH)]:
             yield np.frombuffer(self.encoded(pieces), "<u4")
 
@@ -176,12 +174,12 @@ class PrefixTable:
     def __init__(self, codec: PrefixCodec, text: str = ""):
         self.codec, self.text, self.settled = codec, "", 0
         self.borders: list[int] = []
-        self.tables: list[tuple[bytes, array, array]] = []
+        self.tables: list[tuple[bytes, list, list]] = []
         self.append(text)
 
-    def _table(self, piece: str, base: tuple[bytes, array, array] | None) -> tuple[bytes, array, array]:
+    def _table(self, piece: str, base: tuple[bytes, list, list] | None) -> tuple[bytes, list, list]:
         raw = piece.encode("utf-8", "replace")
-        last, widths = array("I"), array("I")
+        last, widths = [], []
         if base is not None:  # the bytes that the old table has in common
             same, most = 0, min(len(raw), len(base[0]))
             while same < most and raw[same] == base[0][same]:
