@@ -240,7 +240,7 @@ def test_alignment_of_small_blocks_and_without_cuts(spark, monkeypatch):
     monkeypatch.setattr(alignment, "BLOCK", 50)
     check_alignment(spark, rows)
     assert alignment.align(spark.createDataFrame([], "doc_id long, text string")).collect() == []
-    monkeypatch.setattr(alignment.Pair, "segments", lambda self, text: [f" {text}"] if text else [])
+    monkeypatch.setattr(alignment.Pair, "segments", lambda self, text: [text] if text else [])
     check_alignment(spark, rows)
 
 
@@ -249,4 +249,4 @@ def test_cuts_are_proven():
     with open(a, encoding="utf-8") as f, open(b, "rb") as g:
         p = alignment.Pair(f.read(), g.read())
     assert p.proven
-    assert p.segments("a b  c\n d ") == [" a", " b", "  c\n d "] and p.segments(None) == p.segments("") == []
+    assert p.segments("a b  c\n d ") == ["a", "b", " c\n d "] and p.segments("a b") == ["a", "b"] and p.segments(None) == p.segments("") == []

@@ -8,9 +8,10 @@ ids and an equal alignment, so each distinct segment is tokenised and aligned on
 
 Documents are dealt to blocks of some MB of text. A block is written as its list of
 distinct segments and, per document, the numbers of its segments. So a frequent
-segment meets its alignment once a block, not once a place; the alignments come back
-to the block by a join, and documents are composed of them there. How many documents
-hold a linked id pair is counted in blocks, then over all blocks.
+segment is moved once a block, not once a place. A shuffle by segment brings the
+blocks' copies of it together; it is tokenised and aligned once there, and the
+alignment goes back to the blocks, where documents are composed of them. How many
+documents hold a linked id pair is counted in blocks, then over all blocks.
 """
 
 from __future__ import annotations
@@ -18,7 +19,6 @@ from __future__ import annotations
 import hashlib
 import os
 import re
-from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,12 +31,15 @@ from pyspark.sql import functions as F
 from vigilake.llm.bpe import _spread, byte_characters
 from vigilake.session import cut, ship
 
-#: Bytes of text of a block; a longer text is a block by itself.
-BLOCK = 6_000_000
+#: Characters of text of a block; a longer text is a block by itself.
+BLOCK = 16_000_000
 #: Segments tokenised at a time.
 BATCH = 5_000
 #: Before a run of white space that begins with a space and is not the text's last character.
 BORDER = re.compile(r"(?<=\S)(?= .)", re.S)
+#: A packed alignment begins with n_a, n_b, n_groups, n_links; n_a is 0 if a tokenizer does
+#: not give back the segment's bytes. The links follow, then the groups as text.
+HEADER = 4
 
 
 def default_paths() -> tuple[str, str]:
@@ -64,7 +67,11 @@ class Pair:
         self.a_bytes = {i: bytes(chars[c] for c in token) for token, i in parsed["model"]["vocab"].items() if i not in special} | special
         self.b = sentencepiece.SentencePieceProcessor(model_proto=model)
         self.b_bytes = [self._piece(i) for i in range(self.b.get_piece_size())]
-        self.a_size, self.b_size = {i: len(t) for i, t in self.a_bytes.items()}, [len(t) for t in self.b_bytes]
+        self.a_sizes = np.array([len(self.a_bytes.get(i, b"")) for i in range(max(self.a_bytes) + 1)])
+        self.b_sizes = np.array([len(t) for t in self.b_bytes])
+        narrow = max(len(self.a_sizes), len(self.b_sizes)) <= 1 << 16
+        #: A link is id of A << shift | id of B.
+        self.code, self.shift = ("<u4", 16) if narrow else ("<u8", 32)
         pre = parsed.get("pre_tokenizer") or {}
         plain = pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space") and not parsed.get("normalizer")
         over = re.compile(r"\S ")
@@ -79,38 +86,58 @@ class Pair:
         return bytes([int(piece[3:-1], 16)]) if self.b.is_byte(i) else piece.replace("▁", " ").encode()
 
     def segments(self, text: str | None) -> list[str]:
+        """The segments of space + text, each without its first character, a space."""
         if not text:
             return []
-        return BORDER.split(f" {text}") if self.proven else [f" {text}"]
-
-    def align(self, segments: list[str]) -> pd.DataFrame:
-        """Per segment: n_a, n_b, n_groups, its groups as text, its links (id of A * 2**32 +
-        id of B for each overlap), and whether both tokenizers give back its bytes."""
-        rows = []
-        of_a = [e.ids for e in self.a.encode_batch_fast(segments, add_special_tokens=False)]
-        of_b = self.b.encode([s[1:] for s in segments], num_threads=1)  # which adds the space that is left out
-        for segment, a, b in zip(segments, of_a, of_b, strict=True):
-            raw = segment.encode("utf-8", "replace")
-            if b"".join(map(self.a_bytes.__getitem__, a)) != raw or b"".join(map(self.b_bytes.__getitem__, b)) != raw:
-                rows.append((segment, 0, 0, 0, "", array("q"), False))
-                continue
-            links, groups, i, j, end_a, end_b, from_a, from_b = array("q"), [], 0, 0, 0, 0, 0, 0
-            if len(a) and len(b):
-                end_a, end_b = self.a_size[a[0]], self.b_size[b[0]]
-            while i < len(a) and j < len(b):
-                links.append(a[i] << 32 | b[j])
-                if end_a == end_b:
-                    groups.append(",".join(map(str, a[from_a : i + 1])) + "|" + ",".join(map(str, b[from_b : j + 1])))
-                    from_a, from_b = i + 1, j + 1
-                step_a, step_b = end_a <= end_b, end_b <= end_a
-                if step_a:
-                    i += 1
-                    end_a += self.a_size[a[i]] if i < len(a) else 0
-                if step_b:
-                    j += 1
-                    end_b += self.b_size[b[j]] if j < len(b) else 0
-            rows.append((segment, len(a), len(b), len(groups), ";".join(groups), links, True))
-        return pd.DataFrame(rows, columns=["seg", "n_a", "n_b", "n_groups", "groups", "links", "ok"])
+        if not self.proven:
+            return [text]
+        parts = text.split(" ")
+        if all(w and not w[-1].isspace() for w in set(parts[:-1])) and parts[-1]:
+            return parts  # no run of more than one white space character begins with a space
+        return [s[1:] for s in BORDER.split(f" {text}")]
+
+    def align(self, segments: list[str]) -> list[bytes]:
+        """The packed alignment of each segment. Segments that end in a plain character
+        are tokenised as one text, which by the proof comes to the same."""
+        out: list[bytes] = [b""] * len(segments)
+        alone = [i for i, s in enumerate(segments) if not self.proven or not s or s[-1].isspace() or "▁" in s]
+        apart = set(alone)
+        joined = [i for i in range(len(segments)) if i not in apart]
+        if joined and not self._pack(segments, joined, out):
+            alone += joined
+        for i in alone:
+            if not self._pack(segments, [i], out):
+                out[i] = np.zeros(HEADER, "<u4").tobytes()
+        return out
+
+    def _pack(self, segments: list[str], chosen: list[int], out: list[bytes]) -> bool:
+        """Tokenises and aligns the chosen segments as one text; False if their bytes do
+        not come back."""
+        text = "".join([" " + segments[i] for i in chosen])
+        raw = text.encode("utf-8", "replace")
+        ids_a = self.a.encode(text, add_special_tokens=False).ids
+        ids_b = self.b.encode(text[1:])  # which adds the space that is left out
+        if b"".join(map(self.a_bytes.__getitem__, ids_a)) != raw or b"".join(map(self.b_bytes.__getitem__, ids_b)) != raw:
+            return False
+        a, b = np.array(ids_a, np.int64), np.array(ids_b, np.int64)
+        ends_a, ends_b = np.cumsum(self.a_sizes[a]), np.cumsum(self.b_sizes[b])
+        ends = np.cumsum([1 + len(segments[i].encode("utf-8", "replace")) for i in chosen])
+        # Between two ends that follow each other lies the overlap of one pair of tokens.
+        points = np.union1d(ends_a, ends_b)
+        links = (a[np.searchsorted(ends_a, points)] << self.shift | b[np.searchsorted(ends_b, points)]).astype(self.code)
+        both = np.intersect1d(ends_a, ends_b, assume_unique=True)
+        upto_a, upto_b = np.searchsorted(ends_a, both, "right"), np.searchsorted(ends_b, both, "right")
+        text_a, text_b = list(map(str, ids_a)), list(map(str, ids_b))
+        i, j, groups = 0, 0, []
+        for x, y in zip(upto_a.tolist(), upto_b.tolist(), strict=True):
+            groups.append(f"{text_a[i]}|{text_b[j]}" if x == i + 1 and y == j + 1 else ",".join(text_a[i:x]) + "|" + ",".join(text_b[j:y]))
+            i, j = x, y
+        upto = [np.append(0, np.searchsorted(e, ends, "right")) for e in (ends_a, ends_b, both, points)]
+        head = np.stack([np.diff(u) for u in upto], axis=1).astype("<u4")
+        of_groups, of_links, codes = upto[2].tolist(), (upto[3] * links.itemsize).tolist(), links.tobytes()
+        for k, i in enumerate(chosen):
+            out[i] = head[k].tobytes() + codes[of_links[k] : of_links[k + 1]] + ";".join(groups[of_groups[k] : of_groups[k + 1]]).encode()
+        return True
 
 
 _PAIRS: dict[str, Pair] = {}
@@ -169,19 +196,23 @@ def blocked(docs: DataFrame, files) -> DataFrame:
     return cut(docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text").mapInPandas(run, BLOCKED), "blocks")
 
 
-ALIGNED = "seg string, n_a int, n_b int, n_groups int, groups string, links array<long>, ok boolean"
-
-
 def aligned_segments(segments: DataFrame, files) -> DataFrame:
-    """(seg), distinct -> its alignment."""
+    """(block, at, seg) -> (home, at, alignment): rows of one segment meet in one task, in
+    order, and are aligned together; there is a row for each block, however often it
+    holds the segment."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        p = pair(*files.value)
+        p, last, packed = pair(*files.value), None, b""
         for batch in batches:
-            for k in range(0, len(batch), BATCH):
-                yield p.align(batch["seg"].iloc[k : k + BATCH].tolist())
+            codes, distinct = pd.factorize(batch["seg"])
+            found = [packed] if len(distinct) and distinct[0] == last else []
+            for k in range(len(found), len(distinct), BATCH):
+                found += p.align(distinct[k : k + BATCH].tolist())
+            if len(distinct):
+                last, packed = distinct[-1], found[-1]
+            yield pd.DataFrame({"home": batch["block"], "at": batch["at"], "alignment": list(map(found.__getitem__, codes.tolist()))})
 
-    return segments.mapInPandas(run, ALIGNED)
+    return segments.repartition("seg").sortWithinPartitions("seg").mapInPandas(run, "home long, at int, alignment binary")
 
 
 COMPOSED_ARROW = pa.schema([("block", pa.int64()), ("doc_id", pa.string()), ("n_a", pa.int64()), ("n_b", pa.int64()), ("n_groups", pa.int64()),
@@ -209,13 +240,22 @@ def _rows(schema: pa.Schema, n: int, columns: dict) -> pa.Table:
     return pa.table([pa.array(columns[f.name], f.type) if f.name in columns else pa.nulls(n, f.type) for f in schema], schema=schema)
 
 
-def compose(block: int, docs: pa.Table, segs: pa.Table, with_groups: bool) -> pa.Table:
+def compose(block: int, docs: pa.Table, segs: pa.Table, code: str, with_groups: bool) -> pa.Table:
     """One block's documents from the alignments of its segments, and per id pair linked
     in it (numbered by `at`) how many of its documents hold it."""
-    segs = segs.sort_by("at")
-    groups, ok = segs["groups"].to_pylist(), segs["ok"].to_numpy()
-    counts = {c: segs[c].to_numpy().astype(np.int64) for c in ("n_a", "n_b", "n_groups")}
-    starts, sizes, flat = _lists(segs["links"])
+    order = np.argsort(segs["at"].to_numpy())
+    column = segs["alignment"].combine_chunks()
+    column = pa.concat_arrays(column.chunks) if isinstance(column, pa.ChunkedArray) else column
+    data, ends = np.frombuffer(column.buffers()[2] or b"", np.uint8), np.frombuffer(column.buffers()[1], np.int32, len(column) + 1, column.offset * 4)
+    begins, ends = ends[:-1][order].astype(np.int64), ends[1:][order].astype(np.int64)
+    head = data[begins[:, None] + np.arange(4 * HEADER)].view("<u4").astype(np.int64).reshape(-1, HEADER)
+    counts = {c: head[:, i] for i, c in enumerate(("n_a", "n_b", "n_groups"))}
+    ok, sizes, width = head[:, 0] > 0, head[:, 3], np.dtype(code).itemsize
+    inner = begins + 4 * HEADER
+    flat = data[_spread(inner, sizes * width)].view(code).astype(np.int64)
+    raw = data.data
+    groups = [bytes(raw[x:y]) for x, y in zip((inner + sizes * width).tolist(), ends.tolist(), strict=True)]
+    starts = np.cumsum(sizes) - sizes
     pairs, which = np.unique(flat, return_inverse=True)
     which, holding = which.astype(np.int32), np.zeros(len(pairs), np.int64)
     out: dict[str, list] = {c: [] for c in (*counts, "n_links", "groups_sha256", "links", "times")}
@@ -224,9 +264,9 @@ def compose(block: int, docs: pa.Table, segs: pa.Table, with_groups: bool) -> pa
     for start, size in zip(begin.tolist(), length.tolist(), strict=True):
         seq = all_seqs[start : start + size]
         good = bool(size) and bool(ok[seq].all())
-        text, found, times = "", none, none
+        text, found, times = b"", none, none
         if good:
-            text = ";".join(map(groups.__getitem__, seq.tolist()))
+            text = b";".join(map(groups.__getitem__, seq.tolist()))
             used, often = np.unique(seq, return_counts=True)
             found, back = np.unique(which[_spread(starts[used], sizes[used])], return_inverse=True)
             times = np.bincount(back, weights=np.repeat(often, sizes[used])).astype(np.int32)
@@ -234,11 +274,11 @@ def compose(block: int, docs: pa.Table, segs: pa.Table, with_groups: bool) -> pa
         for c, values in counts.items():
             out[c].append(int(values[seq].sum()) if good else 0)
         out["n_links"].append(int(times.sum()))
-        out["groups_sha256"].append(hashlib.sha256(text.encode()).hexdigest() if good else "")
+        out["groups_sha256"].append(hashlib.sha256(text).hexdigest() if good else "")
         out["links"].append(found)
         out["times"].append(times)
         if with_groups:
-            texts.append(text)
+            texts.append(text.decode())
     held, schema = np.flatnonzero(holding), COMPOSED_ARROW
     more = {"groups": texts} if with_groups else {}
     lists = {c: _lists_of(out.pop(c)) for c in ("links", "times")}
@@ -246,26 +286,39 @@ def compose(block: int, docs: pa.Table, segs: pa.Table, with_groups: bool) -> pa
     return pa.concat_tables([rows, _rows(schema, len(held), {"block": np.full(len(held), block), "at": held.astype(np.int32), "link": pairs[held], "documents": holding[held]})])
 
 
-def composed(docs: DataFrame, paths: tuple[str, str] | None, with_groups: bool) -> DataFrame:
+def settled(df: DataFrame, name: str) -> DataFrame:
+    """`cut`, whose shuffle files go once the table is written: what is shuffled here is
+    as large as the texts."""
+    conf, key = df.sparkSession.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = conf.get(key, "false")
+    conf.set(key, "true")
+    try:
+        return cut(df, name)
+    finally:
+        conf.set(key, before)
+
+
+def composed(docs: DataFrame, paths: tuple[str, str] | None, with_groups: bool) -> tuple[DataFrame, int]:
+    """Written rows of two kinds: of documents, with their id pairs by number, and of the
+    id pairs of each block; and how links are shifted."""
     files = _shared(docs, paths)
+    code, shift = pair(*files.value).code, pair(*files.value).shift
     rows = blocked(docs, files)
-    segments = rows.where("seg is not null").select("block", "at", "seg")
-    known = cut(aligned_segments(segments.select("seg").distinct(), files), "aligned")
-    back = segments.join(known, "seg").select(F.col("block").alias("home"), "at", "n_a", "n_b", "n_groups", "groups", "links", "ok")
+    back = aligned_segments(rows.where("seg is not null").select("block", "at", "seg"), files)
     own = rows.where("seq is not null").select("block", "doc_id", "seq")
 
     def run(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
-        return compose(key[0].as_py(), left, right, with_groups)
+        return compose(key[0].as_py(), left, right, code, with_groups)
 
-    return cut(own.groupBy("block").cogroup(back.groupBy("home")).applyInArrow(run, COMPOSED), "composed")
+    return settled(own.groupBy("block").cogroup(back.groupBy("home")).applyInArrow(run, COMPOSED), "composed"), shift
 
 
-def vocabulary_links(rows: DataFrame) -> DataFrame:
+def vocabulary_links(rows: DataFrame, shift: int) -> DataFrame:
     """Composed rows -> per linked id pair: link, a_id, b_id, documents, best (whether no
     pair of its A id is held by more documents). Written; a row for each pair."""
     summed = rows.where("link is not null").groupBy("link").agg(F.sum("documents").alias("documents"))
-    a, b = F.shiftright("link", 32), F.col("link").bitwiseAND(F.lit((1 << 32) - 1))
-    summed = cut(summed.select("link", a.cast("int").alias("a_id"), b.cast("int").alias("b_id"), "documents"), "links")
+    a, b = F.shiftright("link", shift), F.col("link").bitwiseAND(F.lit((1 << shift) - 1))
+    summed = settled(summed.select("link", a.cast("int").alias("a_id"), b.cast("int").alias("b_id"), "documents"), "links")
     most = summed.groupBy("a_id").agg(F.max("documents").alias("most"))
     return summed.join(most, "a_id").select("link", "a_id", "b_id", "documents", (F.col("documents") == F.col("most")).alias("best"))
 
@@ -273,7 +326,7 @@ def vocabulary_links(rows: DataFrame) -> DataFrame:
 def links(docs: DataFrame, paths: tuple[str, str] | None = None) -> DataFrame:
     """a_id, b_id, documents, best of every id pair that documents hold linked. Null and
     empty texts link nothing; repeated rows count each; an empty table has no pairs."""
-    return vocabulary_links(composed(docs, paths, False)).drop("link")
+    return vocabulary_links(*composed(docs, paths, False)).drop("link")
 
 
 def align(docs: DataFrame, paths: tuple[str, str] | None = None, with_groups: bool = False) -> DataFrame:
@@ -287,8 +340,8 @@ def align(docs: DataFrame, paths: tuple[str, str] | None = None, with_groups: bo
     segments, or the longest text.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
-    rows = composed(docs, paths, with_groups)
-    counted = vocabulary_links(rows)
+    rows, shift = composed(docs, paths, with_groups)
+    counted = vocabulary_links(rows, shift)
     back = rows.where("link is not null").select("block", "at", "link").join(counted.select("link", "documents", "best"), "link").select(
         F.col("block").alias("home"), "at", "documents", "best")
     own = rows.where("n_a is not null").select("block", "doc_id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256", "groups", "links", "times")
