@@ -19,7 +19,9 @@ from __future__ import annotations
 import hashlib
 import os
 import re
+import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -37,9 +39,11 @@ BLOCK = 16_000_000
 BATCH = 5_000
 #: Before a run of white space that begins with a space and is not the text's last character.
 BORDER = re.compile(r"(?<=\S)(?= .)", re.S)
-#: A packed alignment begins with n_a, n_b, n_groups, n_links; n_a is 0 if a tokenizer does
-#: not give back the segment's bytes. The links follow, then the groups as text.
-HEADER = 4
+#: Segments whose groups are written out at a time.
+TEXTS = 50_000
+#: What follows a token's id in the text of groups: a token of its side, the other side
+#: of its group, the next group.
+AFTER = np.frombuffer(b",|;", np.uint8)
 
 
 def default_paths() -> tuple[str, str]:
@@ -69,9 +73,8 @@ class Pair:
         self.b_bytes = [self._piece(i) for i in range(self.b.get_piece_size())]
         self.a_sizes = np.array([len(self.a_bytes.get(i, b"")) for i in range(max(self.a_bytes) + 1)])
         self.b_sizes = np.array([len(t) for t in self.b_bytes])
-        narrow = max(len(self.a_sizes), len(self.b_sizes)) <= 1 << 16
-        #: A link is id of A << shift | id of B.
-        self.code, self.shift = ("<u4", 16) if narrow else ("<u8", 32)
+        #: How ids are packed.
+        self.code = "<u2" if max(len(self.a_sizes), len(self.b_sizes)) <= 1 << 16 else "<u4"
         pre = parsed.get("pre_tokenizer") or {}
         plain = pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space") and not parsed.get("normalizer")
         over = re.compile(r"\S ")
@@ -97,8 +100,10 @@ class Pair:
         return [s[1:] for s in BORDER.split(f" {text}")]
 
     def align(self, segments: list[str]) -> list[bytes]:
-        """The packed alignment of each segment. Segments that end in a plain character
-        are tokenised as one text, which by the proof comes to the same."""
+        """The packed alignment of each segment: its ids in the order of its groups, those of
+        A first, then for each what follows it; nothing if a tokenizer does not give back
+        the segment's bytes. Segments that end in a plain character are tokenised as one
+        text, which by the proof comes to the same."""
         out: list[bytes] = [b""] * len(segments)
         alone = [i for i, s in enumerate(segments) if not self.proven or not s or s[-1].isspace() or "▁" in s]
         apart = set(alone)
@@ -106,8 +111,7 @@ class Pair:
         if joined and not self._pack(segments, joined, out):
             alone += joined
         for i in alone:
-            if not self._pack(segments, [i], out):
-                out[i] = np.zeros(HEADER, "<u4").tobytes()
+            self._pack(segments, [i], out)
         return out
 
     def _pack(self, segments: list[str], chosen: list[int], out: list[bytes]) -> bool:
@@ -122,21 +126,18 @@ class Pair:
         a, b = np.array(ids_a, np.int64), np.array(ids_b, np.int64)
         ends_a, ends_b = np.cumsum(self.a_sizes[a]), np.cumsum(self.b_sizes[b])
         ends = np.cumsum([1 + len(segments[i].encode("utf-8", "replace")) for i in chosen])
-        # Between two ends that follow each other lies the overlap of one pair of tokens.
-        points = np.union1d(ends_a, ends_b)
-        links = (a[np.searchsorted(ends_a, points)] << self.shift | b[np.searchsorted(ends_b, points)]).astype(self.code)
         both = np.intersect1d(ends_a, ends_b, assume_unique=True)
         upto_a, upto_b = np.searchsorted(ends_a, both, "right"), np.searchsorted(ends_b, both, "right")
-        text_a, text_b = list(map(str, ids_a)), list(map(str, ids_b))
-        i, j, groups = 0, 0, []
-        for x, y in zip(upto_a.tolist(), upto_b.tolist(), strict=True):
-            groups.append(f"{text_a[i]}|{text_b[j]}" if x == i + 1 and y == j + 1 else ",".join(text_a[i:x]) + "|" + ",".join(text_b[j:y]))
-            i, j = x, y
-        upto = [np.append(0, np.searchsorted(e, ends, "right")) for e in (ends_a, ends_b, both, points)]
-        head = np.stack([np.diff(u) for u in upto], axis=1).astype("<u4")
-        of_groups, of_links, codes = upto[2].tolist(), (upto[3] * links.itemsize).tolist(), links.tobytes()
+        at_a = np.arange(len(a)) + np.append(0, upto_b)[np.searchsorted(both, ends_a)]
+        at_b = np.arange(len(b)) + upto_a[np.searchsorted(both, ends_b)]
+        ids, after = np.empty(len(a) + len(b), self.code), np.zeros(len(a) + len(b), np.uint8)
+        ids[at_a], ids[at_b] = a, b
+        after[at_a[upto_a - 1]], after[at_b[upto_b - 1]] = 1, 2
+        own = np.searchsorted(both, ends)
+        upto = np.append(0, upto_a[own] + upto_b[own]).tolist()
+        ids, after, width = ids.tobytes(), after.tobytes(), ids.itemsize
         for k, i in enumerate(chosen):
-            out[i] = head[k].tobytes() + codes[of_links[k] : of_links[k + 1]] + ";".join(groups[of_groups[k] : of_groups[k + 1]]).encode()
+            out[i] = ids[width * upto[k] : width * upto[k + 1]] + after[upto[k] : upto[k + 1]]
         return True
 
 
@@ -160,7 +161,17 @@ def _shared(docs: DataFrame, paths: tuple[str, str] | None):
         return docs.sparkSession.sparkContext.broadcast((f.read(), g.read()))
 
 
-BLOCKED = "block long, doc_id string, at int, seg string, seq array<int>"
+BLOCKED = "block long, doc_id string, at int, seg string, seq binary"
+
+
+def _packed(numbers: np.ndarray) -> bytes:
+    """Numbers by planes of bytes, compressed: small ones are frequent."""
+    return zlib.compress(numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes(), 1)
+
+
+def _unpacked(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(zlib.decompress(data), np.uint8)
+    return np.ascontiguousarray(planes.reshape(4, -1).T).view("<u4").reshape(-1).astype(np.int64)
 
 
 def blocked(docs: DataFrame, files) -> DataFrame:
@@ -180,7 +191,7 @@ def blocked(docs: DataFrame, files) -> DataFrame:
                 for s in set(found).difference(numbers):
                     numbers[s] = len(numbers)
                 ids.append(doc_id)
-                seqs.append(np.fromiter(map(numbers.__getitem__, found), np.int32, len(found)))
+                seqs.append(_packed(np.fromiter(map(numbers.__getitem__, found), np.int64, len(found))))
                 size += len(text or "")
             yield from out(block, ids, seqs, {})
         yield from out(block, [], [], numbers)
@@ -240,33 +251,66 @@ def _rows(schema: pa.Schema, n: int, columns: dict) -> pa.Table:
     return pa.table([pa.array(columns[f.name], f.type) if f.name in columns else pa.nulls(n, f.type) for f in schema], schema=schema)
 
 
-def compose(block: int, docs: pa.Table, segs: pa.Table, code: str, with_groups: bool) -> pa.Table:
+@dataclass(frozen=True)
+class Sizes:
+    """Bytes of each entry of both vocabularies, and how ids are packed. A link is id of A
+    << 32 | id of B."""
+
+    a: np.ndarray
+    b: np.ndarray
+    code: str
+
+
+def _texts(ids: np.ndarray, after: np.ndarray, n_tokens: np.ndarray) -> list[bytes]:
+    """The groups of each segment as text, each with what follows it."""
+    most = int(ids.max()) + 1 if len(ids) else 1
+    words = [b"%d," % i for i in range(most)]
+    lengths = np.fromiter(map(len, words), np.int64, most)
+    table, offsets = np.frombuffer(b"".join(words), np.uint8), np.cumsum(lengths) - lengths
+    out, upto = [], np.append(0, np.cumsum(n_tokens))
+    for k in range(0, len(n_tokens), TEXTS):
+        one = upto[k : k + TEXTS + 1]
+        some = ids[one[0] : one[-1]]
+        ends = np.append(0, np.cumsum(lengths[some]))
+        flat = table[_spread(offsets[some], lengths[some])]
+        flat[ends[1:] - 1] = AFTER[after[one[0] : one[-1]]]
+        raw, cuts = flat.tobytes(), ends[one - one[0]].tolist()
+        out += [raw[x:y] for x, y in zip(cuts, cuts[1:], strict=False)]
+    return out
+
+
+def compose(block: int, docs: pa.Table, segs: pa.Table, sizes_of: Sizes, with_groups: bool) -> pa.Table:
     """One block's documents from the alignments of its segments, and per id pair linked
     in it (numbered by `at`) how many of its documents hold it."""
     order = np.argsort(segs["at"].to_numpy())
     column = segs["alignment"].combine_chunks()
     column = pa.concat_arrays(column.chunks) if isinstance(column, pa.ChunkedArray) else column
     data, ends = np.frombuffer(column.buffers()[2] or b"", np.uint8), np.frombuffer(column.buffers()[1], np.int32, len(column) + 1, column.offset * 4)
-    begins, ends = ends[:-1][order].astype(np.int64), ends[1:][order].astype(np.int64)
-    head = data[begins[:, None] + np.arange(4 * HEADER)].view("<u4").astype(np.int64).reshape(-1, HEADER)
-    counts = {c: head[:, i] for i, c in enumerate(("n_a", "n_b", "n_groups"))}
-    ok, sizes, width = head[:, 0] > 0, head[:, 3], np.dtype(code).itemsize
-    inner = begins + 4 * HEADER
-    flat = data[_spread(inner, sizes * width)].view(code).astype(np.int64)
-    raw = data.data
-    groups = [bytes(raw[x:y]) for x, y in zip((inner + sizes * width).tolist(), ends.tolist(), strict=True)]
+    begins, width = ends[:-1][order].astype(np.int64), np.dtype(sizes_of.code).itemsize
+    n_tokens = (ends[1:][order] - begins) // (width + 1)
+    ids = data[_spread(begins, n_tokens * width)].view(sizes_of.code).astype(np.int64)
+    after = data[_spread(begins + n_tokens * width, n_tokens)]
+    groups, of, n = _texts(ids, after, n_tokens), np.repeat(np.arange(len(n_tokens)), n_tokens), len(n_tokens)
+    of_b = np.cumsum(after == 1) - (after == 1) > np.cumsum(after == 2) - (after == 2)
+    a, b = ids[~of_b], ids[of_b]
+    per = lambda segments: np.bincount(segments, minlength=n)
+    counts = {"n_a": per(of[~of_b]), "n_b": per(of[of_b]), "n_groups": per(of[after == 2])}
+    # Between two ends that follow each other lies the overlap of one pair of tokens.
+    ends_a, ends_b = np.cumsum(sizes_of.a[a]), np.cumsum(sizes_of.b[b])
+    points = np.union1d(ends_a, ends_b)
+    of_a = np.searchsorted(ends_a, points)
+    ok, sizes = n_tokens > 0, per(of[~of_b][of_a])
     starts = np.cumsum(sizes) - sizes
-    pairs, which = np.unique(flat, return_inverse=True)
+    pairs, which = np.unique(a[of_a] << 32 | b[np.searchsorted(ends_b, points)], return_inverse=True)
     which, holding = which.astype(np.int32), np.zeros(len(pairs), np.int64)
     out: dict[str, list] = {c: [] for c in (*counts, "n_links", "groups_sha256", "links", "times")}
     texts, none = [], np.empty(0, np.int32)
-    begin, length, all_seqs = _lists(docs["seq"])
-    for start, size in zip(begin.tolist(), length.tolist(), strict=True):
-        seq = all_seqs[start : start + size]
+    for seq in map(_unpacked, docs["seq"].to_pylist()):
+        size = len(seq)
         good = bool(size) and bool(ok[seq].all())
         text, found, times = b"", none, none
         if good:
-            text = b";".join(map(groups.__getitem__, seq.tolist()))
+            text = b"".join(map(groups.__getitem__, seq.tolist()))[:-1]
             used, often = np.unique(seq, return_counts=True)
             found, back = np.unique(which[_spread(starts[used], sizes[used])], return_inverse=True)
             times = np.bincount(back, weights=np.repeat(often, sizes[used])).astype(np.int32)
@@ -298,26 +342,27 @@ def settled(df: DataFrame, name: str) -> DataFrame:
         conf.set(key, before)
 
 
-def composed(docs: DataFrame, paths: tuple[str, str] | None, with_groups: bool) -> tuple[DataFrame, int]:
+def composed(docs: DataFrame, paths: tuple[str, str] | None, with_groups: bool) -> DataFrame:
     """Written rows of two kinds: of documents, with their id pairs by number, and of the
-    id pairs of each block; and how links are shifted."""
+    id pairs of each block."""
     files = _shared(docs, paths)
-    code, shift = pair(*files.value).code, pair(*files.value).shift
+    own_pair = pair(*files.value)
+    sizes = docs.sparkSession.sparkContext.broadcast(Sizes(own_pair.a_sizes, own_pair.b_sizes, own_pair.code))
     rows = blocked(docs, files)
     back = aligned_segments(rows.where("seg is not null").select("block", "at", "seg"), files)
     own = rows.where("seq is not null").select("block", "doc_id", "seq")
 
     def run(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
-        return compose(key[0].as_py(), left, right, code, with_groups)
+        return compose(key[0].as_py(), left, right, sizes.value, with_groups)
 
-    return settled(own.groupBy("block").cogroup(back.groupBy("home")).applyInArrow(run, COMPOSED), "composed"), shift
+    return settled(own.groupBy("block").cogroup(back.groupBy("home")).applyInArrow(run, COMPOSED), "composed")
 
 
-def vocabulary_links(rows: DataFrame, shift: int) -> DataFrame:
+def vocabulary_links(rows: DataFrame) -> DataFrame:
     """Composed rows -> per linked id pair: link, a_id, b_id, documents, best (whether no
     pair of its A id is held by more documents). Written; a row for each pair."""
     summed = rows.where("link is not null").groupBy("link").agg(F.sum("documents").alias("documents"))
-    a, b = F.shiftright("link", shift), F.col("link").bitwiseAND(F.lit((1 << shift) - 1))
+    a, b = F.shiftright("link", 32), F.col("link").bitwiseAND(F.lit((1 << 32) - 1))
     summed = settled(summed.select("link", a.cast("int").alias("a_id"), b.cast("int").alias("b_id"), "documents"), "links")
     most = summed.groupBy("a_id").agg(F.max("documents").alias("most"))
     return summed.join(most, "a_id").select("link", "a_id", "b_id", "documents", (F.col("documents") == F.col("most")).alias("best"))
@@ -326,7 +371,7 @@ def vocabulary_links(rows: DataFrame, shift: int) -> DataFrame:
 def links(docs: DataFrame, paths: tuple[str, str] | None = None) -> DataFrame:
     """a_id, b_id, documents, best of every id pair that documents hold linked. Null and
     empty texts link nothing; repeated rows count each; an empty table has no pairs."""
-    return vocabulary_links(*composed(docs, paths, False)).drop("link")
+    return vocabulary_links(composed(docs, paths, False)).drop("link")
 
 
 def align(docs: DataFrame, paths: tuple[str, str] | None = None, with_groups: bool = False) -> DataFrame:
@@ -340,8 +385,8 @@ def align(docs: DataFrame, paths: tuple[str, str] | None = None, with_groups: bo
     segments, or the longest text.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
-    rows, shift = composed(docs, paths, with_groups)
-    counted = vocabulary_links(rows, shift)
+    rows = composed(docs, paths, with_groups)
+    counted = vocabulary_links(rows)
     back = rows.where("link is not null").select("block", "at", "link").join(counted.select("link", "documents", "best"), "link").select(
         F.col("block").alias("home"), "at", "documents", "best")
     own = rows.where("n_a is not null").select("block", "doc_id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256", "groups", "links", "times")
