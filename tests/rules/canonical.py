@@ -10,8 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vigilake.operators import canonical
-from vigilake.plans.base import query
-from vigilake.plans.fixtures import day, expected, fixture, values
+from rules.base import query
+from rules.fixtures import day, expected, fixture, values
 
 
 def _correlated(spark: SparkSession) -> canonical.Canonical:

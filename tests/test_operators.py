@@ -262,7 +262,7 @@ def test_feeds_of_odd_shapes(spark, tmp_path):
 
 def test_ingestion_by_small_pages(spark):
     """Pages of two over ties of time: every record once, then the overlap again."""
-    from vigilake.plans.fixtures import day
+    from rules.fixtures import day
     from vigilake.streaming import runs
 
     records = spark.createDataFrame([(str(i), "{}", day(i // 3)) for i in range(7)], "record_id string, payload string, modified_at timestamp_ntz")

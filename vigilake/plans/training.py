@@ -15,28 +15,10 @@ from vigilake.functions import policies, urls
 from vigilake.operators import dataset
 from vigilake.operators.order import running
 from vigilake.plans.base import query
-from vigilake.plans.fixtures import expected
 from vigilake.plans.url_dataset import canonical_pages
 from vigilake.session import scratch_path, table
 
 
-@query("registrable_domains", expected(
-    "host VARCHAR, group_key VARCHAR",
-    [
-        ("a.b.example.com", "example.com"), ("example.com", "example.com"), ("com", "com"), ("x.y.co.uk", "y.co.uk"), ("co.uk", "co.uk"),
-            ("a.b.c.ck", "b.c.ck"), ("b.c.ck", "b.c.ck"),
-        ("www.ck", "www.ck"), ("a.www.ck", "www.ck"), ("me.github.io", "me.github.io"), ("deep.me.github.io", "me.github.io"),
-            ("localhost", "localhost"), ("10.0.0.1", "10.0.0.1"), ("[2001:db8::1]", "[2001:db8::1]"),
-    ],
-))
-def registrable_domains(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Registrable domains by a public suffix list with wildcards, exceptions and private
-    rules (FN-16). The list is a parameter: any table of its lines."""
-    rules = spark.createDataFrame([(r,) for r in ("// comment", "com", "uk", "co.uk", "*.ck", "!www.ck", "io", "github.io", "")], "rule string")
-    hosts = "a.b.example.com example.com com x.y.co.uk co.uk a.b.c.ck b.c.ck www.ck a.www.ck me.github.io deep.me.github.io localhost 10.0.0.1 [2001:db8::1]".split()
-    return dataset.registrable_domains(spark.createDataFrame([(h,) for h in hosts], "host string"), rules)
-
-
 @query("candidate_pools", """WITH o AS (SELECT c_custkey AS v, c_nationkey % 2 AS snap, c_custkey % 150 AS rank FROM customer), t AS (SELECT DISTINCT o_custkey AS v, o_orderstatus
   AS source FROM orders WHERE o_orderstatus <> 'P' AND o_totalprice > 300000),
 k AS (SELECT v, count(*) AS n, min(source) AS pool FROM t GROUP BY v)
@@ -52,41 +34,6 @@ def candidate_pools(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dataset.candidate_pools(o, t, "1", max_rank=100)
 
 
-SNAPSHOT = "name string, version string, feature_set_version string, targets string"
-
-
-@query("ensured_snapshots", expected("name VARCHAR, version VARCHAR, status VARCHAR", [("urls", "1", "frozen"), ("urls", "2", "draft")]))
-def ensured_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A snapshot is made once; asked for again it must be the same (SNK-17)."""
-    stored = spark.createDataFrame([("urls", "1", "v1", "{}", "frozen")], SNAPSHOT + ", status string")
-    fields = ["feature_set_version", "targets"]
-    same, new = (spark.createDataFrame([("urls", v, "v1", "{}")], SNAPSHOT) for v in ("1", "2"))
-    return dataset.ensure_snapshot(dataset.ensure_snapshot(stored, same, fields), new, fields).select("name", "version", "status")
-
-
-def _persisted(spark: SparkSession) -> tuple[DataFrame, DataFrame, DataFrame]:
-    samples = spark.createDataFrame([("a", "benign"), ("b", "phishing")], "sample_id string, label string")
-    members = spark.createDataFrame([("s1", "a", "train")], "snapshot string, sample_id string, split string")
-    rows = [("s1", "a", "train", "benign"), ("s1", "b", "test", "malware"), ("s1", "c", "train", "benign"), ("s1", "c", "train", "benign"),
-        ("s1", "d", "train", "benign"), ("s1", "d", "test", "benign"), ("s1", "e", "train", "benign"), ("s1", "e", "train", "malware")]
-    batch = spark.createDataFrame(rows, "snapshot string, sample_id string, split string, label string")
-    return dataset.persisted_batch(samples, members, batch)
-
-
-@query("persisted_members", expected("sample_id VARCHAR, label VARCHAR, split VARCHAR", [("a", "benign", "train"), ("b", "phishing", None), ("c",
-    "benign", "train")]))
-def persisted_members(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Samples and members after a batch: new ones once, known ones unchanged (SNK-16)."""
-    samples, members, _ = _persisted(spark)
-    return dataset.one_to_one(samples, members.select("sample_id", "split"), ["sample_id"], "left")
-
-
-@query("member_conflicts", expected("sample_id VARCHAR, reason VARCHAR", [("b", "label_conflict"), ("d", "member_conflict"), ("e", "label_conflict")]))
-def member_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Samples whose label or split is contradicted (SNK-16)."""
-    return _persisted(spark)[2]
-
-
 @query("stored_keys",
     """SELECT DISTINCT l_partkey AS id, l_partkey IN (SELECT p_partkey FROM part WHERE p_size < 25) AS found FROM lineitem WHERE l_quantity >= 45""")
 def stored_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -148,7 +95,7 @@ def _classifier(spark: SparkSession, sf_dir: str):
     return model, path, manifest, rows
 
 
-@query("artifact_guard", expected("model VARCHAR, reasons VARCHAR", [("as saved", ""), ("another feature order", "features"), ("retrained", "sha256,classes")]))
+@query("artifact_guard", "SELECT * FROM (VALUES ('as saved', ''), ('another feature order', 'features'), ('retrained', 'sha256,classes')) AS v(model, reasons)")
 def artifact_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A saved model is used only with the hash, features and classes of its manifest
     (DS-07)."""
