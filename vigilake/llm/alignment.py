@@ -161,7 +161,7 @@ def _shared(docs: DataFrame, paths: tuple[str, str] | None):
         return docs.sparkSession.sparkContext.broadcast((f.read(), g.read()))
 
 
-BLOCKED = "block long, doc_id string, at int, seg string, seq binary"
+BLOCKED = "block long, doc_id string, seq binary, first int, segs array<string>"
 
 
 def _packed(numbers: np.ndarray) -> bytes:
@@ -176,7 +176,8 @@ def _unpacked(data: bytes) -> np.ndarray:
 
 def blocked(docs: DataFrame, files) -> DataFrame:
     """Written rows of two kinds: (block, doc_id, seq) of a document, whose segments are
-    the numbers in seq, and (block, at, seg) of the block's segment of number `at`."""
+    the numbers in seq, and (block, first, segs) of segments of the block, numbered from
+    `first` on."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         p, size = pair(*files.value), 0
@@ -198,11 +199,10 @@ def blocked(docs: DataFrame, files) -> DataFrame:
 
     def out(block: int, ids: list, seqs: list, numbers: dict) -> Iterator[pd.DataFrame]:
         for k in range(0, len(ids), 500):
-            yield pd.DataFrame({"block": block, "doc_id": ids[k : k + 500], "at": None, "seg": None, "seq": seqs[k : k + 500]}).astype({"at": "Int32"})
-        segs, at = list(numbers), 0
-        for at in range(0, len(segs), 20_000):
-            part = segs[at : at + 20_000]
-            yield pd.DataFrame({"block": block, "doc_id": None, "at": np.arange(at, at + len(part), dtype=np.int32), "seg": part, "seq": None}).astype({"at": "Int32"})
+            yield pd.DataFrame({"block": block, "doc_id": ids[k : k + 500], "seq": seqs[k : k + 500], "first": None, "segs": None}).astype({"first": "Int32"})
+        segs = list(numbers)
+        for k in range(0, len(segs), 2_000):
+            yield pd.DataFrame({"block": [block], "doc_id": [None], "seq": [None], "first": np.array([k], np.int32), "segs": [segs[k : k + 2_000]]})
 
     return cut(docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text").mapInPandas(run, BLOCKED), "blocks")
 
@@ -227,25 +227,12 @@ def aligned_segments(segments: DataFrame, files) -> DataFrame:
 
 
 COMPOSED_ARROW = pa.schema([("block", pa.int64()), ("doc_id", pa.string()), ("n_a", pa.int64()), ("n_b", pa.int64()), ("n_groups", pa.int64()),
-    ("n_links", pa.int64()), ("groups_sha256", pa.string()), ("groups", pa.string()), ("links", pa.list_(pa.int32())), ("times", pa.list_(pa.int32())),
+    ("n_links", pa.int64()), ("groups_sha256", pa.string()), ("groups", pa.string()), ("links", pa.binary()),
     ("at", pa.int32()), ("link", pa.int64()), ("documents", pa.int64())])
-COMPOSED = ("block long, doc_id string, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, groups string, links array<int>, times array<int>, "
+COMPOSED = ("block long, doc_id string, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, groups string, links binary, "
     "at int, link long, documents long")
 
 
-def _lists(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts, sizes and joined values of a column of lists."""
-    lists = column.combine_chunks()
-    lists = pa.concat_arrays(lists.chunks) if isinstance(lists, pa.ChunkedArray) else lists
-    ends = lists.offsets.to_numpy()
-    return ends[:-1] - ends[0], np.diff(ends), lists.flatten().to_numpy()
-
-
-def _lists_of(values: list[np.ndarray]) -> pa.ListArray:
-    ends = np.cumsum([0, *map(len, values)], dtype=np.int32)
-    return pa.ListArray.from_arrays(ends, np.concatenate([np.empty(0, np.int32), *values]))
-
-
 def _rows(schema: pa.Schema, n: int, columns: dict) -> pa.Table:
     """A table of the schema; columns that are not given are null."""
     return pa.table([pa.array(columns[f.name], f.type) if f.name in columns else pa.nulls(n, f.type) for f in schema], schema=schema)
@@ -288,9 +275,9 @@ def compose(block: int, docs: pa.Table, segs: pa.Table, sizes_of: Sizes, with_gr
     data, ends = np.frombuffer(column.buffers()[2] or b"", np.uint8), np.frombuffer(column.buffers()[1], np.int32, len(column) + 1, column.offset * 4)
     begins, width = ends[:-1][order].astype(np.int64), np.dtype(sizes_of.code).itemsize
     n_tokens = (ends[1:][order] - begins) // (width + 1)
-    ids = data[_spread(begins, n_tokens * width)].view(sizes_of.code).astype(np.int64)
+    ids = data[_spread(begins, n_tokens * width)].view(sizes_of.code)
     after = data[_spread(begins + n_tokens * width, n_tokens)]
-    groups, of, n = _texts(ids, after, n_tokens), np.repeat(np.arange(len(n_tokens)), n_tokens), len(n_tokens)
+    groups, of, n = _texts(ids, after, n_tokens), np.repeat(np.arange(len(n_tokens), dtype=np.int32), n_tokens), len(n_tokens)
     of_b = np.cumsum(after == 1) - (after == 1) > np.cumsum(after == 2) - (after == 2)
     a, b = ids[~of_b], ids[of_b]
     per = lambda segments: np.bincount(segments, minlength=n)
@@ -301,9 +288,9 @@ def compose(block: int, docs: pa.Table, segs: pa.Table, sizes_of: Sizes, with_gr
     of_a = np.searchsorted(ends_a, points)
     ok, sizes = n_tokens > 0, per(of[~of_b][of_a])
     starts = np.cumsum(sizes) - sizes
-    pairs, which = np.unique(a[of_a] << 32 | b[np.searchsorted(ends_b, points)], return_inverse=True)
+    pairs, which = np.unique(a[of_a].astype(np.int64) << 32 | b[np.searchsorted(ends_b, points)], return_inverse=True)
     which, holding = which.astype(np.int32), np.zeros(len(pairs), np.int64)
-    out: dict[str, list] = {c: [] for c in (*counts, "n_links", "groups_sha256", "links", "times")}
+    out: dict[str, list] = {c: [] for c in (*counts, "n_links", "groups_sha256", "links")}
     texts, none = [], np.empty(0, np.int32)
     for seq in map(_unpacked, docs["seq"].to_pylist()):
         size = len(seq)
@@ -319,14 +306,12 @@ def compose(block: int, docs: pa.Table, segs: pa.Table, sizes_of: Sizes, with_gr
             out[c].append(int(values[seq].sum()) if good else 0)
         out["n_links"].append(int(times.sum()))
         out["groups_sha256"].append(hashlib.sha256(text).hexdigest() if good else "")
-        out["links"].append(found)
-        out["times"].append(times)
+        out["links"].append(_packed(np.concatenate([np.diff(found, prepend=0), times - 1])) if good else b"")
         if with_groups:
             texts.append(text.decode())
     held, schema = np.flatnonzero(holding), COMPOSED_ARROW
     more = {"groups": texts} if with_groups else {}
-    lists = {c: _lists_of(out.pop(c)) for c in ("links", "times")}
-    rows = _rows(schema, len(docs), {"block": np.full(len(docs), block), "doc_id": docs["doc_id"].combine_chunks(), **out, **lists, **more})
+    rows = _rows(schema, len(docs), {"block": np.full(len(docs), block), "doc_id": docs["doc_id"].combine_chunks(), **out, **more})
     return pa.concat_tables([rows, _rows(schema, len(held), {"block": np.full(len(held), block), "at": held.astype(np.int32), "link": pairs[held], "documents": holding[held]})])
 
 
@@ -349,7 +334,8 @@ def composed(docs: DataFrame, paths: tuple[str, str] | None, with_groups: bool)
     own_pair = pair(*files.value)
     sizes = docs.sparkSession.sparkContext.broadcast(Sizes(own_pair.a_sizes, own_pair.b_sizes, own_pair.code))
     rows = blocked(docs, files)
-    back = aligned_segments(rows.where("seg is not null").select("block", "at", "seg"), files)
+    each = rows.where("segs is not null").select("block", "first", F.posexplode("segs").alias("n", "seg"))
+    back = aligned_segments(each.select("block", (F.col("first") + F.col("n")).alias("at"), "seg"), files)
     own = rows.where("seq is not null").select("block", "doc_id", "seq")
 
     def run(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
@@ -389,18 +375,23 @@ def align(docs: DataFrame, paths: tuple[str, str] | None = None, with_groups: bo
     counted = vocabulary_links(rows)
     back = rows.where("link is not null").select("block", "at", "link").join(counted.select("link", "documents", "best"), "link").select(
         F.col("block").alias("home"), "at", "documents", "best")
-    own = rows.where("n_a is not null").select("block", "doc_id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256", "groups", "links", "times")
+    own = rows.where("n_a is not null").select("block", "doc_id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256", "groups", "links")
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         at = right["at"].to_numpy()
         n = np.zeros(int(at.max()) + 1 if len(at) else 0, np.int64)
         best = np.zeros(len(n), np.int64)
         n[at], best[at] = right["documents"].to_numpy(), right["best"].to_numpy()
-        (starts, sizes, places), (_, _, times) = _lists(left["links"]), _lists(left["times"])
-        upto = lambda values: np.append(0, np.cumsum(values[places] * times))
-        of = lambda sums: sums[starts + sizes] - sums[starts]
-        left = left.drop_columns(["links", "times"])
-        return left.append_column("n_best", pa.array(of(upto(best)))).append_column("count_sum", pa.array(of(upto(n))))
+        sums: dict[str, list] = {"n_best": [], "count_sum": []}
+        for packed in left["links"].to_pylist():
+            places, times = np.split(_unpacked(packed), 2) if packed else (np.empty(0, np.int64), np.empty(0, np.int64))
+            places, times = np.cumsum(places), times + 1
+            sums["n_best"].append(int(times[best[places] > 0].sum()))
+            sums["count_sum"].append(int((n[places] * times).sum()))
+        left = left.drop_columns(["links"])
+        for name, values in sums.items():
+            left = left.append_column(name, pa.array(values, pa.int64()))
+        return left
 
     schema = "block long, doc_id string, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, groups string, n_best long, count_sum long"
     done = own.groupBy("block").cogroup(back.groupBy("home")).applyInArrow(run, schema)
