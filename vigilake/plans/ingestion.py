@@ -11,38 +11,67 @@ from vigilake.functions import nested, text
 from vigilake.operators import dataset, merge
 from vigilake.plans.base import query
 from vigilake.session import scratch_path, table
-from vigilake.sources import feeds
+from vigilake.sources import feeds, pages
 from vigilake.sources.feeds import payload_id
 from vigilake.streaming import runs
 
 
 #: Records of a page.
 PAGE = 2_500
+#: Records of a page of a source that fails.
+FAILING = 500
 
 
 def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as the records of a paged source; many share a modification time."""
     e = table(spark, sf_dir, "events")
-    return e.select(F.lpad(F.col("event_id").cast("string"), 6, "0").alias("record_id"), F.col("props").alias("payload"),
+    return e.select("event_id", F.col("event_id").cast("string").alias("record_id"), F.col("props").alias("payload"),
         F.date_trunc("day", "ts").cast("timestamp_ntz").alias("modified_at"))
 
 
+def _laid_out(records: DataFrame, name: str, size: int = PAGE) -> str:
+    path = scratch_path(records.sparkSession, name)
+    pages.lay_out(records, ["modified_at", "event_id"], size, path)
+    return path
+
+
 def _ingested(spark: SparkSession, sf_dir: str) -> tuple[runs.State, DataFrame, DataFrame]:
     """Two runs over a paged source: the second is asked from the mark less the overlap."""
-    path = scratch_path(spark, "payloads")
+    path, records = scratch_path(spark, "payloads"), _records(spark, sf_dir)
 
     def store(rows: DataFrame, batch: int) -> None:
         made = rows.withColumn("id", payload_id("events", F.col("record_id"), F.col("payload")))
         made.write.mode("append").parquet(path)
 
-    source = runs.pages(_records(spark, sf_dir), PAGE)
-    state, log = runs.ingest(spark, source, runs.State(), store, run_id=1)
-    state, more = runs.ingest(spark, source, state, store, run_id=2)
+    state, log = runs.ingest(spark, runs.pages(_laid_out(records, "first")), runs.State(), store, run_id=1)
+    asked = records.where(F.col("modified_at") >= F.lit(runs.since(state)).cast("timestamp_ntz"))
+    state, more = runs.ingest(spark, runs.pages(_laid_out(asked, "second")), state, store, run_id=2)
     return state, log.unionByName(more), spark.read.parquet(path)
 
 
-SOURCE_SQL = """r AS (SELECT lpad(CAST(event_id AS VARCHAR), 6, '0') AS record_id, props, date_trunc('day', ts) AS modified_at, row_number() OVER (ORDER BY
-  date_trunc('day', ts), lpad(CAST(event_id AS VARCHAR), 6, '0')) AS n, max(date_trunc('day', ts)) OVER () AS mark FROM events)"""
+SOURCE_SQL = """r AS (SELECT event_id AS record_id, props, date_trunc('day', ts) AS modified_at, row_number() OVER (ORDER BY date_trunc('day', ts), event_id) AS n,
+  max(date_trunc('day', ts)) OVER () AS mark FROM events)"""
+
+
+HALVES_SQL = f"""{SOURCE_SQL}, h AS (SELECT record_id, CASE WHEN record_id % 3 = 0 THEN 0 ELSE 1 END AS half, n FROM r),
+p AS (SELECT half, record_id, (row_number() OVER (PARTITION BY half ORDER BY n) - 1) // {PAGE // 10} AS page FROM h)"""
+
+
+@query("streamed_pages", f"WITH {HALVES_SQL} SELECT half, page, count(*) AS records, count(DISTINCT record_id) AS distinct_records FROM p GROUP BY half, page")
+def streamed_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A paged feed as a stream of a Python data source, drained, joined by more pages and
+    drained again: the checkpoint's cursor goes on, every record comes once (SRC-01,
+    SRC-03, STR-01, STR-06)."""
+    root, size, records = scratch_path(spark, "feed"), PAGE // 10, _records(spark, sf_dir)
+    first = 0
+    for half in (records.where("event_id % 3 = 0"), records.where("event_id % 3 <> 0")):
+        upto = pages.lay_out(half, ["modified_at", "event_id"], size, f"{root}/pages", first)
+        rows = pages.stream_pages(spark, f"{root}/pages").withColumn("half", F.lit(0 if first == 0 else 1)).withColumn("page", F.col("page") - first)
+        run = rows.writeStream.format("parquet").option("checkpointLocation", f"{root}/mark").trigger(availableNow=True).start(f"{root}/out")
+        run.awaitTermination()
+        first = upto
+    found = spark.read.parquet(f"{root}/out")
+    return found.groupBy("half", "page").agg(F.count("*").alias("records"), F.count_distinct("record_id").alias("distinct_records"))
 
 
 @query("ingestion_runs", f"""WITH {SOURCE_SQL}, b AS (SELECT CAST((n - 1) // {PAGE} AS INTEGER) AS batch, count(*) AS records FROM r GROUP BY 1)
@@ -61,6 +90,38 @@ def ingested_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("modified_at").agg(F.count("*").alias("n"))
 
 
+@query("failed_run", f"""SELECT v.* FROM (VALUES (0, 'running', CAST({FAILING} AS BIGINT), NULL, '1', 1, false),
+  (1, 'failed', CAST(0 AS BIGINT), 'ValueError: no answer from [redacted-url] token=***', '1', 1, false)) AS v(batch, status, records, error, cursor, attempts, complete)
+WHERE (SELECT count(*) FROM events) > {FAILING}""")
+def failed_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A source that fails on its second page: the run is failed, the cursor stays, the
+    text is redacted (STR-01, SNK-14, FN-37)."""
+    source = runs.pages(_laid_out(_records(spark, sf_dir), "failing", FAILING))
+
+    def failing(cursor: str | None, state: dict) -> runs.Fetch:
+        if cursor is not None:
+            raise ValueError("no answer from https://host/x?y token=abc")
+        return source(cursor, state)
+
+    state, log = runs.ingest(spark, failing, runs.State(), lambda rows, batch: None)
+    end = [F.lit(state.cursor).alias("cursor"), F.lit(state.attempts).alias("attempts"), F.lit(state.complete).alias("complete")]
+    return log.select("batch", "status", "records", "error", *end)
+
+
+@query("stuck_cursor", f"""WITH n AS (SELECT count(*) AS n, count(*) // {FAILING} AS last FROM events)
+SELECT CAST(i AS INTEGER) AS batch, CASE WHEN i = last THEN 'failed' ELSE 'running' END AS status, CAST(CASE WHEN i = last THEN 0 ELSE {FAILING} END AS BIGINT) AS records,
+  CASE WHEN i = last THEN 'StuckCursor: cursor ' || i || ' again' END AS error FROM (SELECT last, unnest(range(last + 1)) AS i FROM n WHERE n % {FAILING} = 0)""")
+def stuck_cursor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A source that gives its last cursor again and again ends the run (STR-06)."""
+    source = runs.pages(_laid_out(_records(spark, sf_dir), "stuck", FAILING))
+
+    def stuck(cursor: str | None, state: dict) -> runs.Fetch:
+        found = source(cursor, state)
+        return found if found.next_cursor else runs.Fetch(found.records, str(int(cursor or 0) + (not found.records.isEmpty())))
+
+    return runs.ingest(spark, stuck, runs.State(), lambda rows, batch: None)[1].select("batch", "status", "records", "error")
+
+
 @query("ingestion_state", f"WITH {SOURCE_SQL} SELECT CAST(NULL AS VARCHAR) AS cursor, max(mark) AS high_water_mark, 0 AS attempts, true AS complete FROM r")
 def ingestion_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The state that the next run starts from (SNK-14, SRC-04)."""
@@ -71,12 +132,12 @@ def ingestion_state(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("forecast_backfill", """WITH asked AS (SELECT DISTINCT p_partkey FROM part WHERE p_size < 10),
 known AS (SELECT p_partkey, p_size >= 5 AS canonical FROM part WHERE p_retailprice > 950), answers AS (SELECT p_partkey, p_retailprice FROM part WHERE p_brand <> 'Brand#11')
-SELECT 'CVE-2026-' || lpad(CAST(a.p_partkey AS VARCHAR), 6, '0') AS cve_id, p_retailprice AS score, CASE WHEN p_retailprice IS NULL THEN 'missing' ELSE 'found' END AS state
+SELECT 'CVE-2026-' || (a.p_partkey + 100000) AS cve_id, p_retailprice AS score, CASE WHEN p_retailprice IS NULL THEN 'missing' ELSE 'found' END AS state
 FROM asked a LEFT JOIN answers USING (p_partkey) WHERE NOT EXISTS (SELECT 1 FROM known k WHERE k.p_partkey = a.p_partkey AND k.canonical)""")
 def forecast_backfill(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Forecasts for identifiers that lack one, asked once each (STR-11)."""
     part = table(spark, sf_dir, "part")
-    cve = F.concat(F.lit("CVE-2026-"), F.lpad(F.col("p_partkey").cast("string"), 6, "0")).alias("cve_id")
+    cve = F.concat(F.lit("CVE-2026-"), (F.col("p_partkey") + 100_000).cast("string")).alias("cve_id")
     ids = part.where("p_size < 10").select(cve)
     known = part.where("p_retailprice > 950").select(cve, (F.col("p_size") >= 5).alias("canonical"))
     answers = part.where("p_brand <> 'Brand#11'").select(cve, F.col("p_retailprice").alias("score"))

@@ -64,10 +64,3 @@ def drain(stream: DataFrame, table_path: str, source: str, each: Callable[[DataF
 
     query = stream.writeStream.foreachBatch(one).option("checkpointLocation", f"{table_path}/checkpoint").trigger(availableNow=True).start()
     query.awaitTermination()
-
-
-def latest_inventory(stream: DataFrame) -> DataFrame:
-    """Per machine the newest inventory of a stream; an older one never replaces it
-    (STR-07): max_by in a streaming aggregation."""
-    return stream.groupBy("machine_uid").agg(F.max_by("inventory_id", F.struct("collected_at", "inventory_id")).alias("inventory_id"),
-        F.max("collected_at").alias("collected_at"))

@@ -8,13 +8,15 @@ are tables; each function gives the rows that a run adds or the new state.
 from __future__ import annotations
 
 import datetime as dt
+import itertools
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vigilake.functions.text import log_summary
+from vigilake.sources.pages import pages_of
 
 #: How far behind its high-water mark a source is asked again.
 OVERLAP = dt.timedelta(minutes=5)
@@ -78,14 +80,19 @@ def advanced(state: State, fetch: Fetch, latest: dt.datetime | None) -> State:
 
 
 def ingest(
-    spark: SparkSession, connector: Connector, state: State, store: Callable[[DataFrame, int], None], run_id: int = 1, max_batches: int = 1_000
+    spark: SparkSession, connector: Connector, state: State, store: Callable[[DataFrame, int], None], run_id: int = 1, max_batches: int | None = None
 ) -> tuple[State, DataFrame]:
-    """Drain a source (STR-01, STR-06): fetch, store, advance, until it is complete or
-    `max_batches` are done. A batch that fails ends the run as failed and leaves the
-    state of the batch before it, with one more attempt; nothing is fetched inside a
+    """Drain a source (STR-01, STR-06): fetch, store, advance, until it is complete. A
+    run that is to stop after `max_batches` says so: its last batch is `incomplete`, and
+    the state goes on from there. A batch that fails ends the run as failed and leaves
+    the state of the batch before it, with one more attempt; nothing is fetched inside a
     write. Returns the state and the log of the run."""
     log: list[tuple] = []
-    for batch in range(max_batches):
+    for batch in itertools.count():
+        if max_batches is not None and batch >= max_batches:
+            if log:
+                log[-1] = (*log[-1][:4], "incomplete", *log[-1][5:])
+            break
         cursor = state.cursor
         try:
             fetch = connector(cursor, {"since": since(state), "candidate_mark": state.candidate_mark})
@@ -143,19 +150,19 @@ def recovered(payloads: DataFrame, leased_before: Column, max_attempts: int) ->
     return payloads.withColumns({"status": F.when(stale, again).otherwise(F.col("status")), "leased_at": F.when(~stale, F.col("leased_at"))})
 
 
-def pages(folder: DataFrame, size: int) -> Connector:
-    """A paged source over stored records (record_id, payload, modified_at), ordered by
-    modification and id; the cursor is the last pair given (SRC-03, SRC-04)."""
+def pages(path: str) -> Connector:
+    """A paged source over a folder of pages as `sources.pages.lay_out` leaves it; the
+    cursor is the number of the page to read next (SRC-03, SRC-04). A fetch reads its
+    page only."""
 
     def fetch(cursor: str | None, state: dict) -> Fetch:
-        rows = folder if state.get("since") is None else folder.where(F.col("modified_at") >= F.lit(state["since"]).cast("timestamp_ntz"))
-        if cursor is not None:
-            at, record = cursor.split("|")
-            rows = rows.where(F.struct("modified_at", "record_id") > F.struct(F.lit(at).cast("timestamp_ntz").alias("modified_at"),
-                F.lit(record).alias("record_id")))
-        page = rows.orderBy("modified_at", "record_id").limit(size)
-        last = page.withColumn("n", F.row_number().over(Window.orderBy(F.desc("modified_at"), F.desc("record_id")))).where("n = 1").first()  # of one page
-        more = last is not None and rows.limit(size + 1).count() > size
-        return Fetch(page, f"{last['modified_at']}|{last['record_id']}" if more else None, {"pagination_complete": not more})
+        numbers = pages_of(path)
+        at = 0 if cursor is None else int(cursor)
+        spark = SparkSession.getActiveSession()
+        if at not in numbers:
+            return Fetch(spark.createDataFrame([], "record_id string, payload string, modified_at timestamp_ntz"), None, {"pagination_complete": True})
+        page = spark.read.schema("place long, record_id string, payload string, modified_at timestamp_ntz").parquet(f"{path}/page={at}").drop("place")
+        more = at + 1 in numbers
+        return Fetch(page, str(at + 1) if more else None, {"pagination_complete": not more})
 
     return fetch
