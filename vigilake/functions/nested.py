@@ -12,6 +12,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: How much of a nested value is looked at.
 MOST_NODES, MOST_LOCATIONS, MOST_LENGTH = 4_000, 1_000, 4_096
 #: Keys of an object that may hold a location.
 KEYS = ("url", "path", "location")

@@ -4,9 +4,15 @@ saved model.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import add
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from vigilake.operators.order import running
+from vigilake.session import cut
+
 MAX_RANK = 100_000
 
 
@@ -103,6 +109,59 @@ def persisted_batch(samples: DataFrame, members: DataFrame, batch: DataFrame) ->
     return samples.unionByName(new), members.unionByName(rows), conflicts
 
 
+#: Groups of more than this share of all rows are placed one by one: so there are fewer of them.
+LARGE_GROUPS = 2_000
+
+
+def _passed(at: Column, marks: list[float]) -> Column:
+    """How many of the marks a place has passed."""
+    return reduce(add, [F.when(at >= m, 1).otherwise(0) for m in marks], F.lit(0))
+
+
+def stratified_folds(rows: DataFrame, group: str, label: str, folds: int = 5) -> DataFrame:
+    """(group, fold): whole groups dealt so that each fold has its share of every class
+    (DS-04).
+
+    Groups with more than 1 / LARGE_GROUPS of the rows, fewer than LARGE_GROUPS however
+    many rows there are, are placed one by one, the largest first, where the shares of
+    the classes stay most even; a tie goes to the first fold. The others are too small
+    to matter singly: those of one main class, in the order of a hash, fill the folds one
+    after another by what each still lacks of that class. Rows with a null in either
+    column are left out; an empty table has no groups.
+    """
+    counts = rows.where(F.col(group).isNotNull() & F.col(label).isNotNull()).groupBy(group, label).agg(F.count("*").alias("n"))
+    counts = cut(counts, "histograms")
+    totals = {r[label]: r["t"] for r in counts.groupBy(label).agg(F.sum("n").alias("t")).orderBy(label).collect()}  # a row per class
+    labels, every = list(totals), sum(totals.values())
+    main = F.max_by(label, F.struct("n", F.lit(0) - F.array_position(F.array(*map(F.lit, labels)), F.col(label)))) if labels else F.max(label)
+    sized = counts.groupBy(group).agg(F.sum("n").alias("size"), main.alias("main"), F.map_from_entries(F.collect_list(F.struct(label, "n"))).alias("h"))
+    sized = cut(sized, "groups")
+    spark, kind = rows.sparkSession, rows.schema[group].dataType.simpleString()
+    large = sized.where(F.col("size") * LARGE_GROUPS > every).orderBy(F.desc("size"), group).collect()
+    held = [[0] * len(labels) for _ in range(folds)]
+    placed = []
+    for r in large:
+        n = [r["h"].get(c, 0) for c in labels]
+        # What the sum of squared shares grows by.
+        cost = [reduce(add, [x * (2 * y + x) / (totals[c] * totals[c]) for x, y, c in zip(n, fold, labels, strict=True)]) for fold in held]
+        best = cost.index(min(cost))
+        held[best] = [x + y for x, y in zip(n, held[best], strict=True)]
+        placed.append((r[group], best))
+    small = sized.where(F.col("size") * LARGE_GROUPS <= every).select(group, "main", F.md5(F.col(group).cast("string").cast("binary")).alias("hash_"), "size")
+    summed = cut(running(small, ["main", "hash_", group], {"before": "size"}), "summed")
+    strata = {r["main"]: r for r in summed.groupBy("main").agg(F.min("before").alias("first"), F.sum("size").alias("rows")).collect()}  # a row per class
+    fold = F.lit(0)
+    for i, c in enumerate(labels):
+        if c in strata:
+            lacks = [max(totals[c] / folds - f[i], 0) for f in held]
+            lacks = lacks if sum(lacks) > 0 else [1] * folds
+            upto = [strata[c]["rows"] * reduce(add, lacks[: k + 1]) / reduce(add, lacks) for k in range(folds - 1)]
+            at = F.col("before") - strata[c]["first"]
+            fold = F.when(F.col("main") == c, _passed(at, upto)).otherwise(fold)
+    dealt = summed.select(group, fold.cast("int").alias("fold"))
+    return dealt.unionByName(spark.createDataFrame(placed, f"`{group}` {kind}, fold int"))
+
+
 def artifact_hash(spark: SparkSession, path: str) -> str:
     """One hash of all files of a saved model, by their names and contents."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)

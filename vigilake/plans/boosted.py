@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vigilake.functions import policies, urls
-from vigilake.operators import boosting
+from vigilake.operators import boosting, dataset
 from vigilake.plans.base import query
 from vigilake.plans.pipelines import N_FOLDS
 from vigilake.plans.url_dataset import canonical_pages
@@ -83,10 +83,10 @@ def scored_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(page_id, host, fold, label, probabilities, prediction) of every page, predicted by
     boosted trees that saw no page of its host: 13 features, balanced weights."""
     pages = canonical_pages(spark, sf_dir)
-    fold = F.pmod(F.xxhash64("host"), F.lit(N_FOLDS)).cast("int")
-    rows = pages.select("page_id", "host", fold.alias("fold"), _class_of(F.col("canonical_url")).alias("label"), *urls.features(F.col("canonical_url")))
-    names = [c for c in rows.columns if c not in ("page_id", "host", "fold", "label")]
+    rows = pages.select("page_id", "host", _class_of(F.col("canonical_url")).alias("label"), *urls.features(F.col("canonical_url")))
+    names = [c for c in rows.columns if c not in ("page_id", "host", "label")]
     rows = cut(rows, "features")
+    rows = cut(rows.join(dataset.stratified_folds(rows, "host", "label", N_FOLDS), "host"), "folds")
     scored = boosting.out_of_fold(rows, names, N_FOLDS, len(CLASSES), boosting.Settings(rounds=8))
     return scored.select("page_id", "host", "fold", "label", "probabilities", "prediction")
 

@@ -14,14 +14,15 @@ from vigilake.session import table
 #: Weaknesses dealt over exposures: those that raise a priority, and neighbours that do not.
 DEALT = (*policies.TOP_WEAKNESSES, "CWE-1", "CWE-2", "CWE-23", "CWE-80", "CWE-119", "CWE-190", "CWE-269", "CWE-287", "CWE-400", "CWE-798", "CWE-1000",
     "CWE-7870")
-RAISING = "20 22 77 78 79 89 94 120 121 122 125 200 284 306 352 416 434 476 502 639 770 787 862 863 918"
+#: The same in SQL.
+RAISING = ", ".join(f"'{w}'" for w in policies.TOP_WEAKNESSES)
 
 
 @query("priority_policy", f"""SELECT l_orderkey, l_linenumber, CASE WHEN l_linestatus = 'F' AND l_returnflag = 'R' THEN 'CRITICAL' ELSE
   (['NONE', 'LOW', 'MEDIUM', 'HIGH', 'CRITICAL'])[1 + CASE WHEN w THEN greatest(once, least(once + 1, 3)) ELSE once END] END AS priority FROM (
   SELECT *, least(base + CASE WHEN pct >= 0.90 OR l_tax >= 0.04 THEN 1 ELSE 0 END, 4) AS once FROM (
     SELECT *, CASE WHEN l_quantity >= 45 THEN 4 WHEN l_quantity >= 30 THEN 3 WHEN l_quantity >= 15 THEN 2 ELSE 1 END AS base, l_discount * 10 AS pct,
-      list_contains(string_split('{RAISING}', ' '), replace(([{", ".join(f"'{w}'" for w in DEALT)}])[1 + l_partkey % {len(DEALT)}], 'CWE-', '')) AS w
+      list_contains([{RAISING}], ([{", ".join(f"'{w}'" for w in DEALT)}])[1 + l_partkey % {len(DEALT)}]) AS w
         FROM lineitem))""")
 def priority_policy(spark: SparkSession, sf_dir: str) -> DataFrame:
     """FN-31 over every exposure: severity from the quantity, the forecast from

@@ -128,3 +128,26 @@ def catalog_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     batch = table(spark, sf_dir, "lineitem").where("l_quantity >= 47").select(F.col("l_partkey").alias("cwe_id"), F.concat(F.lit("line "), F.col("l_linenumber").cast("string")).alias("name"),
         F.lit("4.2").alias("version"))
     return merge.upsert(stored, batch, ["cwe_id"])
+
+
+FOLDS = 5
+PRIORITIES = ("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW")
+_COUNTS = ", ".join(f"count(*) FILTER (o_orderpriority = '{p}')" for p in PRIORITIES)
+STRATIFIED = f"""g AS (SELECT o_custkey AS k, count(*) AS n, [{_COUNTS}] AS h FROM orders GROUP BY 1),
+t AS (SELECT sum(n) AS n, [{", ".join(f"sum(h[{i}])" for i in range(1, 6))}]::DOUBLE[] AS t FROM g),
+large AS (SELECT k, h, row_number() OVER (ORDER BY g.n DESC, k) AS i FROM g, t WHERE g.n * {dataset.LARGE_GROUPS} > t.n),
+walk(i, k, fold, f) AS (SELECT CAST(0 AS BIGINT), CAST(NULL AS BIGINT), CAST(NULL AS BIGINT), list_transform(range({5 * FOLDS}), lambda x: CAST(0 AS BIGINT))
+  UNION ALL SELECT i, k, fold, list_transform(range(1, {5 * FOLDS + 1}), lambda x: f[x] + CASE WHEN (x - 1) // 5 = fold THEN h[(x - 1) % 5 + 1] ELSE 0 END)
+  FROM (SELECT i, k, h, f, list_position(costs, list_min(costs)) - 1 AS fold FROM (SELECT l.i, l.k, l.h, w.f, list_transform(range({FOLDS}), lambda j:
+    list_sum(list_transform(range(1, 6), lambda c: l.h[c] * (2 * w.f[j * 5 + c] + l.h[c]) / (t.t[c] * t.t[c])))) AS costs FROM walk w JOIN large l ON l.i = w.i + 1, t))),
+small AS (SELECT k, g.n, list_position(h, list_max(h)) AS c, md5(CAST(k AS VARCHAR)) AS hash FROM g, t WHERE g.n * {dataset.LARGE_GROUPS} <= t.n),
+summed AS (SELECT k, c, coalesce(sum(n) OVER (PARTITION BY c ORDER BY hash, k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before, sum(n) OVER (PARTITION BY c) AS size FROM small),
+lacks AS (SELECT c, list_transform(range({FOLDS}), lambda j: greatest(t.t[c] / {FOLDS} - f[j * 5 + c], 0)) AS d FROM (SELECT f FROM walk ORDER BY i DESC LIMIT 1), t, (SELECT unnest(range(1, 6)) AS c)),
+shares AS (SELECT c, CASE WHEN list_sum(d) > 0 THEN d ELSE [1.0, 1.0, 1.0, 1.0, 1.0] END AS d FROM lacks)"""
+
+
+@query("stratified_folds", f"""WITH RECURSIVE {STRATIFIED} SELECT k AS o_custkey, CAST(fold AS INTEGER) AS fold FROM walk WHERE i > 0
+UNION ALL SELECT k, CAST(len(list_filter(range(1, {FOLDS}), lambda j: before >= size * list_sum(d[:j]) / list_sum(d))) AS INTEGER) FROM summed JOIN shares USING (c)""")
+def stratified_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Machines dealt whole to folds that each have their share of every class (DS-04)."""
+    return dataset.stratified_folds(table(spark, sf_dir, "orders"), "o_custkey", "o_orderpriority", FOLDS)
