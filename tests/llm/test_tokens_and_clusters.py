@@ -10,7 +10,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from vigilake.llm import alignment, byte_bpe, centroids
+from vigilake.llm import alignment, byte_bpe, centroids, near_dup
 
 SF = "/root/testdata/sf0.01"
 ODD = ["", " ", "  ", "a ", "x  \n y", "\n\n a\t b  ", "don't we'll 'tis '", "ﬁ½ 漢字かな  z", "a▁b c", "<|endoftext|> <s> </s>", "\x00\x1c\x85\xa0 　q", "é é 👩‍👩‍👧 ",
@@ -250,3 +250,23 @@ def test_cuts_are_proven():
         p = alignment.Pair(f.read(), g.read())
     assert p.proven
     assert p.segments("a b  c\n d ") == ["a", "b", " c\n d "] and p.segments("a b") == ["a", "b"] and p.segments(None) == p.segments("") == []
+
+
+def test_banded_alignment_equals_table():
+    """Against the whole table of the dynamic programme, with matches outside the band left out."""
+    rng = random.Random(6)
+    for _ in range(400):
+        kinds = rng.choice([1, 2, 4, 30])
+        a, b = ([rng.randrange(kinds) for _ in range(rng.randrange(40))] for _ in "ab")
+        if rng.random() < 0.5:
+            b = [x for x in a if rng.random() < 0.9]
+        band = rng.choice([0, 1, 3, 10, 50])
+        table = [[0] * (len(a) + 1) for _ in range(len(b) + 1)]
+        for j, y in enumerate(b):
+            for i, x in enumerate(a):
+                table[j + 1][i + 1] = max(table[j][i + 1], table[j + 1][i], table[j][i] + 1 if x == y and abs(i - j) <= band else 0)
+        got = near_dup.common(np.array(a, np.uint64), np.array(b, np.uint64), band)
+        head = next((k for k, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))
+        if head == 0 and (not a or not b or a[-1] != b[-1]):
+            assert got == table[len(b)][len(a)], (a, b, band)
+        assert got >= table[len(b)][len(a)]  # common ends are aligned first: never worse

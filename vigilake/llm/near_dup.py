@@ -127,7 +127,9 @@ def aligned(a: np.ndarray, b: np.ndarray, band: int) -> tuple[int, int]:
 
 def common(a: np.ndarray, b: np.ndarray, band: int) -> int:
     """Longest common subsequence of sequences with repeats over matches at most `band`
-    apart, by bit-parallel dynamic programming (a row of the table is one integer)."""
+    apart, by bit-parallel dynamic programming: a row of the table is one integer of the
+    2 * band + 1 places around the diagonal, which slides along with it. Places behind
+    it cannot change any more and are counted as they leave."""
     n = min(len(a), len(b))
     differ = np.flatnonzero(a[:n] != b[:n])
     head = int(differ[0]) if len(differ) else n
@@ -136,17 +138,30 @@ def common(a: np.ndarray, b: np.ndarray, band: int) -> int:
     differ = np.flatnonzero(a[len(a) - n :][::-1] != b[len(b) - n :][::-1])
     tail = int(differ[0]) if len(differ) else n
     a, b = a[: len(a) - tail].tolist(), b[: len(b) - tail].tolist()
-    places: dict[int, int] = {}
+    places: dict[int, list[int]] = {}
     for i, x in enumerate(a):
-        places[x] = places.get(x, 0) | 1 << i
-    ones, width = (1 << len(a)) - 1, (1 << 2 * band + 1) - 1
-    row = ones
+        places.setdefault(x, []).append(i)
+    # Of each value: its places in the window as bits, the window's start then, places seen.
+    near = {x: [0, -band, 0] for x in places}
+    ones = (1 << 2 * band + 1) - 1
+    top, row, left = 1 << 2 * band, ones, 0
     for j, y in enumerate(b):
-        match = places.get(y, 0) & (width << j >> band)
-        if match:
-            u = row & match
-            row = ((row + u) | (row - u)) & ones
-    return head + tail + len(a) - row.bit_count()
+        seen = near.get(y)
+        if seen is not None:
+            bits, start, known = seen
+            bits >>= j - band - start
+            own = places[y]
+            while known < len(own) and own[known] <= j + band:
+                if own[known] >= j - band:
+                    bits |= 1 << own[known] - (j - band)
+                known += 1
+            seen[:] = bits, j - band, known
+            u = row & bits
+            if u:
+                row = ((row + u) | (row - u)) & ones
+        left += not row & 1
+        row = row >> 1 | top
+    return head + tail + left + 2 * band + 1 - row.bit_count()
 
 
 def similarity(a: np.ndarray, b: np.ndarray, least: float = SIMILARITY) -> float:
