@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vigilake.functions import policies, urls
-from vigilake.operators import boosting, dataset
+from vigilake.operators import boosting, dataset, selection
 from vigilake.plans.base import query
 from vigilake.plans.pipelines import N_FOLDS
 from vigilake.plans.url_dataset import canonical_pages
@@ -110,3 +110,26 @@ def url_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = _name("prediction")
     return scored_pages(spark, sf_dir).select("page_id", found.alias("threat_class"), policies.verdict(found).alias("verdict"),
         F.round(F.get("probabilities", F.col("prediction")), 6).alias("confidence"))
+
+
+@query("feature_elimination")
+def feature_elimination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which URL features can go: the path of a backward elimination, scored out of fold
+    (AGG-30)."""
+    pages = canonical_pages(spark, sf_dir)
+    rows = pages.select("host", _class_of(F.col("canonical_url")).alias("label"), *urls.features(F.col("canonical_url")))
+    names = [c for c in rows.columns if c not in ("host", "label")]
+    rows = cut(rows, "features")
+    rows = rows.join(dataset.stratified_folds(rows, "host", "label", N_FOLDS), "host").drop("host")
+    path = selection.eliminated(rows, names)
+    return spark.createDataFrame([(n, s.removed, len(s.kept), round(s.score, 6)) for n, s in enumerate(path)], "step int, removed string, n_kept int, accuracy double")
+
+
+@query("feature_ablation")
+def feature_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How much each numeric column of an exposure says of its state: the score without
+    it, in folds of suppliers (AGG-30)."""
+    names = ["l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_linenumber"]
+    rows = table(spark, sf_dir, "lineitem").select(*names, F.col("l_returnflag").alias("label"), (F.col("l_suppkey") % 5).alias("fold"))
+    found = selection.ablation(rows, names)
+    return spark.createDataFrame([(n or "none", round(score, 6)) for n, score in found.items()], "without string, accuracy double")

@@ -111,12 +111,19 @@ SELECT component_type, ecosystem, os_name, count(DISTINCT machine_id) AS n_machi
 FROM components JOIN machines USING (machine_id) LEFT JOIN exposures USING (component_id) GROUP BY component_type, ecosystem, os_name""")
 def software_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Grouped by nullable columns, with exposures of components that have any (AGG-05)."""
-    rows = components(spark, sf_dir).join(machines(spark, sf_dir), "machine_id").join(exposures(spark, sf_dir), "component_id", "left")
-    return rows.groupBy("component_type", "ecosystem", "os_name").agg(
-        F.count_distinct("machine_id").alias("n_machines"), F.count_distinct("component_id").alias("n_components"),
-            F.count_distinct("vulnerability_id").alias("n_vulnerabilities"),
-        F.count_if(F.col("priority") == "CRITICAL").alias("n_critical"), F.max("seen_at").alias("last_seen_at"),
-    )
+    by = ["component_type", "ecosystem", "os_name"]
+    owned = components(spark, sf_dir).join(machines(spark, sf_dir), "machine_id").select("component_id", "machine_id", "seen_at", *by)
+    named = owned.select("component_id", *by)
+    found = exposures(spark, sf_dir).select("component_id", "vulnerability_id", (F.col("priority") == "CRITICAL").alias("critical")).join(named, "component_id")
+    # Each distinct count is a plain count over rows that were summed before, and no row is copied for it.
+    machine = owned.groupBy(*by, "machine_id").agg(F.count("*").alias("n"), F.max("seen_at").alias("seen_at"))
+    machine = machine.groupBy(*by).agg(F.count("*").alias("n_machines"), F.sum("n").alias("n_components"), F.max("seen_at").alias("last_seen_at"))
+    vulnerable = found.groupBy(*by, "vulnerability_id").agg(F.count_if("critical").alias("critical"))
+    vulnerable = vulnerable.groupBy(*by).agg(F.count("*").alias("n_vulnerabilities"), F.sum("critical").alias("n_critical"))
+    key = F.struct(*by)
+    joined = machine.join(vulnerable.select(key.alias("of"), "n_vulnerabilities", "n_critical"), key.eqNullSafe(F.col("of")), "left")
+    zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    return joined.select(*by, "n_machines", "n_components", zero("n_vulnerabilities"), zero("n_critical"), "last_seen_at")
 
 
 @query("vuln_summary", f"""WITH {EXPOSURES}, {COMPONENTS}
@@ -243,14 +250,3 @@ def canonical_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 def status_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows by status (AGG-07)."""
     return components(spark, sf_dir).groupBy(F.col("component_type").alias("status")).agg(F.count("*").alias("n"))
-
-
-@query("catalog_rows",
-    "SELECT 'customer' AS name, count(*) AS n_rows FROM customer UNION ALL SELECT 'orders', count(*) FROM orders UNION ALL SELECT 'lineitem', count(*) FROM lineitem UNION ALL SELECT 'part', count(*) FROM part")
-def catalog_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Exact row counts for the data dictionary (SNK-21, AGG-16)."""
-    out = None
-    for name in ("customer", "orders", "lineitem", "part"):
-        one = table(spark, sf_dir, name).agg(F.count("*").alias("n_rows")).select(F.lit(name).alias("name"), "n_rows")
-        out = one if out is None else out.unionByName(one)
-    return out

@@ -106,12 +106,3 @@ def artifact_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
         ("retrained", dataset.guard(found | {"sha256": "0", "classes": ["benign"]}, manifest)),
     ]
     return spark.createDataFrame([(name, ",".join(reasons)) for name, reasons in cases], "model string, reasons string")
-
-
-@query("data_dictionary",
-    "SELECT table_name AS \"table\", column_name AS \"column\", CAST(column_index AS INTEGER) AS place FROM duckdb_columns() WHERE NOT internal AND table_name IN ('customer', 'orders', 'lineitem', 'part')")
-def data_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Tables, columns and places for the data dictionary (SNK-21); row counts are
-    `catalog_rows`."""
-    rows = [(name, f.name, n) for name in ("customer", "orders", "lineitem", "part") for n, f in enumerate(table(spark, sf_dir, name).schema.fields, 1)]
-    return spark.createDataFrame(rows, "table string, column string, place int")
