@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vigilake.functions import text, urls
-from vigilake.operators import dataset, merge
+from vigilake.operators import dataset, free_shape, merge
 from vigilake.plans.base import query
 from vigilake.session import table
 
@@ -151,3 +151,20 @@ UNION ALL SELECT k, CAST(len(list_filter(range(1, {FOLDS}), lambda j: before >=
 def stratified_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Machines dealt whole to folds that each have their share of every class (DS-04)."""
     return dataset.stratified_folds(table(spark, sf_dir, "orders"), "o_custkey", "o_orderpriority", FOLDS)
+
+
+@query("nested_locations", """SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN p_name || '|b' WHEN 1 THEN 'u' || p_partkey || '|p1|l' || p_partkey || '|' || p_brand WHEN 2 THEN 'd' || p_partkey || '|z' WHEN 3 THEN '' END AS locations
+FROM part""")
+def nested_locations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Locations inside values of free shape: texts, lists, objects within objects, nulls
+    and what is no list (FN-33)."""
+    k = F.col("p_partkey")
+    key, name, brand = k.cast("string"), F.col("p_name"), F.col("p_brand")
+    shapes = (
+        F.concat(F.lit('["'), name, F.lit('", " '), name, F.lit(' ", "", "b"]')),
+        F.concat(F.lit('[{"path": ["p1", {"location": "l'), key, F.lit('"}], "url": "u'), key, F.lit('", "other": "x"}, "'), brand, F.lit('", "p1"]')),
+        F.concat(F.lit('[[["d'), key, F.lit('"]], {"location": null, "url": ""}, 5, {"url": {"path": {"location": "z"}}}]')),
+    )
+    body = F.when(k % 5 == 0, shapes[0]).when(k % 5 == 1, shapes[1]).when(k % 5 == 2, shapes[2]).when(k % 5 == 4, F.concat(F.lit('{"url": "'), key, F.lit('"}')))
+    rows = table(spark, sf_dir, "part").select("p_partkey", body.alias("value"))
+    return free_shape.locations(rows, "p_partkey", "value").select("p_partkey", F.array_join("locations", "|").alias("locations"))
