@@ -10,7 +10,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from vigilake.llm import alignment, byte_bpe, centroids, near_dup
+from vigilake.llm import alignment, bpe, byte_bpe, centroids, near_dup
 
 SF = "/root/testdata/sf0.01"
 ODD = ["", " ", "  ", "a ", "x  \n y", "\n\n a\t b  ", "don't we'll 'tis '", "ﬁ½ 漢字かな  z", "a▁b c", "<|endoftext|> <s> </s>", "\x00\x1c\x85\xa0 　q", "é é 👩‍👩‍👧 ",
@@ -270,3 +270,30 @@ def test_banded_alignment_equals_table():
         if head == 0 and (not a or not b or a[-1] != b[-1]):
             assert got == table[len(b)][len(a)], (a, b, band)
         assert got >= table[len(b)][len(a)]  # common ends are aligned first: never worse
+
+
+def test_forced_boundary_decode_of_nulls_and_nothing(spark):
+    rows = spark.createDataFrame([(1, None), (2, []), (3, [220, 1]), (3, [220, 1]), (None, [40])], "doc_id long, ids array<int>").withColumn("text", F.lit("clash"))
+    assert sorted(((r["doc_id"], r["text"]) for r in bpe.decode(rows).collect()), key=repr) == sorted([(1, None), (2, ""), (3, ' "'), (3, ' "'), (None, "I")], key=repr)
+    assert bpe.decode(rows.where("false")).collect() == []
+
+
+def test_near_duplicates_of_a_long_repetitive_text(spark):
+    """Two long texts of few words, one with edits throughout: aligned within the band."""
+    rng = random.Random(9)
+    words = [rng.choice("aa bb cc dd ee ff gg".split()) for _ in range(12_000)]
+    edited = [w if rng.random() > 0.005 else "zz" for w in words]
+    other = [rng.choice("aa bb cc dd ee ff gg".split()) for _ in range(12_000)]
+    df = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(edited)), (3, " ".join(other))], "doc_id long, text string")
+    assert {r["doc_id"]: r["class_id"] for r in near_dup.dedup(df).collect()} == {1: 1, 2: 1, 3: 3}
+
+
+def test_texts_of_common_passages_are_no_duplicates(spark):
+    rng = random.Random(10)
+    passages = [" ".join(f"w{rng.randrange(4_000)}" for _ in range(50)) for _ in range(12)]
+    df = spark.createDataFrame([(i, " ".join(rng.sample(passages, 6))) for i in range(60)], "doc_id long, text string")
+    rows = near_dup.dedup(df).collect()
+    assert len(rows) == 60
+    texts = {r["doc_id"]: near_dup.shingles(r["text"]) for r in df.collect()}
+    for r in rows:  # whoever is in a class is linked in it
+        assert r["class_id"] == r["doc_id"] or any(near_dup.similarity(texts[r["doc_id"]], texts[o["doc_id"]]) for o in rows if o["class_id"] == r["class_id"] and o is not r)

@@ -169,7 +169,10 @@ def block_links(rows: pd.DataFrame, threshold: float) -> pd.DataFrame:
 
 
 def search(reps: DataFrame, threshold: float = THRESHOLD, recall: float = TARGET_RECALL) -> DataFrame:
-    """(rep, mult, v) of distinct vectors of one width -> (rep, n, root) rows by block."""
+    """(rep, mult, v) of distinct vectors of one width -> (rep, n, root) rows by block.
+
+    Vectors are usable ones (no nulls, not zero), so there is nothing to leave out; a
+    vector links with others only; fewer than two vectors give no rows."""
     n = reps.count()
     if n < 2:
         return reps.select("rep", F.lit(0).cast("long").alias("n"), F.col("rep").alias("root")).limit(0)

@@ -95,7 +95,10 @@ def cluster(vectors: np.ndarray, k: int, rounds: int = 12) -> tuple[np.ndarray,
 
 
 def fit(train: DataFrame, per_language: int = PER_LANGUAGE, k: int = CENTROIDS, buckets: int = BUCKETS):
-    """(idf, languages, centroids, radii) from (doc_id, text, lang) rows."""
+    """(idf, languages, centroids, radii) from (doc_id, text, lang) rows.
+
+    The caller leaves null texts and languages out; repeated rows count each; texts
+    without an n-gram add nothing; no rows give no languages."""
     n, df = document_frequencies(train, buckets)
     idf = np.log((1 + n) / (1 + df)) + 1
 

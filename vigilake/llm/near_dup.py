@@ -327,6 +327,11 @@ def grouped(rows: DataFrame) -> DataFrame:
 
 
 def classes(docs: DataFrame, least: float = SIMILARITY) -> Classes:
+    """The classes of near-duplicate texts.
+
+    Rows with a null id or without words are in no class; texts with equal words are one
+    node however many rows they have; rows repeated with id and text are one; an empty
+    table has no classes."""
     docs = keyed(docs)
     rows = cut(sketched(docs), "sketches")
     groups = grouped(rows)

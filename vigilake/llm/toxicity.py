@@ -256,7 +256,8 @@ def learn_weights(x: np.ndarray, y: np.ndarray, strength: float = 0.05, rounds:
 
 def fit(docs: DataFrame, labels: DataFrame, max_fit: int = MAX_FIT) -> Grammar:
     """Learn from labelled rows outside fold 0; without any, the built-in lexicon and
-    weights hold."""
+    weights hold. Null texts and null labels are not learned from; equal texts count
+    once, as toxic if any of their labels says so; texts count whole, however long."""
     ship(docs.sparkSession)
     rows = labelled(docs, labels, max_fit)
     insults = learn_insults(rows)

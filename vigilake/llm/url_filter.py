@@ -82,6 +82,10 @@ def propagate(seeds: DataFrame, edges: DataFrame, damping: float = DAMPING, tole
     link to them. Both restart at the seeds' shares. What arrives in a round is sent
     on in the next and added up, until less than `tolerance` moves. Returns
     (host, trust, distrust). One join and one pre-aggregated sum a round.
+
+    Hosts are not null (the caller leaves urls without one out); repeated links count as
+    often as they stand; a host without links keeps what it has; without seeds nothing
+    flows, and empty tables give an empty result.
     """
     sums = seeds.agg(F.sum("trust").alias("trust"), F.sum("distrust").alias("distrust")).first()
     share = lambda kind, c: F.struct(F.lit(kind).alias("kind"), (F.col(c) / float(sums[c] or 1)).alias("seed"))
