@@ -260,19 +260,26 @@ def test_feeds_of_odd_shapes(spark, tmp_path):
         feeds.benign_candidates(spark, put(tmp_path / "c.csv", "url,registered_domain,source_rank,source_snapshot\n"))
 
 
-def test_ingestion_by_small_pages(spark):
+def test_ingestion_by_small_pages(spark, tmp_path):
     """Pages of two over ties of time: every record once, then the overlap again."""
     from rules.fixtures import day
+    from vigilake.sources import pages
     from vigilake.streaming import runs
 
+    def source(rows, name):
+        pages.lay_out(rows, ["modified_at", "record_id"], 2, f"file://{tmp_path}/{name}")
+        return runs.pages(f"file://{tmp_path}/{name}")
+
     records = spark.createDataFrame([(str(i), "{}", day(i // 3)) for i in range(7)], "record_id string, payload string, modified_at timestamp_ntz")
     got = []
     store = lambda rows, batch: got.append([r["record_id"] for r in rows.orderBy("modified_at", "record_id").collect()])
-    state, log = runs.ingest(spark, runs.pages(records, 2), runs.State(), store)
+    state, log = runs.ingest(spark, source(records, "all"), runs.State(), store)
     assert got == [["0", "1"], ["2", "3"], ["4", "5"], ["6"]] and state == runs.State(None, day(2), None, 0, True)
     assert [r["status"] for r in log.orderBy("batch").collect()] == ["running"] * 3 + ["completed"]
     got.clear()
-    state, _ = runs.ingest(spark, runs.pages(records, 2), state, store)
+    asked = records.where(F.col("modified_at") >= F.lit(runs.since(state)).cast("timestamp_ntz"))
+    state, _ = runs.ingest(spark, source(asked, "since"), state, store)
     assert got == [["6"]] and state.high_water_mark == day(2)
-    state, _ = runs.ingest(spark, runs.pages(records, 2), runs.State(), store, max_batches=2)
+    state, log = runs.ingest(spark, runs.pages(f"file://{tmp_path}/all"), runs.State(), store, max_batches=2)
+    assert [r["status"] for r in log.orderBy("batch").collect()] == ["running", "incomplete"]
     assert not state.complete and state.cursor is not None and state.high_water_mark is None and state.candidate_mark == day(1)
