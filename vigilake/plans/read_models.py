@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from vigilake.functions.policies import rank
-from vigilake.plans.base import COMPONENTS, EXPOSURES, MACHINES, RANK, components, exposures, machines, query
+from vigilake.plans.base import COMPONENTS, EXPOSURES, MACHINES, RANK, components, exposures, machines, query, spread, tasks
 from vigilake.session import table
 
 OWNED = f"WITH {EXPOSURES}, {COMPONENTS}, {MACHINES}"
@@ -111,15 +111,19 @@ SELECT component_type, ecosystem, os_name, count(DISTINCT machine_id) AS n_machi
 FROM components JOIN machines USING (machine_id) LEFT JOIN exposures USING (component_id) GROUP BY component_type, ecosystem, os_name""")
 def software_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Grouped by nullable columns, with exposures of components that have any (AGG-05)."""
-    by = ["component_type", "ecosystem", "os_name"]
-    owned = components(spark, sf_dir).join(machines(spark, sf_dir), "machine_id").select("component_id", "machine_id", "seen_at", *by)
-    named = owned.select("component_id", *by)
-    found = exposures(spark, sf_dir).select("component_id", "vulnerability_id", (F.col("priority") == "CRITICAL").alias("critical")).join(named, "component_id")
-    # Each distinct count is a plain count over rows that were summed before, and no row is copied for it.
-    machine = owned.groupBy(*by, "machine_id").agg(F.count("*").alias("n"), F.max("seen_at").alias("seen_at"))
+    by, lines, parts = ["component_type", "ecosystem", "os_name"], exposures(spark, sf_dir), components(spark, sf_dir)
+    n, m = tasks(lines), tasks(parts)
+    owned = spread(parts.select("component_id", "machine_id", "seen_at", "component_type", "ecosystem"), m, "machine_id").join(
+        spread(machines(spark, sf_dir).select("machine_id", "os_name"), m, "machine_id"), "machine_id")
+    named = spread(owned.select("component_id", *by), n, "component_id")
+    lines = spread(lines.select("component_id", "vulnerability_id", (F.col("priority") == "CRITICAL").alias("critical")), n, "component_id")
+    # Each distinct count is a plain count over rows that were summed before, and no row is copied for it. Rows are
+    # spread by what they are summed by, so that the groups of a task are bounded too.
+    machine = owned.groupBy(*by, "machine_id").agg(F.count("component_id").alias("n"), F.max("seen_at").alias("seen_at"))
     machine = machine.groupBy(*by).agg(F.count("*").alias("n_machines"), F.sum("n").alias("n_components"), F.max("seen_at").alias("last_seen_at"))
+    found = spread(lines.join(named, "component_id").drop("component_id"), n, *by, "vulnerability_id")
     vulnerable = found.groupBy(*by, "vulnerability_id").agg(F.count_if("critical").alias("critical"))
-    vulnerable = vulnerable.groupBy(*by).agg(F.count("*").alias("n_vulnerabilities"), F.sum("critical").alias("n_critical"))
+    vulnerable = vulnerable.groupBy(*by).agg(F.count("vulnerability_id").alias("n_vulnerabilities"), F.sum("critical").alias("n_critical"))
     key = F.struct(*by)
     joined = machine.join(vulnerable.select(key.alias("of"), "n_vulnerabilities", "n_critical"), key.eqNullSafe(F.col("of")), "left")
     zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
