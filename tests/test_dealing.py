@@ -62,6 +62,12 @@ def by_sql(path, name):
     return [d[0] for d in want.description], sorted(want.fetchall(), key=repr)
 
 
+def test_vuln_summary_of_odd_tables_is_its_sql(spark, tmp_path):
+    odd_tables(spark, str(tmp_path))
+    names, want = by_sql(tmp_path, "vuln_summary")
+    assert sorted((tuple(r) for r in registry.QUERIES["vuln_summary"](spark, str(tmp_path)).select(*names).collect()), key=repr) == want
+
+
 def test_software_list_of_odd_tables_is_its_sql(spark, tmp_path):
     odd_tables(spark, str(tmp_path))
     names, want = by_sql(tmp_path, "software_list")
@@ -81,6 +87,11 @@ def no_more_in_a_task(spark, name):
     return sides, [line for line in plan.split("\n") if "Exchange hashpartitioning" in line and "vulnerability_id" in line and "REPARTITION_BY_NUM" in line], plan
 
 
+def test_vuln_summary_copies_no_rows_and_bounds_its_tasks(spark):
+    sides, summed, plan = no_more_in_a_task(spark, "vuln_summary")
+    assert "Expand" not in plan and len(sides) == 2 and all(", 4), REPARTITION_BY_NUM" in s for s in sides) and len(summed) == 1
+
+
 def test_software_list_bounds_its_tasks(spark):
     sides, summed, plan = no_more_in_a_task(spark, "software_list")
     assert "Expand" not in plan and len(sides) == 2 and all(", 4), REPARTITION_BY_NUM" in s for s in sides) and len(summed) == 1

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from vigilake.functions.policies import rank
+from vigilake.functions.policies import named as level, rank
 from vigilake.plans.base import COMPONENTS, EXPOSURES, MACHINES, RANK, components, exposures, machines, query, spread, tasks
 from vigilake.session import table
 
@@ -138,11 +138,23 @@ FROM exposures JOIN components USING (component_id) LEFT JOIN part ON p_partkey
 def vuln_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per vulnerability: highest priority, any KEV, counts by status, distinct
     machines and components (AGG-08, JOIN-02)."""
-    rows = exposures(spark, sf_dir).join(components(spark, sf_dir).select("component_id", "machine_id"), "component_id")
-    folded = rows.groupBy("vulnerability_id").agg(
-        F.max_by(F.when(F.col("priority").isNotNull(), F.col("priority")), rank(F.col("priority"))).alias("priority"), F.bool_or("is_kev").alias("is_kev"),
-        F.count_if(F.col("applicability") == "confirmed").alias("n_confirmed"), F.count_if(F.col("applicability") == "potential").alias("n_potential"),
-        F.count_distinct("machine_id").alias("n_machines"), F.count_distinct("component_id").alias("n_components"),
+    lines = exposures(spark, sf_dir)
+    n = tasks(lines)
+    first = lambda order, *of: F.row_number().over(Window.partitionBy(*of).orderBy(order)) == 1
+    lines = spread(lines.select("component_id", "vulnerability_id", rank(F.col("priority")).alias("r"), "is_kev", "applicability"), n, "component_id")
+    owners = spread(components(spark, sf_dir).select("component_id", "machine_id"), n, "component_id")
+    # One row of each component and vulnerability is marked, so that a sum counts components: no row is copied for
+    # a distinct count, and what a task sorts and sums are the rows that were spread to it.
+    rows = lines.withColumn("new", first("r", "component_id", "vulnerability_id")).join(owners.withColumn("own", first("machine_id", "component_id")), "component_id")
+    rows = spread(rows.select("vulnerability_id", "machine_id", "r", "is_kev", "applicability", (F.col("new") & F.col("own")).alias("new")), n,
+        "vulnerability_id", "machine_id")
+    of_machine = rows.groupBy("vulnerability_id", "machine_id").agg(
+        F.max("r").alias("r"), F.bool_or("is_kev").alias("is_kev"), F.count_if(F.col("applicability") == "confirmed").alias("c"),
+        F.count_if(F.col("applicability") == "potential").alias("p"), F.count_if("new").alias("n"),
+    )
+    folded = of_machine.groupBy("vulnerability_id").agg(
+        level(F.when(F.max("r") >= 0, F.max("r"))).alias("priority"), F.bool_or("is_kev").alias("is_kev"), F.sum("c").alias("n_confirmed"),
+        F.sum("p").alias("n_potential"), F.count("machine_id").alias("n_machines"), F.sum("n").alias("n_components"),
     )
     part = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("vulnerability_id"), F.col("p_name").alias("name"))
     return folded.join(part, "vulnerability_id", "left").select("vulnerability_id", "name", "priority", "is_kev", "n_confirmed", "n_potential",
