@@ -105,3 +105,50 @@ def test_leases_run_out_by_timer(spark, tmp_path, attempts):
     assert by[1] == ["pending", "processing", over]  # at minute 11, told by the watermark of minute 14
     assert by[2] == ["pending", "processing", over]  # renewed until minute 19, told by that of minute 40
     assert by[4] == ["pending", "processing", "done", "pending"] and by[9] == ["pending"] and 3 not in by
+
+
+def folded(rows):
+    """Outcomes by place, row by row."""
+    at, out = {}, {}
+    for machine, place, inventory, seen in sorted(rows, key=lambda r: r[1]):
+        current, newest = at.get(machine, (None, None))
+        seen = dt.datetime.min if seen is None else seen
+        if inventory is not None and inventory == current:
+            out[place] = "repeated"
+        elif newest is not None and seen <= newest:
+            out[place] = "stale" if seen < newest else "timestamp_conflict"
+        else:
+            out[place], at[machine] = "accepted", (inventory, seen)
+    return out
+
+
+def test_machines_share_a_key_and_nothing_else(spark, tmp_path, monkeypatch):
+    """Few calls of Python for many machines; numbers beyond 2 ** 53, missing ones and an id that comes again later and is no newer for that."""
+    calls, many = f"{tmp_path}/calls", 2**60
+    rows = [(m, 0, many + m % 3, T0 + dt.timedelta(hours=m * 7 % 5)) for m in list(range(200)) * 3] + [(None, 0, 5, T0), (None, 0, 5, T0), (1, 0, None, T0), (1, 0, None, None), (-1, 0, 3, None)]
+    rows += [(300, 0, 1, T0), (300, 0, 1, T0 + dt.timedelta(hours=9)), (300, 0, 2, T0 + dt.timedelta(hours=3)), (many + 1, 0, many + 1, T0), (many, 0, many + 1, T0)]
+    rows = [(m, place, i, seen) for place, (m, _, i, seen) in enumerate(rows)]
+    order = keyed.inventories
+
+    def decide(stream):
+        apply = type(stream.groupBy()).applyInPandasWithState
+
+        def counted(grouped, func, *more):
+            def call(key, batches, state):
+                with open(calls, "a") as f:
+                    f.write("x")
+                yield from func(key, batches, state)
+
+            return apply(grouped, call, *more)
+
+        with monkeypatch.context() as m:
+            m.setattr(type(stream.groupBy()), "applyInPandasWithState", counted)
+            return order(stream, 4)
+
+    halves = [list(range(len(rows)))[::2], list(range(len(rows)))[1::2]]
+    arrived = [(m, n, i, seen) for n, (m, _, i, seen) in enumerate(rows[k] for half in halves for k in half)]
+    batches = [list(range(len(halves[0]))), list(range(len(halves[0]), len(rows)))]
+    got = fed(spark, arrived, "machine_uid long, place long, inventory_id long, collected_at timestamp", decide, tmp_path, batches).collect()
+    assert {r["place"]: r["outcome"] for r in got} == folded(arrived) and len(got) == len(arrived)
+    assert {(r["machine_uid"], r["place"], r["inventory_id"]) for r in got} == {(m, place, i) for m, place, i, _ in arrived}
+    assert len(open(calls).read()) <= 2 * 5
